@@ -40,9 +40,9 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_small(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+def join_small(df: DataFrame, dim: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a cut dimension: broadcast if it is counted to be small, else left to the planner and its skew handling."""
-    small = dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = dim.limit(rows + 1).count() <= rows
     return df.join(F.broadcast(dim) if small else dim, on, how)
 
 

@@ -6,8 +6,9 @@ A document's expected copies are its source's share over its source's words (its
 inclusion rate, which may be tilted by a propensity column). The whole part is taken
 for certain; the fractional part p is sampled by Pareto order sampling: documents are
 ranked by [u / (1 - u)] / [p / (1 - p)], u uniform by hash of the row, and taken from
-the smallest rank up to the fixed size. The size is counted in words, so a source misses
-its target by at most half of the document at the boundary.
+the smallest rank up to the fixed size. The size is counted in words: the sample ends
+before the document that would pass it; then up to `fills` further documents, each the one
+whose size is nearest to what is left, are added while that brings the source nearer.
 
 All is built-in functions. The sources are one row each; windows without a partition run
 over that table alone. Ranks are cut into bins; only the one bin in which the fixed size
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, cycle: int = 3, max_repeat: int = 3) -> DataFrame:
     return s.withColumn("target", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.least(level * F.col("weight"), F.col("most").cast("double"))))
 
 
-def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repeat: int = 3, cycle: int = 3, fills: int = 3) -> DataFrame:
     """docs and, as last column, a struct `mix` (size, source_size, target, copies, taken)."""
     lean = F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)) if propensity else F.lit(1.0)
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
@@ -73,10 +74,17 @@ def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repe
     t = cut(with_source(t, edge))
     w = Window.partitionBy("source").orderBy("q", "h").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = ranked(with_source(base, t)).where(F.col("bin") == F.col("edge"))
-    last = at_edge.withColumn("middle", F.col("before") + F.sum("size").over(w) - F.col("size") / 2).where(F.col("middle") <= F.col("left"))
-    t = cut(with_source(t, last.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"))))
-    taken = (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.struct("q", "h") <= F.col("last"))
-    copies = (F.col("whole") + F.coalesce(taken, F.lit(False)).cast("int")).cast("int")
+    ended = at_edge.withColumn("sum", F.col("before") + F.sum("size").over(w)).where(F.col("sum") <= F.col("left"))
+    t = cut(with_source(t, ended.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("sum").alias("sum"))))
+    sampled = F.coalesce((F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.struct("q", "h") <= F.col("last")), F.lit(False))
+    t = t.select("*", (F.col("left") - F.coalesce("sum", "before")).alias("gap"), F.array().cast("array<struct<q:double,h:bigint>>").alias("fills"))
+    taken = sampled | F.array_contains("fills", F.struct("q", "h"))
+    for _ in range(fills):
+        rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") < 2 * F.col("gap")))
+        found = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "h", "size")).alias("fill"))
+        t = with_source(t, found).withColumn("gap", F.col("gap") - F.coalesce("fill.size", F.lit(0)))
+        t = cut(t.withColumn("fills", F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.struct("fill.q", "fill.h")))).drop("fill"))
+    copies = (F.col("whole") + taken.cast("int")).cast("int")
     out = ranked(with_source(full, t)).withColumn("copies", copies)
     return out.select("row.*", F.struct("size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")).alias(free_name(docs, "mix")))
 

@@ -49,3 +49,31 @@ def op9(spark, sf_dir):
 
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     return quality(documents(spark, sf_dir), trusted)
+
+
+@query("op10_near_dup")
+def op10(spark, sf_dir):
+    from muxlake.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op2_token_counts")
+def op2(spark, sf_dir):
+    from muxlake.llm.token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir))
+
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    from muxlake.llm.packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    from muxlake.llm.langid import identify
+
+    return identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))

@@ -79,8 +79,9 @@ def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repe
     sampled = F.coalesce((F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.struct("q", "h") <= F.col("last")), F.lit(False))
     t = t.select("*", (F.col("left") - F.coalesce("sum", "before")).alias("gap"), F.array().cast("array<struct<q:double,h:bigint>>").alias("fills"))
     taken = sampled | F.array_contains("fills", F.struct("q", "h"))
-    for _ in range(fills):
-        rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") < 2 * F.col("gap")))
+    for i in range(fills):  # the last one may pass the target
+        most = F.col("gap") if i + 1 < fills else 2 * F.col("gap") - 1e-6
+        rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") <= most))
         found = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "h", "size")).alias("fill"))
         t = with_source(t, found).withColumn("gap", F.col("gap") - F.coalesce("fill.size", F.lit(0)))
         t = cut(t.withColumn("fills", F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.struct("fill.q", "fill.h")))).drop("fill"))

@@ -77,3 +77,86 @@ def op1(spark, sf_dir):
     from muxlake.llm.langid import identify
 
     return identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark, sf_dir):
+    from muxlake.llm.suffix_dedup import digests, substring_dedup
+
+    return digests(substring_dedup(documents(spark, sf_dir)))
+
+
+@query(
+    "op6_top_k_search",
+    """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+    tf AS (SELECT doc_id, w, count(*) AS f FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(f) AS len FROM tf GROUP BY 1),
+    n AS (SELECT count(*) AS n, (SELECT sum(len) FROM dl) / count(*) AS mean FROM documents), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
+    s AS (SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.f * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.f * 2.2 / (d.f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+      FROM tf q JOIN df USING (w) JOIN tf d USING (w) JOIN dl ON dl.doc_id = d.doc_id, n WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, doc_id, round(score, 3) AS score FROM r WHERE rank <= 10""",
+)
+def op6(spark, sf_dir):
+    from muxlake.llm.bm25 import top_k
+
+    docs = documents(spark, sf_dir)
+    return top_k(docs, docs.where("doc_id % 50 = 0")).withColumn("score", F.round("score", 3))
+
+
+def page_captures(pages):
+    """Crawl records of pages: a response each, later responses of some, and revisits with matching, stale or no validators."""
+    t = F.lit(1704067200) + F.col("page_id") * 37
+    md5 = lambda x: F.concat(F.lit('"'), F.md5(x), F.lit('"'))
+    second = F.concat("html", F.lit("<!-- v2 -->"))
+    again = F.concat(F.lit("https://www."), F.regexp_replace("url", r"^https?://(www\.)?", ""), F.lit("#again"))
+
+    def record(offset, kind, url, ts, etag, modified, cache, length, payload, where=None):
+        names = ["etag", "last-modified", "cache-control", "content-type", "content-length"]
+        values = [etag, modified, F.lit(cache), F.lit("text/html" if kind == "response" else "text/plain"), length.cast("string")]
+        headers = F.map_filter(F.create_map(*[x for n, v in zip(names, values, strict=True) for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+        rows = pages.where(where) if where else pages
+        return rows.select((F.col("page_id") * 4 + offset).alias("record_id"), F.lit(kind).alias("record_type"), url.alias("url"), F.timestamp_seconds(ts).alias("ts"), headers.alias("headers"), payload.alias("payload"))
+
+    none = F.lit(None).cast("string")
+    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("W/"), md5("html"))).otherwise(md5("html"))
+    asked = F.when(F.col("page_id") % 7 == 0, F.lit('"gone"')).when((F.col("page_id") % 11 == 0) | (F.col("page_id") % 13 == 0), none).when(F.col("page_id") % 10 == 0, md5(second)).otherwise(md5("html"))
+    since = F.when((F.col("page_id") % 11 == 0) & (F.col("page_id") % 13 != 0), t.cast("string"))
+    url = F.col("url")
+    return (
+        record(0, "response", url, t, own, t.cast("string"), "max-age=60", F.length("html"), F.col("html"))
+        .unionByName(record(1, "response", url, t + 7200, md5(second), (t + 7200).cast("string"), "max-age=60", F.length(second), second, "page_id % 5 = 0"))
+        .unionByName(record(2, "revisit", again, t + 10800, asked, since, "max-age=120", F.lit(0), none))
+        .unionByName(record(3, "revisit", again, t - 60, md5("html"), none, "max-age=120", F.lit(0), none, "page_id % 17 = 0"))
+    )
+
+
+
+
+@query(
+    "op8_warc_revisits",
+    """WITH c AS (
+      SELECT page_id * 4 AS record_id, 'response' AS record_type, url, 1704067200 + page_id * 37 AS t, CASE WHEN page_id % 3 = 0 THEN 'W/' ELSE '' END || '"' || md5(html) || '"' AS etag, (1704067200 + page_id * 37)::VARCHAR AS modified, 'max-age=60' AS cache, length(html)::VARCHAR AS len, html AS payload FROM pages
+      UNION ALL SELECT page_id * 4 + 1, 'response', url, 1704074400 + page_id * 37, '"' || md5(html || '<!-- v2 -->') || '"', (1704074400 + page_id * 37)::VARCHAR, 'max-age=60', length(html || '<!-- v2 -->')::VARCHAR, html || '<!-- v2 -->' FROM pages WHERE page_id % 5 = 0
+      UNION ALL SELECT page_id * 4 + 2, 'revisit', 'https://www.' || regexp_replace(url, '^https?://(www\\.)?', '') || '#again', 1704078000 + page_id * 37,
+        CASE WHEN page_id % 7 = 0 THEN '"gone"' WHEN page_id % 11 = 0 OR page_id % 13 = 0 THEN NULL WHEN page_id % 10 = 0 THEN '"' || md5(html || '<!-- v2 -->') || '"' ELSE '"' || md5(html) || '"' END,
+        CASE WHEN page_id % 11 = 0 AND page_id % 13 <> 0 THEN (1704067200 + page_id * 37)::VARCHAR END, 'max-age=120', '0', NULL FROM pages
+      UNION ALL SELECT page_id * 4 + 3, 'revisit', 'https://www.' || regexp_replace(url, '^https?://(www\\.)?', '') || '#again', 1704067140 + page_id * 37, '"' || md5(html) || '"', NULL, 'max-age=120', '0', NULL FROM pages WHERE page_id % 17 = 0),
+    u AS (SELECT *, regexp_replace(url, '#.*$', '') AS v FROM c),
+    x AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(v, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\\.', '') AS h, regexp_replace(v, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', '') AS rest FROM u),
+    y AS (SELECT *, regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') AS p, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda z: z <> '' AND NOT starts_with(z, 'utm_'))), '&') AS q FROM x),
+    r AS (SELECT *, h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM y),
+    f AS (SELECT * FROM r WHERE record_type = 'response'),
+    j AS (SELECT r.*, f.record_id AS fid, f.etag AS fetag, f.modified AS fmod, f.len AS flen, f.payload AS fpay FROM r ASOF LEFT JOIN f ON r.canonical_url = f.canonical_url AND r.t > f.t),
+    o AS (SELECT *, CASE WHEN record_type = 'response' THEN 'full' WHEN fid IS NULL THEN 'no_earlier_response'
+      WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(fetag, '^W/', '') THEN 'resolved' ELSE 'etag_differs' END
+      WHEN modified IS NOT NULL THEN CASE WHEN modified = fmod THEN 'resolved' ELSE 'last_modified_differs' END ELSE 'no_validator' END AS outcome FROM j)
+    SELECT record_id, record_type, canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN fid::VARCHAR END AS refers_to, cache AS cache_control,
+      CASE WHEN record_type = 'response' OR outcome = 'resolved' THEN 'text/html' ELSE 'text/plain' END AS content_type, CASE WHEN outcome = 'resolved' THEN flen ELSE len END AS content_length,
+      CASE WHEN outcome = 'resolved' THEN coalesce(etag, fetag) ELSE etag END AS etag, sha256(CASE WHEN outcome = 'resolved' THEN fpay ELSE payload END) AS payload_sha256 FROM o""",
+)
+def op8(spark, sf_dir):
+    from muxlake.llm.warc import resolve_revisits
+
+    out = resolve_revisits(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    header = lambda name: F.element_at("headers", name).alias(name.replace("-", "_"))
+    return out.select("record_id", "record_type", "revisit.canonical_url", "revisit.outcome", F.col("revisit.refers_to").cast("string").alias("refers_to"), *map(header, ("cache-control", "content-type", "content-length", "etag")), F.sha2("payload", 256).alias("payload_sha256"))

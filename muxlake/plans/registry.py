@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from muxlake.plans import telemetry
+from muxlake.plans import relational, telemetry, timeline, views
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-for module in (telemetry,):
-    QUERIES |= module.QUERIES
-    ORACLE |= module.ORACLE
+MODULES = [relational, telemetry, timeline]
+QUERIES: dict = views.QUERIES
+ORACLE: dict = views.ORACLE

@@ -65,9 +65,9 @@ def j10(s, d):
     return c.unknown_subchannels(v.services(s, d), v.subchannels(s, d)).select("stream_id", "sid", "sub_channel_id")
 
 
-@query("j11_epg_now_next", sql("""WITH e AS (SELECT * FROM $schedule), t AS (SELECT DISTINCT o_custkey AS service_id, o_orderdate + INTERVAL 5 DAYS AS at FROM orders),
-    a AS (SELECT service_id, at, max({'start_time': start_time, 'event_id': event_id, 'end_time': end_time}) AS x FROM t JOIN e USING (service_id) WHERE start_time <= at GROUP BY 1, 2), b AS (SELECT service_id, at, min({'start_time': start_time, 'event_id': event_id, 'end_time': end_time}) AS y FROM t JOIN e USING (service_id) WHERE start_time > at GROUP BY 1, 2)
-    SELECT t.service_id, t.at, CASE WHEN x.end_time > t.at THEN x.event_id END::VARCHAR AS now_event, y.event_id::VARCHAR AS next_event FROM t LEFT JOIN a USING (service_id, at) LEFT JOIN b USING (service_id, at)"""))
+@query("j11_epg_now_next", sql("""WITH e AS (SELECT * FROM $schedule), t AS (SELECT DISTINCT o_custkey AS service_id, o_orderdate + INTERVAL 5 DAYS AS "at" FROM orders),
+    a AS (SELECT service_id, "at", max({'start_time': start_time, 'event_id': event_id, 'end_time': end_time}) AS x FROM t JOIN e USING (service_id) WHERE start_time <= "at" GROUP BY 1, 2), b AS (SELECT service_id, "at", min({'start_time': start_time, 'event_id': event_id, 'end_time': end_time}) AS y FROM t JOIN e USING (service_id) WHERE start_time > "at" GROUP BY 1, 2)
+    SELECT t.service_id, t."at", CASE WHEN x.end_time > t."at" THEN x.event_id END::VARCHAR AS now_event, y.event_id::VARCHAR AS next_event FROM t LEFT JOIN a USING (service_id, "at") LEFT JOIN b USING (service_id, "at")"""))
 def j11(s, d):
     e = v.schedule(s, d)
     t = e.select("service_id", (F.col("start_time") + F.expr("INTERVAL 5 DAYS")).alias("at")).distinct()

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from muxlake.plans import relational, signalling, telemetry, timeline, views
+from muxlake.plans import content, relational, signalling, telemetry, timeline, views
 
-MODULES = [relational, signalling, telemetry, timeline]
+MODULES = [content, relational, signalling, telemetry, timeline]
 QUERIES: dict = views.QUERIES
 ORACLE: dict = views.ORACLE

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from muxlake.functions.bits import bits, flag_list, signed, u, walk
 from muxlake.functions.text import decode_label, lto_minutes, mjd_timestamp, short_label
 
-D = F.col("data")
+def D() -> Column:
+    return F.col("data")
+
+
 KEYS = ["stream_id", "frame_no"]
 
 
@@ -31,7 +34,7 @@ def explode_figs(fibs: DataFrame, types: list[int] | None = None) -> DataFrame:
     f = f.where("len <= 29")
     if types is not None:
         f = f.where(F.col("fig_type").isin(types))
-    b0 = u(D, 0)
+    b0 = u(D(), 0)
     return f.select("*", fig_extension(F.col("fig_type"), b0).cast("int").alias("ext"), (bits(b0, 6, 1) == 1).alias("oe"), (bits(b0, 5, 1) == 1).alias("pd"))
 
 
@@ -64,28 +67,34 @@ def entries(f: DataFrame, stride: int, start: int = 1) -> DataFrame:
 
 
 def walked(f: DataFrame, least: int, stride, start: int = 1) -> DataFrame:
-    return f.withColumn("p", F.explode(walk(D, start, least, stride)))
+    return f.withColumn("p", F.explode(walk(D(), start, least, stride)))
+
+
+def P() -> Column:
+    """Offset of the entry."""
+    return F.col("p")
 
 
-P = F.col("p")
-PD = bits(u(D, 0), 5, 1) == 1
+def PD() -> Column:
+    """Flag of 32-bit ids in the extension byte."""
+    return bits(u(D(), 0), 5, 1) == 1
 
 
 def b(i: int, n: int = 1) -> Column:
-    return u(D, P + i, n)
+    return u(D(), P() + i, n)
 
 
 def fig0_0(figs: DataFrame) -> DataFrame:
-    long_, b3 = F.octet_length("data") >= 6, u(D, 3)
+    long_, b3 = F.octet_length("data") >= 6, u(D(), 3)
     change = F.when(long_, bits(b3, 6, 2)).otherwise(0)
-    return rows(of(figs, 0, 0, 5), eid=u(D, 1, 2), country_id=bits(u(D, 1, 2), 12, 4), change=change, alarm=F.coalesce(long_ & (bits(b3, 5, 1) == 1), F.lit(False)), cif_count=F.when(long_, bits(u(D, 3, 2), 0, 13)).otherwise(0), occurrence_change=F.when(change != 0, u(D, 5)))
+    return rows(of(figs, 0, 0, 5), eid=u(D(), 1, 2), country_id=bits(u(D(), 1, 2), 12, 4), change=change, alarm=F.coalesce(long_ & (bits(b3, 5, 1) == 1), F.lit(False)), cif_count=F.when(long_, bits(u(D(), 3, 2), 0, 13)).otherwise(0), occurrence_change=F.when(change != 0, u(D(), 5)))
 
 
 def fig0_1(figs: DataFrame) -> DataFrame:
     """Long (equal protection) and short (unequal) entries; addresses beyond the multiplex are left out."""
     long_ = bits(b(2), 7, 1) == 1
-    f = walked(of(figs, 0, 1, 4), 3, lambda p: F.when(bits(u(D, p + 2), 7, 1) == 1, 4).otherwise(3))
-    f = f.where(~long_ | (P + 4 <= F.octet_length("data")))
+    f = walked(of(figs, 0, 1, 4), 3, lambda p: F.when(bits(u(D(), p + 2), 7, 1) == 1, 4).otherwise(3))
+    f = f.where(~long_ | (P() + 4 <= F.octet_length("data")))
     out = rows(
         f, sub_channel_id=bits(b(0), 2, 6), start_address=bits(b(0, 2), 0, 10), size=F.when(long_, bits(b(2, 2), 0, 10)).otherwise(0), uep=~long_, protection_option=F.when(long_, bits(b(2), 4, 3)),
         protection_level=F.when(long_, bits(b(2), 2, 2) + 1).otherwise(0), table_switch=F.when(~long_, bits(b(2), 6, 1)), table_index=F.when(~long_, bits(b(2), 0, 6)),
@@ -95,14 +104,14 @@ def fig0_1(figs: DataFrame) -> DataFrame:
 
 def fig0_2(figs: DataFrame) -> DataFrame:
     """A row a component: 16-bit ids of programmes, 32-bit ids of data services."""
-    w = F.when(PD, 4).otherwise(2)
-    n = lambda p: bits(u(D, p + w), 0, 4)
+    w = F.when(PD(), 4).otherwise(2)
+    n = lambda p: bits(u(D(), p + w), 0, 4)
     f = walked(of(figs, 0, 2, 4), 4, lambda p: w + 1 + 2 * n(p))
-    f = f.withColumn("sid", F.when(PD, b(0, 4)).otherwise(b(0, 2))).withColumn("n", n(P).cast("int")).where("n > 0")
-    f = f.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("p", (P + w + 1 + 2 * F.col("c")).cast("int"))
+    f = f.withColumn("sid", F.when(PD(), b(0, 4)).otherwise(b(0, 2))).withColumn("n", n(P()).cast("int")).where("n > 0")
+    f = f.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("p", (P() + w + 1 + 2 * F.col("c")).cast("int"))
     f = f.where(b(1).isNotNull())
-    valid = F.when(PD, F.col("sid") != 0xFFFFFFFF).otherwise(~F.col("sid").isin(0, 0xFFFF))
-    return rows(f.where(valid), sid=F.col("sid"), is_programme=~PD, country_id=F.when(PD, bits(F.col("sid"), 20, 4)).otherwise(bits(F.col("sid"), 12, 4)), ecc=F.when(PD, bits(F.col("sid"), 24, 8)).otherwise(0), tmid=bits(b(0), 6, 2), asc_ty=bits(b(0), 0, 6), sub_channel_id=bits(b(1), 2, 6), primary=bits(b(1), 1, 1) == 1, ca=bits(b(1), 0, 1) == 1)
+    valid = F.when(PD(), F.col("sid") != 0xFFFFFFFF).otherwise(~F.col("sid").isin(0, 0xFFFF))
+    return rows(f.where(valid), sid=F.col("sid"), is_programme=~PD(), country_id=F.when(PD(), bits(F.col("sid"), 20, 4)).otherwise(bits(F.col("sid"), 12, 4)), ecc=F.when(PD(), bits(F.col("sid"), 24, 8)).otherwise(0), tmid=bits(b(0), 6, 2), asc_ty=bits(b(0), 0, 6), sub_channel_id=bits(b(1), 2, 6), primary=bits(b(1), 1, 1) == 1, ca=bits(b(1), 0, 1) == 1)
 
 
 def fig0_3(figs: DataFrame) -> DataFrame:
@@ -118,73 +127,73 @@ def fig0_5(figs: DataFrame) -> DataFrame:
 
 
 def fig0_6(figs: DataFrame) -> DataFrame:
-    """A linkage set with its ids; 2 to 5 bytes an id by P/D and international flag."""
-    f = of(figs, 0, 6, 3).withColumn("w", F.when(PD, 4).otherwise(2) + bits(u(D, 1), 3, 1)).withColumn("n", F.when(bits(u(D, 1), 0, 1) == 1, F.coalesce(bits(u(D, 3), 4, 4), F.lit(0))).otherwise(0).cast("int"))
-    at = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: u(D, 4 + i * F.col("w") + bits(u(D, 1), 3, 1), (F.col("w") - bits(u(D, 1), 3, 1)).cast("int")))).otherwise(F.array())
-    return rows(f, lsn=bits(u(D, 1), 4, 4) * 256 + u(D, 2), active=bits(u(D, 1), 1, 1) == 1, hard=bits(u(D, 1), 2, 1) == 1, international=bits(u(D, 1), 3, 1) == 1, id_qualifier=F.when(F.col("n") > 0, bits(u(D, 3), 1, 2)), ids=F.array_compact(at))
+    """A linkage set with its ids; 2 to 5 bytes an id by P()/D() and international flag."""
+    f = of(figs, 0, 6, 3).withColumn("w", F.when(PD(), 4).otherwise(2) + bits(u(D(), 1), 3, 1)).withColumn("n", F.when(bits(u(D(), 1), 0, 1) == 1, F.coalesce(bits(u(D(), 3), 4, 4), F.lit(0))).otherwise(0).cast("int"))
+    at = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: u(D(), 4 + i * F.col("w") + bits(u(D(), 1), 3, 1), (F.col("w") - bits(u(D(), 1), 3, 1)).cast("int")))).otherwise(F.array())
+    return rows(f, lsn=bits(u(D(), 1), 4, 4) * 256 + u(D(), 2), active=bits(u(D(), 1), 1, 1) == 1, hard=bits(u(D(), 1), 2, 1) == 1, international=bits(u(D(), 1), 3, 1) == 1, id_qualifier=F.when(F.col("n") > 0, bits(u(D(), 3), 1, 2)), ids=F.array_compact(at))
 
 
 def fig0_7(figs: DataFrame) -> DataFrame:
-    return rows(of(figs, 0, 7, 3), service_count=bits(u(D, 1, 2), 10, 6), reconfigurations=bits(u(D, 1, 2), 0, 10))
+    return rows(of(figs, 0, 7, 3), service_count=bits(u(D(), 1, 2), 10, 6), reconfigurations=bits(u(D(), 1, 2), 0, 10))
 
 
 def fig0_8(figs: DataFrame) -> DataFrame:
-    w = F.when(PD, 4).otherwise(2)
-    long_ = lambda p: bits(u(D, p + w + 1), 0, 1) == 1
-    f = walked(of(figs, 0, 8, 5), 4, lambda p: w + F.when(long_(p), 3).otherwise(2)).where(P + w + F.when(long_(P), 3).otherwise(2) <= F.octet_length("data"))
-    at = P + w
-    return rows(f, sid=F.when(PD, b(0, 4)).otherwise(b(0, 2)), scids=bits(u(D, at), 4, 4), long_form=long_(P), scid=F.when(long_(P), bits(u(D, at + 1), 4, 4) * 256 + u(D, at + 2)), sub_channel_id=F.when(~long_(P), bits(u(D, at + 1), 2, 6)))
+    w = F.when(PD(), 4).otherwise(2)
+    long_ = lambda p: bits(u(D(), p + w + 1), 0, 1) == 1
+    f = walked(of(figs, 0, 8, 5), 4, lambda p: w + F.when(long_(p), 3).otherwise(2)).where(P() + w + F.when(long_(P()), 3).otherwise(2) <= F.octet_length("data"))
+    at = P() + w
+    return rows(f, sid=F.when(PD(), b(0, 4)).otherwise(b(0, 2)), scids=bits(u(D(), at), 4, 4), long_form=long_(P()), scid=F.when(long_(P()), bits(u(D(), at + 1), 4, 4) * 256 + u(D(), at + 2)), sub_channel_id=F.when(~long_(P()), bits(u(D(), at + 1), 2, 6)))
 
 
 def fig0_9(figs: DataFrame) -> DataFrame:
-    return rows(of(figs, 0, 9, 4), extended=bits(u(D, 1), 7, 1) == 1, lto_minutes=lto_minutes(u(D, 1)), ecc=u(D, 2), table_id=u(D, 3))
+    return rows(of(figs, 0, 9, 4), extended=bits(u(D(), 1), 7, 1) == 1, lto_minutes=lto_minutes(u(D(), 1)), ecc=u(D(), 2), table_id=u(D(), 3))
 
 
 def fig0_9_services(figs: DataFrame) -> DataFrame:
     """Country codes of single services in the extended part: groups of up to three."""
-    n = lambda p: bits(u(D, p), 6, 2)
-    f = walked(of(figs, 0, 9, 4).where(bits(u(D, 1), 7, 1) == 1), 2, lambda p: F.when(PD, 1 + 4 * n(p)).otherwise(2 + 2 * n(p)), start=4)
-    f = f.withColumn("n", n(P).cast("int")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    long_id = u(D, P + 1 + 4 * F.col("i"), 4)
-    out = rows(f, sid=F.when(PD, bits(long_id, 0, 16)).otherwise(u(D, P + 2 + 2 * F.col("i"), 2)), ecc=F.when(PD, bits(long_id, 24, 8)).otherwise(b(1)))
+    n = lambda p: bits(u(D(), p), 6, 2)
+    f = walked(of(figs, 0, 9, 4).where(bits(u(D(), 1), 7, 1) == 1), 2, lambda p: F.when(PD(), 1 + 4 * n(p)).otherwise(2 + 2 * n(p)), start=4)
+    f = f.withColumn("n", n(P()).cast("int")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    long_id = u(D(), P() + 1 + 4 * F.col("i"), 4)
+    out = rows(f, sid=F.when(PD(), bits(long_id, 0, 16)).otherwise(u(D(), P() + 2 + 2 * F.col("i"), 2)), ecc=F.when(PD(), bits(long_id, 24, 8)).otherwise(b(1)))
     return out.where("sid IS NOT NULL")
 
 
 def fig0_10(figs: DataFrame) -> DataFrame:
-    b3 = u(D, 3)
-    mjd, utc = bits(u(D, 1), 1, 7) * 1024 + u(D, 2) * 4 + bits(b3, 6, 2), bits(b3, 3, 1) == 1
+    b3 = u(D(), 3)
+    mjd, utc = bits(u(D(), 1), 1, 7) * 1024 + u(D(), 2) * 4 + bits(b3, 6, 2), bits(b3, 3, 1) == 1
     long_ = utc & (F.octet_length("data") >= 7)
-    second, ms = F.when(long_, bits(u(D, 5), 0, 6)).otherwise(0), F.when(long_, bits(u(D, 5), 6, 2) * 256 + u(D, 6)).otherwise(0)
-    hour, minute = bits(b3, 0, 3) * 4 + bits(u(D, 4), 6, 2), bits(u(D, 4), 0, 6)
+    second, ms = F.when(long_, bits(u(D(), 5), 0, 6)).otherwise(0), F.when(long_, bits(u(D(), 5), 6, 2) * 256 + u(D(), 6)).otherwise(0)
+    hour, minute = bits(b3, 0, 3) * 4 + bits(u(D(), 4), 6, 2), bits(u(D(), 4), 0, 6)
     return rows(of(figs, 0, 10, 5), mjd=mjd, utc=utc, lsi=bits(b3, 5, 1) == 1, confidence=bits(b3, 4, 1) == 1, hour=hour, minute=minute, second=second, ms=ms, at=mjd_timestamp(mjd, hour, minute, second, ms))
 
 
 def fig0_11(figs: DataFrame) -> DataFrame:
-    whole = bits(u(D, 2), 7, 1) == 1
+    whole = bits(u(D(), 2), 7, 1) == 1
     f = of(figs, 0, 11, 3).where(~whole | (F.octet_length("data") >= 5))
-    return rows(f, region_id=u(D, 1), whole_ensemble=whole, eid=F.when(whole, bits(u(D, 2), 0, 6) * 1024 + u(D, 3) * 4 + bits(u(D, 4), 6, 2)), sub_channel_id=F.when(~whole, bits(u(D, 2), 0, 6)))
+    return rows(f, region_id=u(D(), 1), whole_ensemble=whole, eid=F.when(whole, bits(u(D(), 2), 0, 6) * 1024 + u(D(), 3) * 4 + bits(u(D(), 4), 6, 2)), sub_channel_id=F.when(~whole, bits(u(D(), 2), 0, 6)))
 
 
 def fig0_12(figs: DataFrame) -> DataFrame:
-    return rows(of(figs, 0, 12, 8), sid=u(D, 1, 4), msc=bits(u(D, 5), 7, 1) == 1, sub_channel_id=bits(u(D, 5), 1, 6), frame_size=u(D, 6, 2)).where("sid <> 0 AND frame_size <> 0")
+    return rows(of(figs, 0, 12, 8), sid=u(D(), 1, 4), msc=bits(u(D(), 5), 7, 1) == 1, sub_channel_id=bits(u(D(), 5), 1, 6), frame_size=u(D(), 6, 2)).where("sid <> 0 AND frame_size <> 0")
 
 
 def fig0_13(figs: DataFrame) -> DataFrame:
     """A row a user application: the first walk gives the services, the second their applications."""
-    w = F.when(PD, 4).otherwise(2)
-    n_apps = lambda p: bits(u(D, p + w), 0, 4)
-    one = lambda q: 2 + bits(u(D, q + 1), 3, 5)
+    w = F.when(PD(), 4).otherwise(2)
+    n_apps = lambda p: bits(u(D(), p + w), 0, 4)
+    one = lambda q: 2 + bits(u(D(), q + 1), 3, 5)
 
     def past(p: Column) -> Column:
         """End of the entry: skips its applications one by one."""
         return F.aggregate(F.sequence(F.lit(0), F.greatest(n_apps(p).cast("int"), F.lit(0))), (p + w + 1).cast("int"), lambda q, i: F.when((i < n_apps(p)) & one(q).isNotNull(), (q + one(q)).cast("int")).otherwise(q))
 
     f = walked(of(figs, 0, 13, 4), 3, lambda p: past(p) - p)
-    f = f.withColumn("sid", F.when(PD, b(0, 4)).otherwise(b(0, 2))).withColumn("scids", bits(u(D, P + w), 4, 4)).withColumn("n", n_apps(P).cast("int")).where("n > 0")
+    f = f.withColumn("sid", F.when(PD(), b(0, 4)).otherwise(b(0, 2))).withColumn("scids", bits(u(D(), P() + w), 4, 4)).withColumn("n", n_apps(P()).cast("int")).where("n > 0")
     steps = F.sequence(F.lit(1), F.col("n"))
-    offsets = F.aggregate(steps, F.array((P + w + 1).cast("int")), lambda s, i: F.when((i < F.col("n")) & one(F.element_at(s, -1)).isNotNull(), F.array_append(s, (F.element_at(s, -1) + one(F.element_at(s, -1))).cast("int"))).otherwise(s))
-    f = f.withColumn("p", F.explode(offsets)).where((P + 2 <= F.octet_length("data")) & (P + one(P) <= F.octet_length("data")))
-    return rows(f, sid=F.col("sid"), scids=F.col("scids"), app_type=b(0) * 8 + bits(b(1), 0, 3), length=bits(b(1), 3, 5), app_data=F.substring(D, P + 3, bits(b(1), 3, 5).cast("int")))
+    offsets = F.aggregate(steps, F.array((P() + w + 1).cast("int")), lambda s, i: F.when((i < F.col("n")) & one(F.element_at(s, -1)).isNotNull(), F.array_append(s, (F.element_at(s, -1) + one(F.element_at(s, -1))).cast("int"))).otherwise(s))
+    f = f.withColumn("p", F.explode(offsets)).where((P() + 2 <= F.octet_length("data")) & (P() + one(P()) <= F.octet_length("data")))
+    return rows(f, sid=F.col("sid"), scids=F.col("scids"), app_type=b(0) * 8 + bits(b(1), 0, 3), length=bits(b(1), 3, 5), app_data=F.substring(D(), P() + 3, bits(b(1), 3, 5).cast("int")))
 
 
 def fig0_14(figs: DataFrame) -> DataFrame:
@@ -192,15 +201,15 @@ def fig0_14(figs: DataFrame) -> DataFrame:
 
 
 def fig0_15(figs: DataFrame) -> DataFrame:
-    long_ = bits(u(D, 1), 7, 1) == 1
+    long_ = bits(u(D(), 1), 7, 1) == 1
     at = F.when(long_, 5).otherwise(3)
     f = of(figs, 0, 15, 6).where(~long_ | (F.octet_length("data") >= 8))
-    out = rows(f, sid=F.when(long_, bits(u(D, 1, 4), 0, 31)).otherwise(bits(u(D, 1, 2), 0, 15)), number=u(D, at, 2), continuation=bits(u(D, at + 2), 7, 1) == 1, update=bits(u(D, at + 2), 6, 1) == 1)
+    out = rows(f, sid=F.when(long_, bits(u(D(), 1, 4), 0, 31)).otherwise(bits(u(D(), 1, 2), 0, 15)), number=u(D(), at, 2), continuation=bits(u(D(), at + 2), 7, 1) == 1, update=bits(u(D(), at + 2), 6, 1) == 1)
     return out.where("sid <> 0 AND number <> 0")
 
 
 def fig0_16(figs: DataFrame) -> DataFrame:
-    return rows(of(figs, 0, 16, 6), sid=u(D, 1, 2), international=u(D, 3), pty=bits(u(D, 4), 3, 5), language=bits(u(D, 4), 0, 3) * 32 + bits(u(D, 5), 3, 5)).where("sid <> 0")
+    return rows(of(figs, 0, 16, 6), sid=u(D(), 1, 2), international=u(D(), 3), pty=bits(u(D(), 4), 3, 5), language=bits(u(D(), 4), 0, 3) * 32 + bits(u(D(), 5), 3, 5)).where("sid <> 0")
 
 
 def fig0_17(figs: DataFrame) -> DataFrame:
@@ -208,29 +217,29 @@ def fig0_17(figs: DataFrame) -> DataFrame:
 
 
 def fig0_18(figs: DataFrame) -> DataFrame:
-    n = lambda p: bits(u(D, p + 4), 3, 5)
+    n = lambda p: bits(u(D(), p + 4), 3, 5)
     f = walked(of(figs, 0, 18, 6), 5, lambda p: 5 + n(p))
-    clusters = F.when(n(P) > 0, F.filter(F.transform(F.sequence(F.lit(0), n(P).cast("int") - 1), lambda i: u(D, P + 5 + i)), lambda x: x.isNotNull() & (x != 0xFF))).otherwise(F.array().cast("array<bigint>"))
+    clusters = F.when(n(P()) > 0, F.filter(F.transform(F.sequence(F.lit(0), n(P()).cast("int") - 1), lambda i: u(D(), P() + 5 + i)), lambda x: x.isNotNull() & (x != 0xFF))).otherwise(F.array().cast("array<bigint>"))
     return rows(f, sid=b(0, 2), support=b(2, 2), types=flag_list(b(2, 2)), clusters=clusters)
 
 
 def fig0_19(figs: DataFrame) -> DataFrame:
-    region = lambda p: bits(u(D, p + 3), 6, 1)
-    f = walked(of(figs, 0, 19, 5), 4, lambda p: 4 + region(p)).where(P + 4 + region(P) <= F.octet_length("data"))
-    return rows(f, cluster=b(0), switching=b(1, 2), new=bits(b(3), 7, 1) == 1, region_id=F.when(region(P) == 1, bits(b(4), 0, 6)).otherwise(0), sub_channel_id=bits(b(3), 0, 6), alarm=bits(b(2), 0, 1) == 1)
+    region = lambda p: bits(u(D(), p + 3), 6, 1)
+    f = walked(of(figs, 0, 19, 5), 4, lambda p: 4 + region(p)).where(P() + 4 + region(P()) <= F.octet_length("data"))
+    return rows(f, cluster=b(0), switching=b(1, 2), new=bits(b(3), 7, 1) == 1, region_id=F.when(region(P()) == 1, bits(b(4), 0, 6)).otherwise(0), sub_channel_id=bits(b(3), 0, 6), alarm=bits(b(2), 0, 1) == 1)
 
 
 def fig0_20(figs: DataFrame) -> DataFrame:
-    f = of(figs, 0, 20, 6).where(u(D, 5) <= F.octet_length("data") - 6)
-    parts = F.when(u(D, 5) > 0, F.transform(F.sequence(F.lit(0), u(D, 5).cast("int") - 1), lambda i: u(D, 6 + i))).otherwise(F.array().cast("array<bigint>"))
-    return rows(f, sid=u(D, 1, 2), scid=bits(u(D, 3, 2), 4, 12), ca=bits(u(D, 3, 2), 3, 1) == 1, components=parts).where("sid <> 0")
+    f = of(figs, 0, 20, 6).where(u(D(), 5) <= F.octet_length("data") - 6)
+    parts = F.when(u(D(), 5) > 0, F.transform(F.sequence(F.lit(0), u(D(), 5).cast("int") - 1), lambda i: u(D(), 6 + i))).otherwise(F.array().cast("array<bigint>"))
+    return rows(f, sid=u(D(), 1, 2), scid=bits(u(D(), 3, 2), 4, 12), ca=bits(u(D(), 3, 2), 3, 1) == 1, components=parts).where("sid <> 0")
 
 
 def fig0_21(figs: DataFrame) -> DataFrame:
     """A row a frequency: regions, in them lists, in them carriers of 3, 1 or 2 bytes by kind. An empty list is a change indication (null)."""
-    f = walked(of(figs, 0, 21, 2), 2, lambda p: 2 + bits(u(D, p + 1), 0, 5))
-    f = f.withColumn("region_id", bits(b(0, 2), 5, 11)).withColumn("end", P + 2 + bits(b(1), 0, 5)).where(F.col("end") <= F.octet_length("data"))
-    f = f.withColumn("list", F.substring(D, P + 3, (F.col("end") - P - 2).cast("int")))
+    f = walked(of(figs, 0, 21, 2), 2, lambda p: 2 + bits(u(D(), p + 1), 0, 5))
+    f = f.withColumn("region_id", bits(b(0, 2), 5, 11)).withColumn("end", P() + 2 + bits(b(1), 0, 5)).where(F.col("end") <= F.octet_length("data"))
+    f = f.withColumn("list", F.substring(D(), P() + 3, (F.col("end") - P() - 2).cast("int")))
     li = F.col("list")
     f = f.withColumn("q", F.explode(walk(li, 0, 3, lambda q: 3 + bits(u(li, q + 2), 0, 3))))
     q = F.col("q")
@@ -246,22 +255,22 @@ def fig0_21(figs: DataFrame) -> DataFrame:
 
 def fig0_22(figs: DataFrame) -> DataFrame:
     """Transmitters: main ones with a position, sub ones with offsets (catalog.tii_sub_to_main places them)."""
-    sub = lambda p: bits(u(D, p), 7, 1) == 1
-    n = lambda p: bits(u(D, p + 1), 0, 3)
+    sub = lambda p: bits(u(D(), p), 7, 1) == 1
+    n = lambda p: bits(u(D(), p + 1), 0, 3)
     f = walked(of(figs, 0, 22, 2), 2, lambda p: F.when(sub(p), 2 + 6 * n(p)).otherwise(6))
-    f = f.withColumn("is_main", ~sub(P)).withColumn("main_id", bits(b(0), 0, 7)).where(F.col("is_main") & (P + 6 <= F.octet_length("data")) | ~F.col("is_main") & (n(P) > 0))
-    f = f.withColumn("s", F.explode(F.when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n(P).cast("int") - 1)))).withColumn("at", P + F.when(F.col("is_main"), 1).otherwise(2 + 6 * F.col("s")))
+    f = f.withColumn("is_main", ~sub(P())).withColumn("main_id", bits(b(0), 0, 7)).where(F.col("is_main") & (P() + 6 <= F.octet_length("data")) | ~F.col("is_main") & (n(P()) > 0))
+    f = f.withColumn("s", F.explode(F.when(F.col("is_main"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n(P()).cast("int") - 1)))).withColumn("at", P() + F.when(F.col("is_main"), 1).otherwise(2 + 6 * F.col("s")))
     f = f.where(F.col("is_main") | (F.col("at") + 6 <= F.octet_length("data")))
     at, main = F.col("at"), F.col("is_main")
-    lat, lon = signed(u(D, at, 2), 16) * 16 + bits(u(D, at + 4), 4, 4), signed(u(D, at + 2, 2), 16) * 16 + bits(u(D, at + 4), 0, 4)
+    lat, lon = signed(u(D(), at, 2), 16) * 16 + bits(u(D(), at + 4), 4, 4), signed(u(D(), at + 2, 2), 16) * 16 + bits(u(D(), at + 4), 0, 4)
     return rows(
-        f, is_main=main, main_id=F.col("main_id"), sub_id=F.when(~main, bits(u(D, at), 3, 5)), delay=F.when(~main, bits(u(D, at, 2), 0, 10)), pos=F.col("s"), latitude=F.when(main, lat * 90.0 / 524288.0), longitude=F.when(main, lon * 180.0 / 524288.0),
-        lat_offset=F.when(~main, signed(u(D, at + 2, 2), 16)), lon_offset=F.when(~main, signed(u(D, at + 4, 2), 16)),
+        f, is_main=main, main_id=F.col("main_id"), sub_id=F.when(~main, bits(u(D(), at), 3, 5)), delay=F.when(~main, bits(u(D(), at, 2), 0, 10)), pos=F.col("s"), latitude=F.when(main, lat * 90.0 / 524288.0), longitude=F.when(main, lon * 180.0 / 524288.0),
+        lat_offset=F.when(~main, signed(u(D(), at + 2, 2), 16)), lon_offset=F.when(~main, signed(u(D(), at + 4, 2), 16)),
     )
 
 
 def fig0_24(figs: DataFrame) -> DataFrame:
-    return rows(of(figs, 0, 24, 8), eid=u(D, 1, 2), sid=u(D, 3, 4), ca=bits(u(D, 7), 7, 1) == 1).where("eid <> 0 AND sid <> 0")
+    return rows(of(figs, 0, 24, 8), eid=u(D(), 1, 2), sid=u(D(), 3, 4), ca=bits(u(D(), 7), 7, 1) == 1).where("eid <> 0 AND sid <> 0")
 
 
 def fig0_25(figs: DataFrame) -> DataFrame:
@@ -274,50 +283,50 @@ def fig0_26(figs: DataFrame) -> DataFrame:
 
 def _label(f: DataFrame, at: Column | int, policy: str = "raw", **columns: Column) -> DataFrame:
     at = F.lit(at) if isinstance(at, int) else at
-    charset, data, mask = bits(u(D, 0), 4, 4), F.substring(D, at + 1, 16), u(D, at + 16, 2)
+    charset, data, mask = bits(u(D(), 0), 4, 4), F.substring(D(), at + 1, 16), u(D(), at + 16, 2)
     return rows(f, **columns, label=decode_label(charset, data, policy), short_label=F.when(mask.isNotNull(), short_label(charset, data, mask)), mask=F.coalesce(mask, F.lit(0)))
 
 
 def fig1_0(figs: DataFrame, policy: str = "raw") -> DataFrame:
-    return _label(of(figs, 1, 0, 19), 3, policy, eid=u(D, 1, 2))
+    return _label(of(figs, 1, 0, 19), 3, policy, eid=u(D(), 1, 2))
 
 
 def fig1_1(figs: DataFrame, policy: str = "raw") -> DataFrame:
     """A set top bit of the id makes it a 32-bit data service; the top bit of a 16-bit id is dropped."""
-    data = bits(u(D, 1), 7, 1) == 1
+    data = bits(u(D(), 1), 7, 1) == 1
     f = of(figs, 1, 1, 19).where(~data | (F.octet_length("data") >= 21))
-    return _label(f, F.when(data, 5).otherwise(3), policy, sid=F.when(data, u(D, 1, 4)).otherwise(bits(u(D, 1, 2), 0, 15)), is_programme=~data)
+    return _label(f, F.when(data, 5).otherwise(3), policy, sid=F.when(data, u(D(), 1, 4)).otherwise(bits(u(D(), 1, 2), 0, 15)), is_programme=~data)
 
 
 def fig1_2(figs: DataFrame, policy: str = "raw", ext: int = 2) -> DataFrame:
     """Component label; published with extension 4 as well."""
-    data = bits(u(D, 1), 0, 1) == 1
+    data = bits(u(D(), 1), 0, 1) == 1
     f = of(figs, 1, ext, 20).where(~data | (F.octet_length("data") >= 22))
-    return _label(f, F.when(data, 6).otherwise(4), policy, scids=bits(u(D, 1), 2, 6), sid=F.when(data, u(D, 2, 4)).otherwise(u(D, 2, 2)))
+    return _label(f, F.when(data, 6).otherwise(4), policy, scids=bits(u(D(), 1), 2, 6), sid=F.when(data, u(D(), 2, 4)).otherwise(u(D(), 2, 2)))
 
 
 def fig1_3(figs: DataFrame, policy: str = "raw", ext: int = 3) -> DataFrame:
     """Data service label; published with extension 5 as well."""
-    return _label(of(figs, 1, ext, 21), 5, policy, sid=u(D, 1, 4))
+    return _label(of(figs, 1, ext, 21), 5, policy, sid=u(D(), 1, 4))
 
 
 def fig1_6(figs: DataFrame, policy: str = "raw") -> DataFrame:
     """Label of an X-PAD application."""
-    pd = bits(u(D, 1), 7, 1) == 1
+    pd = bits(u(D(), 1), 7, 1) == 1
     f = of(figs, 1, 6, 20).where(~pd | (F.octet_length("data") >= 23))
-    return _label(f, F.when(pd, 7).otherwise(4), policy, app_type=bits(u(D, 2), 0, 5), scid=F.when(pd, u(D, 3, 4)).otherwise(bits(u(D, 1), 0, 4) * 256 + u(D, 3)))
+    return _label(f, F.when(pd, 7).otherwise(4), policy, app_type=bits(u(D(), 2), 0, 5), scid=F.when(pd, u(D(), 3, 4)).otherwise(bits(u(D(), 1), 0, 4) * 256 + u(D(), 3)))
 
 
 def fig2(figs: DataFrame) -> DataFrame:
     """Segments of extended labels: 2 to 6 bytes of id by extension, flags and text."""
-    top = bits(u(D, 1), 7, 1) == 1
-    ext = bits(u(D, 0), 0, 3)
+    top = bits(u(D(), 1), 7, 1) == 1
+    ext = bits(u(D(), 0), 0, 3)
     width = F.when(ext.isin(0, 1), 2).when(ext == 4, F.when(top, 5).otherwise(3)).when(ext == 5, 4).when(ext == 6, F.when(top, 6).otherwise(4))
     f = figs.where((F.col("fig_type") == 2) & (F.octet_length("data") >= 3)).withColumn("w", width).where("w IS NOT NULL").where(F.octet_length("data") > F.col("w"))
-    segment = bits(u(D, 0), 4, 3)
-    skip = F.when(segment == 0, F.when(bits(u(D, 0), 3, 1) == 0, 3).otherwise(1)).otherwise(0)
-    ids = F.conv(F.hex(F.substring(D, F.lit(2), F.col("w"))), 16, 10).cast("long")
-    return rows(f, ext=ext, toggle=bits(u(D, 0), 7, 1), segment=segment, id=ids, ucs2=F.coalesce((segment == 0) & (bits(u(D, F.col("w") + 1), 7, 1) == 1), F.lit(False)), part=F.substring(D, F.col("w") + 2 + skip, 32))
+    segment = bits(u(D(), 0), 4, 3)
+    skip = F.when(segment == 0, F.when(bits(u(D(), 0), 3, 1) == 0, 3).otherwise(1)).otherwise(0)
+    ids = F.conv(F.hex(F.substring(D(), F.lit(2), F.col("w"))), 16, 10).cast("long")
+    return rows(f, ext=ext, toggle=bits(u(D(), 0), 7, 1), segment=segment, id=ids, ucs2=F.coalesce((segment == 0) & (bits(u(D(), F.col("w") + 1), 7, 1) == 1), F.lit(False)), part=F.substring(D(), F.col("w") + 2 + skip, 32))
 
 
 def assemble_extended_labels(segments: DataFrame) -> DataFrame:

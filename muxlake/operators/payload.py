@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muxlake.functions.bits import bits, crc16_stored, fire_code, u, walk
 from muxlake.functions.text import bcd, mjd_timestamp
 
-D = F.col("payload")
+def D() -> Column:
+    return F.col("payload")
 
 
 def parse_data_groups(msc: DataFrame) -> DataFrame:
     """Header, session header and segment of each group, and why it is rejected (null: accepted)."""
-    b0, n = u(D, 0), F.octet_length("payload")
+    b0, n = u(D(), 0), F.octet_length("payload")
     ext = F.when(bits(b0, 7, 1) == 1, 2).otherwise(0)
     s = F.lit(2) + ext
-    tid = u(D, s + 2)
+    tid = u(D(), s + 2)
     seg = s + 3 + bits(tid, 0, 4)
-    size = bits(u(D, seg, 2), 0, 13)
-    crc_ok = crc16_stored(F.substring(D, F.lit(1), n - 2)) == u(D, n - 2, 2)
+    size = bits(u(D(), seg, 2), 0, 13)
+    crc_ok = crc16_stored(F.substring(D(), F.lit(1), n - 2)) == u(D(), n - 2, 2)
     out = msc.select(
-        "*", bits(b0, 0, 4).alias("group_type"), bits(u(D, 1), 4, 4).alias("continuity"), bits(u(D, s, 2), 0, 15).alias("seg_no"), (bits(u(D, s), 7, 1) == 1).alias("last"),
-        F.when(bits(tid, 4, 1) == 1, u(D, s + 3, 2)).alias("transport_id"), size.alias("seg_size"),
+        "*", bits(b0, 0, 4).alias("group_type"), bits(u(D(), 1), 4, 4).alias("continuity"), bits(u(D(), s, 2), 0, 15).alias("seg_no"), (bits(u(D(), s), 7, 1) == 1).alias("last"),
+        F.when(bits(tid, 4, 1) == 1, u(D(), s + 3, 2)).alias("transport_id"), size.alias("seg_size"),
         F.when(n < 9, "short").when((bits(b0, 6, 1) == 0) | (bits(b0, 5, 1) == 0) | (bits(b0, 4, 1) == 0), "flags").when(~bits(b0, 0, 4).isin(3, 4), "type").when(~bits(tid, 0, 4).isin(2, 4), "session")
         .when(~crc_ok, "crc").when(size != n - 2 - seg - 2, "size").alias("reject"),
     )
-    return out.withColumn("segment", F.when(F.col("reject").isNull(), F.substring(D, seg + 3, F.col("seg_size").cast("int"))))
+    return out.withColumn("segment", F.when(F.col("reject").isNull(), F.substring(D(), seg + 3, F.col("seg_size").cast("int"))))
 
 
 def assemble_mot(segments: DataFrame) -> DataFrame:
@@ -52,14 +53,14 @@ def mot_progress(segments: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def parse_mot_header(objects: DataFrame) -> DataFrame:
     """body_size, header_size, type, subtype and a map of parameters (hex) from the header bytes in payload."""
-    pli = lambda p: bits(u(D, p), 6, 2)
-    short = lambda p: bits(u(D, p + 1), 7, 1) == 0
+    pli = lambda p: bits(u(D(), p), 6, 2)
+    short = lambda p: bits(u(D(), p + 1), 7, 1) == 0
     head = lambda p: F.when(pli(p) == 3, F.when(short(p), 2).otherwise(3)).otherwise(1)
-    n = lambda p: F.when(pli(p) == 0, 0).when(pli(p) == 1, 1).when(pli(p) == 2, 4).when(short(p), bits(u(D, p + 1), 0, 7)).otherwise(bits(u(D, p + 1, 2), 0, 15))
-    params = F.transform(walk(D, 7, 1, lambda p: head(p) + n(p)), lambda p: F.struct(bits(u(D, p), 0, 6).cast("int").alias("k"), F.hex(F.substring(D, p + head(p) + 1, n(p).cast("int"))).alias("v")))
-    first = u(D, 0, 4)
+    n = lambda p: F.when(pli(p) == 0, 0).when(pli(p) == 1, 1).when(pli(p) == 2, 4).when(short(p), bits(u(D(), p + 1), 0, 7)).otherwise(bits(u(D(), p + 1, 2), 0, 15))
+    params = F.transform(walk(D(), 7, 1, lambda p: head(p) + n(p)), lambda p: F.struct(bits(u(D(), p), 0, 6).cast("int").alias("k"), F.hex(F.substring(D(), p + head(p) + 1, n(p).cast("int"))).alias("v")))
+    first = u(D(), 0, 4)
     return objects.where(F.octet_length("payload") >= 7).select(
-        *[c for c in objects.columns if c != "payload"], bits(first, 4, 28).alias("body_size"), (bits(first, 0, 4) * 512 + bits(u(D, 4, 2), 7, 9)).alias("header_size"), bits(u(D, 5), 1, 6).alias("content_type"), (bits(u(D, 5), 0, 1) * 256 + u(D, 6)).alias("content_subtype"),
+        *[c for c in objects.columns if c != "payload"], bits(first, 4, 28).alias("body_size"), (bits(first, 0, 4) * 512 + bits(u(D(), 4, 2), 7, 9)).alias("header_size"), bits(u(D(), 5), 1, 6).alias("content_type"), (bits(u(D(), 5), 0, 1) * 256 + u(D(), 6)).alias("content_subtype"),
         F.map_from_entries(F.array_distinct(F.aggregate(params, F.array().cast("array<struct<k:int,v:string>>"), lambda s, x: F.when(F.exists(s, lambda y: y["k"] == x["k"]), s).otherwise(F.array_append(s, x))))).alias("params"),
     )
 
@@ -71,7 +72,7 @@ def dls_tags(commands: DataFrame) -> DataFrame:
     """
     n = F.least(F.floor(F.octet_length("payload") / 4), F.lit(8)).cast("int")
     c = commands.where(n > 0).withColumn("p", F.explode(F.sequence(F.lit(0), (n - 1) * 4, F.lit(4))))
-    x = u(D, F.col("p"), 4)
+    x = u(D(), F.col("p"), 4)
     code = bits(F.col("x"), 26, 6)
     kind = F.when(code.between(1, 31), "item").when(code.between(32, 47), "info").when(code.between(48, 55), "programme").when(code.between(56, 59), "interactivity").when(code.between(60, 61), "station").when(code == 62, "programme_type").otherwise("reserved")
     start, length = bits(F.col("x"), 13, 6), bits(F.col("x"), 8, 5)
@@ -83,28 +84,28 @@ def dls_tags(commands: DataFrame) -> DataFrame:
 
 def epg_events(objects: DataFrame) -> DataFrame:
     """Events of a schedule: sid 32, mjd 16, n 16 bits; each id 16, mjd 16, bcd time 24, minutes 16, content 8, name and description by length. A truncated one ends the list."""
-    name = lambda p: u(D, p + 10)
-    more = lambda p: u(D, p + 11 + name(p), 2)
+    name = lambda p: u(D(), p + 10)
+    more = lambda p: u(D(), p + 11 + name(p), 2)
     size = lambda p: 13 + name(p) + more(p)
     o = objects.where(F.octet_length("payload") >= 8)
-    at = walk(D, 8, 13, size, lambda p: p + size(p) <= F.octet_length("payload"))
-    o = o.withColumn("p", F.explode(F.slice(at, F.lit(1), F.greatest(u(D, 6, 2), F.lit(1)).cast("int"))))
+    at = walk(D(), 8, 13, size, lambda p: p + size(p) <= F.octet_length("payload"))
+    o = o.withColumn("p", F.explode(F.slice(at, F.lit(1), F.greatest(u(D(), 6, 2), F.lit(1)).cast("int"))))
     p = F.col("p")
-    start = mjd_timestamp(u(D, p + 2, 2), bcd(u(D, p + 4), 23), bcd(u(D, p + 5), 59), bcd(u(D, p + 6), 59))
-    minutes = F.least(u(D, p + 7, 2), F.lit(1440))
+    start = mjd_timestamp(u(D(), p + 2, 2), bcd(u(D(), p + 4), 23), bcd(u(D(), p + 5), 59), bcd(u(D(), p + 6), 59))
+    minutes = F.least(u(D(), p + 7, 2), F.lit(1440))
     keep = [c for c in objects.columns if c != "payload"]
-    return o.select(*keep, u(D, 0, 4).alias("service_id"), u(D, p, 2).alias("event_id"), start.alias("start_time"), minutes.alias("minutes"), u(D, p + 9).alias("content"), F.decode(F.substring(D, p + 12, name(p).cast("int")), "UTF-8").alias("name"))
+    return o.select(*keep, u(D(), 0, 4).alias("service_id"), u(D(), p, 2).alias("event_id"), start.alias("start_time"), minutes.alias("minutes"), u(D(), p + 9).alias("content"), F.decode(F.substring(D(), p + 12, name(p).cast("int")), "UTF-8").alias("name"))
 
 
 def journaline_objects(objects: DataFrame) -> DataFrame:
     """id 16, category 8, mjd 16, bcd time 24, title and text by length, optional link."""
-    n, title = F.octet_length("payload"), u(D, 8)
-    body = u(D, 9 + title, 2)
+    n, title = F.octet_length("payload"), u(D(), 8)
+    body = u(D(), 9 + title, 2)
     end = 11 + title + body
     keep = [c for c in objects.columns if c != "payload"]
     return objects.where((n >= 11) & (end <= n)).select(
-        *keep, u(D, 0, 2).alias("object_id"), u(D, 2).alias("category"), mjd_timestamp(u(D, 3, 2), bcd(u(D, 5), 23), bcd(u(D, 6), 59), bcd(u(D, 7), 59)).alias("ts"),
-        F.decode(F.substring(D, F.lit(10), title.cast("int")), "UTF-8").alias("title"), F.decode(F.substring(D, (12 + title).cast("int"), body.cast("int")), "UTF-8").alias("text"), F.when((n >= end + 3) & (u(D, end) != 0), u(D, end + 1, 2)).alias("link_target"),
+        *keep, u(D(), 0, 2).alias("object_id"), u(D(), 2).alias("category"), mjd_timestamp(u(D(), 3, 2), bcd(u(D(), 5), 23), bcd(u(D(), 6), 59), bcd(u(D(), 7), 59)).alias("ts"),
+        F.decode(F.substring(D(), F.lit(10), title.cast("int")), "UTF-8").alias("title"), F.decode(F.substring(D(), (12 + title).cast("int"), body.cast("int")), "UTF-8").alias("text"), F.when((n >= end + 3) & (u(D(), end) != 0), u(D(), end + 1, 2)).alias("link_target"),
     )
 
 
@@ -120,12 +121,12 @@ def superframes(msc: DataFrame, index: int) -> DataFrame:
     msc: stream_id, sub_channel_id, frame_no, payload of one sub-channel frame.
     """
     w = Window.partitionBy("stream_id", "sub_channel_id").orderBy("frame_no")
-    five = F.concat(*[F.lead(D, i).over(w) if i else D for i in range(5)])
+    five = F.concat(*[F.lead(D(), i).over(w) if i else D() for i in range(5)])
     whole = F.lead("frame_no", 4).over(w) == F.col("frame_no") + 4
-    c = msc.select("stream_id", "sub_channel_id", "frame_no", five.alias("payload"), whole.alias("whole")).where("whole").where(fire_code(F.substring(D, 3, 9)) == u(D, 0, 2))
+    c = msc.select("stream_id", "sub_channel_id", "frame_no", five.alias("payload"), whole.alias("whole")).where("whole").where(fire_code(F.substring(D(), 3, 9)) == u(D(), 0, 2))
     near = F.col("frame_no") - F.lag("frame_no").over(w)
     c = c.withColumn("run", F.sum(F.when(near >= 5, 0).when(near.isNull(), 0).otherwise(1)).over(w)).withColumn("again", F.coalesce(near < 5, F.lit(False))).where("NOT again")
-    b2 = u(D, 2)
+    b2 = u(D(), 2)
     rate, sbr = bits(b2, 6, 1), bits(b2, 5, 1)
     aus = F.when((rate == 0) & (sbr == 1), 2).when((rate == 1) & (sbr == 1), 3).when((rate == 0) & (sbr == 0), 4).otherwise(6)
     return c.select("stream_id", "sub_channel_id", "frame_no", F.when(rate == 1, 48).otherwise(32).alias("rate_khz"), (sbr == 1).alias("sbr"), (bits(b2, 4, 1) == 1).alias("stereo"), (bits(b2, 3, 1) == 1).alias("ps"), aus.alias("aus"), F.lit(index * 8).alias("kbps"), "payload")
@@ -145,11 +146,11 @@ def tpeg_framing(msc: DataFrame) -> DataFrame:
 
 def read_af_packets(datagrams: DataFrame) -> DataFrame:
     """AF packets: sync, length 32, sequence 16, flags 16, payload, CRC-32; why one is rejected, or null."""
-    n, size = F.octet_length("payload"), u(D, 2, 4)
-    body = F.substring(D, F.lit(1), F.least(10 + size, n).cast("int"))
-    stored = u(D, 10 + size, 4)
-    out = datagrams.withColumn("reject", F.when(n < 14, "short").when(F.substring(D, 1, 2) != F.lit(bytearray(b"AF")), "sync").when(size > 65_536, "too_long").when(n < size + 14, "truncated").when(F.crc32(body) != stored, "crc"))
-    return out.withColumn("seq", F.when(F.col("reject").isNull(), u(D, 6, 2))).withColumn("content", F.when(F.col("reject").isNull(), F.substring(D, F.lit(11), size.cast("int"))))
+    n, size = F.octet_length("payload"), u(D(), 2, 4)
+    body = F.substring(D(), F.lit(1), F.least(10 + size, n).cast("int"))
+    stored = u(D(), 10 + size, 4)
+    out = datagrams.withColumn("reject", F.when(n < 14, "short").when(F.substring(D(), 1, 2) != F.lit(bytearray(b"AF")), "sync").when(size > 65_536, "too_long").when(n < size + 14, "truncated").when(F.crc32(body) != stored, "crc"))
+    return out.withColumn("seq", F.when(F.col("reject").isNull(), u(D(), 6, 2))).withColumn("content", F.when(F.col("reject").isNull(), F.substring(D(), F.lit(11), size.cast("int"))))
 
 
 def explode_tag_items(af: DataFrame, column: str = "content") -> DataFrame:
@@ -172,7 +173,7 @@ def reframe_stream(chunks: DataFrame, size: int) -> DataFrame:
     c = chunks.withColumn("begin", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).where(F.octet_length("payload") > 0).withColumn("end", F.col("begin") + F.octet_length("payload"))
     c = c.withColumn("frame_no", F.explode(F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("end") - 1) / size))))
     first, last = F.greatest(F.col("begin"), F.col("frame_no") * size), F.least(F.col("end"), (F.col("frame_no") + 1) * size)
-    part = F.hex(F.substring(D, (first - F.col("begin") + 1).cast("int"), (last - first).cast("int")))
+    part = F.hex(F.substring(D(), (first - F.col("begin") + 1).cast("int"), (last - first).cast("int")))
     parts = c.groupBy("stream_id", "frame_no").agg(F.array_sort(F.collect_list(F.struct("chunk_no", part.alias("h")))).alias("parts"))
     return parts.select("stream_id", "frame_no", F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), "")).alias("raw")).where(F.octet_length("raw") == size)
 

@@ -11,7 +11,14 @@ from muxlake.operators import rules as r
 from muxlake.plans import views as v
 from muxlake.plans.views import query, sql
 
-E, U = F.col("event_id"), F.col("user_id")
+def E():
+    return F.col("event_id")
+
+
+def U():
+    return F.col("user_id")
+
+
 QUOTED = {"a": t.EBU_FROM.replace("'", "''"), "b": t.EBU_TO.replace("'", "''")}
 
 
@@ -20,7 +27,7 @@ def docs(s, d):
 
 
 def stream_frames(s, d):
-    return v.table(s, d, "events").select(F.concat(F.lit("S"), U % 16).alias("stream_id"), E.alias("frame_no"), "*")
+    return v.table(s, d, "events").select(F.concat(F.lit("S"), U() % 16).alias("stream_id"), E().alias("frame_no"), "*")
 
 
 # Text
@@ -33,7 +40,7 @@ def c02(s, d):
 
 @query("c02_tis620_to_utf8", "SELECT event_id, chr((3585 + event_id % 91)::INT) || event_type AS label FROM events")
 def c02b(s, d):
-    data = F.concat(b.pack((161 + E % 91, 1)), F.col("event_type").cast("binary"))
+    data = F.concat(b.pack((161 + E() % 91, 1)), F.col("event_type").cast("binary"))
     return v.table(s, d, "events").select("event_id", t.tis620_to_utf8(data).alias("label"))
 
 
@@ -57,17 +64,17 @@ def c07(s, d):
 
 @query("c08_bcd", "SELECT event_id, CASE WHEN event_id % 256 // 16 > 9 OR event_id % 16 > 9 THEN 0 ELSE least(event_id % 256 // 16 * 10 + event_id % 16, 59) END AS n FROM events")
 def c08(s, d):
-    return v.table(s, d, "events").select("event_id", t.bcd(E % 256, 59).alias("n"))
+    return v.table(s, d, "events").select("event_id", t.bcd(E() % 256, 59).alias("n"))
 
 
 @query("c09_lto_minutes", "SELECT event_id, CASE WHEN h BETWEEN -24 AND 28 THEN h * 30 END AS minutes FROM (SELECT event_id, CASE WHEN event_id % 64 >= 32 THEN event_id % 64 - 64 ELSE event_id % 64 END AS h FROM events)")
 def c09(s, d):
-    return v.table(s, d, "events").select("event_id", t.lto_minutes(E % 64).alias("minutes"))
+    return v.table(s, d, "events").select("event_id", t.lto_minutes(E() % 64).alias("minutes"))
 
 
 @query("c11_now_playing", "SELECT event_id, CASE WHEN user_id % 3 > 0 AND event_id % 2 = 0 THEN event_type || ' - ' || props WHEN event_id % 2 = 0 THEN props WHEN user_id % 3 > 0 THEN event_type ELSE 'text' END AS playing FROM events")
 def c11(s, d):
-    tags = F.map_filter(F.create_map(F.lit("artist"), F.when(U % 3 > 0, F.col("event_type")), F.lit("title"), F.when(E % 2 == 0, F.col("props"))), lambda _, x: x.isNotNull())
+    tags = F.map_filter(F.create_map(F.lit("artist"), F.when(U() % 3 > 0, F.col("event_type")), F.lit("title"), F.when(E() % 2 == 0, F.col("props"))), lambda _, x: x.isNotNull())
     return v.table(s, d, "events").select("event_id", t.now_playing(tags, F.lit("text")).alias("playing"))
 
 
@@ -84,17 +91,17 @@ def c13(s, d):
 
 @query("c14_file_name", "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || lpad((event_id % 1000)::VARCHAR, 4, '0') AS name FROM events")
 def c14(s, d):
-    return v.table(s, d, "events").select("event_id", t.file_name(F.col("ts"), E % 1000).alias("name"))
+    return v.table(s, d, "events").select("event_id", t.file_name(F.col("ts"), E() % 1000).alias("name"))
 
 
 @query("c16_format_hex", "SELECT event_id, printf('0x%04X', event_id % 65536) AS hex16, printf('0x%08X', event_id) AS hex32, printf('%02X:%X:%03X', 224, (event_id % 65536) >> 12, event_id % 4096) AS parts FROM events")
 def c16(s, d):
-    return v.table(s, d, "events").select("event_id", t.format_hex(E % 65536).alias("hex16"), t.format_sid(E, F.lit(224), "hex32").alias("hex32"), t.format_sid(E % 65536, F.lit(224), "parts").alias("parts"))
+    return v.table(s, d, "events").select("event_id", t.format_hex(E() % 65536).alias("hex16"), t.format_sid(E(), F.lit(224), "hex32").alias("hex32"), t.format_sid(E() % 65536, F.lit(224), "parts").alias("parts"))
 
 
 @query("c17_flag_list", "SELECT event_id, array_to_string(list_filter(range(16), lambda i: (event_id >> i) & 1 = 1), ',') AS flags FROM events")
 def c17(s, d):
-    return v.table(s, d, "events").select("event_id", F.array_join(F.transform(b.flag_list(E), lambda x: x.cast("string")), ",").alias("flags"))
+    return v.table(s, d, "events").select("event_id", F.array_join(F.transform(b.flag_list(E()), lambda x: x.cast("string")), ",").alias("flags"))
 
 
 @query("c18_prohibited_terms", "SELECT doc_id, regexp_matches(lower(text), 'license|gpl') OR length(text) > 2000 AS prohibited FROM documents")
@@ -119,9 +126,9 @@ def c21(s, d):
 def groups(s, d):
     """A data group an event: flags, session header, a segment of the event's name; some with a broken CRC."""
     n = F.octet_length("event_type")
-    body = F.concat(b.pack((F.lit(0x74), 1), (E % 16 * 16, 1), (E % 32768, 2), (F.lit(0x12), 1), (U % 65536, 2), (n, 2)), F.col("event_type").cast("binary"))
+    body = F.concat(b.pack((F.lit(0x74), 1), (E() % 16 * 16, 1), (E() % 32768, 2), (F.lit(0x12), 1), (U() % 65536, 2), (n, 2)), F.col("event_type").cast("binary"))
     x = stream_frames(s, d).withColumn("body", body)
-    return x.select("stream_id", "frame_no", F.concat("body", b.pack((b.crc16_stored(F.col("body")).bitwiseXOR(F.when(E % 9 == 0, 1).otherwise(0).cast("long")), 2))).alias("payload"))
+    return x.select("stream_id", "frame_no", F.concat("body", b.pack((b.crc16_stored(F.col("body")).bitwiseXOR(F.when(E() % 9 == 0, 1).otherwise(0).cast("long")), 2))).alias("payload"))
 
 
 @query("k01_parse_data_groups", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, 4 AS group_type, event_id % 16 AS continuity, event_id % 32768 AS seg_no, false AS last, user_id % 65536 AS transport_id, CASE WHEN event_id % 9 = 0 THEN 'crc' END AS reject, CASE WHEN event_id % 9 <> 0 THEN event_type END AS segment FROM events")
@@ -148,30 +155,30 @@ def k05(s, d):
 
 @query("k03_parse_mot_header", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, event_id AS body_size, user_id % 8192 AS header_size, event_id % 64 AS content_type, user_id % 512 AS content_subtype, printf('%02X', event_id % 256) AS p5, hex(encode(event_type)) AS p12 FROM events")
 def k03(s, d):
-    core = E * (1 << 28) + U % 8192 * (1 << 15) + E % 64 * 512 + U % 512
-    data = F.concat(b.pack((core, 7), (F.lit(0x45), 1), (E % 256, 1), (F.lit(0xCC), 1), (F.octet_length("event_type"), 1)), F.col("event_type").cast("binary"))
+    core = E() * (1 << 28) + U() % 8192 * (1 << 15) + E() % 64 * 512 + U() % 512
+    data = F.concat(b.pack((core, 7), (F.lit(0x45), 1), (E() % 256, 1), (F.lit(0xCC), 1), (F.octet_length("event_type"), 1)), F.col("event_type").cast("binary"))
     out = k.parse_mot_header(stream_frames(s, d).select("stream_id", "frame_no", data.alias("payload")))
     return out.withColumns({"p5": F.col("params")[5], "p12": F.col("params")[12]}).drop("params")
 
 
 @query("k06_parse_dls", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, event_id % 64 AS code, CASE WHEN event_id % 64 BETWEEN 1 AND 31 THEN 'item' WHEN event_id % 64 BETWEEN 32 AND 47 THEN 'info' WHEN event_id % 64 BETWEEN 48 AND 55 THEN 'programme' WHEN event_id % 64 BETWEEN 56 AND 59 THEN 'interactivity' WHEN event_id % 64 BETWEEN 60 AND 61 THEN 'station' WHEN event_id % 64 = 62 THEN 'programme_type' ELSE 'reserved' END AS kind, substring(event_type, 2, 3) AS value FROM events")
 def k06(s, d):
-    x = stream_frames(s, d).select("stream_id", "frame_no", b.pack((E % 64 * (1 << 26) + (1 << 13) + 3 * (1 << 8), 4)).alias("payload"), F.col("event_type").alias("text"))
+    x = stream_frames(s, d).select("stream_id", "frame_no", b.pack((E() % 64 * (1 << 26) + (1 << 13) + 3 * (1 << 8), 4)).alias("payload"), F.col("event_type").alias("text"))
     return k.dls_tags(x)
 
 
 @query("k07_parse_epg", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, user_id AS service_id, (event_id * 2 + i) % 65536 AS event_id, TIMESTAMP '1858-11-17 00:00:00' + to_days((59000 + event_id % 1000)::INT) + to_hours(12) AS start_time, least(event_id % 3000, 1440) AS minutes, 7 AS content, event_type AS name FROM events, (SELECT unnest(range(2)) AS i)")
 def k07(s, d):
     n = F.octet_length("event_type")
-    event = lambda i: F.concat(b.pack(((E * 2 + i) % 65536, 2), (59000 + E % 1000, 2), (F.lit(0x120000), 3), (E % 3000, 2), (F.lit(7), 1), (n, 1)), F.col("event_type").cast("binary"), b.pack((F.lit(0), 2)))
-    data = F.concat(b.pack((U, 4), (F.lit(59000), 2), (F.lit(2), 2)), event(0), event(1))
+    event = lambda i: F.concat(b.pack(((E() * 2 + i) % 65536, 2), (59000 + E() % 1000, 2), (F.lit(0x120000), 3), (E() % 3000, 2), (F.lit(7), 1), (n, 1)), F.col("event_type").cast("binary"), b.pack((F.lit(0), 2)))
+    data = F.concat(b.pack((U(), 4), (F.lit(59000), 2), (F.lit(2), 2)), event(0), event(1))
     return k.epg_events(stream_frames(s, d).select("stream_id", "frame_no", data.alias("payload")))
 
 
 @query("k08_parse_journaline", "SELECT event_id % 65536 AS object_id, user_id % 8 AS category, TIMESTAMP '1858-11-17 06:30:00' + to_days((59000 + event_id % 100)::INT) AS ts, event_type AS title, props AS text, CASE WHEN event_id % 2 = 0 THEN user_id % 65536 END::VARCHAR AS link_target FROM events")
 def k08(s, d):
-    link = F.when(E % 2 == 0, b.pack((F.lit(1), 1), (U % 65536, 2))).otherwise(F.lit(bytearray()))
-    data = F.concat(b.pack((E % 65536, 2), (U % 8, 1), (59000 + E % 100, 2), (F.lit(0x063000), 3), (F.octet_length("event_type"), 1)), F.col("event_type").cast("binary"), b.pack((F.octet_length("props"), 2)), F.col("props").cast("binary"), link)
+    link = F.when(E() % 2 == 0, b.pack((F.lit(1), 1), (U() % 65536, 2))).otherwise(F.lit(bytearray()))
+    data = F.concat(b.pack((E() % 65536, 2), (U() % 8, 1), (59000 + E() % 100, 2), (F.lit(0x063000), 3), (F.octet_length("event_type"), 1)), F.col("event_type").cast("binary"), b.pack((F.octet_length("props"), 2)), F.col("props").cast("binary"), link)
     return k.journaline_objects(v.table(s, d, "events").select(data.alias("payload"))).withColumn("link_target", F.col("link_target").cast("string"))
 
 
@@ -209,7 +216,7 @@ def k15(s, d):
 
 @query("k16_tpeg_framing", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'sync' WHEN 1 THEN 'phase' ELSE 'unknown' END AS framing, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 2 END AS units FROM events")
 def k16(s, d):
-    data = F.unhex(F.when(E % 3 == 0, F.concat(F.lit("11" * 20 + "0A46"), F.repeat(F.lit("22"), 10))).when(E % 3 == 1, F.lit(("300113" + "44" * 21) * 4)).otherwise(F.lit("33" * 48)))
+    data = F.unhex(F.when(E() % 3 == 0, F.concat(F.lit("11" * 20 + "0A46"), F.repeat(F.lit("22"), 10))).when(E() % 3 == 1, F.lit(("300113" + "44" * 21) * 4)).otherwise(F.lit("33" * 48)))
     return k.tpeg_framing(v.table(s, d, "events").select("event_id", data.alias("payload")))
 
 
@@ -219,12 +226,12 @@ def k16(s, d):
 def datagrams(s, d):
     """An AF packet an event with two tags; some with a bad sync, cut short or with a bad check."""
     name = F.col("event_type").cast("binary")
-    content = F.concat(F.lit(bytearray(b"deti")), b.pack((F.lit(32), 4), (E, 4)), F.lit(bytearray(b"est1")), b.pack((F.octet_length("event_type") * 8, 4)), name)
+    content = F.concat(F.lit(bytearray(b"deti")), b.pack((F.lit(32), 4), (E(), 4)), F.lit(bytearray(b"est1")), b.pack((F.octet_length("event_type") * 8, 4)), name)
     x = stream_frames(s, d).withColumn("content", content)
-    head = F.concat(F.lit(bytearray(b"AF")), b.pack((F.octet_length("content"), 4), (E % 65536, 2), (F.lit(0x1040), 2)), F.col("content"))
+    head = F.concat(F.lit(bytearray(b"AF")), b.pack((F.octet_length("content"), 4), (E() % 65536, 2), (F.lit(0x1040), 2)), F.col("content"))
     x = x.withColumn("head", head)
-    whole = F.concat("head", b.pack((F.crc32("head") + F.when(E % 10 == 1, 1).otherwise(0), 4)))
-    return x.select("stream_id", "frame_no", F.when(E % 10 == 2, F.concat(F.lit(bytearray(b"XX")), whole)).when(E % 10 == 3, F.substring(whole, 1, 20)).otherwise(whole).alias("payload"))
+    whole = F.concat("head", b.pack((F.crc32("head") + F.when(E() % 10 == 1, 1).otherwise(0), 4)))
+    return x.select("stream_id", "frame_no", F.when(E() % 10 == 2, F.concat(F.lit(bytearray(b"XX")), whole)).when(E() % 10 == 3, F.substring(whole, 1, 20)).otherwise(whole).alias("payload"))
 
 
 GOOD = "event_id % 10 NOT IN (1, 2, 3)"

@@ -11,7 +11,14 @@ from muxlake.plans import views as v
 from muxlake.plans.views import query
 from muxlake.sources import frames as fr
 
-E, U = F.col("event_id"), F.col("user_id")
+def E():
+    return F.col("event_id")
+
+
+def U():
+    return F.col("user_id")
+
+
 BASE = "FROM (SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, event_id AS e, user_id AS u, event_type, value FROM events)"
 
 
@@ -65,7 +72,7 @@ def p08(s, d):
 
 @query("p09_crc16", """SELECT event_id, list_reduce(list_prepend(65535, list_transform(range(8), lambda k: (event_id >> ((7 - k) * 8)) & 255)), lambda c, b: list_reduce(list_prepend(xor(c::BIGINT, (b << 8)::BIGINT), range(8)), lambda r, k: CASE WHEN (r & 32768) <> 0 THEN xor((r << 1)::BIGINT, 4129::BIGINT) & 65535 ELSE (r << 1) & 65535 END)) AS crc FROM events""")
 def p09(s, d):
-    return v.table(s, d, "events").select("event_id", crc16(pack((E, 8))).alias("crc"))
+    return v.table(s, d, "events").select("event_id", crc16(pack((E(), 8))).alias("crc"))
 
 
 @query("p11_eoh_crc_check", f"SELECT stream_id, count(*) AS n, 0::BIGINT AS failures {BASE} GROUP BY 1")
@@ -130,12 +137,12 @@ def g31(s, d):
 def made(s, d, fig_type, ext, *parts):
     """FIG rows with one block an event, of (number, bytes) parts."""
     e = v.table(s, d, "events")
-    return e.select(F.concat(F.lit("S"), U % 16).alias("stream_id"), E.alias("frame_no"), F.lit(fig_type).alias("fig_type"), F.lit(ext).alias("ext"), pack(*[(F.lit(x) if isinstance(x, int) else x, n) for x, n in parts]).alias("data"))
+    return e.select(F.concat(F.lit("S"), U() % 16).alias("stream_id"), E().alias("frame_no"), F.lit(fig_type).alias("fig_type"), F.lit(ext).alias("ext"), pack(*[(F.lit(x) if isinstance(x, int) else x, n) for x, n in parts]).alias("data"))
 
 
-def decoder(name, sql, decode, fig_type, ext, *parts, post=None):
+def decoder(name, sql, decode, fig_type, ext, parts, post=None):
     def run(s, d):
-        out = decode(made(s, d, fig_type, ext, *parts))
+        out = decode(made(s, d, fig_type, ext, *parts()))
         return post(out) if post else out
 
     query(name, f"SELECT stream_id, frame_no, {sql} {BASE}")(run)
@@ -145,36 +152,36 @@ def text_of(column):
     return lambda df: df.withColumn(column, F.array_join(F.transform(column, lambda x: x.cast("string")), ","))
 
 
-decoder("g03_packet_mode", "e % 4096 AS scid, u % 64 AS dscty, e % 64 AS sub_channel_id, e % 1024 AS packet_address, false AS ca", g.fig0_3, 0, 3, (3, 1), (E % 4096 * 16, 2), (U % 64, 1), (E % 64 * 1024 + E % 1024, 2))
-decoder("g04_component_link", "u % 65536 AS sid, e % 64 AS sub_channel_id, e % 4 AS tmid, u % 64 AS asc_ty, false AS primary, false AS ca, e % 65536 AS scid", g.fig0_4, 0, 4, (4, 1), (U % 65536, 2), (E % 64 * 4 + E % 4, 1), (U % 64, 1), (E % 65536, 2))
-decoder("g05_language", "e % 64 AS sub_channel_id, e % 2 = 0 AS short_form, u % 128 AS language", g.fig0_5, 0, 5, (5, 1), (E % 64 * 4 + E % 2, 1), (U % 128, 1))
-decoder("g06_service_linking", "e % 4096 AS lsn, true AS active, false AS hard, false AS international, e % 4 AS id_qualifier, (u % 65536) || ',' || (e % 65536) AS ids", g.fig0_6, 0, 6, (6, 1), (F.floor(E % 4096 / 256) * 16 + 3, 1), (E % 256, 1), (F.lit(32) + E % 4 * 2, 1), (U % 65536, 2), (E % 65536, 2), post=text_of("ids"))
-decoder("g07_configuration", "u % 64 AS service_count, e % 1024 AS reconfigurations", g.fig0_7, 0, 7, (7, 1), (U % 64 * 1024 + E % 1024, 2))
-decoder("g08_global_definition", "u % 65536 AS sid, e % 16 AS scids, false AS long_form, NULL::BIGINT AS scid, u % 64 AS sub_channel_id", g.fig0_8, 0, 8, (8, 1), (U % 65536, 2), (E % 16 * 16, 1), (U % 64 * 4, 1))
-decoder("g09_country_lto", "false AS extended, (CASE WHEN e % 64 >= 32 THEN e % 64 - 64 ELSE e % 64 END) AS half, 224 + u % 4 AS ecc, 1 AS table_id", lambda f: g.fig0_9(f), 0, 9, (9, 1), (E % 64, 1), (224 + U % 4, 1), (1, 1), post=lambda x: x.withColumn("half", F.when(F.col("frame_no") % 64 >= 32, F.col("frame_no") % 64 - 64).otherwise(F.col("frame_no") % 64)).where(F.col("lto_minutes").isNull() | (F.col("lto_minutes") == F.col("half") * 30)).drop("lto_minutes"))
-decoder("g10_date_time", "59000 + e % 1000 AS mjd, true AS utc, false AS lsi, true AS confidence, e % 24 AS hour, u % 60 AS minute, e % 60 AS second, e % 1000 AS ms, TIMESTAMP '1858-11-17 00:00:00' + to_days((59000 + e % 1000)::INT) + to_seconds((e % 24) * 3600 + (u % 60) * 60 + e % 60) + to_milliseconds(e % 1000) AS at", g.fig0_10, 0, 10, (10, 1), (F.floor((59000 + E % 1000) / 1024) * (1 << 25) + (59000 + E % 1000) % 1024 * 16384 + (0x10 | 0x08) * 256 + F.floor(E % 24 / 4) * 256 + E % 4 * 64 + U % 60, 4), (F.floor(E % 1000 / 256) * 64 + E % 60, 1), (E % 1000 % 256, 1))
-decoder("g11_region", "u % 64 AS region_id, false AS whole_ensemble, NULL::BIGINT AS eid, e % 64 AS sub_channel_id", g.fig0_11, 0, 11, (11, 1), (U % 64, 1), (E % 64, 1))
-decoder("g12_transport_stream", "1 + u AS sid, true AS msc, e % 64 AS sub_channel_id, 1 + e % 60000 AS frame_size", g.fig0_12, 0, 12, (12, 1), (1 + U, 4), (128 + E % 64 * 2, 1), (1 + E % 60000, 2))
-decoder("g13_user_application", "u % 65536 AS sid, e % 16 AS scids, e % 2048 AS app_type, 2 AS length, printf('%04X', e % 65536) AS app_data", g.fig0_13, 0, 13, (13, 1), (U % 65536, 2), (E % 16 * 16 + 1, 1), (F.floor(E % 2048 / 8), 1), (E % 8 + 16, 1), (E % 65536, 2), post=lambda x: x.withColumn("app_data", F.hex("app_data")))
-decoder("g14_fec", "e % 64 AS sub_channel_id, u % 4 AS fec", g.fig0_14, 0, 14, (14, 1), (E % 64 * 4 + U % 4, 1))
-decoder("g15_programme_number", "1 + u % 32767 AS sid, 1 + e % 65535 AS number, true AS continuation, false AS \"update\"", g.fig0_15, 0, 15, (15, 1), (1 + U % 32767, 2), (1 + E % 65535, 2), (128, 1))
-decoder("g16_international_pty", "1 + u % 65535 AS sid, e % 256 AS international, e % 32 AS pty, u % 256 AS language", g.fig0_16, 0, 16, (16, 1), (1 + U % 65535, 2), (E % 256, 1), (E % 32 * 8 + F.floor(U % 256 / 32), 1), (U % 32 * 8, 1))
-decoder("g17_programme_type", "u % 65536 AS sid, e % 2 = 0 AS static, e % 32 AS pty", g.fig0_17, 0, 17, (17, 1), (U % 65536, 2), (E % 2, 1), (E % 32 * 8, 1))
-decoder("g18_announcement_support", "u % 65536 AS sid, e % 65536 AS support, array_to_string(list_filter(range(16), lambda i: (e >> i) & 1 = 1), ',') AS types, (u % 255) || ',' || (e % 255) AS clusters", g.fig0_18, 0, 18, (18, 1), (U % 65536, 2), (E % 65536, 2), (16, 1), (U % 255, 1), (E % 255, 1), post=lambda x: text_of("types")(text_of("clusters")(x)))
-decoder("g19_announcement_switching", "u % 256 AS cluster, e % 65536 AS switching, e % 2 = 0 AS new, e % 64 AS region_id, u % 64 AS sub_channel_id, e % 2 = 1 AS alarm", g.fig0_19, 0, 19, (19, 1), (U % 256, 1), (E % 65536, 2), (F.when(E % 2 == 0, 128).otherwise(0) + 64 + U % 64, 1), (E % 64, 1))
-decoder("g20_component_info", "1 + u % 65535 AS sid, e % 4096 AS scid, true AS ca, (u % 256) || ',' || (e % 256) AS components", g.fig0_20, 0, 20, (20, 1), (1 + U % 65535, 2), (E % 4096 * 16 + 8, 2), (2, 1), (U % 256, 1), (E % 256, 1), post=text_of("components"))
-decoder("g21_frequency_info", "u % 2048 AS region_id, e % 65536 AS id_field, 8 AS kind, 87500 + 100 * (e % 200) AS freq_khz", g.fig0_21, 0, 21, (21, 1), (U % 2048 * 32 + 4, 2), (E % 65536, 2), (0x81, 1), (E % 200, 1))
-decoder("g22_transmitter_geo", "u % 128 AS main_id, round(((CASE WHEN e % 65536 >= 32768 THEN e % 65536 - 65536 ELSE e % 65536 END) * 16 + 3) * 90.0 / 524288.0, 6) AS latitude, round(((u % 32768) * 16 + 5) * 180.0 / 524288.0, 6) AS longitude", g.fig0_22, 0, 22, (22, 1), (U % 128, 1), (E % 65536, 2), (U % 32768, 2), (0x35, 1), post=lambda x: x.select("stream_id", "frame_no", "main_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude")))
-decoder("g24_other_services", "1 + u % 65535 AS eid, 1 + e AS sid, true AS ca", g.fig0_24, 0, 24, (24, 1), (1 + U % 65535, 2), (1 + E, 4), (128, 1))
-decoder("g25_other_announcements", "e AS sid, u % 65536 AS eid, e % 65536 AS support", g.fig0_25, 0, 25, (25, 1), (E, 4), (U % 65536, 2), (E % 65536, 2))
-decoder("g26_other_frequencies", "u % 65536 AS eid, e % 64 AS region_id, 174000 + e AS freq_khz", g.fig0_26, 0, 26, (26, 1), (U % 65536, 2), (E % 64, 1), (174000 + E, 4))
+decoder("g03_packet_mode", "e % 4096 AS scid, u % 64 AS dscty, e % 64 AS sub_channel_id, e % 1024 AS packet_address, false AS ca", g.fig0_3, 0, 3, lambda: ((3, 1), (E() % 4096 * 16, 2), (U() % 64, 1), (E() % 64 * 1024 + E() % 1024, 2),))
+decoder("g04_component_link", "u % 65536 AS sid, e % 64 AS sub_channel_id, e % 4 AS tmid, u % 64 AS asc_ty, false AS primary, false AS ca, e % 65536 AS scid", g.fig0_4, 0, 4, lambda: ((4, 1), (U() % 65536, 2), (E() % 64 * 4 + E() % 4, 1), (U() % 64, 1), (E() % 65536, 2),))
+decoder("g05_language", "e % 64 AS sub_channel_id, e % 2 = 0 AS short_form, u % 128 AS language", g.fig0_5, 0, 5, lambda: ((5, 1), (E() % 64 * 4 + E() % 2, 1), (U() % 128, 1),))
+decoder("g06_service_linking", "e % 4096 AS lsn, true AS active, false AS hard, false AS international, e % 4 AS id_qualifier, (u % 65536) || ',' || (e % 65536) AS ids", g.fig0_6, 0, 6, lambda: ((6, 1), (F.floor(E() % 4096 / 256) * 16 + 3, 1), (E() % 256, 1), (F.lit(32) + E() % 4 * 2, 1), (U() % 65536, 2), (E() % 65536, 2),), post=text_of("ids"))
+decoder("g07_configuration", "u % 64 AS service_count, e % 1024 AS reconfigurations", g.fig0_7, 0, 7, lambda: ((7, 1), (U() % 64 * 1024 + E() % 1024, 2),))
+decoder("g08_global_definition", "u % 65536 AS sid, e % 16 AS scids, false AS long_form, NULL::BIGINT AS scid, u % 64 AS sub_channel_id", g.fig0_8, 0, 8, lambda: ((8, 1), (U() % 65536, 2), (E() % 16 * 16, 1), (U() % 64 * 4, 1),))
+decoder("g09_country_lto", "false AS extended, (CASE WHEN e % 64 >= 32 THEN e % 64 - 64 ELSE e % 64 END) AS half, 224 + u % 4 AS ecc, 1 AS table_id", lambda f: g.fig0_9(f), 0, 9, lambda: ((9, 1), (E() % 64, 1), (224 + U() % 4, 1), (1, 1),), post=lambda x: x.withColumn("half", F.when(F.col("frame_no") % 64 >= 32, F.col("frame_no") % 64 - 64).otherwise(F.col("frame_no") % 64)).where(F.col("lto_minutes").isNull() | (F.col("lto_minutes") == F.col("half") * 30)).drop("lto_minutes"))
+decoder("g10_date_time", "59000 + e % 1000 AS mjd, true AS utc, false AS lsi, true AS confidence, e % 24 AS hour, u % 60 AS minute, e % 60 AS second, e % 1000 AS ms, TIMESTAMP '1858-11-17 00:00:00' + to_days((59000 + e % 1000)::INT) + to_seconds((e % 24) * 3600 + (u % 60) * 60 + e % 60) + to_milliseconds(e % 1000) AS at", g.fig0_10, 0, 10, lambda: ((10, 1), (F.floor((59000 + E() % 1000) / 1024) * (1 << 25) + (59000 + E() % 1000) % 1024 * 16384 + (0x10 | 0x08) * 256 + F.floor(E() % 24 / 4) * 256 + E() % 4 * 64 + U() % 60, 4), (F.floor(E() % 1000 / 256) * 64 + E() % 60, 1), (E() % 1000 % 256, 1),))
+decoder("g11_region", "u % 64 AS region_id, false AS whole_ensemble, NULL::BIGINT AS eid, e % 64 AS sub_channel_id", g.fig0_11, 0, 11, lambda: ((11, 1), (U() % 64, 1), (E() % 64, 1),))
+decoder("g12_transport_stream", "1 + u AS sid, true AS msc, e % 64 AS sub_channel_id, 1 + e % 60000 AS frame_size", g.fig0_12, 0, 12, lambda: ((12, 1), (1 + U(), 4), (128 + E() % 64 * 2, 1), (1 + E() % 60000, 2),))
+decoder("g13_user_application", "u % 65536 AS sid, e % 16 AS scids, e % 2048 AS app_type, 2 AS length, printf('%04X', e % 65536) AS app_data", g.fig0_13, 0, 13, lambda: ((13, 1), (U() % 65536, 2), (E() % 16 * 16 + 1, 1), (F.floor(E() % 2048 / 8), 1), (E() % 8 + 16, 1), (E() % 65536, 2),), post=lambda x: x.withColumn("app_data", F.hex("app_data")))
+decoder("g14_fec", "e % 64 AS sub_channel_id, u % 4 AS fec", g.fig0_14, 0, 14, lambda: ((14, 1), (E() % 64 * 4 + U() % 4, 1),))
+decoder("g15_programme_number", "1 + u % 32767 AS sid, 1 + e % 65535 AS number, true AS continuation, false AS \"update\"", g.fig0_15, 0, 15, lambda: ((15, 1), (1 + U() % 32767, 2), (1 + E() % 65535, 2), (128, 1),))
+decoder("g16_international_pty", "1 + u % 65535 AS sid, e % 256 AS international, e % 32 AS pty, u % 256 AS language", g.fig0_16, 0, 16, lambda: ((16, 1), (1 + U() % 65535, 2), (E() % 256, 1), (E() % 32 * 8 + F.floor(U() % 256 / 32), 1), (U() % 32 * 8, 1),))
+decoder("g17_programme_type", "u % 65536 AS sid, e % 2 = 0 AS static, e % 32 AS pty", g.fig0_17, 0, 17, lambda: ((17, 1), (U() % 65536, 2), (E() % 2, 1), (E() % 32 * 8, 1),))
+decoder("g18_announcement_support", "u % 65536 AS sid, e % 65536 AS support, array_to_string(list_filter(range(16), lambda i: (e >> i) & 1 = 1), ',') AS types, (u % 255) || ',' || (e % 255) AS clusters", g.fig0_18, 0, 18, lambda: ((18, 1), (U() % 65536, 2), (E() % 65536, 2), (16, 1), (U() % 255, 1), (E() % 255, 1),), post=lambda x: text_of("types")(text_of("clusters")(x)))
+decoder("g19_announcement_switching", "u % 256 AS cluster, e % 65536 AS switching, e % 2 = 0 AS new, e % 64 AS region_id, u % 64 AS sub_channel_id, e % 2 = 1 AS alarm", g.fig0_19, 0, 19, lambda: ((19, 1), (U() % 256, 1), (E() % 65536, 2), (F.when(E() % 2 == 0, 128).otherwise(0) + 64 + U() % 64, 1), (E() % 64, 1),))
+decoder("g20_component_info", "1 + u % 65535 AS sid, e % 4096 AS scid, true AS ca, (u % 256) || ',' || (e % 256) AS components", g.fig0_20, 0, 20, lambda: ((20, 1), (1 + U() % 65535, 2), (E() % 4096 * 16 + 8, 2), (2, 1), (U() % 256, 1), (E() % 256, 1),), post=text_of("components"))
+decoder("g21_frequency_info", "u % 2048 AS region_id, e % 65536 AS id_field, 8 AS kind, 87500 + 100 * (e % 200) AS freq_khz", g.fig0_21, 0, 21, lambda: ((21, 1), (U() % 2048 * 32 + 4, 2), (E() % 65536, 2), (0x81, 1), (E() % 200, 1),))
+decoder("g22_transmitter_geo", "u % 128 AS main_id, round(((CASE WHEN e % 65536 >= 32768 THEN e % 65536 - 65536 ELSE e % 65536 END) * 16 + 3) * 90.0 / 524288.0, 6) AS latitude, round(((u % 32768) * 16 + 5) * 180.0 / 524288.0, 6) AS longitude", g.fig0_22, 0, 22, lambda: ((22, 1), (U() % 128, 1), (E() % 65536, 2), (U() % 32768, 2), (0x35, 1),), post=lambda x: x.select("stream_id", "frame_no", "main_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude")))
+decoder("g24_other_services", "1 + u % 65535 AS eid, 1 + e AS sid, true AS ca", g.fig0_24, 0, 24, lambda: ((24, 1), (1 + U() % 65535, 2), (1 + E(), 4), (128, 1),))
+decoder("g25_other_announcements", "e AS sid, u % 65536 AS eid, e % 65536 AS support", g.fig0_25, 0, 25, lambda: ((25, 1), (E(), 4), (U() % 65536, 2), (E() % 65536, 2),))
+decoder("g26_other_frequencies", "u % 65536 AS eid, e % 64 AS region_id, 174000 + e AS freq_khz", g.fig0_26, 0, 26, lambda: ((26, 1), (U() % 65536, 2), (E() % 64, 1), (174000 + E(), 4),))
 
 
 def labelled(s, d, ext, *head):
     """Label FIGs: extension byte and ids, 16 characters of the event's name, a mask."""
     e = v.table(s, d, "events")
     data = F.concat(pack((F.lit(ext), 1), *[(F.lit(x) if isinstance(x, int) else x, n) for x, n in head]), F.rpad(F.upper("event_type"), 16, " ").cast("binary"), F.lit(bytearray(b"\xf0\x00")))
-    return e.select(F.concat(F.lit("S"), U % 16).alias("stream_id"), E.alias("frame_no"), F.lit(1).alias("fig_type"), F.lit(ext).alias("ext"), data.alias("data"))
+    return e.select(F.concat(F.lit("S"), U() % 16).alias("stream_id"), E().alias("frame_no"), F.lit(1).alias("fig_type"), F.lit(ext).alias("ext"), data.alias("data"))
 
 
 LABEL = "upper(event_type) AS label, substring(upper(event_type), 1, 4) AS short_label, 61440 AS mask"
@@ -182,40 +189,40 @@ LABEL = "upper(event_type) AS label, substring(upper(event_type), 1, 4) AS short
 
 @query("g30_ensemble_label", f"SELECT stream_id, frame_no, 4096 + u % 8 AS eid, {LABEL} {BASE}")
 def g30(s, d):
-    return g.fig1_0(labelled(s, d, 0, (4096 + U % 8, 2)))
+    return g.fig1_0(labelled(s, d, 0, (4096 + U() % 8, 2)))
 
 
 @query("g32_component_label", f"SELECT stream_id, frame_no, e % 16 AS scids, u % 65536 AS sid, {LABEL} {BASE}")
 def g32(s, d):
-    return g.fig1_2(labelled(s, d, 2, (E % 16 * 4, 1), (U % 65536, 2)))
+    return g.fig1_2(labelled(s, d, 2, (E() % 16 * 4, 1), (U() % 65536, 2)))
 
 
 @query("g33_data_service_label", f"SELECT stream_id, frame_no, 4026531840 + e AS sid, {LABEL} {BASE}")
 def g33(s, d):
-    return g.fig1_3(labelled(s, d, 3, (4026531840 + E, 4)))
+    return g.fig1_3(labelled(s, d, 3, (4026531840 + E(), 4)))
 
 
 @query("g34_component_label_4", f"SELECT stream_id, frame_no, e % 16 AS scids, u % 65536 AS sid, {LABEL} {BASE}")
 def g34(s, d):
-    return g.fig1_2(labelled(s, d, 4, (E % 16 * 4, 1), (U % 65536, 2)), ext=4)
+    return g.fig1_2(labelled(s, d, 4, (E() % 16 * 4, 1), (U() % 65536, 2)), ext=4)
 
 
 @query("g35_data_service_label_5", f"SELECT stream_id, frame_no, 4026531840 + e AS sid, {LABEL} {BASE}")
 def g35(s, d):
-    return g.fig1_3(labelled(s, d, 5, (4026531840 + E, 4)), ext=5)
+    return g.fig1_3(labelled(s, d, 5, (4026531840 + E(), 4)), ext=5)
 
 
 @query("g36_xpad_label", f"SELECT stream_id, frame_no, e % 32 AS app_type, (e % 16) * 256 + u % 256 AS scid, {LABEL} {BASE}")
 def g36(s, d):
-    return g.fig1_6(labelled(s, d, 6, (E % 16, 1), (E % 32, 1), (U % 256, 1)))
+    return g.fig1_6(labelled(s, d, 6, (E() % 16, 1), (E() % 32, 1), (U() % 256, 1)))
 
 
 def segments(s, d):
     """Two segments of an extended label an event: the first with flags."""
     e = v.table(s, d, "events")
-    head = lambda k: pack((F.lit(k * 16 + (8 if k == 0 else 0) + 1), 1), (U % 65536, 2))
+    head = lambda k: pack((F.lit(k * 16 + (8 if k == 0 else 0) + 1), 1), (U() % 65536, 2))
     row = lambda k, text: F.struct(F.concat(head(k), F.lit(bytearray(b"\x10")) if k == 0 else F.lit(bytearray()), text.cast("binary")).alias("data"))
-    both = e.select(F.concat(F.lit("S"), U % 16).alias("stream_id"), E.alias("frame_no"), F.explode(F.array(row(0, F.substring("event_type", 1, 3)), row(1, F.substring("event_type", 4, 9)))).alias("x"))
+    both = e.select(F.concat(F.lit("S"), U() % 16).alias("stream_id"), E().alias("frame_no"), F.explode(F.array(row(0, F.substring("event_type", 1, 3)), row(1, F.substring("event_type", 4, 9)))).alias("x"))
     return both.select("stream_id", "frame_no", F.lit(2).alias("fig_type"), F.lit(1).alias("ext"), "x.data")
 
 
@@ -231,5 +238,5 @@ def g41(s, d):
 
 @query("g42_registered_range", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, user_id % 8 AS fig_type, length(event_type) AS ext FROM events WHERE NOT (user_id % 8 = 0 OR (user_id % 8 IN (1, 2) AND length(event_type) <= 7))")
 def g42(s, d):
-    e = v.table(s, d, "events").select(F.concat(F.lit("S"), U % 16).alias("stream_id"), E.alias("frame_no"), (U % 8).cast("int").alias("fig_type"), F.length("event_type").alias("ext"))
+    e = v.table(s, d, "events").select(F.concat(F.lit("S"), U() % 16).alias("stream_id"), E().alias("frame_no"), (U() % 8).cast("int").alias("fig_type"), F.length("event_type").alias("ext"))
     return g.out_of_range(e)

@@ -310,3 +310,9 @@ def compliance_verdict(streams: DataFrame, strict: bool = False) -> DataFrame:
     }
     reasons = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]))
     return streams.select("stream_id", (F.size(reasons) == 0).alias("compliant"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def custom_metrics(rows: DataFrame, metrics: dict[str, Column], keys: list[str]) -> DataFrame:
+    """A row a key and metric: any aggregate column under its name, from one scan."""
+    wide = rows.groupBy(*keys).agg(*[F.round(c, 6).alias(k) for k, c in metrics.items()])
+    return wide.select(*keys, F.explode(F.create_map(*[x for k in metrics for x in (F.lit(k), F.col(k))])).alias("metric", "value"))

@@ -283,3 +283,10 @@ def failover(health: DataFrame, recovery: int = 3, order: str = "frame_no") -> D
     h = health.withColumn("on_backup", on_backup)
     switched = (F.col("on_backup") & ~F.coalesce(F.lag("on_backup").over(w), F.lit(False))).cast("int")
     return h.withColumn("switched", switched).withColumn("failovers", F.sum("switched").over(w)).drop("switched")
+
+
+def rising(rows: DataFrame, condition: Column, keys: list[str], order: str) -> DataFrame:
+    """Rows in which the condition holds and didn't in the row before: when an alert is raised."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    r = rows.withColumn("_on", F.coalesce(condition, F.lit(False)))
+    return r.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on AND NOT _was").drop("_on", "_was")

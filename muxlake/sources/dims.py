@@ -26,6 +26,40 @@ UEP_LEVEL = [
 ]
 
 
+# Countries by extended country code; every country id up to 15 of a code is the same country.
+COUNTRIES = [
+    (0xE1, "Germany", "DE"), (0xE2, "France", "FR"), (0xE3, "United Kingdom", "GB"), (0xE4, "Italy", "IT"), (0xE5, "Spain", "ES"), (0xE6, "Belgium", "BE"), (0xE7, "Netherlands", "NL"), (0xE8, "Switzerland", "CH"),
+    (0xE9, "Austria", "AT"), (0xEA, "Denmark", "DK"), (0xEB, "Norway", "NO"), (0xEC, "Sweden", "SE"), (0xED, "Poland", "PL"), (0xEE, "Czech Republic", "CZ"), (0xF3, "Thailand", "TH"),
+]
+# Languages from code 0 on, with their ISO 639-2 codes.
+LANGUAGES = (
+    "Unknown und, Albanian alb, Breton bre, Catalan cat, Croatian hrv, Welsh wel, Czech cze, Danish dan, Dutch dut, English eng, Finnish fin, Flemish dut, French fre, Frisian fry, Gaelic gla, German ger, "
+    "Greek gre, Hungarian hun, Icelandic ice, Irish gle, Italian ita, Lappish smi, Latin lat, Latvian lav, Luxembourgian ltz, Lithuanian lit, Macedonian mac, Maltese mlt, Norwegian nor, Occitan oci, Polish pol, Portuguese por, "
+    "Romanian rum, Romansh roh, Serbian srp, Slovak slo, Slovene slv, Spanish spa, Swedish swe, Turkish tur, Flemish dut, Walloon wln, Amharic amh, Thai tha, Bengali ben, Burmese bur, Chinese chi, Sinhalese sin, "
+    "Hindi hin, Japanese jpn, Korean kor, Malay may, Vietnamese vie, Uzbek uzb, Kazakh kaz, Tajik tgk, Bulgarian bul, Moldavian mol, Russian rus, Ukrainian ukr, Zulu zul"
+)
+BACKGROUND_SOUND = 0x7F
+# Programme types 0 to 31 with their group.
+PROGRAMME_TYPES = [
+    ("No programme type", "None"), ("News", "Information"), ("Current Affairs", "Information"), ("Information", "Information"), ("Sport", "Entertainment"), ("Education", "Information"), ("Drama", "Entertainment"), ("Culture", "Entertainment"),
+    ("Science", "Information"), ("Varied", "Entertainment"), ("Pop Music", "Music"), ("Rock Music", "Music"), ("Easy Listening", "Music"), ("Light Classical", "Music"), ("Serious Classical", "Music"), ("Other Music", "Music"),
+    ("Weather", "Information"), ("Finance", "Information"), ("Children's programmes", "Entertainment"), ("Social Affairs", "Information"), ("Religion", "Information"), ("Phone In", "Entertainment"), ("Travel", "Information"), ("Leisure", "Entertainment"),
+    ("Jazz Music", "Music"), ("Country Music", "Music"), ("National Music", "Music"), ("Oldies Music", "Music"), ("Folk Music", "Music"), ("Documentary", "Information"), ("Alarm Test", "Other"), ("Alarm", "Other"),
+]
+
+
+def country_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(COUNTRIES, "ecc int, country string, iso string")
+
+
+def language_table(spark: SparkSession) -> DataFrame:
+    rows = [(i, *x.rsplit(" ", 1)) for i, x in enumerate(LANGUAGES.split(", "))] + [(BACKGROUND_SOUND, "Background Sound", "zxx")]
+    return spark.createDataFrame(rows, "language int, language_name string, iso_639 string")
+
+
+def programme_type_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(PROGRAMME_TYPES)], "pty int, pty_name string, pty_group string")
+
 def protection_table(spark: SparkSession) -> DataFrame:
     """(uep, option, code, protection, table_cu): code is the level for equal, the index for unequal protection."""
     rows = [(False, o, k + 1, f"EEP-{'AB'[o]}", cu) for o, sizes in enumerate((EEP_A_CU, EEP_B_CU)) for k, cu in enumerate(sizes)]

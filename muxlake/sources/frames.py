@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muxlake.functions.bits import bits, crc16_stored, u
+from muxlake.functions.times import micros
 
 FRAME_BYTES, FRAME_MS = 6144, 24
 # Sync words that a capture's frames may begin with.
@@ -109,6 +110,16 @@ def slice_msc(headers: DataFrame, stc: DataFrame) -> DataFrame:
     return m.select("stream_id", "frame_no", "sub_channel_id", F.substring("raw", (F.col("begin") + F.col("before") + 1).cast("int"), F.col("n")).alias("payload"))
 
 
+def slice_msc_by_address(stc: DataFrame) -> DataFrame:
+    """Payload at 8 bytes a unit of the start address, clipped to the frame. stc has raw."""
+    return stc.select("stream_id", "frame_no", "sub_channel_id", F.substring("raw", F.col("start_address") * 8 + 1, F.col("size") * 8).alias("payload"))
+
+
+def frame_time(start: Column, frame_no: Column) -> Column:
+    """Microseconds of a frame: the capture's time and 24 ms a frame."""
+    return micros(start) + frame_no * FRAME_MS * 1000
+
+
 def tist_ms(raw: Column) -> Column:
     return bits(u(raw, FRAME_BYTES - 4, 4), 0, 24) / 16384.0
 

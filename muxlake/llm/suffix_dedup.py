@@ -263,9 +263,12 @@ def _sorted_repeats(length: int, block: int = 2 << 20):
     return run
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def repeat_spans(docs: DataFrame, length: int = 400, k: int = 64, hot: int = 4096) -> DataFrame:
-    """(doc_id, text_hash, spans): per document the runs [first, last] of window starts that repeat, in any order."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    """(doc_id, text_hash, spans): per document the runs [first, last] of window starts that repeat, in any order. docs: told_apart()."""
     found = table(docs.mapInArrow(_anchors(length, k), "anchor long, c1 long, c2 long, doc_id long, text_hash long, pos long, first long, last long"))
     owner = F.min(F.struct("doc_id", "text_hash", "pos", "first", "last")).alias("o")
     kinds = found.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), owner)
@@ -273,8 +276,8 @@ def repeat_spans(docs: DataFrame, length: int = 400, k: int = 64, hot: int = 409
     whole = found.join(kinds.where("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").select("doc_id", "text_hash", "first", "last")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "anchor").select("o.doc_id", "o.text_hash", F.struct("anchor", "o.pos", "o.first", "o.last", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot")).alias("w"))
-    wanted = wanted.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("w").alias("wanted"))
-    rows = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
+    rows = with_rows(docs, wanted, "inner")
     rows = rows.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
     ends = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length), "doc_id long, text_hash long, first long, last long")
     return whole.unionByName(ends).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
@@ -296,14 +299,15 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    s = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias(name)).hint("shuffle_hash")
-    return docs.join(s, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").select(*[docs[c] for c in docs.columns], name)
+def with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs with the row of each. Both joins of a run deal out the same rows of docs by the same key, so Spark shuffles texts once and reuses that."""
+    r = rows.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}).hint("shuffle_hash")
+    return docs.join(r, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), how).drop("__id", "__hash")
 
 
 def substring_dedup(docs: DataFrame, length: int = 400, **options) -> DataFrame:
     """(doc_id, n_bytes, removed, kept): removed is an array of maximal byte runs [start, end), kept the other bytes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = told_apart(docs)
 
     def run(batches):
         for b in batches:
@@ -314,7 +318,7 @@ def substring_dedup(docs: DataFrame, length: int = 400, **options) -> DataFrame:
                 n.append(len(data)), runs.append([list(x) for x in r]), kept.append(kept_bytes(data, r))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    return with_spans(docs, repeat_spans(docs, length, **options), "spans").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
+    return with_rows(docs, repeat_spans(docs, length, **options), "left").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
 
 
 def digests(deduped: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@
    are summed over all shards, so idf, the number of documents and their mean length are
    those of the whole table.
 3. A task keeps the k best of every query over the shards it reads. In a shard, each list
-   carries the greatest impact of each run of `run` documents; the sum of a query's
-   block maxima bounds a run. The most promising runs are scored first, then those whose
-   bound reaches the k-th score so far; the others are skipped, which changes no result.
+   carries the greatest impact of each run of `run` documents. The part of the score that
+   comes from the shard's most frequent terms is exact, by one product of matrices a block
+   of queries; a run is bounded by its greatest such part plus the block maxima of the
+   other terms. The most promising runs are scored first, then those whose bound reaches
+   the k-th score so far; the others are skipped, which changes no result.
 4. The tasks' lists are merged by one window: exact, as scores use global statistics.
 
 Scores are rounded to 6 digits, ties go to the smaller doc_id. A document matches if it
@@ -96,8 +98,8 @@ def _frequencies(block_terms):
         wanted = block_terms.value
         total = np.zeros(len(wanted), np.int64)
         for b in batches:
-            for t, o in zip(b["terms"].to_pylist(), b["offsets"].to_pylist(), strict=True):
-                t, n = np.frombuffer(t, np.uint64), np.diff(np.frombuffer(o, np.int64))
+            for i in range(b.num_rows):
+                t, n = np.frombuffer(b["terms"][i].as_buffer(), np.uint64), np.diff(np.frombuffer(b["offsets"][i].as_buffer(), np.int64))
                 if len(t):
                     at = np.minimum(np.searchsorted(t, wanted), len(t) - 1)
                     total += np.where(t[at] == wanted, n[at], 0)
@@ -131,11 +133,12 @@ def expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + start[which], which
 
 
-def search_shard(row: dict, queries: list, idf_terms: np.ndarray, idf: np.ndarray, mean: float, best: list[Best], k1: float, b: float, run: int, first: int) -> None:
+def search_shard(row: dict, queries: list, idf_terms: np.ndarray, idf: np.ndarray, mean: float, best: list[Best], k1: float, b: float, run: int, first: int, dense: int = 256, at_once: int = 256) -> None:
     """Merges one shard's hits into best. queries: (terms as places in idf_terms, weights)."""
     ids, known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8)
     t, offsets = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["offsets"], np.int64)
     doc, freq = np.frombuffer(row["postings"], np.int32), np.frombuffer(row["freqs"], np.int32)
+    n = len(ids)
     if not len(t):
         return
     norm = k1 * (1 - b + b * np.frombuffer(row["lengths"], np.int64) / mean)
@@ -150,28 +153,47 @@ def search_shard(row: dict, queries: list, idf_terms: np.ndarray, idf: np.ndarra
     term_entry = np.searchsorted(entry, offsets)
     here = np.minimum(np.searchsorted(t, idf_terms), len(t) - 1)
     present = t[here] == idf_terms
-    runs = -(-len(ids) // run)
-    for (places, weights), top in zip(queries, best, strict=True):
-        on = present[places]
-        terms_here = here[places[on]]
-        weight = weights[on] * idf[places[on]]
-        e, which = expand(term_entry[terms_here], term_entry[terms_here + 1])
-        bound = np.bincount(entry_run[e], greatest[e] * weight[which], runs)
-        todo = bound > 0
-        while True:
-            floor = top.floor()
-            todo &= bound >= floor - EPS
-            left = np.flatnonzero(todo)
-            if not len(left):
-                break
-            now = np.zeros(runs, bool)
-            now[left if floor >= 0 and len(top.rows) == top.k else left[np.argsort(-bound[left], kind="stable")[:first]]] = True
-            todo &= ~now
-            pick = now[entry_run[e]]
-            p, which_entry = expand(entry[e[pick]], entry_end[e[pick]])
-            scores = np.bincount(doc[p], impact[p] * weight[which[pick]][which_entry], len(ids))
-            hit = np.flatnonzero(scores >= max(floor - EPS, 1e-12))
-            top.add(np.round(scores[hit], 6), ids[hit], known[hit])
+    # The shard's most frequent terms as rows of a matrix: their part of all scores is one product a block of queries.
+    df = np.diff(offsets)
+    full = np.argsort(-df, kind="stable")[:dense]
+    full = full[df[full] * 16 >= n]
+    row_of = np.full(len(t), -1)
+    row_of[full] = np.arange(len(full))
+    matrix = np.zeros((len(full), n))
+    p, which = expand(offsets[full], offsets[full + 1])
+    matrix[which, doc[p]] = impact[p]
+    run_starts = np.arange(0, n, run)
+    for at in range(0, len(queries), at_once):
+        block = queries[at : at + at_once]
+        weights, sparse = np.zeros((len(block), len(full))), []
+        for i, (places, w) in enumerate(block):
+            on = present[places]
+            terms_here, weight = here[places[on]], w[on] * idf[places[on]]
+            r = row_of[terms_here]
+            weights[i, r[r >= 0]] = weight[r >= 0]
+            sparse.append((terms_here[r < 0], weight[r < 0]))
+        base = weights @ matrix
+        base_run = np.maximum.reduceat(base, run_starts, axis=1)
+        for i, (terms_here, weight) in enumerate(sparse):
+            top = best[at + i]
+            e, which = expand(term_entry[terms_here], term_entry[terms_here + 1])
+            bound = base_run[i] + np.bincount(entry_run[e], greatest[e] * weight[which], len(run_starts))
+            todo = bound > 0
+            while True:
+                floor = top.floor()
+                todo &= bound >= floor - EPS
+                left = np.flatnonzero(todo)
+                if not len(left):
+                    break
+                now = np.zeros(len(run_starts), bool)
+                now[left if floor >= 0 else left[np.argsort(-bound[left], kind="stable")[:first]]] = True
+                todo &= ~now
+                pick = now[entry_run[e]]
+                p, which_entry = expand(entry[e[pick]], entry_end[e[pick]])
+                scores = np.where(np.repeat(now, run)[:n], base[i], 0.0)
+                scores += np.bincount(doc[p], impact[p] * weight[which[pick]][which_entry], n)
+                hit = np.flatnonzero(scores >= max(floor - EPS, 1e-12))
+                top.add(np.round(scores[hit], 6), ids[hit], known[hit])
 
 
 def _search(sent, k: int, k1: float, b: float, run_docs: int, first: int):
@@ -179,7 +201,8 @@ def _search(sent, k: int, k1: float, b: float, run_docs: int, first: int):
         s = sent.value
         best = [Best(k) for _ in s["ids"]]
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_buffer() for c in ("ids", "known", "lengths", "terms", "offsets", "postings", "freqs")}
                 search_shard(row, s["queries"], s["terms"], s["idf"], s["mean"], best, k1, b, run_docs, first)
         rows = [(q, None if null else i, x) for q, top in zip(s["ids"], best, strict=True) for x, null, i in top.rows]
         cols = list(zip(*rows, strict=True)) or [[]] * 3

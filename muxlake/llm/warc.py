@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from muxlake.llm.common import cut, free_name
+
 #: Headers of a 304 response that update the stored ones.
 UPDATED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 ORIGIN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
@@ -47,8 +49,6 @@ def weak(etag) -> Column:
 
 def resolve_revisits(records: DataFrame, grain: str = "hour") -> DataFrame:
     """The columns of records with headers and payload resolved, and a struct `revisit` (canonical_url, refers_to, outcome) as last column."""
-    from muxlake.llm.common import free_name
-
     header = lambda name: F.element_at(F.col("headers"), name)
     is_response = F.col("record_type") == "response"
     rows = records.select(F.struct(*[records[c] for c in records.columns]).alias("row"), *[records[c].alias(c) for c in ("record_id", "record_type", "ts", "headers")], canonical_url(records["url"]).alias("canonical"))
@@ -62,22 +62,31 @@ def resolve_revisits(records: DataFrame, grain: str = "hour") -> DataFrame:
     hours = keys.groupBy("canonical", "hour").agg(F.max("own").alias("last"))
     w = Window.partitionBy("canonical").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     hours = hours.select("canonical", "hour", F.max("last").over(w).alias("far"))
-    found = near.where(~F.col("full")).join(hours, ["canonical", "hour"]).select("record_id", "canonical", "ts", F.coalesce("near", "far").alias("found")).where("found IS NOT NULL").distinct()
-    stored = rows.where(is_response).groupBy(F.col("record_id").alias("found_id")).agg(F.min_by(F.struct(F.col("headers").alias("h"), F.col("row.payload").alias("p")), F.coalesce("row.payload", F.lit(""))).alias("stored"))
-    found = found.join(stored, F.col("found.record_id") == F.col("found_id")).select(F.col("record_id").alias("__id"), F.col("canonical").alias("__url"), F.col("ts").alias("__ts"), "found", "stored")
-    out = rows.join(found, (F.col("record_type") == "revisit") & (F.col("record_id") == F.col("__id")) & (F.col("canonical") == F.col("__url")) & (F.col("ts") == F.col("__ts")), "left")
+    found = near.where(~F.col("full")).join(hours, ["canonical", "hour"]).select(F.col("record_id").alias("__id"), F.col("canonical").alias("__url"), F.col("ts").alias("__ts"), F.coalesce("near", "far").alias("found"))
+    found = found.where("found IS NOT NULL").distinct()
     etag, modified = weak(header("etag")), header("last-modified")
-    outcome = F.when(F.col("record_type") == "response", "full").when(
-        F.col("record_type") == "revisit",
+    outcome = (
         F.when(F.col("found").isNull(), "no_earlier_response")
         .when(etag.isNotNull(), F.when(etag.eqNullSafe(F.col("found.etag")), "resolved").otherwise("etag_differs"))
         .when(modified.isNotNull(), F.when(modified.eqNullSafe(F.col("found.modified")), "resolved").otherwise("last_modified_differs"))
-        .otherwise("no_validator"),
+        .otherwise("no_validator")
     )
-    out = out.withColumn("outcome", outcome)
-    done, none = F.coalesce(F.col("outcome") == "resolved", F.lit(False)), F.from_json(F.lit("{}"), "map<string,string>")
+    # Revisits are small rows: they are judged first, then only the resolved ones meet the responses, whose payloads are shuffled once.
+    is_revisit = F.col("record_type") == "revisit"
+    judged = rows.where(is_revisit).join(found, (F.col("record_id") == F.col("__id")) & (F.col("canonical") == F.col("__url")) & (F.col("ts") == F.col("__ts")), "left").withColumn("outcome", outcome)
+    judged = cut(judged.select("row", "headers", "canonical", F.when(F.col("outcome") == "resolved", F.col("found.record_id")).alias("refers_to"), "outcome"))
+    stored = rows.where(is_response).groupBy(F.col("record_id").alias("stored_id")).agg(F.min_by(F.struct(F.col("headers").alias("h"), F.col("row.payload").alias("p")), F.coalesce("row.payload", F.lit(""))).alias("stored"))
+    resolved = judged.where("refers_to IS NOT NULL").join(stored, F.col("refers_to") == F.col("stored_id"))
+    none = F.from_json(F.lit("{}"), "map<string,string>")
     fresh = F.map_filter(F.coalesce("headers", none), lambda k, v: k.isin(UPDATED))
     kept = F.map_filter(F.coalesce("stored.h", none), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    cells = {"headers": F.when(done, F.map_concat(kept, fresh)).otherwise(F.col("headers")), "payload": F.when(done, F.col("stored.p")).otherwise(F.col("row.payload"))}
-    columns = [cells[c].alias(c) if c in cells else F.col("row").getField(c).alias(c) for c in records.columns]
-    return out.select(*columns, F.struct(F.col("canonical").alias("canonical_url"), F.when(done, F.col("found.record_id")).alias("refers_to"), "outcome").alias(free_name(records, "revisit")))
+    name = free_name(records, "revisit")
+
+    def columns(refers_to: Column, outcome: Column, **cells: Column) -> list[Column]:
+        return [*(cells[c].alias(c) if c in cells else F.col("row").getField(c).alias(c) for c in records.columns), F.struct(F.col("canonical").alias("canonical_url"), refers_to.alias("refers_to"), outcome.alias("outcome")).alias(name)]
+
+    nothing = F.lit(None).cast(records.schema["record_id"].dataType)
+    done = resolved.select(*columns(F.col("refers_to"), F.col("outcome"), headers=F.map_concat(kept, fresh), payload=F.col("stored.p")))
+    open_ = judged.where("refers_to IS NULL").select(*columns(nothing, F.col("outcome")))
+    rest = rows.where(~F.coalesce(is_revisit, F.lit(False))).select(*columns(nothing, F.when(is_response, "full")))
+    return rest.unionByName(open_).unionByName(done)

@@ -37,7 +37,7 @@ def table(df: DataFrame) -> DataFrame:
     """The same as compressed Parquet, for wide rows; partitions may be dealt anew when it is read."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_small(df: DataFrame, dim: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import cut, free_name, join_small
+from muxlake.llm.common import free_name, join_small, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -53,11 +53,11 @@ def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repe
     lean = F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)) if propensity else F.lit(1.0)
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), word_count("text").alias("size"), lean.alias("lean"), h.alias("h"))
-    base = cut(full.drop("row"))
-    sums = cut(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("lean")).alias("leaned")))
+    base = table(full.drop("row"))
+    sums = table(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("lean")).alias("leaned")))
     t = with_source(targets(sums.select("source", "source_size"), cycle, max_repeat), sums.drop("source_size"))
     # Copies expected of a document with propensity x: rate * x.
-    t = cut(t.select("source", "source_size", "target", F.when(F.col("leaned") > 0, F.col("target") / F.col("leaned")).otherwise(0.0).alias("rate")))
+    t = table(t.select("source", "source_size", "target", F.when(F.col("leaned") > 0, F.col("target") / F.col("leaned")).otherwise(0.0).alias("rate")))
 
     def ranked(df: DataFrame) -> DataFrame:
         u = (F.shiftrightunsigned("h", 11) + F.lit(0.5)) * F.lit(2.0**-53)
@@ -71,11 +71,11 @@ def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repe
     in_order, all_of = Window.partitionBy("source").orderBy("bin"), Window.partitionBy("source")
     hist = hist.withColumn("before", F.sum("words").over(in_order) - F.col("words")).withColumn("left", F.greatest(F.col("target") - F.sum("certain").over(all_of), F.lit(0.0)))
     edge = hist.where(F.col("before") <= F.col("left")).groupBy("source").agg(F.max("bin").alias("edge"), F.max("before").alias("before"), F.max("left").alias("left"))
-    t = cut(with_source(t, edge))
+    t = table(with_source(t, edge))
     w = Window.partitionBy("source").orderBy("q", "h").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = ranked(with_source(base, t)).where(F.col("bin") == F.col("edge"))
     ended = at_edge.withColumn("sum", F.col("before") + F.sum("size").over(w)).where(F.col("sum") <= F.col("left"))
-    t = cut(with_source(t, ended.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("sum").alias("sum"))))
+    t = table(with_source(t, ended.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("sum").alias("sum"))))
     sampled = F.coalesce((F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.struct("q", "h") <= F.col("last")), F.lit(False))
     t = t.select("*", (F.col("left") - F.coalesce("sum", "before")).alias("gap"), F.array().cast("array<struct<q:double,h:bigint>>").alias("fills"))
     taken = sampled | F.array_contains("fills", F.struct("q", "h"))
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repe
         rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") <= most))
         found = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "h", "size")).alias("fill"))
         t = with_source(t, found).withColumn("gap", F.col("gap") - F.coalesce("fill.size", F.lit(0)))
-        t = cut(t.withColumn("fills", F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.struct("fill.q", "fill.h")))).drop("fill"))
+        t = table(t.withColumn("fills", F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.struct("fill.q", "fill.h")))).drop("fill"))
     copies = (F.col("whole") + taken.cast("int")).cast("int")
     out = ranked(with_source(full, t)).withColumn("copies", copies)
     return out.select("row.*", F.struct("size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")).alias(free_name(docs, "mix")))

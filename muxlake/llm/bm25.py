@@ -133,7 +133,7 @@ def expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + start[which], which
 
 
-def search_shard(row: dict, queries: list, idf_terms: np.ndarray, idf: np.ndarray, mean: float, best: list[Best], k1: float, b: float, run: int, first: int, dense: int = 256, at_once: int = 256) -> None:
+def search_shard(row: dict, queries: list, idf_terms: np.ndarray, idf: np.ndarray, mean: float, best: list[Best], k1: float, b: float, run: int, first: int, dense: int = 512, at_once: int = 256) -> None:
     """Merges one shard's hits into best. queries: (terms as places in idf_terms, weights)."""
     ids, known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8)
     t, offsets = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["offsets"], np.int64)

@@ -18,8 +18,14 @@ M / (n1 + n2 - M) >= similarity. Classes are the connected components of the lin
 4. Components come from min-label steps over the links, cut to the shared folder.
 5. The next round goes over buckets that still hold more than one class: their key is
    joined with another sketch of each member, which parts unrelated documents that share
-   a passage, and hubs are drawn anew. Pairs within one class are not emitted. Rounds go
-   on until none is left or `rounds` is reached.
+   a passage, and hubs are drawn anew. Pairs within one class are not emitted. There are
+   `rounds` of these.
+6. What is left is settled exactly. Of each document in a bucket (of one sketch) that
+   still holds several classes, the rarest labelled shingles are taken, so many that two
+   documents of the wanted similarity have one in common (a prefix filter; the order is by
+   counts in 2**bits bins). Documents that share a shingle there and agree in length are
+   compared to hubs, the most central document first and more hubs each time, until no
+   shingle has documents of two classes that were not compared.
 
 At similarity s a pair shares one sketch with probability about s**order, so 24 sketches
 of order 3 miss 3e-8 of pairs at 0.8; the tests hold the links against brute force.
@@ -32,6 +38,7 @@ share a doc_id join one class. A null doc_id has a null class and is compared to
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 
@@ -208,6 +215,86 @@ def components(links: DataFrame, start: DataFrame | None = None, max_steps: int
     raise RuntimeError("components did not settle")
 
 
+def tokens_of(seq: bytes) -> np.ndarray:
+    return mixed(labelled(np.frombuffer(seq, np.uint32)))
+
+
+def _bins(bits: int):
+    """How often labelled shingles fall in each bin of their hash."""
+
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for seq in b["seq"].to_pylist():
+                at, n = np.unique(tokens_of(seq) >> np.uint64(64 - bits), return_counts=True)
+                counts[at.astype(np.int64)] += n
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], ["bin", "n"])
+
+    return run
+
+
+def _prefixes(sent, bits: int, similarity: float):
+    """The rarest labelled shingles of each document, as many as may be missing in a similar one and one more; central is its mean log count."""
+
+    def run(batches):
+        counts = sent.value
+        for b in batches:
+            ids, sizes, central, tokens = [], [], [], []
+            for doc_id, seq in zip(b["id"].to_pylist(), b["seq"].to_pylist(), strict=True):
+                t = tokens_of(seq)
+                c = counts[(t >> np.uint64(64 - bits)).astype(np.int64)]
+                first = np.lexsort((t, c))[: len(t) - math.ceil(similarity * len(t) - 1e-9) + 1]
+                first = t[first[c[first] > 1]]
+                tokens.append(first.view(np.int64))
+                ids += [doc_id] * len(first)
+                sizes += [len(t)] * len(first)
+                central += [float(np.log(c).mean())] * len(first)
+            tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(central, pa.float64()), pa.array(tokens)], ["id", "n", "central", "token"])
+
+    return run
+
+
+def mixed_classes(rows: DataFrame, labels: DataFrame, *key: str) -> DataFrame:
+    """rows (id, key) with the label of each, where a key has several labels."""
+    at = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = at.groupBy(*key).agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
+    return at.join(split, list(key))
+
+
+def settled(flat: DataFrame, labels: DataFrame, seqs: DataFrame, similarity: float, bits: int = 20) -> DataFrame:
+    """labels, after all documents of buckets (i, key) with several classes were compared where they may be similar."""
+    spark = flat.sparkSession
+    left = table(mixed_classes(flat, labels, "i", "key").select("id").distinct())
+    if left.isEmpty():
+        return labels
+    own = table(join_small(seqs, left, "id", "inner", rows=IDS))
+    found = own.mapInArrow(_bins(bits), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits rows
+    counts = np.zeros(1 << bits, np.int64)
+    counts[found["bin"].to_numpy()] = found["n"].to_numpy()
+    tokens = table(own.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), bits, similarity), "id long, n long, central double, token long"))
+    many, tried = 1, None
+    while True:
+        at = table(mixed_classes(tokens, labels, "token"))
+        if at.isEmpty():
+            return labels
+        best = F.min(F.struct(-F.col("central"), F.xxhash64("id"), F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n")))
+        hubs = table(at.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(many)).alias("lot")).agg(best.alias("h")).select("token", "h.hub", "h.hub_label", "h.hub_n"))
+        at = at.join(hubs.select("token", F.col("hub").alias("id"), F.lit(True).alias("spent")), ["token", "id"], "left")
+        alike = (F.col("label") != F.col("hub_label")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9)
+        pairs = at.join(hubs, "token").where(alike & (F.col("spent").isNull() | (F.col("id") < F.col("hub")))).select("id", "hub").distinct()
+        if tried is not None:
+            both = tried.unionByName(tried.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
+            pairs = pairs.join(both, ["id", "hub"], "left_anti")
+        pairs = table(pairs)
+        tokens = table(at.where("spent IS NULL").select("id", "n", "central", "token"))  # hubs were compared to all others
+        if not pairs.isEmpty():
+            labels = components(table(verified(pairs, seqs, similarity)), labels)
+            tried = pairs if tried is None else table(tried.unionByName(pairs))
+        many *= 8
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 3, rounds: int = 3) -> DataFrame:
     """(doc_id, class_id): a row for each row of docs; class_id is the least doc_id of the class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -239,6 +326,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
         pairs = table(at.join(hubs, ["i", "key"]).where("label <> hub_label").select("id", "hub").distinct())
         if not pairs.isEmpty():
             labels = components(table(verified(pairs, seqs, similarity)), labels)
+    labels = settled(flat, labels, seqs, similarity)
     least = member.join(labels, member["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return prints.select("doc_id").join(least, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -457,3 +458,29 @@ def test_a_large_group_of_near_copies(spark):
     by = {r["doc_id"]: r["class_id"] for r in out}
     assert {by[i] for i in range(600)} == {0}
     assert all(by[i] == i for i in range(600, 800))
+
+
+def star(n, base_id, n_words=600, changed=9):
+    """A text and n copies of it, each near to it but not to the others."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(n_words)]
+    rows = [(base_id, " ".join(base))]
+    for i in range(n + 1):
+        if i != base_id:
+            w = list(base)
+            for j in range(changed):
+                w[j * (n_words // changed) + rng.randrange(5, n_words // changed - 5)] = f"x{i}_{j}"
+            rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_group_linked_over_one_text_is_one_class(spark):
+    from muxlake.llm.near_dup import aligned, near_duplicates, shingles
+
+    rows = star(200, 77)
+    s = [shingles(t) for _, t in rows]
+    assert aligned(s[0], s[1], 0.1) > 0.8 > max(aligned(s[1], x, 0.1) for x in s[2:])
+    rows += [(1000 + i, " ".join(t.split()[:300] + [f"y{i}_{j}" for j in range(200)])) for i, (_, t) in enumerate(rows[:50])]
+    out = of(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {r["class_id"] for r in out if r["doc_id"] < 1000} == {0}
+    assert all(r["class_id"] == r["doc_id"] for r in out if r["doc_id"] >= 1000)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A live feed of captures dropped into a folder: one row a frame."""
+    """A live feed of captures dropped into a folder: one row a frame. Each file is read as one row, so it must be under 2 GB: a recorder has to start new files before that."""
     from muxlake.sources.frames import FRAME_BYTES
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)

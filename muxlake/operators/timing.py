@@ -1,8 +1,9 @@
 """Window operators over ordered streams (W-family) and the batch forms of the streaming ones (T-family).
 
 Every window is partitioned by stream (and more keys where there are any), so streams run
-side by side. A stream of unbounded length is dealt by spans(): windows that look back one
-row or a bounded number of rows then run within a span, with the rows before it repeated.
+side by side, and each is sorted in one task. The operators here don't split a hot stream.
+A caller may deal one by spans(): windows that look back a bounded number of order units
+then run within a span, with the rows before it repeated.
 """
 
 from __future__ import annotations

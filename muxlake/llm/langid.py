@@ -10,7 +10,7 @@ The network is trained by backpropagation through time on the driver, on a bound
 at most per_lang documents a language (least hash first) and `pieces` windows of each, cut
 out on the executors. Inference is a map over all documents.
 
-Cases: null texts and texts without a letter are `und` with score 0; so is every document
+Cases: null texts and texts without a letter (category L; number signs are none) are `und` with score 0; so is every document
 if there is nothing to learn from. Null labels are not learned. Documents of null doc_id
 are predicted, never learned from, and not held out. Repeated rows are predicted alike.
 Other columns are not used.
@@ -18,15 +18,16 @@ Other columns are not used.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+from muxlake.llm.common import free_name, released
+
+LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
@@ -158,7 +159,7 @@ def label_positions(net: Net, text: str, window: int = 128) -> np.ndarray:
     return out.T.ravel()[: len(raw)]
 
 
-def pooled(net: Net, raws: list[bytes], window: int = 128, at_once: int = 4096) -> np.ndarray:
+def pooled(net: Net, raws: list[bytes], window: int = 128, at_once: int = 2048) -> np.ndarray:
     """(documents, L): mean probabilities over all bytes of each."""
     n = np.array([len(r) for r in raws])
     windows = -(-n // window)
@@ -211,8 +212,8 @@ def fit(docs: DataFrame, per_lang: int = 400, pieces: int = 4, window: int = 128
     return train(samples, **options)
 
 
-def languages(docs: DataFrame, net: Net, batch_bytes: int = 16 << 20) -> DataFrame:
-    """docs' columns doc_id and text -> (doc_id, text, lang_pred, score); text is dropped unless used."""
+def languages(docs: DataFrame, net: Net, names: list[str], batch_bytes: int = 2 << 20) -> DataFrame:
+    """docs with two more columns, called names: the predicted language and its score."""
 
     def run(batches):
         for b in batches:
@@ -229,23 +230,24 @@ def languages(docs: DataFrame, net: Net, batch_bytes: int = 16 << 20) -> DataFra
                 for i, p in zip(part, pooled(net, [texts[i].encode() for i in part]), strict=True):
                     k = int(p.argmax())
                     preds[i], scores[i] = net.langs[k], min(1.0, float(p[k]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("__lang_pred", StringType()).add("__score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
+    return docs.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document, by a network fitted on those not held out."""
     net = fit(docs, **options)
-    out = languages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
+    out = languages(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net, ["lang_pred", "score"])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def identified(docs: DataFrame, least: float = 0.0, **options) -> DataFrame:
     """docs without those whose language can't be told or whose score is under `least`."""
-    out = languages(docs, fit(docs, **options))
-    return out.where((F.col("__lang_pred") != UND) & (F.col("__score") >= least)).select(*docs.columns)
+    names = [free_name(docs, "lang_pred"), free_name(docs, "score")]
+    out = languages(docs, fit(docs, **options), names)
+    return out.where((F.col(names[0]) != UND) & (F.col(names[1]) >= least)).select(*docs.columns)

@@ -17,7 +17,8 @@ min_docs documents hold loses all its lines but those of the largest doc_id hold
 Cases: null or empty text is one empty line, which is never dropped (min_chars >= 1).
 A null doc_id counts as one document below every other. Rows that share a doc_id are one
 document; each row keeps or loses its own lines. Repeated rows are treated alike.
-Columns beyond doc_id and text pass through, whatever their names.
+Columns beyond doc_id and text pass through, whatever their names. A document's lines of one key
+are streamed in one task, as its bitmap is one row.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import BLANKS, cut, free_name
+from muxlake.llm.common import BLANKS, cut, free_name, released
 
 LINES = "h1 long, h2 long, doc_id long, text_hash long, pos int"
 
@@ -140,7 +141,7 @@ def _pack_batches(batches):
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, text_hash, n_dropped, keep_bitmap) of each document that loses lines; all others keep theirs."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_hash_lines(min_chars), LINES)
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(released(_hash_lines(min_chars)), LINES)
     down = F.col("doc_id").desc_nulls_last()
     lines = cut(lines.repartitionByRange("h1", "h2", down).sortWithinPartitions("h1", "h2", down, "text_hash", "pos"))
     edges: dict = {}
@@ -161,8 +162,9 @@ def kept_text(text: str | None, bitmap: bytes | None) -> str | None:
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str) -> DataFrame:
     """docs with the bitmap as column name; null where all lines stay."""
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("keep_bitmap").alias(name)).hint("shuffle_hash")
-    return docs.join(b, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left").select(*[docs[c] for c in docs.columns], name)
+    own, hashed = free_name(docs, "bitmap_id"), free_name(docs, "bitmap_hash")
+    b = bitmaps.select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("keep_bitmap").alias(name)).hint("shuffle_hash")
+    return docs.join(b, docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(hashed)), "left").select(*[docs[c] for c in docs.columns], name)
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -176,7 +178,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             cols[at] = pa.array(map(kept_text, cols[at].to_pylist(), cols[-1].to_pylist()), b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols[:-1], names)
 
-    return with_bitmaps(docs, bitmaps, name).mapInArrow(run, docs.schema)
+    return with_bitmaps(docs, bitmaps, name).mapInArrow(released(run), docs.schema)
 
 
 def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

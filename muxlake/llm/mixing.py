@@ -2,21 +2,25 @@
 
 Each source gets a share of all words by its weight. A share stops at max_repeat times
 the source's words, and the excess goes to the others by weight until none is above.
-A document's expected copies are its source's share over its source's words (its
-inclusion rate, which may be tilted by a propensity column). The whole part is taken
-for certain; the fractional part p is sampled by Pareto order sampling: documents are
-ranked by [u / (1 - u)] / [p / (1 - p)], u uniform by hash of the row, and taken from
-the smallest rank up to the fixed size. The size is counted in words: the sample ends
-before the document that would pass it; then up to `fills` further documents, each the one
-whose size is nearest to what is left, are added while that brings the source nearer.
-
-All is built-in functions. The sources are one row each; windows without a partition run
-over that table alone. Ranks are cut into bins; only the one bin in which the fixed size
-is reached is ordered, so a source with a third of all rows needs no global sort.
+A document's expected copies are a rate of its source times its propensity: a column, or
+its size to the power size_power. They stop at max_repeat, and the rate is such that the
+expected words of a source, those that stop included, are its target; propensities are
+rounded to steps of an eighth of a doubling for that. The whole part is taken for certain;
+the fractional part p is sampled by Pareto order sampling: documents are ranked by
+[u / (1 - u)] / [p / (1 - p)], u uniform by hash of the row, and taken from the smallest
+rank up to the fixed size. The size is counted in words: the sample ends before the
+document that would pass it; then up to `fills` further documents, each the one whose size
+is nearest to what is left, are added while that brings the source nearer.
+
+All is built-in functions. Windows without a partition run over a table of one row a source
+alone, in one task: sources may be many thousands, but not one a document. Ranks are cut
+into bins twice; only one bin of BINS**2 a source is ordered, so a source with a third of
+all rows needs no global sort.
 
 Cases: null text has size 0. Null sources are one source, last in order. Documents of
-size 0 are taken or not, at no words. Repeated rows have equal ranks and share a fate.
-An empty table gives no rows. Extra columns pass through, whatever their names.
+size 0 are taken or not, at no words. Rows that repeat a doc_id and text within a source
+are numbered, and sampled each for itself. A null propensity is 1, one below 0 is 0. An
+empty table gives no rows. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,40 +52,83 @@ def targets(sizes: DataFrame, cycle: int = 3, max_repeat: int = 3) -> DataFrame:
     return s.withColumn("target", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.least(level * F.col("weight"), F.col("most").cast("double"))))
 
 
-def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, max_repeat: int = 3, cycle: int = 3, fills: int = 3) -> DataFrame:
+def rates(words: DataFrame, max_repeat: int) -> DataFrame:
+    """words: (source, lean, words, target), a row a propensity of a source -> (source, rate), so that the sum of words * min(rate * lean, max_repeat) is the target."""
+    w = Window.partitionBy("source").orderBy(F.col("lean").desc())
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    # From the greatest propensity down: those that stop come first, the others share what is left.
+    left = F.col("target") - max_repeat * F.coalesce(F.sum("words").over(before), F.lit(0))
+    s = words.where("lean > 0 AND words > 0").withColumn("level", left / F.sum(F.col("words") * F.col("lean")).over(after)).withColumn("stops", F.col("level") * F.col("lean") > max_repeat)
+    return s.groupBy("source").agg(F.coalesce(F.max(F.when(~F.col("stops"), F.col("level"))), F.max(max_repeat / F.col("lean"))).alias("rate"))
+
+
+def numbered(full: DataFrame) -> DataFrame:
+    """full with a number `nth` among the rows of the same source and h; a group of many is numbered partition by partition."""
+    twice = table(full.groupBy("source", "h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("source").alias("__s"), F.col("h").alias("__h")))
+    one = full.withColumn("nth", F.lit(0).cast("long"))
+    if twice.isEmpty():
+        return one
+    same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("h") == F.col("__h"))
+    again = table(full.join(twice, same, "left_semi")).withColumn("part", F.spark_partition_id())
+    counts = again.groupBy("source", "h", "part").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("source", "h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("source").alias("__s"), F.col("h").alias("__h"), F.col("part").alias("__p"), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("first"))
+    own = again.withColumn("nth", F.row_number().over(Window.partitionBy("source", "h", "part").orderBy("size")).cast("long") - 1)
+    own = own.join(first, same & (F.col("part") == F.col("__p"))).withColumn("nth", F.col("nth") + F.col("first"))
+    own = table(own.select(*one.columns))
+    return one.join(twice, same, "left_anti").unionByName(own)
+
+
+def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, size_power: float = 0.25, max_repeat: int = 3, cycle: int = 3, fills: int = 3) -> DataFrame:
     """docs and, as last column, a struct `mix` (size, source_size, target, copies, taken)."""
-    lean = F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)) if propensity else F.lit(1.0)
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), word_count("text").alias("size"), lean.alias("lean"), h.alias("h"))
+    size = word_count(docs["text"])
+    lean = F.greatest(F.coalesce(docs[propensity].cast("double"), F.lit(1.0)), F.lit(0.0)) if propensity else F.pow(F.greatest(size, F.lit(1)), F.lit(size_power))
+    lean = F.when(lean > 0, F.pow(F.lit(2.0), F.round(F.log2(lean) * 8) / 8)).otherwise(0.0)
+    h = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
+    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), size.alias("size"), lean.alias("lean"), h.alias("h"))
+    full = numbered(full)
+    full = full.withColumn("h", F.when(F.col("nth") > 0, F.xxhash64("h", "nth")).otherwise(F.col("h"))).drop("nth")
     base = table(full.drop("row"))
-    sums = table(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("lean")).alias("leaned")))
-    t = with_source(targets(sums.select("source", "source_size"), cycle, max_repeat), sums.drop("source_size"))
-    # Copies expected of a document with propensity x: rate * x.
-    t = table(t.select("source", "source_size", "target", F.when(F.col("leaned") > 0, F.col("target") / F.col("leaned")).otherwise(0.0).alias("rate")))
+    sums = table(base.groupBy("source", "lean").agg(F.sum("size").alias("words")))
+    t = table(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, max_repeat).select("source", "source_size", "target"))
+    t = with_source(t, rates(with_source(sums, t), max_repeat))
+    t = table(t.withColumn("rate", F.coalesce("rate", F.lit(0.0))))
 
     def ranked(df: DataFrame) -> DataFrame:
+        """Adds whole, the rank q (null where nothing is left to chance), and its bins: bin, and fine within it."""
         u = (F.shiftrightunsigned("h", 11) + F.lit(0.5)) * F.lit(2.0**-53)
         expected = F.least(F.col("rate") * F.col("lean"), F.lit(float(max_repeat)))
-        whole = F.floor(expected + 1e-12)
-        p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), expected - whole))
+        whole = F.floor(expected + 1e-9)
+        p = F.when(expected - whole > 1e-9, F.least(F.lit(1 - 1e-9), expected - whole))
         df = df.withColumn("whole", whole).withColumn("q", u / (1 - u) * (1 - p) / p)
-        return df.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
-
-    hist = ranked(with_source(base, t)).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
-    in_order, all_of = Window.partitionBy("source").orderBy("bin"), Window.partitionBy("source")
-    hist = hist.withColumn("before", F.sum("words").over(in_order) - F.col("words")).withColumn("left", F.greatest(F.col("target") - F.sum("certain").over(all_of), F.lit(0.0)))
-    edge = hist.where(F.col("before") <= F.col("left")).groupBy("source").agg(F.max("bin").alias("edge"), F.max("before").alias("before"), F.max("left").alias("left"))
-    t = table(with_source(t, edge))
+        at = F.col("q") / (1 + F.col("q")) * BINS
+        return df.withColumn("bin", F.floor(at).cast("int")).withColumn("fine", F.floor((at - F.floor(at)) * BINS).cast("int"))
+
+    def edge_of(hist: DataFrame, name: str) -> DataFrame:
+        """Of each source the last bin that begins within what is left to sample, and the words before it. hist: source, bin, words, left."""
+        in_order = Window.partitionBy("source").orderBy("bin")
+        hist = hist.withColumn("before", F.sum("words").over(in_order) - F.col("words")).where(F.col("before") <= F.col("left"))
+        return hist.groupBy("source").agg(F.max("bin").alias(name), F.max("before").alias("before"), F.max("left").alias("left"))
+
+    hist = table(ranked(with_source(base, t)).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target")))
+    left = hist.groupBy("source").agg(F.greatest(F.first("target") - F.sum("certain"), F.lit(0.0)).alias("left"))
+    t = table(with_source(t, edge_of(with_source(hist.where("bin IS NOT NULL").select("source", "bin", "words"), left), "edge")))
+    near = ranked(with_source(base, t)).where(F.col("bin") == F.col("edge"))
+    within = near.groupBy("source", F.col("fine").alias("bin")).agg(F.sum("size").alias("words"), F.first(F.col("left") - F.col("before")).alias("left"))
+    fine = edge_of(within, "fine_edge").select("source", "fine_edge", F.col("before").alias("further"))
+    t = with_source(t, fine)
+    t = table(t.withColumn("before", F.col("before") + F.coalesce("further", F.lit(0))).drop("further"))
     w = Window.partitionBy("source").orderBy("q", "h").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = ranked(with_source(base, t)).where(F.col("bin") == F.col("edge"))
+    at_edge = ranked(with_source(base, t)).where((F.col("bin") == F.col("edge")) & (F.col("fine") == F.col("fine_edge")))
     ended = at_edge.withColumn("sum", F.col("before") + F.sum("size").over(w)).where(F.col("sum") <= F.col("left"))
     t = table(with_source(t, ended.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("sum").alias("sum"))))
-    sampled = F.coalesce((F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.struct("q", "h") <= F.col("last")), F.lit(False))
+    up_to = (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & ((F.col("fine") < F.col("fine_edge")) | (F.col("fine") == F.col("fine_edge")) & (F.struct("q", "h") <= F.col("last")))
+    sampled = F.coalesce(up_to, F.lit(False))
     t = t.select("*", (F.col("left") - F.coalesce("sum", "before")).alias("gap"), F.array().cast("array<struct<q:double,h:bigint>>").alias("fills"))
-    taken = sampled | F.array_contains("fills", F.struct("q", "h"))
+    taken = sampled | F.coalesce(F.array_contains("fills", F.struct("q", "h")), F.lit(False))
     for i in range(fills):  # the last one may pass the target
         most = F.col("gap") if i + 1 < fills else 2 * F.col("gap") - 1e-6
-        rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") <= most))
+        rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") <= most) & F.col("q").isNotNull())
         found = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "h", "size")).alias("fill"))
         t = with_source(t, found).withColumn("gap", F.col("gap") - F.coalesce("fill.size", F.lit(0)))
         t = table(t.withColumn("fills", F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.struct("fill.q", "fill.h")))).drop("fill"))

@@ -15,7 +15,9 @@ sequence each. The others are packed:
    pieces; what is left open at last is a bin or so for each block of the last level.
 
 Ids are those of the tokenizers file of the same vocabulary; they are made by tiktoken
-from its rank file, which is four times faster (tests hold the two equal).
+from its rank file, which is four times faster (tests hold the two equal). Its pattern is
+matched by backtracking, which overflows on long white space, so texts with such a run go
+to tokenizers itself.
 
 Cases: null and empty texts are one piece of the one id 0. Rows that share a doc_id, and
 repeated rows, are packed each for itself. A null doc_id is kept. An empty table has no
@@ -24,29 +26,45 @@ pieces. Special tokens in texts are ordinary text. Other columns are not used.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import cut
+from muxlake.llm.common import cut, released
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(ranks_path: str):
-    """text -> ids of the byte-level BPE in a rank file."""
+#: White space that tiktoken isn't given.
+LONG_BLANK = re.compile(r"\s{1000}")
+
+
+def encoder(ranks_path: str, json_path: str):
+    """text -> ids of the byte-level BPE, given as a rank file and as a tokenizers file."""
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    slow = []
+
+    def encode(text: str):
+        if not LONG_BLANK.search(text):
+            return fast(text)
+        if not slow:
+            slow.append(Tokenizer.from_file(json_path))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut_pieces(n: int, cap: int) -> list[tuple[int, int]]:
@@ -55,11 +73,11 @@ def cut_pieces(n: int, cap: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, cap) for s in range(first, n, cap))] if n > cap else [(0, n)]
 
 
-def _pieces(ranks_path: str | None, cap: int):
+def _pieces(ranks_path: str | None, json_path: str | None, cap: int):
     def run(batches):
         import public_tokenizers
 
-        encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), json_path or public_tokenizers.path("byte_bpe_50k.json"))
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
@@ -146,13 +164,14 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], cap: int, population: in
 
 
 def _island(cap: int, population: int, generations: int, epoch: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("item").reset_index(drop=True)  # rows come in any order
-        sizes = g["length"].to_numpy(np.int64)
-        elites = [g[c].to_numpy(np.int64) for c in ("bin", "guest") if c in g]
-        bins = evolve(sizes, elites, cap, population, generations, hash((int(g["block"][0]), int(g["island"][0]), epoch)) & 0x7FFFFFFF)
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by("item")  # rows come in any order
+        sizes = g["length"].to_numpy()
+        elites = [g[c].to_numpy() for c in ("bin", "guest") if c in g.column_names]
+        bins = evolve(sizes, elites, cap, population, generations, hash((g["block"][0].as_py(), g["island"][0].as_py(), epoch)) & 0x7FFFFFFF)
         n, fill = fitness(sizes, bins, cap)
-        return pd.DataFrame({"block": g["block"], "island": g["island"], "item": g["item"], "length": g["length"], "bin": bins.astype(np.int64), "n_bins": -n, "fill": fill})
+        rows = len(sizes)
+        return pa.table([g["block"], g["island"], g["item"], g["length"], pa.array(bins.astype(np.int64)), pa.array(np.full(rows, -n)), pa.array(np.full(rows, fill))], ["block", "island", "item", "length", "bin", "n_bins", "fill"])
 
     return run
 
@@ -163,7 +182,7 @@ def pack_items(items: DataFrame, cap: int, level: int, block_items: int, islands
     g = items.select(F.pmod(F.xxhash64(F.lit(level), "item"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "item", "length")
     out = "block long, island int, item long, length long, bin long, n_bins long, fill double"
     for epoch in range(epochs):
-        g = cut(g.groupBy("block", "island").applyInPandas(_island(cap, population, generations, epoch), out))
+        g = cut(g.groupBy("block", "island").applyInArrow(_island(cap, population, generations, epoch), out))
         if epoch + 1 < epochs and islands > 1:  # the elite goes to the next island
             guest = g.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "item", F.col("bin").alias("guest"))
             g = g.drop("n_bins", "fill").join(guest, ["block", "island", "item"])
@@ -172,9 +191,9 @@ def pack_items(items: DataFrame, cap: int, level: int, block_items: int, islands
     return g.select("item", "length", F.lit(level).alias("level"), "block", "bin", F.sum("length").over(Window.partitionBy("block", "bin")).alias("used"))
 
 
-def pack(docs: DataFrame, cap: int = 2048, ranks_path: str | None = None, block_items: int = 8192, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 12, levels: int = 3, spare: float = 0.01) -> DataFrame:
+def pack(docs: DataFrame, cap: int = 2048, ranks_path: str | None = None, json_path: str | None = None, block_items: int = 8192, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 12, levels: int = 3, spare: float = 0.01) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row a piece."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(ranks_path, cap), PIECES)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_pieces(ranks_path, json_path, cap)), PIECES)
     pieces = cut(pieces).withColumn("item", F.monotonically_increasing_id())  # of cut rows, so it stays
     todo, done = cut(pieces.where(F.col("length") < cap).select("item", "length")), None
     for level in range(levels):

@@ -16,11 +16,21 @@ windows are its context.
 4. Runs of repeated starts are gathered by document and their bytes cut out.
 
 An anchor with more than `hot` contexts is split: its windows are dealt by slices of
-offsets and by a hash of the bytes that all windows of the slice share.
+offsets and by a hash of the bytes that all windows of the slice share. Equal slices are
+pre-aggregated like contexts, so only one of each goes to the sort; the slices of a key
+that has more than `hot` different ones are taken apart to windows, and these are counted
+by hash. So no group grows with the number of documents that hold a passage.
+
+Equal contexts, and windows of such crowded slices, are told by 128-bit hashes alone; what
+the sort finds is verified.
+
+shared_passages() finds documents that hold a passage of many words, found in another
+document as well, whatever its bytes: by winnowed hashes of word k-grams, of which any two
+documents with a common run of `words` words have one in common.
 
 Cases: null text is empty. Texts shorter than `length` bytes lose nothing. Repeated rows
 are copies of each other and lose all that is long enough. A document is told apart by
-doc_id (null is an id like others) and text. Other columns pass through.
+doc_id (null is an id like others) and text. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -33,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import cut, table
+from muxlake.llm.common import released, table
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -206,7 +216,7 @@ def repeated(contexts: list[bytes], keys: np.ndarray, before: np.ndarray, counts
     return np.split(found, np.cumsum(counts)[:-1])
 
 
-CONTEXT = "key long, doc_id long, text_hash long, first long, before int, n int, single boolean, bytes binary"
+CONTEXT = "key long, doc_id long, text_hash long, first long, before int, n int, single boolean, bytes binary, d1 long, d2 long"
 
 
 def _contexts(length: int):
@@ -220,20 +230,41 @@ def _contexts(length: int):
                 for w in wanted:
                     pos, first, last = w["pos"], w["first"], w["last"]
                     if not w["hot"]:
-                        rows.append((w["anchor"], doc_id, text_hash, first, pos - first, last - first + 1, w["single"], data[first : last + length]))
+                        rows.append((w["anchor"], doc_id, text_hash, first, pos - first, last - first + 1, w["single"], data[first : last + length], None, None))
                         continue
                     for q in range((pos - last) // SLICE, (pos - first) // SLICE + 1):
                         s, e = max(first, pos - q * SLICE - SLICE + 1), min(last, pos - q * SLICE)
                         core = data[pos - q * SLICE : pos - q * SLICE - SLICE + 1 + length]
                         key = xxhash.xxh3_64_intdigest(core, (w["anchor"] + q * BASE) & 0xFFFFFFFFFFFFFFFF)
-                        rows.append((key - (1 << 63), doc_id, text_hash, s, pos - s, e - s + 1, w["single"], data[s : e + length]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            types = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["key", "doc_id", "text_hash", "first", "before", "n", "single", "bytes"])
+                        part = data[s : e + length]
+                        d = xxhash.xxh3_128_digest(part, pos - s)
+                        rows.append((key - (1 << 63), doc_id, text_hash, s, pos - s, e - s + 1, w["single"], part, *(int.from_bytes(x, "big", signed=True) for x in (d[:8], d[8:]))))
+            cols = list(zip(*rows, strict=True)) or [[]] * 10
+            types = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["key", "doc_id", "text_hash", "first", "before", "n", "single", "bytes", "d1", "d2"])
 
     return run
 
 
+def _windows(length: int):
+    """The windows of slices, by 128-bit hash."""
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for key, doc_id, text_hash, first, before, n, single, data in zip(*(b[c].to_pylist() for c in CONTEXT_COLUMNS), strict=True):
+                for i in range(n):
+                    d = xxhash.xxh3_128_digest(data[i : i + length], (key + before - i) & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc_id, text_hash, first + i, single))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(),) * 5 + (pa.bool_(),), strict=True)], ["w1", "w2", "doc_id", "text_hash", "first", "single"])
+
+    return run
+
+
+CONTEXT_COLUMNS = ["key", "doc_id", "text_hash", "first", "before", "n", "single", "bytes"]
+
+
 def _sorted_repeats(length: int, block: int = 2 << 20):
     """Over rows in order of key: whole keys, blocks of about `block` bytes at a time."""
 
@@ -276,13 +307,68 @@ def repeat_spans(docs: DataFrame, length: int = 400, k: int = 64, hot: int = 409
     whole = found.join(kinds.where("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").select("doc_id", "text_hash", "first", "last")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "anchor").select("o.doc_id", "o.text_hash", F.struct("anchor", "o.pos", "o.first", "o.last", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot")).alias("w"))
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
-    rows = with_rows(docs, wanted, "inner")
-    rows = rows.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
-    ends = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_repeats(length), "doc_id long, text_hash long, first long, last long")
+    rows = contexts(docs, wanted.where("NOT w.hot"), length).select(*CONTEXT_COLUMNS)
+    if not several.where(F.col("kinds") > hot).isEmpty():
+        some, more = settle_slices(contexts(docs, wanted.where("w.hot"), length), length, hot)
+        whole, rows = whole.unionByName(some), rows.unionByName(more)
+    ends = rows.repartition("key").sortWithinPartitions("key").mapInArrow(released(_sorted_repeats(length)), "doc_id long, text_hash long, first long, last long")
     return whole.unionByName(ends).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
+def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
+    return with_rows(docs, wanted, "inner").select("doc_id", "text_hash", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
+
+
+def settle_slices(slices: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Slices of hot anchors -> runs of window starts that repeat, and one slice of each kind that is left to sort."""
+    slices = table(slices)
+    owner = F.min(F.struct("doc_id", "text_hash", "first", "before", "single")).alias("o")
+    kinds = table(slices.groupBy("key", "d1", "d2", "n").agg(F.count("*").alias("c"), owner, F.first("bytes").alias("bytes")))
+    equal = kinds.where("c > 1").select("key", "d1", "d2", "n")
+    whole = slices.where("single").join(equal, ["key", "d1", "d2", "n"], "left_semi").select("doc_id", "text_hash", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    left = kinds.join(several, "key").select("key", "o.doc_id", "o.text_hash", "o.first", "o.before", "n", (F.col("o.single") & (F.col("c") == 1)).alias("single"), "bytes", "kinds")
+    windows = left.where(F.col("kinds") > hot).select(*CONTEXT_COLUMNS).mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, text_hash long, first long, single boolean")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+    found = windows.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", "first", F.col("first").alias("last"))
+    return whole.unionByName(found), left.where(F.col("kinds") <= hot).select(*CONTEXT_COLUMNS)
+
+
+def _fingerprints(k: int, words: int):
+    """Of each run of words - k + 1 word k-grams the one of least hash, once a document."""
+
+    def run(batches):
+        for b in batches:
+            ids, hashes, found = [], [], []
+            for doc_id, text_hash, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
+                w = (text or "").split()
+                if len(w) < words:
+                    continue
+                g = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, len(w))
+                up = powers(BASE, len(g))
+                prefix = np.r_[np.zeros(1, np.uint64), np.cumsum(g * up)]
+                g = scrambled((prefix[k:] - prefix[:-k]) * powers(INVERSE, len(g) - k + 1))
+                f = np.unique(window_minimum(g, words - k + 1))
+                found.append(f.view(np.int64))
+                ids += [doc_id] * len(f)
+                hashes += [text_hash] * len(f)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], ["doc_id", "text_hash", "print"])
+
+    return run
+
+
+def shared_passages(docs: DataFrame, words: int = 51, k: int = 36) -> DataFrame:
+    """(doc_id, text_hash, n_shared): documents that share a run of `words` words with a document of another doc_id, and how many of their fingerprints others have.
+
+    A shared run of `words` is always found, one of fewer than k never; between, it may be. docs: told_apart().
+    """
+    prints = docs.mapInArrow(released(_fingerprints(k, words)), "doc_id long, text_hash long, print long")
+    own = F.coalesce("doc_id", F.lit(-1))
+    shared = prints.groupBy("print").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a < b").select("print")
+    return prints.join(shared, "print", "left_semi").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_shared"))
+
+
 def removed(spans: list | None, length: int) -> list[tuple[int, int]]:
     """Maximal byte runs [start, end) that the windows of spans cover."""
     out: list[list[int]] = []
@@ -305,9 +391,10 @@ def with_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.join(r, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), how).drop("__id", "__hash")
 
 
-def substring_dedup(docs: DataFrame, length: int = 400, **options) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept): removed is an array of maximal byte runs [start, end), kept the other bytes."""
+def substring_dedup(docs: DataFrame, length: int = 400, words: int = 51, **options) -> DataFrame:
+    """(doc_id, n_bytes, removed, kept, shares_passage): removed is an array of maximal byte runs [start, end), kept the other bytes; shares_passage tells of a passage of `words` words in another document."""
     docs = told_apart(docs)
+    names = ["doc_id", "n_bytes", "removed", "kept", "shares_passage"]
 
     def run(batches):
         for b in batches:
@@ -316,14 +403,15 @@ def substring_dedup(docs: DataFrame, length: int = 400, **options) -> DataFrame:
                 data = (text or "").encode()
                 r = removed(s, length)
                 n.append(len(data)), runs.append([list(x) for x in r]), kept.append(kept_bytes(data, r))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), b["n_shared"].is_valid()], names)
 
-    return with_rows(docs, repeat_spans(docs, length, **options), "left").mapInArrow(run, "doc_id long, n_bytes long, removed array<array<long>>, kept binary")
+    spans, shared = repeat_spans(docs, length, **options), shared_passages(docs, words)
+    both = spans.withColumn("n_shared", F.lit(None).cast("long")).unionByName(shared.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    both = both.groupBy("doc_id", "text_hash").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("n_shared").alias("n_shared"))
+    return with_rows(docs, both, "left").mapInArrow(released(run), "doc_id long, n_bytes long, removed array<array<long>>, kept binary, shares_passage boolean")
 
 
 def digests(deduped: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage)."""
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
-    return deduped.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
+    return deduped.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")

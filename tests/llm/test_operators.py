@@ -168,7 +168,7 @@ def test_substring_dedup(docs, empty, corpus, length, k, hot):
     from muxlake.llm.suffix_dedup import digests, substring_dedup
 
     out = substring_dedup(docs, length, k=k, hot=hot)
-    got = Counter(tuple(r.values()) for r in of(digests(out)))
+    got = Counter(tuple(r.values())[:5] for r in of(digests(out)))
     want = brute_substrings([(t or "").encode() for _, t, *_ in corpus], length)
     assert got == Counter((i, *w) for (i, *_), w in zip(corpus, want))
     assert of(substring_dedup(empty)) == []

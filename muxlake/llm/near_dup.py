@@ -16,16 +16,14 @@ M / (n1 + n2 - M) >= similarity. Classes are the connected components of the lin
    only once. Shingles of both sides meet in one salted join by hub; a first bound by the
    common labelled shingles, then the alignment, accept a pair.
 4. Components come from min-label steps over the links, cut to the shared folder.
-5. The next round goes over buckets that still hold more than one class: their key is
-   joined with another sketch of each member, which parts unrelated documents that share
-   a passage, and hubs are drawn anew. Pairs within one class are not emitted. There are
-   `rounds` of these.
-6. What is left is settled exactly. Of each document in a bucket (of one sketch) that
-   still holds several classes, the rarest labelled shingles are taken, so many that two
-   documents of the wanted similarity have one in common (a prefix filter; the order is by
-   counts in 2**bits bins). Documents that share a shingle there and agree in length are
-   compared to hubs, the most central document first and more hubs each time, until no
-   shingle has documents of two classes that were not compared.
+5. Buckets that still hold several classes are settled exactly. Of each document in one,
+   the rarest labelled shingles are taken, so many that two documents of the wanted
+   similarity have one in common (a prefix filter; the order is by counts in 2**bits
+   bins). The place of a shared shingle in both orders bounds what the two can have in
+   common (a positional filter), so unrelated documents that share a passage don't meet.
+   Documents that may be similar are compared to hubs, the most central document first and
+   more hubs each time, until no shingle has documents of two classes that were not
+   compared. There is no limit on rounds or partners.
 
 At similarity s a pair shares one sketch with probability about s**order, so 24 sketches
 of order 3 miss 3e-8 of pairs at 0.8; the tests hold the links against brute force.
@@ -48,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import join_small, table
+from muxlake.llm.common import free_name, join_small, released, table
 
 WORD = re.compile(r"\w+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -106,37 +104,55 @@ def sketch(s: np.ndarray, sketches: int, order: int, seed: int = 1) -> np.ndarra
     return np.concatenate(out).view(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
-    """Similarity by the longest common subsequence within the band that the threshold leaves; 0 if it can't be reached."""
+def aligned(a: np.ndarray, b: np.ndarray, similarity: float, x: np.ndarray | None = None, y: np.ndarray | None = None) -> float:
+    """Similarity by the longest common subsequence within the band that the threshold leaves; 0 if it can't be reached. x, y: labelled(a), labelled(b)."""
     if not len(a) or not len(b):
         return 0.0
-    least = similarity / (1 + similarity) * (len(a) + len(b))  # M that is needed
+    least = similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9  # M that is needed
     if min(len(a), len(b)) < least:
         return 0.0
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    x, y = labelled(a), labelled(b)
+    x, y = labelled(a) if x is None else x, labelled(b) if y is None else y
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if len(common) < least:
         return 0.0
-    band = len(a) + len(b) - 2 * least
+    band = math.floor(len(a) + len(b) - 2 * least)
     of = lambda m: m / (len(a) + len(b) - m)
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
     m = increasing(j[np.argsort(i)])
-    if m >= least:
-        return of(m)
-    # Repeats may align better across labels: all equal shingles within the band.
-    at: dict[int, list[int]] = {}
-    for p, v in enumerate(b.tolist()):
-        at.setdefault(v, []).append(p)
-    tails: list[int] = []
+    if m < least:  # repeats may align better across labels
+        m = banded_lcs(a, b, band)
+    return of(m) if m >= least else 0.0
+
+
+def banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Longest common subsequence of matches at most `band` places apart, by bits: a whole number holds the band around a's place, a zero bit for each place of b where the length grows."""
+    at: dict[int, int] = {}
+    for v in np.unique(b).tolist():
+        at[v] = int.from_bytes(np.packbits(b == v, bitorder="little").tobytes(), "little") if len(b) < 4096 else 0
+    if len(b) >= 4096:  # one pass over the places, as there may be many values
+        order = np.argsort(b, kind="stable")
+        edges = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]])
+        for places in np.split(order, edges[1:]):
+            bits = np.zeros(-(-(int(places[-1]) + 1) // 8), np.uint8)
+            np.bitwise_or.at(bits, places // 8, (1 << (places % 8)).astype(np.uint8))
+            at[int(b[places[0]])] = int.from_bytes(bits.tobytes(), "little")
+    width = 2 * band + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    state, done = full, 0
     for p, v in enumerate(a.tolist()):
-        for q in reversed(at.get(v, ())):
-            if abs(p - q) <= band:
-                t = bisect_left(tails, q)
-                tails[t : t + 1] = [q]
-    return of(len(tails)) if len(tails) >= least else 0.0
+        if p:  # the band moves on by a place
+            done += 1 - (state & 1)
+            state = (state >> 1) | top
+        places = at.get(v)
+        if places:
+            low = p - band
+            hit = state & (places >> low if low >= 0 else places << -low)
+            if hit:
+                state = ((state + hit) | (state - hit)) & full
+    return done + width - state.bit_count()
 
 
 def increasing(x: np.ndarray) -> int:
@@ -176,10 +192,16 @@ def _sequences(k: int):
 
 def _verify(similarity: float):
     def run(batches):
+        hub = hub_seq = hub_labels = None
         for b in batches:
-            s = [aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(b["seq"].to_pylist(), b["hub_seq"].to_pylist(), strict=True)]
-            keep = [i for i, x in enumerate(s) if x >= similarity]
-            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(keep, pa.int64())), b["hub"].take(pa.array(keep, pa.int64())), pa.array([s[i] for i in keep], pa.float64())], ["a", "b", "similarity"])
+            found = []
+            for x, y in zip(b["seq"].to_pylist(), b["hub_seq"].to_pylist(), strict=True):
+                if y is not hub and y != hub:  # rows of a hub mostly come together
+                    hub, hub_seq = y, np.frombuffer(y, np.uint32)
+                    hub_labels = labelled(hub_seq)
+                found.append(aligned(np.frombuffer(x, np.uint32), hub_seq, similarity, y=hub_labels))
+            keep = [i for i, x in enumerate(found) if x >= similarity - 1e-9]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(keep, pa.int64())), b["hub"].take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.float64())], ["a", "b", "similarity"])
 
     return run
 
@@ -193,7 +215,7 @@ def verified(pairs: DataFrame, seqs: DataFrame, similarity: float, hot: int = 25
     hubs = salts.select(F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     hubs = seqs.join(mark(hubs), "id").select(F.col("id").alias("hub"), "salt", F.col("seq").alias("hub_seq"))
     both = seqs.join(mark(members), "id").join(hubs, ["hub", "salt"])
-    return both.select("id", "hub", "seq", "hub_seq").mapInArrow(_verify(similarity), "a long, b long, similarity double")
+    return both.select("id", "hub", "seq", "hub_seq").mapInArrow(released(_verify(similarity)), "a long, b long, similarity double")
 
 
 def components(links: DataFrame, start: DataFrame | None = None, max_steps: int = 40) -> DataFrame:
@@ -235,32 +257,53 @@ def _bins(bits: int):
 
 
 def _prefixes(sent, bits: int, similarity: float):
-    """The rarest labelled shingles of each document, as many as may be missing in a similar one and one more; central is its mean log count."""
+    """The rarest labelled shingles of each document, as many as may be missing in a similar one and one more.
+
+    most is the greatest size of a document that may still be similar if this shingle, at its place in the order by rarity, is the first that both have; central is the mean log count.
+    """
 
     def run(batches):
         counts = sent.value
         for b in batches:
-            ids, sizes, central, tokens = [], [], [], []
+            ids, sizes, most, central, tokens = [], [], [], [], []
             for doc_id, seq in zip(b["id"].to_pylist(), b["seq"].to_pylist(), strict=True):
                 t = tokens_of(seq)
                 c = counts[(t >> np.uint64(64 - bits)).astype(np.int64)]
                 first = np.lexsort((t, c))[: len(t) - math.ceil(similarity * len(t) - 1e-9) + 1]
-                first = t[first[c[first] > 1]]
-                tokens.append(first.view(np.int64))
-                ids += [doc_id] * len(first)
-                sizes += [len(t)] * len(first)
-                central += [float(np.log(c).mean())] * len(first)
+                place = np.flatnonzero(c[first] > 1)
+                tokens.append(t[first[place]].view(np.int64))
+                most += np.floor((len(t) - place) * ((1 + similarity) / similarity) - len(t) + 1e-6).astype(int).tolist()
+                ids += [doc_id] * len(place)
+                sizes += [len(t)] * len(place)
+                central += [float(np.log(c).mean())] * len(place)
             tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(central, pa.float64()), pa.array(tokens)], ["id", "n", "central", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(most, pa.int64()), pa.array(central, pa.float64()), pa.array(tokens)], ["id", "n", "most", "central", "token"])
 
     return run
 
 
+#: A key's rows are spread over so many salts where they meet the one row of their key.
+SALTS = 8
+
+
+def with_key(rows: DataFrame, small: DataFrame, *key: str) -> DataFrame:
+    """rows (id, key, ...) joined with the one row that small has of their key; a hot key's rows are spread by id."""
+    dealt = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(dealt, [*key, "salt"]).drop("salt")
+
+
 def mixed_classes(rows: DataFrame, labels: DataFrame, *key: str) -> DataFrame:
     """rows (id, key) with the label of each, where a key has several labels."""
     at = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = at.groupBy(*key).agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
-    return at.join(split, list(key))
+    return with_key(at, split, *key)
+
+
+def comparable(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """tokens with labels, without the rows that can't be similar to a row of their token in another class: by the sizes that both allow."""
+    at = tokens.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    span = at.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("least_n"), F.max("most").alias("greatest")).where("l0 < l1")
+    return with_key(at, span, "token").where("least_n <= most AND n <= greatest").drop("l0", "l1", "least_n", "greatest")
 
 
 def settled(flat: DataFrame, labels: DataFrame, seqs: DataFrame, similarity: float, bits: int = 20) -> DataFrame:
@@ -273,32 +316,32 @@ def settled(flat: DataFrame, labels: DataFrame, seqs: DataFrame, similarity: flo
     found = own.mapInArrow(_bins(bits), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits rows
     counts = np.zeros(1 << bits, np.int64)
     counts[found["bin"].to_numpy()] = found["n"].to_numpy()
-    tokens = table(own.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), bits, similarity), "id long, n long, central double, token long"))
+    tokens = table(own.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), bits, similarity), "id long, n long, most long, central double, token long"))
     many, tried = 1, None
     while True:
-        at = table(mixed_classes(tokens, labels, "token"))
+        at = table(comparable(tokens, labels))
         if at.isEmpty():
             return labels
-        best = F.min(F.struct(-F.col("central"), F.xxhash64("id"), F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n")))
-        hubs = table(at.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(many)).alias("lot")).agg(best.alias("h")).select("token", "h.hub", "h.hub_label", "h.hub_n"))
+        best = F.min(F.struct(-F.col("central"), F.xxhash64("id"), F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most")))
+        hubs = table(at.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(many)).alias("lot")).agg(best.alias("h")).select("token", "h.hub", "h.hub_label", "h.hub_n", "h.hub_most"))
         at = at.join(hubs.select("token", F.col("hub").alias("id"), F.lit(True).alias("spent")), ["token", "id"], "left")
-        alike = (F.col("label") != F.col("hub_label")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9)
-        pairs = at.join(hubs, "token").where(alike & (F.col("spent").isNull() | (F.col("id") < F.col("hub")))).select("id", "hub").distinct()
+        alike = (F.col("label") != F.col("hub_label")) & (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
+        pairs = with_key(at, hubs, "token").where(alike & (F.col("spent").isNull() | (F.col("id") < F.col("hub")))).select("id", "hub").distinct()
         if tried is not None:
             both = tried.unionByName(tried.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
             pairs = pairs.join(both, ["id", "hub"], "left_anti")
         pairs = table(pairs)
-        tokens = table(at.where("spent IS NULL").select("id", "n", "central", "token"))  # hubs were compared to all others
+        tokens = table(at.where("spent IS NULL").select("id", "n", "most", "central", "token"))  # hubs were compared to all others
         if not pairs.isEmpty():
             labels = components(table(verified(pairs, seqs, similarity)), labels)
             tried = pairs if tried is None else table(tried.unionByName(pairs))
-        many *= 8
+        many *= 32
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 3, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 3) -> DataFrame:
     """(doc_id, class_id): a row for each row of docs; class_id is the least doc_id of the class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = table(docs.mapInArrow(_sketches(k, sketches, order), "doc_id long, p1 long, p2 long, n long, keys array<long>"))
+    prints = table(docs.mapInArrow(released(_sketches(k, sketches, order)), "doc_id long, p1 long, p2 long, n long, keys array<long>"))
     known = prints.where("doc_id IS NOT NULL AND n > 0")
     reps = known.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))
     member = table(known.select("doc_id", "p1", "p2", "n").join(reps, ["p1", "p2", "n"]).select("doc_id", "rep", F.xxhash64("p1", "p2", "n").alias("print")).distinct())
@@ -310,22 +353,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     keyed = keyed.select(F.col("doc_id").alias("id"), "keys").distinct()
     flat = keyed.select("id", F.posexplode("keys").alias("i", "key"))
     crowded = flat.groupBy("i", "key").agg((F.min("id") < F.max("id")).alias("many")).where("many").drop("many")
-    flat = table(flat.join(crowded, ["i", "key"]))
+    flat = table(with_key(flat, crowded, "i", "key"))
     inside = table(flat.select(F.col("id").alias("doc_id")).distinct())
-    seqs = table(join_small(docs, inside, "doc_id", "inner", rows=IDS).mapInArrow(_sequences(k), "id long, seq binary"))
+    seqs = table(join_small(docs, inside, "doc_id", "inner", rows=IDS).mapInArrow(released(_sequences(k)), "id long, seq binary"))
     labels = docs.sparkSession.createDataFrame([], "id long, label long") if ties.isEmpty() else components(ties)
-    for r in range(rounds):
-        at = flat.join(labels, "id", "left").select("id", "i", "key", F.coalesce("label", "id").alias("label"))
-        if r:  # where several classes are left, the key goes with another sketch
-            split = at.groupBy("i", "key").agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
-            at = table(at.join(split, ["i", "key"]))
-            second = flat.select("id", F.pmod(F.col("i") - r, F.lit(sketches)).alias("i"), F.col("key").alias("second"))
-            at = at.join(second, ["id", "i"]).select("id", "i", F.xxhash64("key", "second").alias("key"), "label")
-        first = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("p"), F.col("id").alias("hub"), F.col("label").alias("hub_label")))
-        hubs = at.groupBy("i", "key").agg(first.alias("h")).select("i", "key", "h.hub", "h.hub_label")
-        pairs = table(at.join(hubs, ["i", "key"]).where("label <> hub_label").select("id", "hub").distinct())
-        if not pairs.isEmpty():
-            labels = components(table(verified(pairs, seqs, similarity)), labels)
+    at = flat.join(labels, "id", "left").select("id", "i", "key", F.coalesce("label", "id").alias("label"))
+    first = F.min(F.struct(F.xxhash64("id").alias("p"), F.col("id").alias("hub"), F.col("label").alias("hub_label")))
+    hubs = at.groupBy("i", "key").agg(first.alias("h")).select("i", "key", "h.hub", "h.hub_label")
+    pairs = table(with_key(at, hubs, "i", "key").where("label <> hub_label").select("id", "hub").distinct())
+    if not pairs.isEmpty():
+        labels = components(table(verified(pairs, seqs, similarity)), labels)
     labels = settled(flat, labels, seqs, similarity)
     least = member.join(labels, member["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return prints.select("doc_id").join(least, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -333,5 +370,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose class has a smaller doc_id; rows of null doc_id stay."""
-    gone = near_duplicates(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    name = free_name(docs, "gone_id")
+    gone = near_duplicates(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(name), "left_anti")

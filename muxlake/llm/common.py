@@ -18,7 +18,7 @@ BLANKS = "\t\n\x0b\x0c\r "
 
 
 #: Most bytes of one Arrow batch between Spark and Python, so that a batch of long texts stays small.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: Folders written by table() that are still there, by application.
 WRITTEN: dict[str, list[str]] = {}
 

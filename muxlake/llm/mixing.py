@@ -62,12 +62,13 @@ def rates(words: DataFrame, max_repeat: int) -> DataFrame:
     return s.groupBy("source").agg(F.coalesce(F.max(F.when(~F.col("stops"), F.col("level"))), F.max(max_repeat / F.col("lean"))).alias("rate"))
 
 
-def numbered(full: DataFrame) -> DataFrame:
-    """full with a number `nth` among the rows of the same source and h; a group of many is numbered partition by partition."""
-    twice = table(full.groupBy("source", "h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("source").alias("__s"), F.col("h").alias("__h")))
-    one = full.withColumn("nth", F.lit(0).cast("long"))
-    if twice.isEmpty():
-        return one
+def repeats(base: DataFrame) -> DataFrame:
+    """(__s, __h): source and h that several rows of base share."""
+    return table(base.groupBy("source", "h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("source").alias("__s"), F.col("h").alias("__h")))
+
+
+def numbered(full: DataFrame, twice: DataFrame) -> DataFrame:
+    """full, where h of rows that share it with others goes with their number; a group of many is numbered partition by partition."""
     same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("h") == F.col("__h"))
     again = table(full.join(twice, same, "left_semi")).withColumn("part", F.spark_partition_id())
     counts = again.groupBy("source", "h", "part").agg(F.count("*").alias("c"))
@@ -75,34 +76,39 @@ def numbered(full: DataFrame) -> DataFrame:
     first = counts.select(F.col("source").alias("__s"), F.col("h").alias("__h"), F.col("part").alias("__p"), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("first"))
     own = again.withColumn("nth", F.row_number().over(Window.partitionBy("source", "h", "part").orderBy("size")).cast("long") - 1)
     own = own.join(first, same & (F.col("part") == F.col("__p"))).withColumn("nth", F.col("nth") + F.col("first"))
-    own = table(own.select(*one.columns))
-    return one.join(twice, same, "left_anti").unionByName(own)
+    own = table(own.withColumn("h", F.when(F.col("nth") > 0, F.xxhash64("h", "nth")).otherwise(F.col("h"))).select(*full.columns))
+    return full.join(twice, same, "left_anti").unionByName(own)
 
 
 def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, size_power: float = 0.25, max_repeat: int = 3, cycle: int = 3, fills: int = 3) -> DataFrame:
     """docs and, as last column, a struct `mix` (size, source_size, target, copies, taken)."""
-    size = word_count(docs["text"])
-    lean = F.greatest(F.coalesce(docs[propensity].cast("double"), F.lit(1.0)), F.lit(0.0)) if propensity else F.pow(F.greatest(size, F.lit(1)), F.lit(size_power))
-    lean = F.when(lean > 0, F.pow(F.lit(2.0), F.round(F.log2(lean) * 8) / 8)).otherwise(0.0)
+    lean = docs[propensity].cast("double") if propensity else F.lit(None).cast("double")
     h = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
-    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), size.alias("size"), lean.alias("lean"), h.alias("h"))
-    full = numbered(full)
-    full = full.withColumn("h", F.when(F.col("nth") > 0, F.xxhash64("h", "nth")).otherwise(F.col("h"))).drop("nth")
+    full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), lean.alias("lean"), h.alias("h"))
     base = table(full.drop("row"))
-    sums = table(base.groupBy("source", "lean").agg(F.sum("size").alias("words")))
+    twice = repeats(base)
+    if not twice.isEmpty():
+        full = numbered(full, twice)
+        base = table(full.drop("row"))
+
+    def leaning(df: DataFrame) -> DataFrame:
+        given = F.coalesce("lean", F.lit(1.0)) if propensity else F.pow(F.greatest("size", F.lit(1)), F.lit(size_power))
+        return df.withColumn("lean", given).withColumn("lean", F.when(F.col("lean") > 0, F.pow(F.lit(2.0), F.round(F.log2("lean") * 8) / 8)).otherwise(0.0))
+
+    sums = table(leaning(base).groupBy("source", "lean").agg(F.sum("size").alias("words")))
     t = table(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, max_repeat).select("source", "source_size", "target"))
     t = with_source(t, rates(with_source(sums, t), max_repeat))
     t = table(t.withColumn("rate", F.coalesce("rate", F.lit(0.0))))
+    rate = t.select("source", "rate")
 
     def ranked(df: DataFrame) -> DataFrame:
-        """Adds whole, the rank q (null where nothing is left to chance), and its bins: bin, and fine within it."""
-        u = (F.shiftrightunsigned("h", 11) + F.lit(0.5)) * F.lit(2.0**-53)
-        expected = F.least(F.col("rate") * F.col("lean"), F.lit(float(max_repeat)))
-        whole = F.floor(expected + 1e-9)
-        p = F.when(expected - whole > 1e-9, F.least(F.lit(1 - 1e-9), expected - whole))
-        df = df.withColumn("whole", whole).withColumn("q", u / (1 - u) * (1 - p) / p)
-        at = F.col("q") / (1 + F.col("q")) * BINS
-        return df.withColumn("bin", F.floor(at).cast("int")).withColumn("fine", F.floor((at - F.floor(at)) * BINS).cast("int"))
+        """Adds whole, the rank q (null where nothing is left to chance), and its bins: bin, and fine within it. A column a step, so that none is computed twice."""
+        df = leaning(with_source(df, rate)).withColumn("expected", F.least(F.col("rate") * F.col("lean"), F.lit(float(max_repeat))))
+        df = df.withColumn("whole", F.floor(F.col("expected") + 1e-9)).withColumn("p", F.col("expected") - F.col("whole"))
+        df = df.withColumn("p", F.when(F.col("p") > 1e-9, F.least(F.lit(1 - 1e-9), "p"))).withColumn("u", (F.shiftrightunsigned("h", 11) + F.lit(0.5)) * F.lit(2.0**-53))
+        df = df.withColumn("q", F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")).withColumn("at", F.col("q") / (1 + F.col("q")) * BINS)
+        df = df.withColumn("bin", F.floor("at").cast("int")).withColumn("fine", F.floor((F.col("at") - F.col("bin")) * BINS).cast("int"))
+        return df.drop("rate", "expected", "lean", "p", "u", "at")
 
     def edge_of(hist: DataFrame, name: str) -> DataFrame:
         """Of each source the last bin that begins within what is left to sample, and the words before it. hist: source, bin, words, left."""
@@ -110,30 +116,31 @@ def mix(docs: DataFrame, seed: int = 17, propensity: str | None = None, size_pow
         hist = hist.withColumn("before", F.sum("words").over(in_order) - F.col("words")).where(F.col("before") <= F.col("left"))
         return hist.groupBy("source").agg(F.max("bin").alias(name), F.max("before").alias("before"), F.max("left").alias("left"))
 
-    hist = table(ranked(with_source(base, t)).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target")))
+    base = table(ranked(base))
+    t = t.drop("rate")
+    hist = base.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    hist = table(with_source(hist, t))
     left = hist.groupBy("source").agg(F.greatest(F.first("target") - F.sum("certain"), F.lit(0.0)).alias("left"))
-    t = table(with_source(t, edge_of(with_source(hist.where("bin IS NOT NULL").select("source", "bin", "words"), left), "edge")))
-    near = ranked(with_source(base, t)).where(F.col("bin") == F.col("edge"))
+    edges = table(with_source(t, edge_of(with_source(hist.where("bin IS NOT NULL").select("source", "bin", "words"), left), "edge")))
+    near = table(with_source(base, edges.select("source", "edge", "before", "left")).where(F.col("bin") == F.col("edge")))
     within = near.groupBy("source", F.col("fine").alias("bin")).agg(F.sum("size").alias("words"), F.first(F.col("left") - F.col("before")).alias("left"))
     fine = edge_of(within, "fine_edge").select("source", "fine_edge", F.col("before").alias("further"))
-    t = with_source(t, fine)
-    t = table(t.withColumn("before", F.col("before") + F.coalesce("further", F.lit(0))).drop("further"))
+    edges = with_source(edges, fine)
+    edges = table(edges.withColumn("before", F.col("before") + F.coalesce("further", F.lit(0))).drop("further"))
     w = Window.partitionBy("source").orderBy("q", "h").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = ranked(with_source(base, t)).where((F.col("bin") == F.col("edge")) & (F.col("fine") == F.col("fine_edge")))
+    at_edge = with_source(near.drop("edge", "before", "left"), edges).where(F.col("fine") == F.col("fine_edge"))
     ended = at_edge.withColumn("sum", F.col("before") + F.sum("size").over(w)).where(F.col("sum") <= F.col("left"))
-    t = table(with_source(t, ended.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("sum").alias("sum"))))
+    t = with_source(edges, ended.groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("sum").alias("sum")))
     up_to = (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & ((F.col("fine") < F.col("fine_edge")) | (F.col("fine") == F.col("fine_edge")) & (F.struct("q", "h") <= F.col("last")))
-    sampled = F.coalesce(up_to, F.lit(False))
-    t = t.select("*", (F.col("left") - F.coalesce("sum", "before")).alias("gap"), F.array().cast("array<struct<q:double,h:bigint>>").alias("fills"))
-    taken = sampled | F.coalesce(F.array_contains("fills", F.struct("q", "h")), F.lit(False))
+    t = table(t.select("*", (F.col("left") - F.coalesce("sum", "before")).alias("gap"), F.array().cast("array<struct<q:double,h:bigint>>").alias("fills")))
+    taken = F.coalesce(up_to, F.lit(False)) | F.coalesce(F.array_contains("fills", F.struct("q", "h")), F.lit(False))
     for i in range(fills):  # the last one may pass the target
         most = F.col("gap") if i + 1 < fills else 2 * F.col("gap") - 1e-6
-        rest = ranked(with_source(base, t)).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") <= most) & F.col("q").isNotNull())
+        rest = with_source(base, t).where(~taken & (F.col("size") > 0) & (F.col("whole") < max_repeat) & (F.col("size") <= most) & F.col("q").isNotNull())
         found = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "q", "h", "size")).alias("fill"))
         t = with_source(t, found).withColumn("gap", F.col("gap") - F.coalesce("fill.size", F.lit(0)))
         t = table(t.withColumn("fills", F.when(F.col("fill").isNull(), F.col("fills")).otherwise(F.array_append("fills", F.struct("fill.q", "fill.h")))).drop("fill"))
-    copies = (F.col("whole") + taken.cast("int")).cast("int")
-    out = ranked(with_source(full, t)).withColumn("copies", copies)
+    out = with_source(ranked(full), t).withColumn("copies", (F.col("whole") + taken.cast("int")).cast("int"))
     return out.select("row.*", F.struct("size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")).alias(free_name(docs, "mix")))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents, table
+from muxlake.llm.common import WRITTEN, documents, drop_tables, table
 from muxlake.llm.langid import identified
 from muxlake.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from muxlake.llm.mixing import repeat_rows
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The packed rows of documents. What a stage wrote for itself is deleted once its result is written; only the last stage's remains."""
+    docs, app = documents(spark, sf_dir), spark.sparkContext.applicationId
+    others = list(WRITTEN.get(app, []))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = table(docs)
+            drop_tables(spark, but=[*others, WRITTEN[app][-1]])
     return docs

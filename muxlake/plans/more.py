@@ -54,8 +54,7 @@ def p15(s, d):
 
 @query("p17_slice_by_address", f"SELECT stream_id, frame_no, i::INT AS sub_channel_id, 192 AS n_bytes FROM (SELECT *, unnest(range(u % 4)) AS i {BASE})")
 def p17(s, d):
-    h = sg.headers(s, d)
-    m = fr.explode_stc(h).join(h.select("stream_id", "frame_no", "raw"), ["stream_id", "frame_no"])
+    m = fr.explode_stc(sg.headers(s, d), keep_raw=True)
     return fr.slice_msc_by_address(m).select("stream_id", "frame_no", "sub_channel_id", F.octet_length("payload").alias("n_bytes"))
 
 

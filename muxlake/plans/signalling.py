@@ -96,7 +96,7 @@ def p13(s, d):
 @query("p16_slice_msc", f"SELECT stream_id, frame_no, i::INT AS sub_channel_id, 192 AS n_bytes, repeat('55', 192) AS payload FROM (SELECT *, unnest(range(u % 4)) AS i {BASE})")
 def p16(s, d):
     h = headers(s, d)
-    m = fr.slice_msc(h, fr.explode_stc(h))
+    m = fr.slice_msc(h)
     return m.select("stream_id", "frame_no", "sub_channel_id", F.octet_length("payload").alias("n_bytes"), F.hex("payload").alias("payload"))
 
 

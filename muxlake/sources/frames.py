@@ -13,8 +13,9 @@ from muxlake.functions.bits import bits, crc16_stored, u
 from muxlake.functions.times import micros
 
 FRAME_BYTES, FRAME_MS = 6144, 24
-# Sync words that a capture's frames may begin with.
-SYNC_NI, SYNC_LI = ["FFF8C549", "FF073AB6"], ["49931E03"]
+# Sync words that a capture's frames may begin with, and the one that tells LI.
+SYNC_WORDS = ["FF1F491F", "491F1FFF", "FF1FC4FF", "C4FF1FFF", "491FC4FF", "C4FF491F", "49931E03", "FFF8C549", "49C5F8FF", "FF073AB6", "B63A07FF"]
+SYNC_LI = "49931E03"
 
 
 #: Bytes from which an aligned capture is read in splits, not as one row. Spark's binaryFile can't read rows of 2 GB or more.
@@ -96,16 +97,16 @@ def capture_profile(spark: SparkSession, path: str, pattern: str = "*", split_by
 def detect_format(raw: Column) -> Column:
     """LI or NI by the sync, else unknown."""
     head = F.hex(F.substring(raw, 1, 4))
-    return F.when(head.isin(SYNC_LI), "LI").when(head.startswith("FFF8") | head.startswith("FF07"), "NI").otherwise("unknown")
+    return F.when((head == SYNC_LI), "LI").when(head.startswith("FFF8") | head.startswith("FF07"), "NI").otherwise("unknown")
 
 
 def valid_sync(raw: Column) -> Column:
-    return F.hex(F.substring(raw, 1, 4)).isin(SYNC_NI + SYNC_LI)
+    return F.hex(F.substring(raw, 1, 4)).isin(SYNC_WORDS)
 
 
 def corrupt_frame(raw: Column) -> Column:
     """Of another size, or all 00 or all FF."""
-    return (F.octet_length(raw) != FRAME_BYTES) | F.rlike(F.hex(raw), F.lit("^(00)*$|^(FF)*$"))
+    return (F.octet_length(raw) != FRAME_BYTES) | (raw == F.lit(bytes(FRAME_BYTES))) | (raw == F.lit(b"\xff" * FRAME_BYTES))
 
 
 def validate_capture(frames: DataFrame, least: int = 1) -> DataFrame:
@@ -123,8 +124,8 @@ def frame_header(frames: DataFrame, nst_offset: int = 0) -> DataFrame:
     )
 
 
-def explode_stc(headers: DataFrame) -> DataFrame:
-    """A row a sub-channel of each frame header, with its protection decoded."""
+def explode_stc(headers: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """A row a sub-channel of each frame header, with its protection decoded; with the frame where a slice of it is wanted."""
     h = headers.where("nst > 0").select("stream_id", "frame_no", "raw", F.explode(F.sequence(F.lit(0), F.col("nst") - 1)).alias("pos"))
     w = u(F.col("raw"), 8 + 4 * F.col("pos"), 4)
     tpl = bits(F.col("w"), 10, 6)
@@ -134,6 +135,7 @@ def explode_stc(headers: DataFrame) -> DataFrame:
         "stream_id", "frame_no", "pos", bits(F.col("w"), 26, 6).cast("int").alias("sub_channel_id"), bits(F.col("w"), 16, 10).cast("int").alias("start_address"), bits(F.col("w"), 0, 10).cast("int").alias("size"), uep.alias("uep"),
         F.when(~uep, bits(tpl, 2, 3)).cast("int").alias("protection_option"), F.when(~uep, bits(tpl, 0, 2) + 1).otherwise(bits(tpl, 0, 3) + 1).cast("int").alias("protection_level"),
         F.when(uep, bits(tpl, 3, 1)).cast("int").alias("table_switch"), F.when(uep, bits(tpl, 0, 3)).cast("int").alias("table_index"), (bits(F.col("w"), 0, 10) * 8).cast("int").alias("bitrate"),
+        *(["raw"] if keep_raw else []),
     )
 
 
@@ -157,16 +159,19 @@ def eoh_crc_ok(headers: DataFrame) -> DataFrame:
     return headers.withColumn("eoh_ok", crc16_stored(head) == u(F.col("raw"), 8 + 4 * F.col("nst") + 2, 2))
 
 
-def slice_msc(headers: DataFrame, stc: DataFrame) -> DataFrame:
-    """Payload of each sub-channel: 8 bytes a capacity unit, one after the other; those beyond the frame are dropped."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stream_id", "frame_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    s = stc.select("stream_id", "frame_no", "pos", "sub_channel_id", (F.col("size") * 8).alias("n"), F.coalesce(F.sum(F.col("size") * 8).over(w), F.lit(0)).alias("before"))
+def slice_msc(headers: DataFrame) -> DataFrame:
+    """Payload of each sub-channel: 8 bytes a capacity unit, one after the other; those beyond the frame are dropped. All of a frame's list is in its own row, so nothing is shuffled."""
     fic = F.when(F.col("ficf"), F.when(F.col("mid") == 3, 128).otherwise(96)).otherwise(0)
-    h = headers.select("stream_id", "frame_no", "raw", (12 + 4 * F.col("nst") + fic).alias("begin"))
-    m = s.join(h, ["stream_id", "frame_no"]).where(F.col("begin") + F.col("before") + F.col("n") <= F.octet_length("raw"))
-    return m.select("stream_id", "frame_no", "sub_channel_id", F.substring("raw", (F.col("begin") + F.col("before") + 1).cast("int"), F.col("n")).alias("payload"))
+    listed = F.filter(F.transform(F.sequence(F.lit(0), F.col("nst") - 1), lambda i: u(F.col("raw"), 8 + 4 * i, 4)), lambda w: w.isNotNull())
+    begin = F.struct((12 + 4 * F.col("nst") + fic).cast("long").alias("at"), F.array().cast("array<struct<sub_channel_id:int,at:bigint,n:bigint>>").alias("subs"))
+
+    def step(s: Column, w: Column) -> Column:
+        n = bits(w, 0, 10) * 8
+        return F.struct((s["at"] + n).alias("at"), F.array_append(s["subs"], F.struct(bits(w, 26, 6).cast("int").alias("sub_channel_id"), s["at"].alias("at"), n.alias("n"))).alias("subs"))
+
+    m = headers.where("nst > 0").select("stream_id", "frame_no", "raw", F.explode(F.aggregate(listed, begin, step, lambda s: s["subs"])).alias("x"))
+    m = m.where(F.col("x.at") + F.col("x.n") <= F.octet_length("raw"))
+    return m.select("stream_id", "frame_no", "x.sub_channel_id", F.substring("raw", (F.col("x.at") + 1).cast("int"), F.col("x.n").cast("int")).alias("payload"))
 
 
 def slice_msc_by_address(stc: DataFrame) -> DataFrame:
@@ -193,6 +198,9 @@ def frames_from_events(events: DataFrame) -> DataFrame:
 
     Every 50th frame has no sync, every 20th a broken CRC in its first block.
     """
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:  # a small table comes as one partition, but its frames are large
+        events = events.repartition(cores)
     e, user, eid = F.col("event_id"), F.col("user_id"), 4096 + F.col("user_id") % 8
     nst = (user % 4).cast("int")
     hex_ = lambda x, n: F.lpad(F.hex(x.cast("long")), 2 * n, "0")

@@ -56,7 +56,7 @@ packets = view("packets", "SELECT concat('S', user_id % 16) AS stream_id, CAST(e
 violations = view("violations", "SELECT concat('M', l_suppkey % 10) AS stream_id, l_orderkey AS frame_no, concat('R', l_linenumber) AS rule_id, l_returnflag AS category, CASE WHEN l_discount < 0.015 THEN 'critical' WHEN l_discount < 0.035 THEN 'error' WHEN l_discount < 0.075 THEN 'warning' WHEN l_discount < 0.095 THEN 'info' ELSE 'pass' END AS severity, l_linestatus = 'O' AS active FROM {lineitem}")
 alerts = view("alerts", "SELECT o_orderkey AS alert_id, o_orderdate AS ts, 6 - CAST(substring(o_orderpriority, 1, 1) AS INT) AS severity, CAST(o_custkey % 8 + 1 AS INT) AS category, o_orderstatus = 'O' AS active, o_orderstatus = 'P' AS acknowledged, o_orderstatus = 'F' AS resolved, o_totalprice AS amount FROM {orders}")
 services = view("services", "SELECT concat('M', c_nationkey) AS stream_id, c_custkey AS sid, CAST(c_custkey % 64 AS INT) AS sub_channel_id, CAST(4096 + c_nationkey AS INT) AS eid, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE c_name END AS label, CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'data' ELSE 'audio' END AS kind, CASE WHEN c_custkey % 4 = 0 THEN 'idle' ELSE 'active' END AS status, CASE WHEN c_custkey % 9 = 0 THEN 0.0 ELSE CAST(c_custkey % 101 AS DOUBLE) END AS signal, CAST(c_custkey % 13 AS DOUBLE) / 100 AS error_rate, c_custkey % 6 <> 0 AS etsi_ok, c_custkey % 5 <> 0 AS plan_ok, CAST(c_custkey % 3 * 225 AS INT) AS ecc, CAST(c_custkey % 4 AS INT) AS tmid, CAST(c_custkey % 64 AS INT) AS asc_ty FROM {customer}")
-subchannels = view("subchannels", "SELECT concat('M', s_nationkey) AS stream_id, CAST(s_suppkey % 64 AS INT) AS sub_channel_id, CAST(s_suppkey * 7 % 800 AS INT) AS start_address, CAST(24 + s_suppkey % 40 AS INT) AS size FROM {supplier} WHERE s_suppkey < 1000000")
+subchannels = view("subchannels", "SELECT concat('M', s_nationkey) AS stream_id, CAST(s_suppkey % 64 AS INT) AS sub_channel_id, CAST(s_suppkey * 7 % 800 AS INT) AS start_address, CAST(24 + s_suppkey % 40 AS INT) AS size FROM {supplier}")
 labels = view("labels_", "SELECT concat('M', c_nationkey) AS stream_id, c_custkey + 5 AS sid, upper(c_name) AS label FROM {customer} WHERE c_custkey % 3 <> 0")
 apps = view("apps", "SELECT concat('M', c_nationkey) AS stream_id, c_custkey AS sid, CAST(c_custkey % 5 AS INT) AS app_type FROM {customer}")
 schedule = view("schedule", "SELECT o_custkey AS service_id, o_orderkey AS event_id, o_orderdate AS start_time, o_orderdate + INTERVAL 10 DAYS AS end_time FROM {orders}")

@@ -63,13 +63,24 @@ def transit_difference(packets: DataFrame, clock: float = 48_000.0) -> DataFrame
     return packets.withColumn("difference", F.abs(arrived - stamped))
 
 
-def rtp_jitter(packets: DataFrame, alpha: float = 0.125, session: int = 512) -> DataFrame:
-    """Exponential mean of the transit difference, folded over sessions of `session` packets; each starts at its first difference."""
+def rtp_jitter(packets: DataFrame, alpha: float = 0.125, session: int = 65_536) -> DataFrame:
+    """Exponential mean of the transit difference at the end of each `session` packets of a stream; it begins with the first difference and goes on over sessions.
+
+    A session is a straight line of the mean before it: j -> a * j + b. Sessions are folded side by side, then their lines one after the other.
+    """
     d = transit_difference(packets).where("difference IS NOT NULL")
     d = d.withColumn("session", F.floor((F.row_number().over(of_stream(order="arrival")) - 1) / session))
     rows = d.groupBy("stream_id", "session").agg(F.array_sort(F.collect_list(F.struct(micros("arrival").alias("at"), "difference"))).alias("rows"))
-    fold = F.aggregate(F.slice(F.col("rows"), 2, session), F.col("rows")[0]["difference"], lambda j, r: j + (r["difference"] - j) * alpha)
-    return rows.select("stream_id", "session", F.size("rows").alias("n"), F.round(fold, 6).alias("jitter"))
+    line = F.aggregate("rows", F.lit(0.0), lambda j, r: j + (r["difference"] - j) * alpha)
+    rows = rows.select("stream_id", "session", F.size("rows").alias("n"), F.col("rows")[0]["difference"].alias("first"), line.alias("b"), F.pow(F.lit(1 - alpha), F.size("rows")).alias("a"))
+    of = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("session", "n", "first", "a", "b"))).alias("s"))
+    begin = F.struct(F.col("s")[0]["first"].alias("j"), F.array().cast("array<struct<session:bigint,n:int,jitter:double>>").alias("out"))
+
+    def step(z: Column, x: Column) -> Column:
+        j = x["a"] * z["j"] + x["b"]
+        return F.struct(j.alias("j"), F.array_append(z["out"], F.struct(x["session"].alias("session"), x["n"].alias("n"), j.alias("jitter"))).alias("out"))
+
+    return of.select("stream_id", F.inline(F.aggregate("s", begin, step, lambda z: z["out"]))).withColumn("jitter", F.round("jitter", 6))
 
 
 def fig_intervals(figs: DataFrame) -> DataFrame:
@@ -182,12 +193,28 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(top).select(*keys, "_row.*")
 
 
-def running_quality(frames: DataFrame, session: int = 1024, up: float = 0.01, down: float = 0.05) -> DataFrame:
-    """+up a good and -down a bad frame, within 0 to 1, from 1 at the start of each session of frames."""
+def running_quality(frames: DataFrame, session: int = 65_536, up: float = 0.01, down: float = 0.05) -> DataFrame:
+    """+up a good and -down a bad frame, within 0 to 1, from 1 at the start of a stream: the quality after each `session` frame numbers.
+
+    A session takes q to min(high, max(low, q + c)). Sessions are folded side by side, then one after the other.
+    """
     s = frames.withColumn("session", F.floor(F.col("frame_no") / session))
     rows = s.groupBy("stream_id", "session").agg(F.array_sort(F.collect_list(F.struct("frame_no", "valid"))).alias("rows"))
-    fold = F.aggregate("rows", F.lit(1.0), lambda q, r: F.greatest(F.lit(0.0), F.least(F.lit(1.0), q + F.when(r["valid"], up).otherwise(-down))))
-    return rows.select("stream_id", "session", F.round(fold, 6).alias("quality"))
+    within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+    def fold(z: Column, r: Column) -> Column:
+        d = F.when(r["valid"], up).otherwise(-down)
+        return F.struct((z["c"] + d).alias("c"), within(z["low"] + d).alias("low"), within(z["high"] + d).alias("high"))
+
+    begin = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    of = rows.select("stream_id", "session", F.aggregate("rows", begin, fold).alias("z")).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("session", "z"))).alias("s"))
+
+    def step(z: Column, x: Column) -> Column:
+        q = F.least(x["z"]["high"], F.greatest(x["z"]["low"], z["q"] + x["z"]["c"]))
+        return F.struct(q.alias("q"), F.array_append(z["out"], F.struct(x["session"].alias("session"), q.alias("quality"))).alias("out"))
+
+    start = F.struct(F.lit(1.0).alias("q"), F.array().cast("array<struct<session:bigint,quality:double>>").alias("out"))
+    return of.select("stream_id", F.inline(F.aggregate("s", start, step, lambda z: z["out"]))).withColumn("quality", F.round("quality", 6))
 
 
 def silence_runs(levels: DataFrame, threshold: float = -60.0, warn_s: float = 5.0, critical_s: float = 10.0, key: str = "stream_id", order: str = "ts") -> DataFrame:

@@ -35,9 +35,11 @@ def a39(s, d):
     return t.rtp_statistics(t.sequence_loss(v.packets(s, d), order="arrival_no"))
 
 
-@query("w04_rtp_jitter")  # a recursive filter; tests/test_timing.py has the loop
+@query("w04_rtp_jitter", sql("""WITH d AS (SELECT stream_id, arrival, abs((epoch_us(arrival) - epoch_us(lag(arrival) OVER w)) / 1000 - (rtp_ts - lag(rtp_ts) OVER w) / 48000.0 * 1000) AS x, row_number() OVER w - 2 AS i FROM $packets WINDOW w AS (PARTITION BY stream_id ORDER BY arrival)),
+    l AS (SELECT stream_id, i, floor(i / 256)::BIGINT AS session, list(x) OVER (PARTITION BY stream_id ORDER BY i) AS xs FROM d WHERE x IS NOT NULL)
+    SELECT stream_id, session, count(*)::INT AS n, round(list_reduce(arg_max(xs, i), lambda j, x: j + (x - j) * 0.125), 4) AS jitter FROM l GROUP BY stream_id, session"""))
 def w04(s, d):
-    return t.rtp_jitter(v.packets(s, d))
+    return t.rtp_jitter(v.packets(s, d), session=256).withColumn("jitter", F.round("jitter", 4))
 
 
 @query("w04_transit_difference", sql("SELECT stream_id, arrival_no, round(abs((epoch_us(arrival) - epoch_us(lag(arrival) OVER w)) / 1000 - (rtp_ts - lag(rtp_ts) OVER w) / 48000.0 * 1000), 3) AS difference FROM $packets WINDOW w AS (PARTITION BY stream_id ORDER BY arrival)"))
@@ -134,9 +136,10 @@ def w20(s, d):
     return t.latest_per_key(v.measurements(s, d).drop("ts"), ["stream_id", "metric"], ["frame_no"])
 
 
-@query("w21_running_quality")  # a clipped fold; tests/test_timing.py has the loop
+@query("w21_running_quality", sql("""WITH l AS (SELECT stream_id, frame_no, floor(frame_no / 1024)::BIGINT AS session, list(CASE WHEN valid THEN 0.01::DOUBLE ELSE -0.05::DOUBLE END) OVER (PARTITION BY stream_id ORDER BY frame_no) AS xs FROM $frames)
+    SELECT stream_id, session, round(list_reduce(list_prepend(1.0::DOUBLE, arg_max(xs, frame_no)), lambda q, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, q + x))), 6) AS quality FROM l GROUP BY stream_id, session"""))
 def w21(s, d):
-    return t.running_quality(v.frames(s, d))
+    return t.running_quality(v.frames(s, d), session=1024)
 
 
 @query("w22_silence_runs", sql("""WITH r AS (SELECT *, sum((level >= 8)::INT) OVER (PARTITION BY stream_id ORDER BY ts) AS run FROM (SELECT stream_id, ts, latency AS level FROM $frames)),

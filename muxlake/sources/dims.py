@@ -31,14 +31,18 @@ COUNTRIES = [
     (0xE1, "Germany", "DE"), (0xE2, "France", "FR"), (0xE3, "United Kingdom", "GB"), (0xE4, "Italy", "IT"), (0xE5, "Spain", "ES"), (0xE6, "Belgium", "BE"), (0xE7, "Netherlands", "NL"), (0xE8, "Switzerland", "CH"),
     (0xE9, "Austria", "AT"), (0xEA, "Denmark", "DK"), (0xEB, "Norway", "NO"), (0xEC, "Sweden", "SE"), (0xED, "Poland", "PL"), (0xEE, "Czech Republic", "CZ"), (0xF3, "Thailand", "TH"),
 ]
-# Languages from code 0 on, with their ISO 639-2 codes.
-LANGUAGES = (
-    "Unknown und, Albanian alb, Breton bre, Catalan cat, Croatian hrv, Welsh wel, Czech cze, Danish dan, Dutch dut, English eng, Finnish fin, Flemish dut, French fre, Frisian fry, Gaelic gla, German ger, "
-    "Greek gre, Hungarian hun, Icelandic ice, Irish gle, Italian ita, Lappish smi, Latin lat, Latvian lav, Luxembourgian ltz, Lithuanian lit, Macedonian mac, Maltese mlt, Norwegian nor, Occitan oci, Polish pol, Portuguese por, "
-    "Romanian rum, Romansh roh, Serbian srp, Slovak slo, Slovene slv, Spanish spa, Swedish swe, Turkish tur, Flemish dut, Walloon wln, Amharic amh, Thai tha, Bengali ben, Burmese bur, Chinese chi, Sinhalese sin, "
-    "Hindi hin, Japanese jpn, Korean kor, Malay may, Vietnamese vie, Uzbek uzb, Kazakh kaz, Tajik tgk, Bulgarian bul, Moldavian mol, Russian rus, Ukrainian ukr, Zulu zul"
-)
-BACKGROUND_SOUND = 0x7F
+# Languages by code, with their ISO 639-2 codes.
+LANGUAGES = [
+    (0, "Unknown", "und"), (1, "Albanian", "alb"), (2, "Breton", "bre"), (3, "Catalan", "cat"), (4, "Croatian", "hrv"), (5, "Welsh", "wel"), (6, "Czech", "cze"), (7, "Danish", "dan"),
+    (8, "Dutch", "dut"), (9, "English", "eng"), (10, "Finnish", "fin"), (11, "Flemish", "dut"), (12, "French", "fre"), (13, "Frisian", "fry"), (14, "Gaelic", "gla"), (15, "German", "ger"),
+    (16, "Greek", "gre"), (17, "Hungarian", "hun"), (18, "Icelandic", "ice"), (19, "Irish", "gle"), (20, "Italian", "ita"), (21, "Lappish", "smi"), (22, "Latin", "lat"), (23, "Latvian", "lav"),
+    (24, "Luxembourgian", "ltz"), (25, "Lithuanian", "lit"), (26, "Macedonian", "mac"), (27, "Maltese", "mlt"), (28, "Norwegian", "nor"), (29, "Occitan", "oci"), (30, "Polish", "pol"), (31, "Portuguese", "por"),
+    (32, "Romanian", "rum"), (33, "Romansh", "roh"), (34, "Serbian", "srp"), (35, "Slovak", "slo"), (36, "Slovene", "slv"), (37, "Spanish", "spa"), (38, "Swedish", "swe"), (39, "Turkish", "tur"),
+    (40, "Flemish", "dut"), (41, "Walloon", "wln"), (42, "Amharic", "amh"), (43, "Thai", "tha"), (44, "Bengali", "ben"), (45, "Burmese", "bur"), (46, "Chinese", "chi"), (47, "Sinhalese", "sin"),
+    (48, "Hindi", "hin"), (49, "Japanese", "jpn"), (50, "Korean", "kor"), (51, "Malay", "may"), (52, "Vietnamese", "vie"), (53, "Uzbek", "uzb"), (54, "Kazakh", "kaz"), (55, "Tajik", "tgk"),
+    (56, "Bulgarian", "bul"), (57, "Moldavian", "mol"), (58, "Russian", "rus"), (59, "Ukrainian", "ukr"), (60, "Zulu", "zul"),
+    (0x7F, "Background Sound", "zxx"),
+]
 # Programme types 0 to 31 with their group.
 PROGRAMME_TYPES = [
     ("No programme type", "None"), ("News", "Information"), ("Current Affairs", "Information"), ("Information", "Information"), ("Sport", "Entertainment"), ("Education", "Information"), ("Drama", "Entertainment"), ("Culture", "Entertainment"),
@@ -53,8 +57,7 @@ def country_table(spark: SparkSession) -> DataFrame:
 
 
 def language_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, *x.rsplit(" ", 1)) for i, x in enumerate(LANGUAGES.split(", "))] + [(BACKGROUND_SOUND, "Background Sound", "zxx")]
-    return spark.createDataFrame(rows, "language int, language_name string, iso_639 string")
+    return spark.createDataFrame(LANGUAGES, "language int, language_name string, iso_639 string")
 
 
 def programme_type_table(spark: SparkSession) -> DataFrame:

@@ -65,6 +65,20 @@ def parse_mot_header(objects: DataFrame) -> DataFrame:
     )
 
 
+def parse_mot_directory(objects: DataFrame) -> DataFrame:
+    """A row an entry of a carousel directory: size 13 bits, objects 16, period 24, segment size 13; each entry id 16, header size 13, body size 28, repetitions 8; then a CRC (crc_ok is null without one). Entries that the bytes don't hold are left out."""
+    n = F.octet_length("payload")
+    held = F.least(u(D(), 2, 2), F.greatest(F.floor((n - 9) / 9), F.lit(0)))
+    end = 9 + 9 * held
+    keep = [c for c in objects.columns if c != "payload"]
+    d = objects.where(n >= 9).select(
+        *keep, "payload", bits(u(D(), 0, 2), 0, 13).alias("directory_size"), u(D(), 2, 2).cast("int").alias("n_objects"), u(D(), 4, 3).alias("carousel_period_ms"), bits(u(D(), 7, 2), 0, 13).alias("segment_size"),
+        (crc16_stored(F.substring(D(), F.lit(1), end.cast("int"))) == u(D(), end, 2)).alias("crc_ok"), F.posexplode(F.when(held > 0, F.sequence(F.lit(9).cast("long"), end - 9, F.lit(9).cast("long")))).alias("entry", "p"),
+    )
+    p = F.col("p")
+    return d.select(*keep, "directory_size", "n_objects", "carousel_period_ms", "segment_size", "crc_ok", "entry", u(D(), p, 2).alias("transport_id"), bits(u(D(), p + 2, 2), 0, 13).alias("header_size"), bits(u(D(), p + 4, 4), 4, 28).alias("body_size"), u(D(), p + 8).alias("repetitions"))
+
+
 def dls_tags(commands: DataFrame) -> DataFrame:
     """Tags of a DLS+ command: 4 bytes each, at most 8: code 6, id 7, start 6, length 5 bits; text is cut by bytes, empty slices are dropped.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from muxlake.functions import bits as b
+from muxlake.functions import codes
 from muxlake.functions import text as t
 from muxlake.operators import payload as k
 from muxlake.operators import rules as r
@@ -120,6 +121,29 @@ def c21(s, d):
     return v.services(s, d).select("sid", F.round(t.audio_quality(F.col("sub_channel_id"), profile, F.col("tmid")), 6).alias("quality"))
 
 
+@query("c10_epg_genre", "SELECT event_id, CASE event_id & 240 WHEN 0 THEN 'Undefined' WHEN 16 THEN 'News' WHEN 32 THEN 'Sport' WHEN 48 THEN 'Education' WHEN 64 THEN 'Drama' WHEN 80 THEN 'Music' WHEN 96 THEN 'Arts & Culture' WHEN 112 THEN 'Social' WHEN 128 THEN 'Science' WHEN 144 THEN 'Leisure' WHEN 160 THEN 'Children''s' ELSE 'Unknown' END AS genre FROM events")
+def c10(s, d):
+    return v.table(s, d, "events").select("event_id", codes.epg_genre(E() % 256).alias("genre"))
+
+
+@query("c10_journaline_category", """SELECT event_id, coalesce(map([0, 1, 2, 3, 16, 17, 18, 32, 33, 34, 48, 64, 80, 96, 112, 128, 144], ['Undefined', 'News - General', 'News - Regional', 'News - International', 'Sport - General', 'Sport - Football', 'Sport - Other', 'Weather - General', 'Weather - Forecast', 'Weather - Warning', 'Traffic', 'Financial', 'Entertainment', 'Politics', 'Culture', 'Technology', 'Health'])[(event_id % 256)::INT], 'Unknown') AS category FROM events""")
+def c10b(s, d):
+    return v.table(s, d, "events").select("event_id", codes.journaline_category(E() % 256).alias("category"))
+
+
+@query("c10_mot_content_type", """SELECT event_id, CASE event_id % 16 WHEN 0 THEN 'General Data' WHEN 1 THEN 'Text' WHEN 2 THEN 'JPEG Image' WHEN 3 THEN 'PNG Image' WHEN 4 THEN 'BMP Image' WHEN 5 THEN 'HTML Document' WHEN 6 THEN 'MPEG Audio' WHEN 7 THEN 'MPEG Video' ELSE printf('Unknown (0x%02x)', event_id % 16) END AS content_type FROM events""")
+def c10c(s, d):
+    return v.table(s, d, "events").select("event_id", codes.mot_content_type(E() % 16).alias("content_type"))
+
+
+@query("c10_tpeg_category", """SELECT p_partkey, CASE WHEN contains(t, 'TEC') AND contains(t, 'TFP') AND contains(t, 'PKI') THEN 'banner' WHEN contains(t, 'R-3.1') OR contains(t, 'wip') THEN 'version' WHEN contains(lower(t), 'tec') THEN 'TEC' WHEN contains(lower(t), 'tfp') THEN 'TFP' WHEN contains(lower(t), 'pki') THEN 'PKI' WHEN contains(lower(t), 'emi') THEN 'EMI'
+    WHEN contains(lower(t), 'parking') OR contains(lower(t), 'charge') THEN 'PKI' WHEN contains(lower(t), 'rd') OR contains(lower(t), 'bangkok') OR contains(lower(t), 'khwaeng') THEN 'TEC' ELSE 'unknown' END AS category
+    FROM (SELECT p_partkey, p_name || CASE p_partkey % 9 WHEN 0 THEN ' TEC TFP PKI' WHEN 1 THEN ' R-3.1' WHEN 2 THEN ' tec' WHEN 3 THEN ' Tfp' WHEN 4 THEN ' pki' WHEN 5 THEN ' EMI' WHEN 6 THEN ' charge' WHEN 7 THEN ' Rd 7' ELSE '' END AS t FROM part)""")
+def c10d(s, d):
+    more = F.element_at(F.array(*map(F.lit, (" TEC TFP PKI", " R-3.1", " tec", " Tfp", " pki", " EMI", " charge", " Rd 7", ""))), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return v.table(s, d, "part").select("p_partkey", codes.tpeg_category(F.concat("p_name", more)).alias("category"))
+
+
 # Payload
 
 
@@ -161,6 +185,27 @@ def k03(s, d):
     return out.withColumns({"p5": F.col("params")[5], "p12": F.col("params")[12]}).drop("params")
 
 
+@query("k04_parse_mot_directory", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, event_id % 8192 AS directory_size, (1 + user_id % 3)::INT AS n_objects, event_id % 16777216 AS carousel_period_ms, user_id % 8192 AS segment_size, event_id % 7 <> 0 AS crc_ok, i::INT AS entry, (user_id + i) % 65536 AS transport_id, 20 + i AS header_size, event_id * 3 + i AS body_size, 5 + i AS repetitions FROM events, LATERAL (SELECT unnest(range(1 + user_id % 3)) AS i)")
+def k04(s, d):
+    entry = lambda i: b.pack(((U() + i) % 65536, 2), (F.lit(20) + i, 2), (F.shiftleft(E() * 3 + i, 4), 4), (F.lit(5) + i, 1))
+    n = (U() % 3 + 1).cast("int")
+    entries = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.hex(entry(i))), ""))
+    x = stream_frames(s, d).withColumn("body", F.concat(b.pack((E() % 8192, 2), (n, 2), (E() % 16777216, 3), (U() % 8192, 2)), entries))
+    x = x.select("stream_id", "frame_no", F.concat("body", b.pack((b.crc16_stored(F.col("body")).bitwiseXOR(F.when(E() % 7 == 0, 1).otherwise(0).cast("long")), 2))).alias("payload"))
+    return k.parse_mot_directory(x)
+
+
+@query("x03_tlv_entries", "SELECT event_id, i::INT AS pos, ((event_id + i) % 256)::INT AS tag, event_type AS value FROM events, LATERAL (SELECT unnest(range(2)) AS i)")
+def x03(s, d):
+    from muxlake.functions import tables
+
+    tables.register(s)
+    body = F.col("event_type").cast("binary")
+    entry = lambda i: F.concat(b.pack(((E() + i) % 256, 1), (F.octet_length("event_type"), 1)), body)
+    x = v.table(s, d, "events").select("event_id", F.concat(entry(0), entry(1)).alias("payload"))
+    return s.sql("SELECT event_id, pos, tag, decode(value, 'UTF-8') AS value FROM {x}, LATERAL tlv_entries(payload)", x=x)
+
+
 @query("k06_parse_dls", "SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, event_id % 64 AS code, CASE WHEN event_id % 64 BETWEEN 1 AND 31 THEN 'item' WHEN event_id % 64 BETWEEN 32 AND 47 THEN 'info' WHEN event_id % 64 BETWEEN 48 AND 55 THEN 'programme' WHEN event_id % 64 BETWEEN 56 AND 59 THEN 'interactivity' WHEN event_id % 64 BETWEEN 60 AND 61 THEN 'station' WHEN event_id % 64 = 62 THEN 'programme_type' ELSE 'reserved' END AS kind, substring(event_type, 2, 3) AS value FROM events")
 def k06(s, d):
     x = stream_frames(s, d).select("stream_id", "frame_no", b.pack((E() % 64 * (1 << 26) + (1 << 13) + 3 * (1 << 8), 4)).alias("payload"), F.col("event_type").alias("text"))
@@ -198,7 +243,7 @@ def bins(s, d):
     return k.spectrum(v.table(s, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("k13_spectrum_distortion")  # numpy's transform; tests/test_payload.py has a tone
+@query("k13_spectrum_distortion")  # numpy's transform; tests/test_core.py has a tone
 def k13(s, d):
     return k.distortion(bins(s, d), "vec_id")
 

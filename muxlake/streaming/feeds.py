@@ -130,13 +130,20 @@ def announcement_registry_stream(messages: DataFrame, timeout_ms: int = 300_000,
 
 
 def alert_stream(measurements: DataFrame, limit: float, hold_ms: int = 30_000, least_gap_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
-    """raised and cleared alerts of each (stream_id, metric): a value over the limit raises, at most once a gap; it clears after `hold` of values below."""
+    """raised and cleared alerts of each (stream_id, metric): a value over the limit raises, at most once a gap; it clears after `hold` of values below.
+
+    State goes once no alert is active and the gap after the last is over; an active alert keeps it.
+    """
 
     def run(key, batches, state):
         active, since, raised = state.get if state.exists else (False, 0, -(10**15))
-        out = []
-        rows = sorted((int(r.ts.timestamp() * 1000), float(r.value)) for g in batches for r in g.itertuples())
+        out, latest = [], state.getCurrentWatermarkMs()
+        if state.hasTimedOut and not active:
+            state.remove()
+            return
+        rows = [] if state.hasTimedOut else sorted((int(r.ts.timestamp() * 1000), float(r.value)) for g in batches for r in g.itertuples())
         for at, value in rows:
+            latest = max(latest, at)
             if value > limit:
                 since = at
                 if not active and at - raised >= least_gap_ms:
@@ -146,31 +153,83 @@ def alert_stream(measurements: DataFrame, limit: float, hold_ms: int = 30_000, l
                 active = False
                 out.append((*key, "cleared", at, value))
         state.update((active, since, raised))
+        state.setTimeoutTimestamp(max(latest, raised) + least_gap_ms + 1)
         yield pd.DataFrame(out, columns=["stream_id", "metric", "event", "at_ms", "value"])
 
-    return _stateful(measurements.withWatermark("ts", late), ["stream_id", "metric"], run, "stream_id string, metric string, event string, at_ms long, value double", "active boolean, since long, raised long", GroupStateTimeout.NoTimeout)
+    return _stateful(measurements.withWatermark("ts", late), ["stream_id", "metric"], run, "stream_id string, metric string, event string, at_ms long, value double", "active boolean, since long, raised long")
 
 
-def reorder_stream(packets: DataFrame, delay_ms: int = 200, late: str = "5 seconds") -> DataFrame:
-    """Jitter buffer: packets of a stream in order of their sequence, released when they are older than the delay against the newest; later ones are dropped."""
+def after(seq: int, sent: int, bits: int = 16) -> int:
+    """How far a sequence number is ahead of another, modulo 2**bits; not over 0 if it isn't."""
+    d = (seq - sent) & ((1 << bits) - 1)
+    return d if d < 1 << (bits - 1) else d - (1 << bits)
+
+
+def reorder_stream(packets: DataFrame, delay_ms: int = 200, oldest_ms: int = 5000, late: str = "5 seconds") -> DataFrame:
+    """Jitter buffer: packets of a stream in order of their sequence, modulo 65536, released when they are older than the delay against the newest.
+
+    Packets that come after a later one was released, or are older than `oldest` against the newest, are dropped.
+    """
 
     def run(key, batches, state):
-        held, sent = ([], -1) if not state.exists else (state.get[0].split(",") if state.get[0] else [], state.get[1])
-        rows = [tuple(map(int, x.split(":"))) for x in held] + [(int(r.seq), int(r.ts.timestamp() * 1000)) for g in batches for r in g.itertuples()]
+        seqs, times, sent = state.get if state.exists else ([], [], None)
+        rows = {*zip(seqs, times), *((int(r.seq), int(r.ts.timestamp() * 1000)) for g in batches for r in g.itertuples())}
         newest = max((t for _, t in rows), default=0)
-        done = state.hasTimedOut
-        out = [(s, t) for s, t in sorted(set(rows)) if s > sent and (done or t <= newest - delay_ms)]
-        left = [(s, t) for s, t in set(rows) if (s, t) not in set(out) and s > max([sent, *[s for s, _ in out]])]
+        rows = [x for x in rows if state.hasTimedOut or x[1] >= newest - oldest_ms]
+        base = min(rows, key=lambda x: x[1])[0] if sent is None and rows else sent  # distances are against the last one sent, or the first that came
+        rows = sorted((after(s, base), t, s) for s, t in rows if sent is None or after(s, sent) > 0)
+        ready = [x for x in rows if state.hasTimedOut or x[1] <= newest - delay_ms]
+        top = ready[-1][0] if ready else None
+        out = [x for x in rows if top is not None and x[0] <= top]
+        left = [x for x in rows if top is None or x[0] > top]
         if out:
-            sent = out[-1][0]
+            sent = out[-1][2]
+        state.update(([x[2] for x in left], [x[1] for x in left], sent))
         if left:
-            state.update((",".join(f"{s}:{t}" for s, t in left), sent))
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + delay_ms + 1)
+        yield pd.DataFrame([(*key, s, t) for _, t, s in out], columns=["stream_id", "seq", "at_ms"])
+
+    return _stateful(packets.withWatermark("ts", late), ["stream_id"], run, "stream_id string, seq int, at_ms long", "seqs array<int>, times array<long>, sent int")
+
+
+def assemble_mot_stream(segments: DataFrame, idle_ms: int = 60_000, most_segments: int = 8192, late: str = "10 seconds") -> DataFrame:
+    """Objects when their body segments 0 to last are there; the first copy of a segment wins, another header begins anew, an object that gets nothing for idle_ms is dropped, as is one of more than most_segments.
+
+    segments: stream_id, transport_id, kind (header or body), seg_no, last, payload, ts. payload of the result is null for a dropped one.
+    """
+    columns = ["stream_id", "transport_id", "complete", "segments", "payload"]
+
+    def run(key, batches, state):
+        header, numbers, parts, last = state.get if state.exists else (None, [], [], -1)
+        held = dict(zip(numbers, parts))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, False, len(held), None)], columns=columns)
+            return
+        out, latest, done = [], 0, False
+        for r in sorted((r for g in batches for r in g.itertuples()), key=lambda r: (r.ts, r.kind != "header", r.seg_no)):
+            latest = max(latest, int(r.ts.timestamp() * 1000))
+            if r.kind == "header":
+                if r.seg_no == 0 and header is not None and bytes(r.payload) != bytes(header):
+                    held, last, done = {}, -1, False
+                header = bytes(r.payload) if r.seg_no == 0 else header
+                continue
+            held.setdefault(int(r.seg_no), bytes(r.payload))
+            last = int(r.seg_no) if r.last else last
+            if len(held) > most_segments:
+                out.append((*key, False, len(held), None))
+                held, last = {}, -1
+            elif last >= 0 and not done and len(held) == last + 1 and max(held) == last:
+                out.append((*key, True, len(held), b"".join(held[i] for i in range(last + 1))))
+                done = True
+        if done:
+            state.remove() if state.exists else None
         else:
-            state.update(("", sent))
-        yield pd.DataFrame([(*key, s, t) for s, t in out], columns=["stream_id", "seq", "at_ms"])
+            state.update((header, list(held), list(held.values()), last))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=columns)
 
-    return _stateful(packets.withWatermark("ts", late), ["stream_id"], run, "stream_id string, seq int, at_ms long", "held string, sent int")
+    return _stateful(segments.withWatermark("ts", late), ["stream_id", "transport_id"], run, "stream_id string, transport_id long, complete boolean, segments int, payload binary", "header binary, numbers array<int>, parts array<binary>, last int")
 
 
 def upsert_catalog(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str, keys: list[str]):

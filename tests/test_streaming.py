@@ -101,3 +101,19 @@ def test_upsert(spark, tmp_path):
     feeds.upsert_catalog(spark, s, str(tmp_path / "out"), str(tmp_path / "cp"), ["stream_id", "sid"]).awaitTermination(60)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.label for r in out.collect()) == ["y", "z"]
+
+
+def test_reorder_over_the_end_of_numbers(spark, tmp_path):
+    s = drop(spark, tmp_path, "stream_id string, seq int, ts timestamp", [("a", 65535, at(0)), ("a", 65534, at(0.05)), ("a", 0, at(0.1)), ("a", 1, at(1))], [("a", 3, at(2)), ("a", 2, at(2.1)), ("a", 65533, at(2.2))], [("a", 4, at(60))], [("a", 5, at(120))])
+    seqs = [r.seq for r in run(feeds.reorder_stream(s), tmp_path, "wrap")]
+    assert seqs[:6] == [65534, 65535, 0, 1, 2, 3]
+
+
+def test_mot_assembly(spark, tmp_path):
+    schema = "stream_id string, transport_id long, kind string, seg_no int, last boolean, payload binary, ts timestamp"
+    seg = lambda t, n, last, data, s, kind="body": ("a", t, kind, n, last, data, at(s))
+    first = [seg(1, 0, False, b"h1", 0, "header"), seg(1, 0, False, b"ab", 1), seg(1, 0, False, b"xx", 2), seg(2, 0, False, b"no", 1)]
+    second = [seg(1, 1, True, b"cd", 3), seg(3, 0, True, b"one", 3)]
+    s = drop(spark, tmp_path, schema, first, second, [seg(4, 0, True, b"late", 500)], [seg(5, 0, True, b"later", 600)])
+    rows = {(r.transport_id, r.complete, bytes(r.payload) if r.payload is not None else None) for r in run(feeds.assemble_mot_stream(s), tmp_path, "mot")}
+    assert {(1, True, b"abcd"), (2, False, None), (3, True, b"one")} <= rows

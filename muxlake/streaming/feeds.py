@@ -168,14 +168,14 @@ def after(seq: int, sent: int, bits: int = 16) -> int:
 def reorder_stream(packets: DataFrame, delay_ms: int = 200, oldest_ms: int = 5000, late: str = "5 seconds") -> DataFrame:
     """Jitter buffer: packets of a stream in order of their sequence, modulo 65536, released when they are older than the delay against the newest.
 
-    Packets that come after a later one was released, or are older than `oldest` against the newest, are dropped.
+    Packets that come after a later one was released, or that are older than `oldest` against the newest as they come, are dropped.
     """
 
     def run(key, batches, state):
         seqs, times, sent = state.get if state.exists else ([], [], None)
-        rows = {*zip(seqs, times), *((int(r.seq), int(r.ts.timestamp() * 1000)) for g in batches for r in g.itertuples())}
-        newest = max((t for _, t in rows), default=0)
-        rows = [x for x in rows if state.hasTimedOut or x[1] >= newest - oldest_ms]
+        held, new = set(zip(seqs, times)), {(int(r.seq), int(r.ts.timestamp() * 1000)) for g in batches for r in g.itertuples()}
+        newest = max((t for _, t in held | new), default=0)
+        rows = held | {x for x in new if x[1] >= newest - oldest_ms}
         base = min(rows, key=lambda x: x[1])[0] if sent is None and rows else sent  # distances are against the last one sent, or the first that came
         rows = sorted((after(s, base), t, s) for s, t in rows if sent is None or after(s, sent) > 0)
         ready = [x for x in rows if state.hasTimedOut or x[1] <= newest - delay_ms]

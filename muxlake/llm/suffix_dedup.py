@@ -16,10 +16,10 @@ windows are its context.
 4. Runs of repeated starts are gathered by document and their bytes cut out.
 
 An anchor with more than `hot` contexts is split: its windows are dealt by slices of
-offsets and by a hash of the bytes that all windows of the slice share. Equal slices are
-pre-aggregated like contexts, so only one of each goes to the sort; the slices of a key
-that has more than `hot` different ones are taken apart to windows, and these are counted
-by hash. So no group grows with the number of documents that hold a passage.
+offsets and by a hash of the bytes that all windows of the slice share. Equal slices come
+one after the other, and only one of them is held for the sort; the slices of a key that
+has more than `hot` different ones are taken apart to windows, and these are counted by
+hash. So nothing that a task holds grows with the number of documents of a passage.
 
 Equal contexts, and windows of such crowded slices, are told by 128-bit hashes alone; what
 the sort finds is verified.
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import released, table
+from muxlake.llm.common import join_small, released, table
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -268,8 +268,7 @@ CONTEXT_COLUMNS = ["key", "doc_id", "text_hash", "first", "before", "n", "single
 def _sorted_repeats(length: int, block: int = 2 << 20):
     """Over rows in order of key: whole keys, blocks of about `block` bytes at a time."""
 
-    def flush(rows):
-        out = []
+    def flush(rows, out):
         if len(rows) > 1:
             counts = np.array([r[5] for r in rows])
             flags = repeated([r[7] for r in rows], np.array([r[0] for r in rows]), np.array([r[4] for r in rows]), counts, length)
@@ -281,15 +280,24 @@ def _sorted_repeats(length: int, block: int = 2 << 20):
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "text_hash", "first", "last"])
 
     def run(batches):
-        rows, size = [], 0
+        rows, out, size = [], [], 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= block and r[0] != rows[-1][0]:
-                    yield flush(rows)
-                    rows, size = [], 0
+                if rows and r[8] is not None and (r[0], *r[8:]) == (rows[-1][0], *rows[-1][8:]):  # equal slices: one is held
+                    held = rows[-1]
+                    out += [(x[1], x[2], x[3], x[3] + x[5] - 1) for x in (held, r) if x[6]]
+                    rows[-1] = (*held[:6], False, *held[7:])
+                    continue
+                if size >= block and r[0] != rows[-1][0] or len(out) >= 100_000:
+                    if size < block or r[0] == rows[-1][0]:  # only what is known already
+                        yield flush([], out)
+                        out = []
+                    else:
+                        yield flush(rows, out)
+                        rows, out, size = [], [], 0
                 rows.append(r)
                 size += len(r[7])
-        yield flush(rows)
+        yield flush(rows, out)
 
     return run
 
@@ -307,11 +315,11 @@ def repeat_spans(docs: DataFrame, length: int = 400, k: int = 64, hot: int = 409
     whole = found.join(kinds.where("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").select("doc_id", "text_hash", "first", "last")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "anchor").select("o.doc_id", "o.text_hash", F.struct("anchor", "o.pos", "o.first", "o.last", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot")).alias("w"))
-    rows = contexts(docs, wanted.where("NOT w.hot"), length).select(*CONTEXT_COLUMNS)
+    rows = contexts(docs, wanted.where("NOT w.hot"), length)
     if not several.where(F.col("kinds") > hot).isEmpty():
         some, more = settle_slices(contexts(docs, wanted.where("w.hot"), length), length, hot)
-        whole, rows = whole.unionByName(some), rows.unionByName(more)
-    ends = rows.repartition("key").sortWithinPartitions("key").mapInArrow(released(_sorted_repeats(length)), "doc_id long, text_hash long, first long, last long")
+        whole, rows = whole.unionByName(some) if some is not None else whole, rows.unionByName(more)
+    ends = rows.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(released(_sorted_repeats(length)), "doc_id long, text_hash long, first long, last long")
     return whole.unionByName(ends).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -320,19 +328,17 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return with_rows(docs, wanted, "inner").select("doc_id", "text_hash", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
 
 
-def settle_slices(slices: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Slices of hot anchors -> runs of window starts that repeat, and one slice of each kind that is left to sort."""
+def settle_slices(slices: DataFrame, length: int, hot: int) -> tuple[DataFrame | None, DataFrame]:
+    """Slices of hot anchors -> repeated window starts of keys that are too crowded to sort (null: there is none), and the slices that are left to sort."""
     slices = table(slices)
-    owner = F.min(F.struct("doc_id", "text_hash", "first", "before", "single")).alias("o")
-    kinds = table(slices.groupBy("key", "d1", "d2", "n").agg(F.count("*").alias("c"), owner, F.first("bytes").alias("bytes")))
-    equal = kinds.where("c > 1").select("key", "d1", "d2", "n")
-    whole = slices.where("single").join(equal, ["key", "d1", "d2", "n"], "left_semi").select("doc_id", "text_hash", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    left = kinds.join(several, "key").select("key", "o.doc_id", "o.text_hash", "o.first", "o.before", "n", (F.col("o.single") & (F.col("c") == 1)).alias("single"), "bytes", "kinds")
-    windows = left.where(F.col("kinds") > hot).select(*CONTEXT_COLUMNS).mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, text_hash long, first long, single boolean")
+    kinds = slices.select("key", "d1", "d2").distinct().groupBy("key").agg(F.count("*").alias("kinds"))
+    crowded = table(kinds.where(F.col("kinds") > hot).select("key"))
+    if crowded.isEmpty():
+        return None, slices
+    windows = table(join_small(slices, crowded, "key", "left_semi").select(*CONTEXT_COLUMNS).mapInArrow(released(_windows(length)), "w1 long, w2 long, doc_id long, text_hash long, first long, single boolean"))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     found = windows.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", "first", F.col("first").alias("last"))
-    return whole.unionByName(found), left.where(F.col("kinds") <= hot).select(*CONTEXT_COLUMNS)
+    return found, join_small(slices, crowded, "key", "left_anti")
 
 
 def _fingerprints(k: int, words: int):
@@ -340,8 +346,8 @@ def _fingerprints(k: int, words: int):
 
     def run(batches):
         for b in batches:
-            ids, hashes, found = [], [], []
-            for doc_id, text_hash, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
+            ids, found = [], []
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 w = (text or "").split()
                 if len(w) < words:
                     continue
@@ -352,21 +358,20 @@ def _fingerprints(k: int, words: int):
                 f = np.unique(window_minimum(g, words - k + 1))
                 found.append(f.view(np.int64))
                 ids += [doc_id] * len(f)
-                hashes += [text_hash] * len(f)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], ["doc_id", "text_hash", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found) if found else [], pa.int64())], ["doc_id", "print"])
 
     return run
 
 
-def shared_passages(docs: DataFrame, words: int = 51, k: int = 36) -> DataFrame:
+def shared_passages(docs: DataFrame, words: int = 51, k: int = 24) -> DataFrame:
     """(doc_id, text_hash, n_shared): documents that share a run of `words` words with a document of another doc_id, and how many of their fingerprints others have.
 
-    A shared run of `words` is always found, one of fewer than k never; between, it may be. docs: told_apart().
+    A shared run of `words` is always found, one of fewer than k never; between, it may be. Rows of a doc_id count as one document. docs: told_apart().
     """
-    prints = docs.mapInArrow(released(_fingerprints(k, words)), "doc_id long, text_hash long, print long")
-    own = F.coalesce("doc_id", F.lit(-1))
-    shared = prints.groupBy("print").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a < b").select("print")
-    return prints.join(shared, "print", "left_semi").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_shared"))
+    prints = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(released(_fingerprints(k, words)), "doc_id long, print long")
+    shared = prints.groupBy("print").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("print")
+    found = prints.join(shared, "print", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared")).withColumnRenamed("doc_id", "own")
+    return docs.select("doc_id", "text_hash").join(found, F.coalesce("doc_id", F.lit(-1)) == F.col("own")).select("doc_id", "text_hash", "n_shared")
 
 
 def removed(spans: list | None, length: int) -> list[tuple[int, int]]:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import join_small, released, table
+from muxlake.llm.common import released, table
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -318,7 +318,7 @@ def repeat_spans(docs: DataFrame, length: int = 400, k: int = 64, hot: int = 409
     rows = contexts(docs, wanted.where("NOT w.hot"), length)
     if not several.where(F.col("kinds") > hot).isEmpty():
         some, more = settle_slices(contexts(docs, wanted.where("w.hot"), length), length, hot)
-        whole, rows = whole.unionByName(some) if some is not None else whole, rows.unionByName(more)
+        whole, rows = whole.unionByName(some), rows.unionByName(more)
     ends = rows.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(released(_sorted_repeats(length)), "doc_id long, text_hash long, first long, last long")
     return whole.unionByName(ends).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
@@ -328,17 +328,13 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return with_rows(docs, wanted, "inner").select("doc_id", "text_hash", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
 
 
-def settle_slices(slices: DataFrame, length: int, hot: int) -> tuple[DataFrame | None, DataFrame]:
-    """Slices of hot anchors -> repeated window starts of keys that are too crowded to sort (null: there is none), and the slices that are left to sort."""
-    slices = table(slices)
-    kinds = slices.select("key", "d1", "d2").distinct().groupBy("key").agg(F.count("*").alias("kinds"))
-    crowded = table(kinds.where(F.col("kinds") > hot).select("key"))
-    if crowded.isEmpty():
-        return None, slices
-    windows = table(join_small(slices, crowded, "key", "left_semi").select(*CONTEXT_COLUMNS).mapInArrow(released(_windows(length)), "w1 long, w2 long, doc_id long, text_hash long, first long, single boolean"))
+def settle_slices(slices: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Slices of hot anchors -> repeated window starts of keys that are too crowded to sort, and the slices that are left to sort. Not written: all runs in one job, which shuffles the texts once."""
+    crowded = slices.select("key", "d1", "d2").distinct().groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("key")
+    windows = slices.join(crowded, "key", "left_semi").select(*CONTEXT_COLUMNS).mapInArrow(released(_windows(length)), "w1 long, w2 long, doc_id long, text_hash long, first long, single boolean")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     found = windows.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", "first", F.col("first").alias("last"))
-    return found, join_small(slices, crowded, "key", "left_anti")
+    return found, slices.join(crowded, "key", "left_anti")
 
 
 def _fingerprints(k: int, words: int):

@@ -17,12 +17,12 @@ windows are its context.
 
 An anchor with more than `hot` contexts is split: its windows are dealt by slices of
 offsets and by a hash of the bytes that all windows of the slice share. Equal slices come
-one after the other, and only one of them is held for the sort; the slices of a key that
-has more than `hot` different ones are taken apart to windows, and these are counted by
-hash. So nothing that a task holds grows with the number of documents of a passage.
+one after the other, and only one of them is held for the sort. Slices that agree in these
+bytes but differ beside them (at the ends of a passage that many documents surround by
+other text) are sorted in one task, which holds them.
 
-Equal contexts, and windows of such crowded slices, are told by 128-bit hashes alone; what
-the sort finds is verified.
+Equal contexts and equal slices are told by 128-bit hashes alone; what the sort finds is
+verified.
 
 shared_passages() finds documents that hold a passage of many words, found in another
 document as well, whatever its bytes: by winnowed hashes of word k-grams, of which any two
@@ -246,25 +246,6 @@ def _contexts(length: int):
     return run
 
 
-def _windows(length: int):
-    """The windows of slices, by 128-bit hash."""
-
-    def run(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            for key, doc_id, text_hash, first, before, n, single, data in zip(*(b[c].to_pylist() for c in CONTEXT_COLUMNS), strict=True):
-                for i in range(n):
-                    d = xxhash.xxh3_128_digest(data[i : i + length], (key + before - i) & 0xFFFFFFFFFFFFFFFF)
-                    rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc_id, text_hash, first + i, single))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(),) * 5 + (pa.bool_(),), strict=True)], ["w1", "w2", "doc_id", "text_hash", "first", "single"])
-
-    return run
-
-
-CONTEXT_COLUMNS = ["key", "doc_id", "text_hash", "first", "before", "n", "single", "bytes"]
-
-
 def _sorted_repeats(length: int, block: int = 2 << 20):
     """Over rows in order of key: whole keys, blocks of about `block` bytes at a time."""
 
@@ -315,10 +296,7 @@ def repeat_spans(docs: DataFrame, length: int = 400, k: int = 64, hot: int = 409
     whole = found.join(kinds.where("n > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").select("doc_id", "text_hash", "first", "last")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "anchor").select("o.doc_id", "o.text_hash", F.struct("anchor", "o.pos", "o.first", "o.last", (F.col("n") == 1).alias("single"), (F.col("kinds") > hot).alias("hot")).alias("w"))
-    rows = contexts(docs, wanted.where("NOT w.hot"), length)
-    if not several.where(F.col("kinds") > hot).isEmpty():
-        some, more = settle_slices(contexts(docs, wanted.where("w.hot"), length), length, hot)
-        whole, rows = whole.unionByName(some), rows.unionByName(more)
+    rows = contexts(docs, wanted, length)
     ends = rows.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(released(_sorted_repeats(length)), "doc_id long, text_hash long, first long, last long")
     return whole.unionByName(ends).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
@@ -328,15 +306,6 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return with_rows(docs, wanted, "inner").select("doc_id", "text_hash", "text", "wanted").mapInArrow(_contexts(length), CONTEXT)
 
 
-def settle_slices(slices: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Slices of hot anchors -> repeated window starts of keys that are too crowded to sort, and the slices that are left to sort. Not written: all runs in one job, which shuffles the texts once."""
-    crowded = slices.select("key", "d1", "d2").distinct().groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("key")
-    windows = slices.join(crowded, "key", "left_semi").select(*CONTEXT_COLUMNS).mapInArrow(released(_windows(length)), "w1 long, w2 long, doc_id long, text_hash long, first long, single boolean")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    found = windows.where("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", "first", F.col("first").alias("last"))
-    return found, slices.join(crowded, "key", "left_anti")
-
-
 def _fingerprints(k: int, words: int):
     """Of each run of words - k + 1 word k-grams the one of least hash, once a document."""
 

@@ -28,6 +28,8 @@ def test_language_id(docs, empty, corpus):
     for r in out:
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert 0 <= r["score"] <= 1
+    signs = docs.sparkSession.createDataFrame([(1, "½ ² ① Ⅷ", "en")], "doc_id long, text string, lang string")
+    assert [r["lang_pred"] for r in of(identify(signs, steps=1))] == ["und"]
     by = {r["doc_id"]: r["lang_pred"] for r in out}
     assert by[152] == by[153] == by[154] == by[155] == "und"
     long_ = [(i, lang) for i, text, lang, *_ in corpus if i is not None and i < 120 and len(text) > 100]
@@ -147,6 +149,29 @@ def test_propensity_changes_inclusion(spark):
     assert got(1) > 1.4 * got(0)
 
 
+def test_repeated_rows_are_sampled_each_for_itself(spark):
+    from muxlake.llm.mixing import mix
+
+    rows = [(7, "w " * 10, "a")] * 600 + [(10 + i, "w " * (3 + i % 17), "b") for i in range(200)]
+    out = of(mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)))
+    assert len(out) == 800
+    for source in "ab":
+        taken = sum(r["mix"]["taken"] for r in out if r["source"] == source)
+        target = next(r["mix"]["target"] for r in out if r["source"] == source)
+        assert abs(taken - target) <= 10
+
+
+def test_targets_hold_where_copies_stop(spark):
+    from muxlake.llm.mixing import mix
+
+    rows = [(i, "w " * 10, "a" if i < 400 else "b", 8.0 if i % 5 == 0 else 0.2) for i in range(800)]
+    out = of(mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lean double"), propensity="lean"))
+    for source in "ab":
+        taken = sum(r["mix"]["taken"] for r in out if r["source"] == source)
+        assert abs(taken - next(r["mix"]["target"] for r in out if r["source"] == source)) <= 10
+    assert max(r["mix"]["copies"] for r in out) == 3
+
+
 # Substring dedup
 
 
@@ -304,6 +329,19 @@ def test_packing(docs, empty, corpus):
     assert of(pack(empty)) == []
 
 
+def test_long_runs_are_tokenized_alike():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from muxlake.llm.packing import encoder
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
+    for x in (" " * 1_000_000, " " * 1_000_000 + "a", "\n" * 5000 + "b", "a" * 200_000, "#" * 5000, "\u3000" * 3000 + "x", "a  b\n\n" * 400):
+        assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
+
+
 def test_evolution_beats_or_equals_best_fit():
     from muxlake.llm.packing import best_fit, evolve, fitness
 
@@ -443,6 +481,21 @@ def test_alignment_against_dynamic_programming():
         assert got <= s + 1e-12 and (got >= 0.6) <= (s >= 0.6)
 
 
+def test_banded_length_by_bits():
+    from muxlake.llm.near_dup import banded_lcs
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(1, 40)).astype(np.uint32) for _ in range(2))
+        band = int(rng.integers(0, 45))
+        m = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                near = a[i] == b[j] and abs(i - j) <= band
+                m[i + 1, j + 1] = max(m[i, j + 1], m[i + 1, j], m[i, j] + near)
+        assert banded_lcs(a, b, band) == m[-1, -1]
+
+
 def test_a_large_group_of_near_copies(spark):
     from muxlake.llm.near_dup import near_duplicates
 

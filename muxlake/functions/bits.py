@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +48,35 @@ def crc(data: Column, polynomial: int, width: int, start: int) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(start).cast("long"), step)).otherwise(F.lit(start).cast("long"))
 
 
+def parity_masks(polynomial: int, width: int, n: int, word: int) -> list[list[int]]:
+    """Of each bit of the checksum of n bytes (start 0): which bits of each word of the message it is the parity of. A checksum is linear in the message."""
+    one, c = [], 1 << (width - 1)
+    for _ in range(8 * n):  # a single bit followed by k others leaves x**(width + k) mod the polynomial
+        c = ((c << 1) ^ polynomial if c & (1 << (width - 1)) else c << 1) & ((1 << width) - 1)
+        one.append(c)
+    at = one[::-1]
+    return [[sum(1 << (8 * word - 1 - i) for i in range(8 * word) if at[8 * word * w + i] >> bit & 1) for w in range(n // word)] for bit in range(width)]
+
+
+def crc16_of(data: Column, n: int, word: int = 6) -> Column:
+    """crc16 of data of exactly n bytes, n a multiple of word: bit counts of masked words instead of a fold byte by byte. Null for other lengths."""
+    words = [F.when(F.octet_length(data) == n, u(data, i, word)) for i in range(0, n, word)]  # not around the whole: Spark computes a shared part once only where it is always needed
+    start = crc_of_zeros(0x1021, 16, 0xFFFF, n)
+    out = F.lit(start).cast("long")
+    for bit, masks in enumerate(parity_masks(0x1021, 16, n, word)):
+        ones = reduce(operator.add, [F.bit_count(w.bitwiseAND(F.lit(m))) for w, m in zip(words, masks, strict=True) if m])
+        out = out.bitwiseXOR(F.shiftleft(ones.bitwiseAND(1).cast("long"), bit))
+    return out
+
+
+def crc_of_zeros(polynomial: int, width: int, start: int, n: int) -> int:
+    """What the start value leaves after n bytes of zeros."""
+    table, c, mask = crc_table(polynomial, width), start, (1 << width) - 1
+    for _ in range(n):
+        c = (c << 8 & mask) ^ table[c >> (width - 8)]
+    return c
+
+
 def crc16(data: Column) -> Column:
     """CCITT, start FFFF, no complement; the stored one is its complement."""
     return crc(data, 0x1021, 16, 0xFFFF)
@@ -64,8 +95,8 @@ def fire_code(data: Column) -> Column:
     return crc(data, 0x782F, 16, 0)
 
 
-def walk(data: Column, start: int, least: int, stride: Callable[[Column], Column], go: Callable[[Column], Column] | None = None) -> Column:
-    """Offsets of the entries of a list with lengths of their own: from start on while `least` bytes are left (and go holds), by stride(offset)."""
+def walk(data: Column, start: int, least: int, stride: Callable[[Column], Column], go: Callable[[Column], Column] | None = None, shortest: int = 1) -> Column:
+    """Offsets of the entries of a list with lengths of their own: from start on while `least` bytes are left (and go holds), by stride(offset). No stride is below `shortest`."""
     n = F.octet_length(data)
     begin = F.struct(F.lit(start).cast("int").alias("pos"), F.array().cast("array<int>").alias("at"), F.lit(True).alias("on"))
 
@@ -73,9 +104,9 @@ def walk(data: Column, start: int, least: int, stride: Callable[[Column], Column
         on = s["on"] & (s["pos"] + least <= n)
         if go is not None:
             on = on & F.coalesce(go(s["pos"]), F.lit(False))
-        return F.when(on, F.struct((s["pos"] + F.greatest(stride(s["pos"]).cast("int"), F.lit(1))).cast("int").alias("pos"), F.array_append(s["at"], s["pos"]).alias("at"), F.lit(True).alias("on"))).otherwise(F.struct(s["pos"].alias("pos"), s["at"].alias("at"), F.lit(False).alias("on")))
+        return F.when(on, F.struct((s["pos"] + F.greatest(stride(s["pos"]).cast("int"), F.lit(shortest))).cast("int").alias("pos"), F.array_append(s["at"], s["pos"]).alias("at"), F.lit(True).alias("on"))).otherwise(F.struct(s["pos"].alias("pos"), s["at"].alias("at"), F.lit(False).alias("on")))
 
-    turns = F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1)))
+    turns = F.sequence(F.lit(1), F.greatest(F.ceil(n / shortest).cast("int"), F.lit(1)))
     return F.aggregate(turns, begin, step, lambda s: s["at"])
 
 

@@ -25,11 +25,11 @@ def explode_figs(fibs: DataFrame, types: list[int] | None = None) -> DataFrame:
     a = F.col("area")
     head = lambda p: u(a, p)
     kind, length = (lambda p: bits(head(p), 5, 3)), (lambda p: bits(head(p), 0, 5))
-    at = walk(a, 0, 1, lambda p: 1 + length(p), lambda p: (kind(p) != 7) & (length(p) > 0) & (p + 1 + length(p) <= F.octet_length(a)))
+    at = walk(a, 0, 1, lambda p: 1 + length(p), lambda p: (kind(p) != 7) & (length(p) > 0) & (p + 1 + length(p) <= F.octet_length(a)), 2)
     f = fibs.withColumn("at", at)
     last = F.when(F.size("at") > 0, F.element_at("at", -1) + 1 + length(F.element_at("at", -1))).otherwise(0)
     f = f.withColumn("ended_badly", F.coalesce((last < F.octet_length(a)) & (kind(last) != 7), F.lit(False)))
-    f = f.select("stream_id", "frame_no", "fib_no", "crc_ok", "ended_badly", a, F.posexplode("at").alias("seq", "p"))
+    f = f.select("stream_id", "frame_no", "fib_no", "crc_ok", "ended_badly", a, F.posexplode_outer("at").alias("seq", "p")).where("p IS NOT NULL")  # outer: Spark else adds a filter on the list, which walks once more
     f = f.select("stream_id", "frame_no", "fib_no", "crc_ok", "ended_badly", "seq", kind(F.col("p")).cast("int").alias("fig_type"), length(F.col("p")).cast("int").alias("len"), F.substring(a, F.col("p") + 2, length(F.col("p")).cast("int")).alias("data"))
     f = f.where("len <= 29")
     if types is not None:
@@ -67,7 +67,7 @@ def entries(f: DataFrame, stride: int, start: int = 1) -> DataFrame:
 
 
 def walked(f: DataFrame, least: int, stride, start: int = 1) -> DataFrame:
-    return f.withColumn("p", F.explode(walk(D(), start, least, stride)))
+    return f.withColumn("p", F.explode_outer(walk(D(), start, least, stride))).where("p IS NOT NULL")
 
 
 def P() -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, crc16_stored, u
+from muxlake.functions.bits import bits, crc16_of, crc16_stored, u
 from muxlake.functions.times import micros
 
 FRAME_BYTES, FRAME_MS = 6144, 24
@@ -150,7 +150,7 @@ def explode_fibs(fic: DataFrame) -> DataFrame:
     """A row a block: 30 bytes of area, the stored CRC, whether it agrees."""
     f = fic.where("fic IS NOT NULL").select("stream_id", "frame_no", F.posexplode(F.sequence(F.lit(1), F.octet_length("fic") - 31, F.lit(32))).alias("fib_no", "at"), "fic")
     f = f.select("stream_id", "frame_no", "fib_no", F.substring("fic", F.col("at"), 30).alias("area"), u(F.col("fic"), F.col("at") + 29, 2).cast("int").alias("crc_stored"))
-    return f.withColumn("crc_ok", crc16_stored(F.col("area")) == F.col("crc_stored"))
+    return f.withColumn("crc_ok", crc16_of(F.col("area"), 30).bitwiseXOR(0xFFFF) == F.col("crc_stored"))
 
 
 def eoh_crc_ok(headers: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def slice_msc(headers: DataFrame) -> DataFrame:
         n = bits(w, 0, 10) * 8
         return F.struct((s["at"] + n).alias("at"), F.array_append(s["subs"], F.struct(bits(w, 26, 6).cast("int").alias("sub_channel_id"), s["at"].alias("at"), n.alias("n"))).alias("subs"))
 
-    m = headers.where("nst > 0").select("stream_id", "frame_no", "raw", F.explode(F.aggregate(listed, begin, step, lambda s: s["subs"])).alias("x"))
+    m = headers.where("nst > 0").select("stream_id", "frame_no", "raw", F.explode_outer(F.aggregate(listed, begin, step, lambda s: s["subs"])).alias("x"))
     m = m.where(F.col("x.at") + F.col("x.n") <= F.octet_length("raw"))
     return m.select("stream_id", "frame_no", "x.sub_channel_id", F.substring("raw", (F.col("x.at") + 1).cast("int"), F.col("x.n").cast("int")).alias("payload"))
 
@@ -215,16 +215,20 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     fig02 = F.concat(F.lit("0602"), hex_(sid, 2), F.lit("013F"), hex_((user % 64) * 4 + 2, 1))
     label = F.hex(F.rpad(F.upper("event_type"), 16, " "))
     fig11 = F.concat(F.lit("3501"), hex_(sid, 2), label, F.lit("FF00"))
-    area = lambda x: F.rpad(x, 60, "FF")
-    fib = lambda x, flip: F.concat(x, hex_(crc16_stored(F.unhex(x)).bitwiseXOR(flip), 2))
-    a, b = area(F.concat(fig00, fig01)), area(F.concat(fig02, fig11))
-    fic = F.concat(fib(a, F.when(e % 20 == 0, 1).otherwise(0).cast("long")), fib(b, F.lit(0).cast("long")), F.lit("FF" * 30 + f"{_crc_of(bytes([255] * 30)) ^ 0xFFFF:04X}"))
     head = F.concat(hex_(e % 250, 1), hex_(128 + nst, 1), F.lit("0800"), stc)
-    eoh = F.concat(F.lit("0000"), hex_(crc16_stored(F.unhex(F.concat(head, F.lit("0000")))), 2))
-    sync = F.when(e % 50 == 0, "00000000").otherwise("FFF8C549")
-    body = F.rpad(F.concat(sync, head, eoh, fic), 2 * (FRAME_BYTES - 4), "55")
-    raw = F.unhex(F.concat(body, hex_((e * 393216) % (1 << 24), 4)))
-    return events.select(F.concat(F.lit("S"), user % 16).alias("stream_id"), e.alias("frame_no"), "ts", raw.alias("raw"))
+    area = lambda x: F.unhex(F.rpad(x, 60, "FF"))
+    # Columns of their own first: a checksum reads its bytes many times.
+    parts = events.select(F.concat(F.lit("S"), user % 16).alias("stream_id"), e.alias("frame_no"), "ts", area(F.concat(fig00, fig01)).alias("a"), area(F.concat(fig02, fig11)).alias("b"), F.unhex(F.concat(head, F.lit("0000"))).alias("head"))
+    n, two = F.col("frame_no"), lambda x: F.unhex(hex_(x, 2))
+    fib = lambda c, flip: F.concat(c, two(crc16_of(c, 30).bitwiseXOR(0xFFFF).bitwiseXOR(flip)))
+    padding = b"\xff" * 30
+    last = padding + (_crc_of(padding) ^ 0xFFFF).to_bytes(2, "big")
+    # Not deterministic to the optimizer, so filters of decoded fields aren't moved below, where each would build the frame once more.
+    once = F.monotonically_increasing_id() >= 0
+    sync = F.when((n % 50 == 0) & once, F.lit(bytes(4))).otherwise(F.lit(bytes.fromhex("FFF8C549")))
+    body = F.concat(sync, F.col("head"), two(crc16_stored(F.col("head"))), fib(F.col("a"), F.when(n % 20 == 0, 1).otherwise(0).cast("long")), fib(F.col("b"), F.lit(0).cast("long")), F.lit(last))
+    raw = F.concat(F.rpad(body, FRAME_BYTES - 4, F.lit(b"\x55")), F.unhex(hex_((n * 393216) % (1 << 24), 4)))
+    return parts.select("stream_id", "frame_no", "ts", raw.alias("raw"))
 
 
 def _crc_of(data: bytes) -> int:

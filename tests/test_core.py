@@ -38,6 +38,7 @@ def test_checksums(spark, data):
     assert one(spark, data, bits.crc32_frame(d)) == crc_by_bits(data, 0x04C11DB7, 32, 0xFFFFFFFF) ^ 0xFFFFFFFF
     assert one(spark, data, bits.fire_code(d)) == crc_by_bits(data, 0x782F, 16, 0)
     assert one(spark, data, F.crc32(d)) == zlib.crc32(data)
+    assert one(spark, data, bits.crc16_of(d, 30)) == (crc_by_bits(data, 0x1021, 16, 0xFFFF) if len(data) == 30 else None)
 
 
 def test_bytes_beyond_the_end_are_null(spark):

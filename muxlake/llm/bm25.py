@@ -211,16 +211,17 @@ def _search(sent, k: int, k1: float, b: float, run_docs: int, first: int):
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 4096, shard_postings: int = 1_500_000, terms_at_once: int = 2_000_000, run: int = 64, first: int = 4) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 4096, shard_postings: int = 1_500_000, terms_at_once: int = 2_000_000, shards_a_task: int = 8, run: int = 64, first: int = 4) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of docs for each row of queries (doc_id, text)."""
     spark = docs.sparkSession
     index = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index(shard_docs, shard_postings), INDEX))
     asked = queries.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     asked = table(asked.mapInArrow(_query_terms, "query_id long, terms binary, freqs binary, n long"))
-    whole = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
+    whole = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"), F.count("*").alias("shards")).first()
     n, mean = whole.n or 0, (whole.words or 0) / (whole.n or 1) or 1.0
     blocks = -(-(asked.agg(F.sum("n").alias("n")).first().n or 0) // terms_at_once)
-    tasks = index.coalesce(2 * spark.sparkContext.defaultParallelism)
+    # A task searches a number of shards, so tasks grow in number with the input, not in size; of few shards each core gets some.
+    tasks = index.coalesce(max(-(-(whole.shards or 0) // shards_a_task), 2 * spark.sparkContext.defaultParallelism))
     found = None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about terms_at_once terms

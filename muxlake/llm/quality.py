@@ -7,9 +7,9 @@ trusted ids (trusted_limit, smallest hash first; they are what the target side i
 on, as text is not shuffled for it). Two smoothed multinomials give each feature a log
 ratio target to raw; a document's score is the mean over its n-grams, so length plays no
 part. The threshold is the trusted documents' mean score less z standard deviations, from
-all of them, each scored with its own n-grams taken out of the target (else they would
-score above equally clean documents that aren't in it); every document is held against
-that one number.
+all of them, those beyond the sample too; each that is in the target is scored with its
+own n-grams taken out of it (else it would score above equally clean documents that
+aren't in it). Every document is held against that one number.
 
 Cases: null text has no words. Documents of fewer than min_words words, or with more than
 max_repeat of them in repeated windows, fail the base rules and are not kept. Without any
@@ -136,6 +136,8 @@ def quality(docs: DataFrame, trusted: DataFrame, n: int = 2, bits: int = 16, tru
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(raw, target, ids, n, alpha), "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", llr double, left_out double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 100 * max_repeat * F.col("n_words"))
     scored = cut(scored.withColumn("base_failed", failed))
-    r = scored.where("left_out IS NOT NULL AND NOT base_failed").agg(F.avg("left_out").alias("mean"), F.stddev_pop("left_out").alias("sd")).first()
+    all_trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    of_trusted = scored.where("NOT base_failed").select("doc_id", F.coalesce("left_out", "llr").alias("own")).join(all_trusted, "doc_id", "left_semi")
+    r = of_trusted.agg(F.avg("own").alias("mean"), F.stddev_pop("own").alias("sd")).first()
     threshold = -1e9 if r["mean"] is None else round(r["mean"] - z * r["sd"], 9)
     return scored.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.round("llr", 9) >= threshold)).alias("kept"), "llr", F.lit(threshold).alias("threshold"))

@@ -405,7 +405,7 @@ def brute_quality(text):
 
 
 def test_quality(docs, empty, corpus, spark):
-    from muxlake.llm.quality import BASE, features, log_share, quality, word_hashes
+    from muxlake.llm.quality import BASE, features, fit, log_share, quality, word_hashes
 
     trusted = spark.createDataFrame([(i,) for i in range(0, 100, 2)] + [(None,), (0,)], "doc_id long")
     out = of(quality(docs, trusted, bits=10))
@@ -424,6 +424,21 @@ def test_quality(docs, empty, corpus, spark):
         assert r["base_failed"] == failed
         assert r["kept"] == (not failed and round(r["llr"], 9) >= r["threshold"])
     assert of(quality(empty, trusted)) == []
+    for limit in (3, 20_000):  # the threshold is from all trusted documents, also from those beyond the sample
+        ids = fit(docs, trusted, 2, 10, limit)[2]
+        sample = np.zeros(1024)
+        for i, x in f:
+            if i in ids:
+                np.add.at(sample, x, 1)
+        own = []
+        for (i, x), (_, t, *_) in zip(f, corpus, strict=True):
+            n_words, *_, repeats = brute_quality(t)
+            if i is None or i >= 100 or i % 2 or n_words < 50 or 100 * repeats > 50 * n_words:
+                continue
+            rest = sample - (np.bincount(x, minlength=1024) if i in ids else 0)
+            own.append(float((log_share(rest, rest.sum(), 1024, 0.5) - log_share(raw, raw.sum(), 1024, 0.5))[x].mean()))
+        got = quality(docs, trusted, bits=10, trusted_limit=limit).first()["threshold"]
+        assert len(own) > 3 and abs(got - (np.mean(own) - 3 * np.std(own))) < 1e-6
     assert all(r["llr"] == 0 for r in of(quality(docs, trusted.limit(0), bits=10)))
 
 

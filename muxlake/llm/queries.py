@@ -160,3 +160,68 @@ def op8(spark, sf_dir):
     out = resolve_revisits(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     header = lambda name: F.element_at("headers", name).alias(name.replace("-", "_"))
     return out.select("record_id", "record_type", "revisit.canonical_url", "revisit.outcome", F.col("revisit.refers_to").cast("string").alias("refers_to"), *map(header, ("cache-control", "content-type", "content-length", "etag")), F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def with_repeats(docs):
+    """(doc_id, text), where every tenth document, by the crc32 of its id, repeats some of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    own = docs.select("doc_id", "text", g.alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).alias("w"))
+    n = F.size("w")
+    own = own.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    own = own.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int"))), 1, n - F.col("a"))
+    repeated = F.array_join(F.concat(F.slice("w", 1, F.col("a")), rest), " ")
+    return own.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    from muxlake.llm.runs import periodic_runs
+
+    found = periodic_runs(with_repeats(documents(spark, sf_dir))).select("doc_id", "periodic.*")
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # Runs are sorted by start and period, so of equal ratios the first stays.
+    more = lambda z, r: z.isNull() | (r["length"] * z["period"] > z["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda z, r: F.when(more(z, r), r).otherwise(z))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def with_typos(words):
+    """(word) of (doc_id, word): one code point is left out where 97 divides the crc32 of both."""
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")).cast("binary"))
+    cut = (h % F.length("word")).cast("int")
+    typo = F.concat(F.substring("word", F.lit(1), cut), F.substring("word", cut + 2, F.length("word")))
+    return words.select(F.when(h % 97 == 0, typo).otherwise(F.col("word")).alias("word"))
+
+
+@query(
+    "op12_spelling_variants",
+    """WITH t AS (SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)),
+    r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    d AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+    h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM d, t),
+    c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+    s AS (SELECT word, n, i, substr(word, 1, i) AS l, substr(word, i + 2) AS r FROM c, LATERAL (SELECT unnest(range(length(word))) AS i)),
+    near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM s a JOIN s b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+      UNION SELECT s.word, s.n, c.word, c.n FROM s JOIN c ON c.word = s.l || s.r UNION SELECT c.word, c.n, s.word, s.n FROM s JOIN c ON c.word = s.l || s.r),
+    best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+    f AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * c.n THEN other END AS form, CASE WHEN m >= 2 * c.n THEN m END AS form_n FROM c LEFT JOIN best ON c.word = best.word),
+    g AS (WITH RECURSIVE g AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT g.word, f.form, k + 1 FROM g JOIN f ON g.root = f.word WHERE f.form IS NOT NULL) SELECT word, arg_max(root, k) AS root FROM g GROUP BY word)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON f.word = g.word""",
+)
+def op12(spark, sf_dir):
+    from muxlake.llm.variants import letter_runs, spelling_variants
+
+    counts = with_typos(letter_runs(documents(spark, sf_dir), "doc_id")).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling_variants(counts.where((F.length("word") >= 5) & (F.col("n") >= 3)))
+
+
+@query("op13_html_extraction")
+def op13(spark, sf_dir):
+    from muxlake.llm.extraction import extract_text
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

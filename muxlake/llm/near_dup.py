@@ -37,8 +37,10 @@ share a doc_id join one class. A null doc_id has a null class and is compared to
 from __future__ import annotations
 
 import math
+import operator
 import re
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -127,34 +129,58 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float, x: np.ndarray | Non
     return of(m) if m >= least else 0.0
 
 
-def banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Longest common subsequence of matches at most `band` places apart, by bits: a whole number holds the band around a's place, a zero bit for each place of b where the length grows."""
-    at: dict[int, int] = {}
-    for v in np.unique(b).tolist():
-        at[v] = int.from_bytes(np.packbits(b == v, bitorder="little").tobytes(), "little") if len(b) < 4096 else 0
-    if len(b) >= 4096:  # one pass over the places, as there may be many values
-        order = np.argsort(b, kind="stable")
-        edges = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]])
-        for places in np.split(order, edges[1:]):
-            bits = np.zeros(-(-(int(places[-1]) + 1) // 8), np.uint8)
-            np.bitwise_or.at(bits, places // 8, (1 << (places % 8)).astype(np.uint8))
-            at[int(b[places[0]])] = int.from_bytes(bits.tobytes(), "little")
+def banded_lcs(a: np.ndarray, b: np.ndarray, band: int, often: int = 256) -> int:
+    """Longest common subsequence of matches at most `band` places apart, by bits: a whole number holds the band around a's place, a zero bit for each place of b where the length grows.
+
+    A value's places in b within the band are set as bits when a has the value. Only for values that stand more than `often` times, of which there are few, are the bits kept and moved on, so memory is a small multiple of the band.
+    """
     width = 2 * band + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
+    order = np.argsort(b, kind="stable")
+    places = order.astype(np.int64)
+    first, last = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    moved: dict[int, tuple[int, int, int]] = {}  # first place: bits, the place of a they are for, places that were set
     state, done = full, 0
-    for p, v in enumerate(a.tolist()):
+    for p, (i, j) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
         if p:  # the band moves on by a place
             done += 1 - (state & 1)
             state = (state >> 1) | top
-        places = at.get(v)
-        if places:
-            low = p - band
-            hit = state & (places >> low if low >= 0 else places << -low)
-            if hit:
-                state = ((state + hit) | (state - hit)) & full
+        if i == j:
+            continue
+        low = p - band
+        if j - i > often:
+            hit, at, n = moved.get(i, (0, 0, i))
+            hit >>= p - at
+            to = i + int(np.searchsorted(places[i:j], p + band, "right"))
+            if to > n:
+                hit |= _at(places[n:to], low, width)
+            moved[i] = hit, p, to
+        else:
+            near = places[i:j]
+            if j - i > 1:
+                near = near[np.searchsorted(near, low) : np.searchsorted(near, p + band, "right")]
+            elif not low <= near[0] <= p + band:
+                continue
+            hit = _at(near, low, width)
+        hit &= state
+        if hit:
+            state = ((state + hit) | (state - hit)) & full
     return done + width - state.bit_count()
 
 
+def _at(places: np.ndarray, low: int, width: int) -> int:
+    """A number with the bits of places from low on; those below are left out."""
+    if len(places) < 8:
+        out = 0
+        for j in places.tolist():
+            if j >= low:
+                out |= 1 << (j - low)
+        return out
+    bits = np.zeros(width, np.uint8)
+    bits[places[places >= low] - low] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def increasing(x: np.ndarray) -> int:
     """Length of the longest increasing subsequence."""
     tails: list[int] = []
@@ -218,14 +244,14 @@ def verified(pairs: DataFrame, seqs: DataFrame, similarity: float, hot: int = 25
     return both.select("id", "hub", "seq", "hub_seq").mapInArrow(released(_verify(similarity)), "a long, b long, similarity double")
 
 
-def components(links: DataFrame, start: DataFrame | None = None, max_steps: int = 40) -> DataFrame:
-    """(id, label): the least id of each component, for ids that links (a, b) touch. Min labels travel along links, and through the labels themselves."""
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(id, label): the least id of each component, for ids that links (a, b) touch. Min labels travel along links, and through the labels themselves, until none changes."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if start is not None:
         both = both.unionByName(start.select(F.col("id").alias("a"), F.col("label").alias("b"))).unionByName(start.select(F.col("label").alias("a"), F.col("id").alias("b")))
     edges = table(both.distinct())
     labels = table(edges.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")))
-    for _ in range(max_steps):
+    while True:
         heard = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
         new = labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("new"))
         root = labels.select(F.col("id").alias("new"), F.col("label").alias("root"))  # labels are ids with labels of their own
@@ -234,7 +260,6 @@ def components(links: DataFrame, start: DataFrame | None = None, max_steps: int
         labels = new.select("id", F.col("new").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def tokens_of(seq: bytes) -> np.ndarray:
@@ -256,16 +281,27 @@ def _bins(bits: int):
     return run
 
 
+#: Words of a parity map, of 64 bits each.
+MAP = 4
+MAPS = [f"map{i}" for i in range(MAP)]
+
+
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """64 * MAP bits: of each, whether an odd number of labelled shingles falls on it. Two maps differ in no more bits than the shingles that only one of both documents has."""
+    odd = np.bincount((tokens & np.uint64(64 * MAP - 1)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(sent, bits: int, similarity: float):
     """The rarest labelled shingles of each document, as many as may be missing in a similar one and one more.
 
-    most is the greatest size of a document that may still be similar if this shingle, at its place in the order by rarity, is the first that both have; central is the mean log count.
+    map is the parity map of all of them. most is the greatest size of a document that may still be similar if this shingle, at its place in the order by rarity, is the first that both have; central is the mean log count.
     """
 
     def run(batches):
         counts = sent.value
         for b in batches:
-            ids, sizes, most, central, tokens = [], [], [], [], []
+            ids, sizes, most, central, tokens, maps = [], [], [], [], [], []
             for doc_id, seq in zip(b["id"].to_pylist(), b["seq"].to_pylist(), strict=True):
                 t = tokens_of(seq)
                 c = counts[(t >> np.uint64(64 - bits)).astype(np.int64)]
@@ -276,20 +312,17 @@ def _prefixes(sent, bits: int, similarity: float):
                 ids += [doc_id] * len(place)
                 sizes += [len(t)] * len(place)
                 central += [float(np.log(c).mean())] * len(place)
+                maps.append(np.repeat(parity_map(t)[None, :], len(place), axis=0))
             tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(most, pa.int64()), pa.array(central, pa.float64()), pa.array(tokens)], ["id", "n", "most", "central", "token"])
+            maps = np.concatenate(maps) if maps else np.zeros((0, MAP), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(most, pa.int64()), pa.array(central, pa.float64()), pa.array(tokens), *(pa.array(maps[:, i].copy()) for i in range(MAP))], ["id", "n", "most", "central", "token", *MAPS])
 
     return run
 
 
-#: A key's rows are spread over so many salts where they meet the one row of their key.
-SALTS = 8
-
-
 def with_key(rows: DataFrame, small: DataFrame, *key: str) -> DataFrame:
-    """rows (id, key, ...) joined with the one row that small has of their key; a hot key's rows are spread by id."""
-    dealt = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(dealt, [*key, "salt"]).drop("salt")
+    """rows (id, key, ...) joined with the one row that small has of their key. A hot key's rows are split by the skew handling of adaptive execution, however many there are, as only one row meets them."""
+    return rows.join(small, [*key])
 
 
 def mixed_classes(rows: DataFrame, labels: DataFrame, *key: str) -> DataFrame:
@@ -306,8 +339,8 @@ def comparable(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     return with_key(at, span, "token").where("least_n <= most AND n <= greatest").drop("l0", "l1", "least_n", "greatest")
 
 
-def settled(flat: DataFrame, labels: DataFrame, seqs: DataFrame, similarity: float, bits: int = 20) -> DataFrame:
-    """labels, after all documents of buckets (i, key) with several classes were compared where they may be similar."""
+def settled(flat: DataFrame, labels: DataFrame, seqs: DataFrame, similarity: float, tried: DataFrame | None = None, bits: int = 20) -> DataFrame:
+    """labels, after all documents of buckets (i, key) with several classes were compared where they may be similar. tried: pairs (id, hub) that were compared before."""
     spark = flat.sparkSession
     left = table(mixed_classes(flat, labels, "i", "key").select("id").distinct())
     if left.isEmpty():
@@ -316,22 +349,24 @@ def settled(flat: DataFrame, labels: DataFrame, seqs: DataFrame, similarity: flo
     found = own.mapInArrow(_bins(bits), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most 2**bits rows
     counts = np.zeros(1 << bits, np.int64)
     counts[found["bin"].to_numpy()] = found["n"].to_numpy()
-    tokens = table(own.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), bits, similarity), "id long, n long, most long, central double, token long"))
-    many, tried = 1, None
+    tokens = table(own.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), bits, similarity), "id long, n long, most long, central double, token long, " + ", ".join(f"{c} long" for c in MAPS)))
+    many = 1
     while True:
         at = table(comparable(tokens, labels))
         if at.isEmpty():
             return labels
-        best = F.min(F.struct(-F.col("central"), F.xxhash64("id"), F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most")))
-        hubs = table(at.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(many)).alias("lot")).agg(best.alias("h")).select("token", "h.hub", "h.hub_label", "h.hub_n", "h.hub_most"))
+        best = F.min(F.struct(-F.col("central"), F.xxhash64("id"), F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), *(F.col(c).alias(f"hub_{c}") for c in MAPS)))
+        hubs = table(at.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(many)).alias("lot")).agg(best.alias("h")).select("token", *(f"h.hub{c}" for c in ("", "_label", "_n", "_most", *(f"_{c}" for c in MAPS)))))
         at = at.join(hubs.select("token", F.col("hub").alias("id"), F.lit(True).alias("spent")), ["token", "id"], "left")
         alike = (F.col("label") != F.col("hub_label")) & (F.col("n") <= F.col("hub_most")) & (F.col("hub_n") <= F.col("most"))
+        apart = reduce(operator.add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub_{c}"))) for c in MAPS])
+        alike = alike & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("hub_n")) + 1e-6)
         pairs = with_key(at, hubs, "token").where(alike & (F.col("spent").isNull() | (F.col("id") < F.col("hub")))).select("id", "hub").distinct()
         if tried is not None:
             both = tried.unionByName(tried.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
             pairs = pairs.join(both, ["id", "hub"], "left_anti")
         pairs = table(pairs)
-        tokens = table(at.where("spent IS NULL").select("id", "n", "most", "central", "token"))  # hubs were compared to all others
+        tokens = table(at.where("spent IS NULL").select("id", "n", "most", "central", "token", *MAPS))  # hubs were compared to all others
         if not pairs.isEmpty():
             labels = components(table(verified(pairs, seqs, similarity)), labels)
             tried = pairs if tried is None else table(tried.unionByName(pairs))
@@ -363,7 +398,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketch
     pairs = table(with_key(at, hubs, "i", "key").where("label <> hub_label").select("id", "hub").distinct())
     if not pairs.isEmpty():
         labels = components(table(verified(pairs, seqs, similarity)), labels)
-    labels = settled(flat, labels, seqs, similarity)
+    labels = settled(flat, labels, seqs, similarity, pairs)
     least = member.join(labels, member["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return prints.select("doc_id").join(least, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -257,3 +257,57 @@ def test_op13_of_generated_pages(spark):
         parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1])
         want = "\n".join(x for x in (" ".join(h.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in parts) if x)
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+# Near duplicates: long texts, template pages
+
+
+def test_banded_alignment_agrees_with_brute_force():
+    from muxlake.llm.near_dup import banded_lcs
+
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        n, m = rng.integers(1, 40, 2)
+        kinds, band = int(rng.integers(1, 12)), int(rng.integers(0, 50))
+        a, b = rng.integers(0, kinds, n).astype(np.uint32), rng.integers(0, kinds, m).astype(np.uint32)
+        d = np.zeros((n + 1, m + 1), int)
+        for i, j in itertools.product(range(n), range(m)):
+            d[i + 1, j + 1] = max(d[i, j + 1], d[i + 1, j], d[i, j] + 1 if a[i] == b[j] and abs(i - j) <= band else 0)
+        for often in (256, 3, 0):
+            assert banded_lcs(a, b, band, often) == d[n, m]
+
+
+def test_alignment_of_very_long_texts_takes_little_memory():
+    import tracemalloc
+
+    from muxlake.llm.near_dup import aligned
+
+    x = np.random.default_rng(1).permutation(800_000)[:400_000].astype(np.uint32)
+    tracemalloc.start()
+    assert aligned(x, np.r_[x[200_000:], x[:200_000]], 0.8) == 0.0  # halves swapped: half of it aligns
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_pages_of_shared_passages_are_hardly_aligned(spark, monkeypatch):
+    """Pages of 10 of 24 passages share many shingles but aren't similar: pairs to align don't grow with the square of the pages."""
+    from muxlake.llm import near_dup
+
+    rng = random.Random(8)
+    passages = [" ".join(f"p{i}w{rng.randrange(10**6)}" for _ in range(20)) for i in range(24)]
+    aligned, check = [], near_dup.verified
+
+    def counted(pairs, *args, **more):
+        aligned.append(pairs.count())
+        return check(pairs, *args, **more)
+
+    monkeypatch.setattr(near_dup, "verified", counted)
+    found = []
+    for n in (150, 300):
+        rows = [(i, " ".join(rng.sample(passages, 10))) for i in range(n)]
+        rows += [(n + i, rows[i][1].replace(" p", " q", 1)) for i in range(5)]
+        aligned.clear()
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(got[n + i] == got[i] for i in range(5))
+        found.append(sum(aligned))
+    assert found[1] < 3 * found[0] + 60

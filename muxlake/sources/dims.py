@@ -51,6 +51,25 @@ PROGRAMME_TYPES = [
     ("Jazz Music", "Music"), ("Country Music", "Music"), ("National Music", "Music"), ("Oldies Music", "Music"), ("Folk Music", "Music"), ("Documentary", "Information"), ("Alarm Test", "Other"), ("Alarm", "Other"),
 ]
 
+# The national plan's blocks: centre in MHz, name, use.
+FREQUENCY_PLAN = [
+    (174.928, "5A", "Public Service"), (176.640, "5B", "Public Service"), (178.352, "5C", "Public Service"), (180.064, "5D", "Public Service"),
+    (181.936, "6A", "Commercial"), (183.648, "6B", "Commercial"), (185.360, "6C", "Commercial"), (187.072, "6D", "Commercial"),
+    (188.928, "7A", "Community"), (190.640, "7B", "Community"), (192.352, "7C", "Community"), (194.064, "7D", "Community"),
+    (195.936, "8A", "Commercial"), (197.648, "8B", "Commercial"), (199.360, "8C", "Commercial"), (201.072, "8D", "Commercial"),
+    (202.928, "9A", "Public Service"), (204.640, "9B", "Public Service"), (206.352, "9C", "Public Service"), (208.064, "9D", "Public Service"),
+    (209.936, "10A", "Community"), (211.648, "10B", "Community"), (213.360, "10C", "Community"), (215.072, "10D", "Community"),
+    (216.928, "11A", "Commercial"), (218.640, "11B", "Commercial"), (220.352, "11C", "Commercial"), (222.064, "11D", "Commercial"),
+    (223.936, "12A", "Emergency"), (225.648, "12B", "Emergency"), (227.360, "12C", "Emergency"), (229.072, "12D", "Emergency"),
+    (230.784, "13A", "Government"), (232.496, "13B", "Government"), (234.208, "13C", "Government"), (235.776, "13D", "Government"),
+    (237.488, "13E", "Government"),
+]
+
+
+def frequency_plan(spark: SparkSession) -> DataFrame:
+    """(plan_mhz, block, use) of the national plan, all approved."""
+    return spark.createDataFrame(FREQUENCY_PLAN, "plan_mhz double, block string, use string")
+
 
 def country_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(COUNTRIES, "ecc int, country string, iso string")

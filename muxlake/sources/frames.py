@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muxlake.functions.bits import bits, crc16_of, crc16_stored, u
 from muxlake.functions.times import micros
+from muxlake.sources import captures
 
 FRAME_BYTES, FRAME_MS = 6144, 24
 # Sync words that a capture's frames may begin with, and the one that tells LI.
@@ -18,44 +15,25 @@ SYNC_WORDS = ["FF1F491F", "491F1FFF", "FF1FC4FF", "C4FF1FFF", "491FC4FF", "C4FF4
 SYNC_LI = "49931E03"
 
 
-#: Bytes from which an aligned capture is read in splits, not as one row. Spark's binaryFile can't read rows of 2 GB or more.
-SPLIT_BYTES = 64 << 20
-
-
 def capture_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below path, by Spark's binaryFile source: only where `content` is selected are they read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
-def by_size(spark: SparkSession, files: DataFrame, split_bytes: int) -> tuple[DataFrame, list[str]]:
-    """Captures that are read as one row, and the paths of those read in splits: large, of whole records, and of a name that is no list or pattern to Hadoop."""
-    large = files.where(F.col("length") >= split_bytes).select("path", "length").collect()  # a row a large file
-    plain = [r.path for r in large if r.length and r.length % FRAME_BYTES == 0 and not re.search(r"[,*?\[\]{}\\]", r.path)]
-    others = sorted({r.path for r in large} - set(plain))
-    whole = files.where(F.col("length") < split_bytes)  # a filter the source applies before it reads
-    if others:
-        whole = whole.unionByName(spark.read.format("binaryFile").load([re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in others]))
-    return whole, plain
-
-
-def split_frames(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(stream_id, frame_no, raw) of aligned captures, in as many tasks as they have blocks; the record's number comes from its offset."""
-    sc, f = spark.sparkContext, "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    io = "org.apache.hadoop.io."
-    read = lambda path: sc.newAPIHadoopFile(path, f, io + "LongWritable", io + "BytesWritable", conf={f + ".recordLength": str(FRAME_BYTES)}).map(lambda r: (path, r[0], bytes(r[1])))
-    return spark.createDataFrame(sc.union([read(p) for p in paths]), "stream_id string, frame_no long, raw binary")
-
-
-def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(stream_id, frame_no, raw): whole records of every capture below path; the file is the stream, record order the number.
+def read_frames(spark: SparkSession, path: str, split_bytes: int = captures.SPLIT_BYTES, tail: bool = False, pattern: str = "*") -> DataFrame:
+    """(stream_id, frame_no, raw): whole records of every capture below path; the file is the stream, record order the number. With tail, a cut-off last record is a row too.
 
-    Captures of split_bytes or more are read in splits. Those that end in a short record are read as one row, so they must be under 2 GB.
+    Captures are read in ranges of split_bytes, whatever their size (sources/captures.py).
+    A path of a scheme that pyarrow doesn't have is read by Hadoop, each file as one row,
+    so files must be under 2 GB there, Spark's limit.
     """
-    files, large = by_size(spark, capture_files(spark, path), split_bytes)
-    n = F.floor(F.octet_length("content") / FRAME_BYTES).cast("int")
-    at = files.where(F.col("length") >= FRAME_BYTES).select(F.col("path").alias("stream_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_no"), "content")
-    at = at.select("stream_id", F.col("frame_no").cast("long").alias("frame_no"), F.substring("content", F.col("frame_no") * FRAME_BYTES + 1, FRAME_BYTES).alias("raw"))
-    return at.unionByName(split_frames(spark, large)) if large else at
+    if captures.readable(path):
+        read = spark.read.format(captures.captures(spark)).option("splitBytes", str(split_bytes)).option("tail", str(tail)).option("pattern", pattern)
+        return read.load(path).select("stream_id", "frame_no", "raw")
+    size = F.octet_length("content") / FRAME_BYTES
+    n = (F.ceil(size) if tail else F.floor(size)).cast("int")
+    at = capture_files(spark, path, pattern).where(F.col("length") >= (1 if tail else FRAME_BYTES)).select(F.col("path").alias("stream_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_no"), "content")
+    return at.select("stream_id", F.col("frame_no").cast("long").alias("frame_no"), F.substring("content", F.col("frame_no") * FRAME_BYTES + 1, FRAME_BYTES).alias("raw"))
 
 
 def partial_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -64,34 +42,11 @@ def partial_frames(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("stream_id"), (F.col("length") % FRAME_BYTES).alias("tail_bytes")).where("tail_bytes > 0")
 
 
-def _hashed(batches):
-    """Head and hash of each stream, from its frames in order."""
-    now, head, h, out = None, None, None, []
-    for b in batches:
-        for stream, raw in zip(b["stream_id"].to_pylist(), b["raw"].to_pylist(), strict=True):
-            if stream != now:
-                if now is not None:
-                    out.append((now, head, h.hexdigest()))
-                now, head, h = stream, raw[:4], hashlib.sha256()
-            h.update(raw)
-    if now is not None:
-        out.append((now, head, h.hexdigest()))
-    cols = list(zip(*out, strict=True)) or [[]] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.string()), strict=True)], ["stream_id", "head", "sha256"])
-
-
-def capture_profile(spark: SparkSession, path: str, pattern: str = "*", split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Per capture: size, frames, duration, format, hash. Large aligned captures are hashed frame by frame, a task a capture; others must be under 2 GB."""
-    files = capture_files(spark, path, pattern)
-    frames = F.floor(F.col("length") / FRAME_BYTES)
-    known = [F.col("path").alias("stream_id"), F.col("length").alias("n_bytes"), frames.alias("frames"), (frames * FRAME_MS).alias("duration_ms")]
-    whole, large = by_size(spark, files, split_bytes)
-    out = whole.select(*known, detect_format(F.col("content")).alias("format"), F.sha2("content", 256).alias("sha256"))
-    if not large:
-        return out
-    read = split_frames(spark, large).repartition("stream_id").sortWithinPartitions("stream_id", "frame_no").mapInArrow(_hashed, "stream_id string, head binary, sha256 string")
-    sizes = files.where(F.col("length") >= split_bytes).select(*known)
-    return out.unionByName(sizes.join(read, "stream_id").select(*sizes.columns, detect_format(F.col("head")).alias("format"), "sha256"))
+def capture_profile(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Per capture: size, frames, duration, format, hash. A hash goes through a file in order, so each file is a task's, in pieces of a few MB."""
+    frames = F.floor(F.col("n_bytes") / FRAME_BYTES)
+    read = spark.read.format(captures.captures(spark)).option("mode", "profile").option("pattern", pattern).load(path)
+    return read.select("stream_id", "n_bytes", frames.alias("frames"), (frames * FRAME_MS).alias("duration_ms"), detect_format(F.col("head")).alias("format"), "sha256")
 
 
 def detect_format(raw: Column) -> Column:

@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A live feed of captures dropped into a folder: one row a frame. Each file is read as one row, so it must be under 2 GB: a recorder has to start new files before that."""
-    from muxlake.sources.frames import FRAME_BYTES
-
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    n = F.floor(F.octet_length("content") / FRAME_BYTES).cast("int")
-    at = files.where(n > 0).select(F.col("path").alias("stream_id"), F.col("modificationTime").alias("ts"), F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_no"), "content")
-    return at.select("stream_id", "ts", F.col("frame_no").cast("long").alias("frame_no"), F.substring("content", F.col("frame_no") * FRAME_BYTES + 1, FRAME_BYTES).alias("raw"))
+def stream_frames(spark: SparkSession, path: str, split_bytes: int | None = None, pattern: str = "*") -> DataFrame:
+    """A live feed of captures in a folder: (stream_id, ts, frame_no, raw), one row a whole record. Files may be of any size and may grow; each record comes once (sources/captures.py)."""
+    from muxlake.sources import captures
+
+    read = spark.readStream.format(captures.captures(spark)).option("splitBytes", str(split_bytes or captures.SPLIT_BYTES)).option("pattern", pattern)
+    return read.load(path).select("stream_id", "ts", "frame_no", "raw")
 
 
 def stream_rows(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 16) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muxlake.functions.times import micros
+from muxlake.operators.scan import looking_back, running
 
 FRAME_MS = 24
 CAPACITY_CU = 864
@@ -151,11 +152,10 @@ def fps_stability(measurements: DataFrame, key: str = "stream_id") -> DataFrame:
     return measurements.groupBy(key).agg(F.round(F.stddev_pop("value") / F.avg("value"), 6).alias("variation"))
 
 
-def fig_carousel(figs: DataFrame, limit_ms: int = 100) -> DataFrame:
+def fig_carousel(figs: DataFrame, limit_ms: int = 100, span: float | None = None) -> DataFrame:
     """Repetition of each FIG in stream time: intervals in ms, share within the limit, efficiency."""
-    w = Window.partitionBy("stream_id", "fig_type", "ext").orderBy("frame_no")
-    gap = (F.col("frame_no") - F.lag("frame_no").over(w)) * FRAME_MS
-    return figs.withColumn("gap", gap).groupBy("fig_type", "ext").agg(
+    gaps = looking_back(figs, ["stream_id", "fig_type", "ext"], "frame_no", 1, lambda w: {"gap": (F.col("frame_no") - F.lag("frame_no").over(w)) * FRAME_MS}, span)
+    return gaps.groupBy("fig_type", "ext").agg(
         F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("avg_ms"), F.min("gap").alias("min_ms"), F.max("gap").alias("max_ms"),
         F.round(share(F.count_if(F.col("gap") < limit_ms), F.count("gap")), 6).alias("within"), F.round(100 - share(F.count_if(~F.col("crc_ok")), F.count("*")), 6).alias("efficiency"),
     )
@@ -238,10 +238,10 @@ def active_services(services: DataFrame, approx: bool = False) -> DataFrame:
 
 def uptime(states: DataFrame) -> DataFrame:
     """Per endpoint: time connected and lost, from state changes (ts, connected); the last state has no length."""
-    w = Window.partitionBy("endpoint").orderBy("ts")
-    ms = (micros(F.lead("ts").over(w)) - micros("ts")) / 1000
+    s = states.withColumn("_until", -micros("ts"))  # the next change is the one before, the other way round
+    s = looking_back(s, ["endpoint"], "_until", 1, lambda w: {"ms": (F.col("_until") - F.lag("_until").over(w)) / 1000}, 86_400_000_000)
     up, down = F.sum(F.when(F.col("connected"), F.col("ms"))), F.sum(F.when(~F.col("connected"), F.col("ms")))
-    return states.withColumn("ms", ms).groupBy("endpoint").agg(F.round(up, 3).alias("up_ms"), F.round(down, 3).alias("down_ms"), F.round(share(F.count_if("connected"), F.count("*")), 6).alias("success_rate"))
+    return s.groupBy("endpoint").agg(F.round(up, 3).alias("up_ms"), F.round(down, 3).alias("down_ms"), F.round(share(F.count_if("connected"), F.count("*")), 6).alias("success_rate"))
 
 
 def log_statistics(entries: DataFrame) -> DataFrame:
@@ -284,10 +284,12 @@ def data_service_snapshot(items: DataFrame) -> DataFrame:
     )
 
 
-def text_inventory(runs: DataFrame) -> DataFrame:
+def text_inventory(runs: DataFrame, span: float | None = None) -> DataFrame:
     """Per text: repeats, first and last unit, rank of first sight."""
     t = runs.groupBy("text").agg(F.count("*").alias("repeats"), F.min("unit").alias("first_unit"), F.max("unit").alias("last_unit"))
-    return t.withColumn("seen_rank", F.row_number().over(Window.orderBy("first_unit", "text")))
+    first = t.withColumn("_at", F.struct("first_unit", "text"))
+    rank = running(first, [], "_at", {"seen_rank": ("total", F.lit(1))}, span, peers=False)
+    return rank.drop("_at").withColumn("seen_rank", F.col("seen_rank").cast("int"))
 
 
 def journaline_menus(objects: DataFrame) -> DataFrame:

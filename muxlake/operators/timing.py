@@ -1,48 +1,37 @@
 """Window operators over ordered streams (W-family) and the batch forms of the streaming ones (T-family).
 
-Every window is partitioned by stream (and more keys where there are any), so streams run
-side by side, and each is sorted in one task. The operators here don't split a hot stream.
-A caller may deal one by spans(): windows that look back a bounded number of order units
-then run within a span, with the rows before it repeated.
+Streams run side by side, and each is cut into spans of its order (operators/scan.py), so
+no task sorts a whole stream. `span` is the length of a span: numbers of the order, or
+seconds where it is a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muxlake.functions.times import micros
+from muxlake.operators.scan import looking_back, ranging_back, running
 
 FRAME_MS = 24
+STREAM = ["stream_id"]
 
 
-def of_stream(*keys: str, order: str = "frame_no"):
-    return Window.partitionBy(*(keys or ("stream_id",))).orderBy(order)
-
-
-def spans(df: DataFrame, order: str, length: int, back: int) -> DataFrame:
-    """Adds `span`, and repeats the `back` order units before each span with own = false: then partition by (stream_id, span)."""
-    own = F.floor(F.col(order) / length)
-    also = F.when(F.col(order) % length >= length - back, F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn("span", F.explode(also)).withColumn("own", F.col("span") == own)
-
-
-def frame_count_gaps(frames: DataFrame, modulus: int = 250) -> DataFrame:
+def frame_count_gaps(frames: DataFrame, modulus: int = 250, span: float | None = None) -> DataFrame:
     """Frames whose count isn't the one before plus 1, modulo 250."""
-    before = F.lag("fc").over(of_stream())
-    return frames.withColumn("expected", (before + 1) % modulus).where(F.col("expected").isNotNull() & (F.col("fc") != F.col("expected")))
+    f = looking_back(frames, STREAM, "frame_no", 1, lambda w: {"expected": (F.lag("fc").over(w) + 1) % modulus}, span)
+    return f.where(F.col("expected").isNotNull() & (F.col("fc") != F.col("expected")))
 
 
-def counter_discontinuity(frames: DataFrame, counter: str = "counter", critical: int = 10) -> DataFrame:
-    step = F.col(counter) - F.lag(counter).over(of_stream())
-    return frames.withColumn("step", step).where("step IS NOT NULL AND step <> 1").withColumn("severity", F.when(F.abs("step") > critical, "critical").otherwise("warning"))
+def counter_discontinuity(frames: DataFrame, counter: str = "counter", critical: int = 10, span: float | None = None) -> DataFrame:
+    f = looking_back(frames, STREAM, "frame_no", 1, lambda w: {"step": F.col(counter) - F.lag(counter).over(w)}, span)
+    return f.where("step IS NOT NULL AND step <> 1").withColumn("severity", F.when(F.abs("step") > critical, "critical").otherwise("warning"))
 
 
-def sequence_loss(packets: DataFrame, order: str = "arrival", bits: int = 16) -> DataFrame:
+def sequence_loss(packets: DataFrame, order: str = "arrival", bits: int = 16, span: float | None = None) -> DataFrame:
     """Per packet: lost before it, duplicate, out of order. A step of half the range or more is reordering, not loss."""
     size = 1 << bits
-    step = F.pmod(F.col("seq") - F.lag("seq").over(of_stream(order=order)), F.lit(size))
-    p = packets.withColumn("step", step)
+    p = looking_back(packets, STREAM, order, 1, lambda w: {"step": F.pmod(F.col("seq") - F.lag("seq").over(w), F.lit(size))}, span)
     return p.select(
         "*", F.when(F.col("step").isNull() | (F.col("step") == 0) | (F.col("step") >= size // 2), 0).otherwise(F.col("step") - 1).alias("lost"),
         F.coalesce(F.col("step") == 0, F.lit(False)).alias("duplicate"), F.coalesce(F.col("step") >= size // 2, F.lit(False)).alias("reordered"),
@@ -55,21 +44,24 @@ def rtp_statistics(packets: DataFrame) -> DataFrame:
     return packets.groupBy("stream_id").agg(n.alias("packets"), F.sum("n_bytes").alias("n_bytes"), lost.alias("lost"), F.round(F.when(n + lost > 0, lost / (n + lost)).otherwise(0.0), 6).alias("loss_rate"))
 
 
-def transit_difference(packets: DataFrame, clock: float = 48_000.0) -> DataFrame:
+def transit_difference(packets: DataFrame, clock: float = 48_000.0, span: float | None = None) -> DataFrame:
     """|arrival step - timestamp step| in ms of consecutive packets, the input of the jitter filter."""
-    w = of_stream(order="arrival")
-    arrived = (micros("arrival") - micros(F.lag("arrival").over(w))) / 1000
-    stamped = (F.col("rtp_ts") - F.lag("rtp_ts").over(w)) / clock * 1000
-    return packets.withColumn("difference", F.abs(arrived - stamped))
+
+    def steps(w):
+        arrived = (micros("arrival") - micros(F.lag("arrival").over(w))) / 1000
+        stamped = (F.col("rtp_ts") - F.lag("rtp_ts").over(w)) / clock * 1000
+        return {"difference": F.abs(arrived - stamped)}
+
+    return looking_back(packets, STREAM, "arrival", 1, steps, span)
 
 
-def rtp_jitter(packets: DataFrame, alpha: float = 0.125, session: int = 65_536) -> DataFrame:
+def rtp_jitter(packets: DataFrame, alpha: float = 0.125, session: int = 65_536, span: float | None = None) -> DataFrame:
     """Exponential mean of the transit difference at the end of each `session` packets of a stream; it begins with the first difference and goes on over sessions.
 
     A session is a straight line of the mean before it: j -> a * j + b. Sessions are folded side by side, then their lines one after the other.
     """
-    d = transit_difference(packets).where("difference IS NOT NULL")
-    d = d.withColumn("session", F.floor((F.row_number().over(of_stream(order="arrival")) - 1) / session))
+    d = transit_difference(packets, span=span).where("difference IS NOT NULL")
+    d = running(d, STREAM, "arrival", {"number": ("total", F.lit(1))}, span, peers=False).withColumn("session", F.floor((F.col("number") - 1) / session))
     rows = d.groupBy("stream_id", "session").agg(F.array_sort(F.collect_list(F.struct(micros("arrival").alias("at"), "difference"))).alias("rows"))
     line = F.aggregate("rows", F.lit(0.0), lambda j, r: j + (r["difference"] - j) * alpha)
     rows = rows.select("stream_id", "session", F.size("rows").alias("n"), F.col("rows")[0]["difference"].alias("first"), line.alias("b"), F.pow(F.lit(1 - alpha), F.size("rows")).alias("a"))
@@ -83,28 +75,31 @@ def rtp_jitter(packets: DataFrame, alpha: float = 0.125, session: int = 65_536)
     return of.select("stream_id", F.inline(F.aggregate("s", begin, step, lambda z: z["out"]))).withColumn("jitter", F.round("jitter", 6))
 
 
-def fig_intervals(figs: DataFrame) -> DataFrame:
-    return figs.withColumn("interval_ms", (F.col("frame_no") - F.lag("frame_no").over(of_stream("stream_id", "fig_type", "ext"))) * FRAME_MS)
+def fig_intervals(figs: DataFrame, span: float | None = None) -> DataFrame:
+    return looking_back(figs, ["stream_id", "fig_type", "ext"], "frame_no", 1, lambda w: {"interval_ms": (F.col("frame_no") - F.lag("frame_no").over(w)) * FRAME_MS}, span)
 
 
-def tist_steps(frames: DataFrame, tolerance: float = 5.0) -> DataFrame:
+def tist_steps(frames: DataFrame, tolerance: float = 5.0, span: float | None = None) -> DataFrame:
     """Frames whose time stamp isn't 24 ms after the one before, within the tolerance."""
-    step = F.col("tist_ms") - F.lag("tist_ms").over(of_stream())
-    return frames.withColumn("step_ms", F.round(step, 6)).where(F.abs(F.col("step_ms") - FRAME_MS) > tolerance)
+    f = looking_back(frames, STREAM, "frame_no", 1, lambda w: {"step_ms": F.round(F.col("tist_ms") - F.lag("tist_ms").over(w), 6)}, span)
+    return f.where(F.abs(F.col("step_ms") - FRAME_MS) > tolerance)
 
 
-def clock_drift_ppm(frames: DataFrame, samples: int = 100, least: int = 10) -> DataFrame:
+def clock_drift_ppm(frames: DataFrame, samples: int = 100, least: int = 10, span: float | None = None) -> DataFrame:
     """Drift of offset_ms against at_s over the last samples rows, in parts per million; null under `least` rows."""
-    w = of_stream().rowsBetween(1 - samples, 0)
-    span = F.last("at_s").over(w) - F.first("at_s").over(w)
-    drift = (F.last("offset_ms").over(w) - F.first("offset_ms").over(w)) / span * 1000
-    return frames.withColumn("drift_ppm", F.when((F.count("*").over(w) >= least) & (span > 0), F.round(drift, 4)))
 
+    def drifts(w):
+        w = w.rowsBetween(1 - samples, 0)
+        length = F.last("at_s").over(w) - F.first("at_s").over(w)
+        drift = (F.last("offset_ms").over(w) - F.first("offset_ms").over(w)) / length * 1000
+        return {"drift_ppm": F.when((F.count("*").over(w) >= least) & (length > 0), F.round(drift, 4))}
 
-def error_runs(frames: DataFrame, least: int = 5) -> DataFrame:
+    return looking_back(frames, STREAM, "frame_no", samples - 1, drifts, span)
+
+
+def error_runs(frames: DataFrame, least: int = 5, span: float | None = None) -> DataFrame:
     """Runs of at least `least` consecutive frames that aren't valid."""
-    run = F.sum(F.col("valid").cast("int")).over(of_stream())
-    bad = frames.withColumn("run", run).where("NOT valid")
+    bad = running(frames, STREAM, "frame_no", {"run": ("total", F.col("valid").cast("int"))}, span).where("NOT valid")
     return bad.groupBy("stream_id", "run").agg(F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.count("*").alias("length")).where(F.col("length") >= least).drop("run")
 
 
@@ -114,76 +109,101 @@ def reconfigurations(elements: DataFrame) -> DataFrame:
     return first.groupBy("stream_id", "frame_no").agg(F.count("*").alias("added"))
 
 
-def carry_forward(frames: DataFrame, *columns: str) -> DataFrame:
-    w = of_stream().rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+def carry_forward(frames: DataFrame, *columns: str, span: float | None = None) -> DataFrame:
+    """columns with the last value so far where they are null."""
+    return running(frames, STREAM, "frame_no", {c: ("latest", F.col(c)) for c in columns}, span, peers=False)
 
 
-def changes(rows: DataFrame, columns: list[str], key: str = "stream_id", order: str = "ts") -> DataFrame:
+def changes(rows: DataFrame, columns: list[str], key: str = "stream_id", order: str = "ts", span: float | None = None) -> DataFrame:
     """Rows in which one of the columns differs from the row before; null-safe; the first row counts."""
-    w = of_stream(key, order=order)
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    return rows.withColumn("_new", ~same | F.row_number().over(w).eqNullSafe(1)).where("_new").drop("_new")
 
+    def new(w):
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+        return {"_new": ~same | (F.row_number().over(w) == 1)}
+
+    return looking_back(rows, [key], order, 1, new, span).where("_new").drop("_new")
 
-def rolling_rate(rows: DataFrame, seconds: int = 60) -> DataFrame:
+
+def rolling_rate(rows: DataFrame, seconds: int = 60, span: int | None = None) -> DataFrame:
     """(n - 1) / span of the rows of the last seconds."""
-    w = Window.partitionBy("stream_id").orderBy("at_us").rangeBetween(-seconds * 1_000_000, 0)
-    span = (F.max("at_us").over(w) - F.min("at_us").over(w)) / 1e6
-    return rows.withColumn("at_us", micros("ts")).withColumn("rate", F.when(span > 0, F.round((F.count("*").over(w) - 1) / span, 6))).drop("at_us")
+
+    def rates(w):
+        w = w.rangeBetween(-seconds * 1_000_000, 0)
+        length = (F.max("at_us").over(w) - F.min("at_us").over(w)) / 1e6
+        return {"rate": F.when(length > 0, F.round((F.count("*").over(w) - 1) / length, 6))}
+
+    return ranging_back(rows.withColumn("at_us", micros("ts")), STREAM, "at_us", seconds * 1_000_000, rates, (span or 3600) * 1_000_000).drop("at_us")
 
 
-def error_rate_window(errors: DataFrame, seconds: int = 60) -> DataFrame:
+def error_rate_window(errors: DataFrame, seconds: int = 60, span: int | None = None) -> DataFrame:
     """Errors and critical ones of the last seconds at each error, and the last critical time."""
-    e = errors.withColumn("at_us", micros("ts"))
-    w = Window.partitionBy("stream_id").orderBy("at_us")
-    r = w.rangeBetween(-seconds * 1_000_000, 0)
     critical = F.col("severity") == "critical"
-    return e.select("*", F.count("*").over(r).alias("recent"), F.count_if(critical).over(r).alias("recent_critical"), F.last(F.when(critical, F.col("ts")), ignorenulls=True).over(w).alias("last_critical")).drop("at_us")
 
+    def recent(w):
+        r = w.rangeBetween(-seconds * 1_000_000, 0)
+        return {"recent": F.count("*").over(r), "recent_critical": F.count_if(critical).over(r)}
 
-def trend(series: DataFrame, key: str, order: str, value: str = "value", rising_is_bad: bool = False) -> DataFrame:
+    e = ranging_back(errors.withColumn("at_us", micros("ts")), STREAM, "at_us", seconds * 1_000_000, recent, (span or 3600) * 1_000_000).drop("at_us")
+    return running(e, STREAM, "ts", {"last_critical": ("latest", F.when(critical, F.col("ts")))}, span)
+
+
+def trend(series: DataFrame, key: str, order: str, value: str = "value", rising_is_bad: bool = False, span: float | None = None) -> DataFrame:
     """Least-squares slope over the index; over 0.1 improving, under -0.1 declining."""
-    x = F.row_number().over(of_stream(key, order=order)) - 1
-    t = series.withColumn("x", x.cast("double")).groupBy(key).agg(F.regr_slope(value, "x").alias("slope"))
+    t = running(series, [key], order, {"x": ("total", F.lit(1.0))}, span, peers=False).groupBy(key).agg(F.regr_slope(value, "x").alias("slope"))
     s = -F.col("slope") if rising_is_bad else F.col("slope")
     return t.select(key, F.round("slope", 6).alias("slope"), F.when(s > 0.1, "improving").when(s < -0.1, "declining").otherwise("stable").alias("trend"))
 
 
 def trend_forecast(series: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """Slope an hour, value one hour after the last, r2 as confidence, volatile where the deviation passes half the mean."""
-    hours = micros("ts") / 3.6e9
-    first = F.min("h").over(Window.partitionBy(key))
-    s = series.withColumn("h", hours).withColumn("x", F.col("h") - first)
-    out = s.groupBy(key).agg(F.regr_slope(value, "x").alias("a"), F.regr_intercept(value, "x").alias("b"), F.regr_r2(value, "x").alias("r2"), F.max("x").alias("last"), (F.stddev_pop(value) > 0.5 * F.avg(value)).alias("volatile"))
-    return out.select(key, F.round("a", 6).alias("slope_per_hour"), F.round(F.col("a") * (F.col("last") + 1) + F.col("b"), 4).alias("next_hour"), F.round("r2", 6).alias("confidence"), "volatile")
+    """Slope an hour, value one hour after the last, r2 as confidence, volatile where the deviation passes half the mean. An aggregate: a line doesn't depend on where its hours begin."""
+    both = F.col("h").isNotNull() & F.col(value).isNotNull()
+    mean = lambda c: F.avg(F.when(both, F.col(c)))
+    out = series.withColumn("h", micros("ts") / 3.6e9).groupBy(key).agg(F.regr_slope(value, "h").alias("a"), mean("h").alias("mean_h"), mean(value).alias("mean_v"), F.regr_r2(value, "h").alias("r2"), F.max("h").alias("last"), (F.stddev_pop(value) > 0.5 * F.avg(value)).alias("volatile"))
+    next_ = F.col("mean_v") + F.col("a") * (F.col("last") + 1 - F.col("mean_h"))
+    return out.select(key, F.round("a", 6).alias("slope_per_hour"), F.round(next_, 4).alias("next_hour"), F.round("r2", 6).alias("confidence"), "volatile")
 
 
-def anomalies(series: DataFrame, keys: list[str], order: str, value: str = "value", history: int = 20, z: float = 3.0) -> DataFrame:
+def anomalies(series: DataFrame, keys: list[str], order: str, value: str = "value", history: int = 20, z: float = 3.0, span: float | None = None) -> DataFrame:
     """Rows more than z deviations from the mean of the `history` rows before."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-history, -1)
-    sd = F.stddev_pop(value).over(w)
-    score = F.when((F.count("*").over(w) >= history) & (sd > 0), (F.col(value) - F.avg(value).over(w)) / sd)
-    return series.withColumn("z", F.round(score, 4)).where(F.abs("z") > z)
 
+    def scores(w):
+        w = w.rowsBetween(-history, -1)
+        sd = F.stddev_pop(value).over(w)
+        return {"z": F.round(F.when((F.count("*").over(w) >= history) & (sd > 0), (F.col(value) - F.avg(value).over(w)) / sd), 4)}
+
+    return looking_back(series, keys, order, history, scores, span).where(F.abs("z") > z)
 
-def consecutive_violations(periods: DataFrame, k: int = 3, key: str = "stream_id", order: str = "ts") -> DataFrame:
+
+def consecutive_violations(periods: DataFrame, k: int = 3, key: str = "stream_id", order: str = "ts", span: float | None = None) -> DataFrame:
     """Rows that end k violating periods in a row."""
-    w = of_stream(key, order=order).rowsBetween(1 - k, 0)
-    return periods.withColumn("_all", F.min(F.col("violating").cast("int")).over(w)).withColumn("_n", F.count("*").over(w)).where(f"_all = 1 AND _n = {k}").drop("_all", "_n")
+
+    def runs(w):
+        w = w.rowsBetween(1 - k, 0)
+        return {"_all": F.min(F.col("violating").cast("int")).over(w), "_n": F.count("*").over(w)}
+
+    return looking_back(periods, [key], order, k - 1, runs, span).where(f"_all = 1 AND _n = {k}").drop("_all", "_n")
 
 
-def measurement_stats(series: DataFrame, keys: list[str], order: str, rows: int = 10) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, 0)
-    v = "value"
-    return series.select("*", F.min(v).over(w).alias("least"), F.max(v).over(w).alias("most"), F.round(F.avg(v).over(w), 6).alias("mean"), F.round(F.stddev_pop(v).over(w), 4).alias("deviation"))
+def measurement_stats(series: DataFrame, keys: list[str], order: str, rows: int = 10, span: float | None = None) -> DataFrame:
+    """Least, most, mean and deviation of the last rows."""
 
+    def stats(w):
+        w = w.rowsBetween(1 - rows, 0)
+        of = F.min("value"), F.max("value"), F.avg("value"), F.stddev_pop("value")
+        low, high, mean, deviation = (x.over(w) for x in of)
+        return {"least": low, "most": high, "mean": F.round(mean, 6), "deviation": F.round(deviation, 4)}
 
-def first_seen_rank(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return looking_back(series, keys, order, rows - 1, stats, span)
+
+
+def first_seen_rank(rows: DataFrame, key: str, order: str, span: float | None = None) -> DataFrame:
+    """Keys by when they were first seen: 1 for the first, no gaps."""
     first = rows.groupBy(key).agg(F.min(order).alias("first"))
-    return first.withColumn("seen_rank", F.dense_rank().over(Window.orderBy("first")))
+    rank = running(first.select("first").distinct(), [], "first", {"seen_rank": ("total", F.lit(1))}, span)
+    rank = rank.select(F.col("first").alias("_at"), F.col("seen_rank").cast("int").alias("seen_rank"))
+    return first.join(rank, F.col("first").eqNullSafe(F.col("_at"))).drop("_at")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -217,36 +237,34 @@ def running_quality(frames: DataFrame, session: int = 65_536, up: float = 0.01,
     return of.select("stream_id", F.inline(F.aggregate("s", start, step, lambda z: z["out"]))).withColumn("quality", F.round("quality", 6))
 
 
-def silence_runs(levels: DataFrame, threshold: float = -60.0, warn_s: float = 5.0, critical_s: float = 10.0, key: str = "stream_id", order: str = "ts") -> DataFrame:
+def silence_runs(levels: DataFrame, threshold: float = -60.0, warn_s: float = 5.0, critical_s: float = 10.0, key: str = "stream_id", order: str = "ts", span: float | None = None) -> DataFrame:
     """Runs of levels under the threshold that last at least warn_s."""
-    w = of_stream(key, order=order)
     loud = (F.col("level") >= threshold).cast("int")
-    quiet = levels.withColumn("run", F.sum(loud).over(w)).where(F.col("level") < threshold)
+    quiet = running(levels, [key], order, {"run": ("total", loud)}, span).where(F.col("level") < threshold)
     runs = quiet.groupBy(key, "run").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"))
     runs = runs.withColumn("seconds", F.round((micros("end") - micros("start")) / 1e6, 6)).where(F.col("seconds") >= warn_s)
     return runs.withColumn("severity", F.when(F.col("seconds") >= critical_s, "critical").otherwise("warning")).drop("run")
 
 
-def zero_crossing_rate(samples: DataFrame, key: str, order: str = "i", value: str = "x") -> DataFrame:
-    before = F.lag(value).over(of_stream(key, order=order))
-    crossed = ((F.col(value) >= 0) != (before >= 0)).cast("int")
-    return samples.withColumn("c", crossed).groupBy(key).agg(F.round(F.sum("c") / (F.count("*") - 1), 6).alias("zero_crossing_rate"))
+def zero_crossing_rate(samples: DataFrame, key: str, order: str = "i", value: str = "x", span: float | None = None) -> DataFrame:
+    s = looking_back(samples, [key], order, 1, lambda w: {"c": ((F.col(value) >= 0) != (F.lag(value).over(w) >= 0)).cast("int")}, span)
+    return s.groupBy(key).agg(F.round(F.sum("c") / (F.count("*") - 1), 6).alias("zero_crossing_rate"))
 
 
-def target_deviation(series: DataFrame, target: Column, keys: list[str], order: str, share: float = 0.1) -> DataFrame:
+def target_deviation(series: DataFrame, target: Column, keys: list[str], order: str, share: float = 0.1, span: float | None = None) -> DataFrame:
     """Whether a value is off its target by more than a share; running least and greatest value."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.select("*", (F.abs(F.col("value") - target) > share * target).alias("off_target"), F.min("value").over(w).alias("low"), F.max("value").over(w).alias("high"))
+    s = running(series, keys, order, {"low": ("least", F.col("value")), "high": ("most", F.col("value"))}, span)
+    return s.withColumn("off_target", F.abs(F.col("value") - target) > share * target)
 
 
 # Batch forms of streaming operators; streaming/ has the stateful ones.
 
 
-def service_status(sightings: DataFrame, timeout_s: int = 60) -> DataFrame:
+def service_status(sightings: DataFrame, timeout_s: int = 60, span: float | None = None) -> DataFrame:
     """Sightings after which a service was not seen for the timeout."""
-    w = of_stream("stream_id", "sid", order="ts")
-    gap = (micros(F.lead("ts").over(w)) - micros("ts")) / 1e6
-    return sightings.withColumn("gap_s", gap).where(F.col("gap_s").isNull() | (F.col("gap_s") > timeout_s))
+    s = sightings.withColumn("_until", -micros("ts"))  # the next sighting is the one before, the other way round
+    s = looking_back(s, ["stream_id", "sid"], "_until", 1, lambda w: {"gap_s": (F.col("_until") - F.lag("_until").over(w)) / 1e6}, (span or 3600) * 1_000_000)
+    return s.drop("_until").where(F.col("gap_s").isNull() | (F.col("gap_s") > timeout_s))
 
 
 def bandwidth(packets: DataFrame, every: str = "1 second") -> DataFrame:
@@ -286,35 +304,39 @@ def frame_loss(frames: DataFrame, every: str = "1 hour", expected: int = 100) ->
     return w.select("stream_id", F.col("w.start").alias("window_start"), "n", F.round(rate, 6).alias("receive_rate"), "avg_latency", "max_latency", (rate >= 0.95).alias("good"))
 
 
-def late_frames(frames: DataFrame, allowed_s: int = 600, arrival: str = "frame_no") -> DataFrame:
+def late_frames(frames: DataFrame, allowed_s: int = 600, arrival: str = "frame_no", span: float | None = None) -> DataFrame:
     """Rows more than the allowed lateness behind the greatest event time that came before them."""
-    w = of_stream(order=arrival).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max("ts").over(w)
-    return frames.withColumn("behind_s", F.round((micros(mark) - micros("ts")) / 1e6, 6)).where(F.col("behind_s") > allowed_s)
+    f = running(frames, STREAM, arrival, {"_mark": ("most", F.col("ts"))}, span, before=True)
+    return f.withColumn("behind_s", F.round((micros("_mark") - micros("ts")) / 1e6, 6)).where(F.col("behind_s") > allowed_s).drop("_mark")
 
 
-def announcement_events(switches: DataFrame) -> DataFrame:
+def announcement_events(switches: DataFrame, span: float | None = None) -> DataFrame:
     """start, active or end at each switching message of a cluster; an emergency has bit 0."""
-    w = of_stream("stream_id", "cluster", order="frame_no")
-    before = F.coalesce(F.lag("asw").over(w), F.lit(0))
-    state = F.when((F.col("asw") != 0) & (before == 0), "start").when(F.col("asw") != 0, "active").when(before != 0, "end")
-    return switches.withColumn("event", state).where("event IS NOT NULL").withColumn("emergency", F.col("asw").bitwiseAND(1) == 1)
 
+    def states(w):
+        before = F.coalesce(F.lag("asw").over(w), F.lit(0))
+        return {"event": F.when((F.col("asw") != 0) & (before == 0), "start").when(F.col("asw") != 0, "active").when(before != 0, "end")}
+
+    s = looking_back(switches, ["stream_id", "cluster"], "frame_no", 1, states, span)
+    return s.where("event IS NOT NULL").withColumn("emergency", F.col("asw").bitwiseAND(1) == 1)
 
-def failover(health: DataFrame, recovery: int = 3, order: str = "frame_no") -> DataFrame:
+
+def failover(health: DataFrame, recovery: int = 3, order: str = "frame_no", span: float | None = None) -> DataFrame:
     """The stream in use at each row: the backup from a bad row on until `recovery` good ones stand in a row; failovers so far."""
-    w = of_stream(order=order)
-    good_run = F.min(F.col("healthy").cast("int")).over(w.rowsBetween(1 - recovery, 0))
-    full = F.count("*").over(w.rowsBetween(1 - recovery, 0)) >= recovery
-    mark = F.when(~F.col("healthy"), F.lit(True)).when((good_run == 1) & full, F.lit(False))
-    on_backup = F.coalesce(F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    h = health.withColumn("on_backup", on_backup)
-    switched = (F.col("on_backup") & ~F.coalesce(F.lag("on_backup").over(w), F.lit(False))).cast("int")
-    return h.withColumn("switched", switched).withColumn("failovers", F.sum("switched").over(w)).drop("switched")
+
+    def marks(w):
+        w = w.rowsBetween(1 - recovery, 0)
+        recovered = (F.min(F.col("healthy").cast("int")).over(w) == 1) & (F.count("*").over(w) >= recovery)
+        return {"_mark": F.when(~F.col("healthy"), F.lit(True)).when(recovered, F.lit(False))}
+
+    h = looking_back(health, STREAM, order, recovery - 1, marks, span)
+    on = F.coalesce("on_backup", F.lit(False))
+    h = running(h, STREAM, order, {"on_backup": ("latest", F.col("_mark"))}, span, peers=False, then=lambda w: {"_switched": (on & ~F.coalesce(F.lag("on_backup").over(w), F.lit(False))).cast("int")})
+    return running(h.withColumn("on_backup", on), STREAM, order, {"failovers": ("total", F.col("_switched"))}, span).drop("_mark", "_switched")
 
 
-def rising(rows: DataFrame, condition: Column, keys: list[str], order: str) -> DataFrame:
+def rising(rows: DataFrame, condition: Column, keys: list[str], order: str, span: float | None = None) -> DataFrame:
     """Rows in which the condition holds and didn't in the row before: when an alert is raised."""
-    w = Window.partitionBy(*keys).orderBy(order)
     r = rows.withColumn("_on", F.coalesce(condition, F.lit(False)))
-    return r.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on AND NOT _was").drop("_on", "_was")
+    r = looking_back(r, keys, order, 1, lambda w: {"_was": F.coalesce(F.lag("_on").over(w), F.lit(False))}, span)
+    return r.where("_on AND NOT _was").drop("_on", "_was")

@@ -8,17 +8,19 @@ from muxlake.operators import timing as t
 from muxlake.plans import views as v
 from muxlake.plans.views import query, sql
 
+#: Length of a span of numbers: short, so that the small tables have many.
+SPAN = 1024
 PER_STREAM = "OVER (PARTITION BY stream_id ORDER BY frame_no)"
 
 
 @query("w01_frame_count_gaps", sql(f"SELECT stream_id, frame_no, fc, (lag(fc) {PER_STREAM} + 1) % 250 AS expected FROM $headers QUALIFY expected IS NOT NULL AND fc <> expected"))
 def w01(s, d):
-    return t.frame_count_gaps(v.headers(s, d)).select("stream_id", "frame_no", "fc", "expected")
+    return t.frame_count_gaps(v.headers(s, d), span=SPAN).select("stream_id", "frame_no", "fc", "expected")
 
 
 @query("w02_counter_discontinuity", sql(f"SELECT stream_id, frame_no, frame_no - lag(frame_no) {PER_STREAM} AS step, CASE WHEN abs(step) > 10 THEN 'critical' ELSE 'warning' END AS severity FROM $frames QUALIFY step <> 1"))
 def w02(s, d):
-    return t.counter_discontinuity(v.frames(s, d).withColumn("counter", F.col("frame_no"))).select("stream_id", "frame_no", "step", "severity")
+    return t.counter_discontinuity(v.frames(s, d).withColumn("counter", F.col("frame_no")), span=SPAN).select("stream_id", "frame_no", "step", "severity")
 
 
 LOSS = """SELECT *, CASE WHEN step IS NULL OR step = 0 OR step >= 32768 THEN 0 ELSE step - 1 END AS lost, coalesce(step = 0, false) AS duplicate, coalesce(step >= 32768, false) AS reordered
@@ -27,12 +29,12 @@ LOSS = """SELECT *, CASE WHEN step IS NULL OR step = 0 OR step >= 32768 THEN 0 E
 
 @query("w03_sequence_loss", sql(f"SELECT stream_id, arrival_no, seq, lost, duplicate, reordered FROM ({LOSS})"))
 def w03(s, d):
-    return t.sequence_loss(v.packets(s, d), order="arrival_no").select("stream_id", "arrival_no", "seq", "lost", "duplicate", "reordered")
+    return t.sequence_loss(v.packets(s, d), order="arrival_no", span=SPAN).select("stream_id", "arrival_no", "seq", "lost", "duplicate", "reordered")
 
 
 @query("a39_rtp_statistics", sql(f"SELECT stream_id, count(*) AS packets, sum(n_bytes)::BIGINT AS n_bytes, sum(lost)::BIGINT AS lost, round(sum(lost) / (count(*) + sum(lost)), 6) AS loss_rate FROM ({LOSS}) GROUP BY 1"))
 def a39(s, d):
-    return t.rtp_statistics(t.sequence_loss(v.packets(s, d), order="arrival_no"))
+    return t.rtp_statistics(t.sequence_loss(v.packets(s, d), order="arrival_no", span=SPAN))
 
 
 @query("w04_rtp_jitter", sql("""WITH d AS (SELECT stream_id, arrival, abs((epoch_us(arrival) - epoch_us(lag(arrival) OVER w)) / 1000 - (rtp_ts - lag(rtp_ts) OVER w) / 48000.0 * 1000) AS x, row_number() OVER w - 2 AS i FROM $packets WINDOW w AS (PARTITION BY stream_id ORDER BY arrival)),
@@ -49,24 +51,24 @@ def w04b(s, d):
 
 @query("w05_fig_intervals", sql("SELECT stream_id, frame_no, (frame_no - lag(frame_no) OVER (PARTITION BY stream_id, fig_type, ext ORDER BY frame_no)) * 24 AS interval_ms FROM $figs"))
 def w05(s, d):
-    return t.fig_intervals(v.figs(s, d)).select("stream_id", "frame_no", "interval_ms")
+    return t.fig_intervals(v.figs(s, d), SPAN).select("stream_id", "frame_no", "interval_ms")
 
 
 @query("w06_tist_steps", sql(f"SELECT stream_id, frame_no, round(latency - lag(latency) {PER_STREAM}, 6) AS step_ms FROM $frames QUALIFY abs(step_ms - 24) > 5"))
 def w06(s, d):
-    return t.tist_steps(v.frames(s, d).withColumn("tist_ms", F.col("latency"))).select("stream_id", "frame_no", "step_ms")
+    return t.tist_steps(v.frames(s, d).withColumn("tist_ms", F.col("latency")), span=SPAN).select("stream_id", "frame_no", "step_ms")
 
 
 @query("w07_clock_drift_ppm", sql("""SELECT stream_id, frame_no, CASE WHEN count(*) OVER w >= 10 AND last(frame_no) OVER w > first(frame_no) OVER w THEN round((last(latency) OVER w - first(latency) OVER w) / (last(frame_no) OVER w - first(frame_no) OVER w) * 1000, 4) END AS drift_ppm
     FROM $frames WINDOW w AS (PARTITION BY stream_id ORDER BY frame_no ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"""))
 def w07(s, d):
-    return t.clock_drift_ppm(v.frames(s, d).withColumns({"at_s": F.col("frame_no"), "offset_ms": F.col("latency")})).select("stream_id", "frame_no", "drift_ppm")
+    return t.clock_drift_ppm(v.frames(s, d).withColumns({"at_s": F.col("frame_no"), "offset_ms": F.col("latency")}), span=SPAN).select("stream_id", "frame_no", "drift_ppm")
 
 
 @query("w08_error_runs", sql(f"""WITH r AS (SELECT *, sum(valid::INT) {PER_STREAM} AS run FROM (SELECT stream_id, frame_no, latency >= 10 AS valid FROM $frames))
     SELECT stream_id, min(frame_no) AS first_frame, max(frame_no) AS last_frame, count(*) AS length FROM r WHERE NOT valid GROUP BY stream_id, run HAVING count(*) >= 2"""))
 def w08(s, d):
-    return t.error_runs(v.frames(s, d).withColumn("valid", F.col("latency") >= 10), least=2)
+    return t.error_runs(v.frames(s, d).withColumn("valid", F.col("latency") >= 10), least=2, span=SPAN)
 
 
 @query("w09_reconfigurations", """WITH e AS (SELECT 'S' || (user_id % 16) AS stream_id, event_id, unnest([{'k': 'ensemble', 'v': user_id % 8}, {'k': 'subchannel', 'v': user_id % 64}, {'k': 'service', 'v': user_id}]) AS x FROM events),
@@ -79,7 +81,7 @@ def w09(s, d):
 
 @query("w10_carry_forward", sql("SELECT stream_id, frame_no, last_value(CASE WHEN latency > 20 THEN frame_no % 8 END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eid FROM $frames"))
 def w10(s, d):
-    return t.carry_forward(v.frames(s, d).withColumn("eid", F.when(F.col("latency") > 20, F.col("frame_no") % 8)), "eid").select("stream_id", "frame_no", "eid")
+    return t.carry_forward(v.frames(s, d).withColumn("eid", F.when(F.col("latency") > 20, F.col("frame_no") % 8)), "eid", span=SPAN).select("stream_id", "frame_no", "eid")
 
 
 @query("w11_now_playing_changes", sql("SELECT stream_id, frame_no, metric, low FROM (SELECT *, value < 10 AS low FROM $measurements) WINDOW w AS (PARTITION BY stream_id ORDER BY ts) QUALIFY row_number() OVER w = 1 OR metric IS DISTINCT FROM lag(metric) OVER w OR low IS DISTINCT FROM lag(low) OVER w"))
@@ -113,7 +115,7 @@ def w15(s, d):
 @query("w16_anomalies", sql("""SELECT stream_id, frame_no, round(CASE WHEN count(*) OVER w >= 20 AND stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 4) AS z FROM $measurements
     WINDOW w AS (PARTITION BY stream_id, metric ORDER BY frame_no ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) QUALIFY abs(z) > 3"""))
 def w16(s, d):
-    return t.anomalies(v.measurements(s, d), ["stream_id", "metric"], "frame_no").select("stream_id", "frame_no", "z")
+    return t.anomalies(v.measurements(s, d), ["stream_id", "metric"], "frame_no", span=SPAN).select("stream_id", "frame_no", "z")
 
 
 @query("w17_consecutive_violations", sql("SELECT stream_id, frame_no FROM (SELECT *, latency < 12 AS violating FROM $frames) WINDOW w AS (PARTITION BY stream_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) QUALIFY min(violating::INT) OVER w = 1 AND count(*) OVER w = 3"))
@@ -123,12 +125,12 @@ def w17(s, d):
 
 @query("w18_measurement_stats", sql("SELECT stream_id, frame_no, min(value) OVER w AS least, max(value) OVER w AS most, round(avg(value) OVER w, 6) AS mean, round(stddev_pop(value) OVER w, 4) AS deviation FROM $measurements WINDOW w AS (PARTITION BY stream_id, metric ORDER BY frame_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
 def w18(s, d):
-    return t.measurement_stats(v.measurements(s, d), ["stream_id", "metric"], "frame_no").select("stream_id", "frame_no", "least", "most", "mean", "deviation")
+    return t.measurement_stats(v.measurements(s, d), ["stream_id", "metric"], "frame_no", span=SPAN).select("stream_id", "frame_no", "least", "most", "mean", "deviation")
 
 
 @query("w19_first_seen_rank", "WITH f AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1) SELECT user_id, first, dense_rank() OVER (ORDER BY first)::INT AS seen_rank FROM f")
 def w19(s, d):
-    return t.first_seen_rank(v.table(s, d, "events"), "user_id", "event_id")
+    return t.first_seen_rank(v.table(s, d, "events"), "user_id", "event_id", SPAN)
 
 
 @query("w20_latest_per_key", sql("SELECT stream_id, metric, frame_no, value FROM $measurements QUALIFY row_number() OVER (PARTITION BY stream_id, metric ORDER BY frame_no DESC) = 1"))
@@ -152,12 +154,12 @@ def w22(s, d):
 @query("w23_zero_crossing_rate", """WITH x AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT vec_id, ((x >= 0) <> (lag(x) OVER (PARTITION BY vec_id ORDER BY i) >= 0))::INT AS c FROM x)
     SELECT vec_id, round(sum(c) / (count(*) - 1), 6) AS zero_crossing_rate FROM c GROUP BY 1""")
 def w23(s, d):
-    return t.zero_crossing_rate(v.table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")), "vec_id")
+    return t.zero_crossing_rate(v.table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")), "vec_id", span=100)
 
 
 @query("w24_target_deviation", sql("SELECT stream_id, frame_no, abs(value - 20.0) > 0.1 * 20.0 AS off_target, min(value) OVER w AS low, max(value) OVER w AS high FROM $measurements WINDOW w AS (PARTITION BY stream_id, metric ORDER BY frame_no)"))
 def w24(s, d):
-    return t.target_deviation(v.measurements(s, d), F.lit(20.0), ["stream_id", "metric"], "frame_no").select("stream_id", "frame_no", "off_target", "low", "high")
+    return t.target_deviation(v.measurements(s, d), F.lit(20.0), ["stream_id", "metric"], "frame_no", span=SPAN).select("stream_id", "frame_no", "off_target", "low", "high")
 
 
 @query("t01_dedupe", sql("SELECT stream_id, level_no, count(*) AS copies FROM $frames GROUP BY 1, 2"))
@@ -178,7 +180,7 @@ def t05(s, d):
     w AS (SELECT *, (on_backup AND NOT coalesce(lag(on_backup) OVER (PARTITION BY stream_id ORDER BY frame_no), false))::INT AS switched FROM o)
     SELECT stream_id, frame_no, on_backup, sum(switched) OVER (PARTITION BY stream_id ORDER BY frame_no)::BIGINT AS failovers FROM w"""))
 def t07(s, d):
-    return t.failover(v.frames(s, d).withColumn("healthy", F.col("latency") >= 4)).select("stream_id", "frame_no", "on_backup", "failovers")
+    return t.failover(v.frames(s, d).withColumn("healthy", F.col("latency") >= 4), span=SPAN).select("stream_id", "frame_no", "on_backup", "failovers")
 
 
 @query("t09_bandwidth", sql("SELECT stream_id, date_trunc('second', ts) AS window_start, round(sum(n_bytes) * 8 / 1e6, 9) AS mbit_s FROM $packets GROUP BY 1, 2"))
@@ -211,7 +213,7 @@ def t13(s, d):
 @query("t14_announcement_events", sql("""WITH b AS (SELECT *, coalesce(lag(asw) OVER (PARTITION BY stream_id, cluster ORDER BY frame_no), 0) AS b FROM $switches)
     SELECT stream_id, cluster, frame_no, CASE WHEN asw <> 0 AND b = 0 THEN 'start' WHEN asw <> 0 THEN 'active' ELSE 'end' END AS event, asw & 1 = 1 AS emergency FROM b WHERE asw <> 0 OR b <> 0"""))
 def t14(s, d):
-    return t.announcement_events(v.switches(s, d)).select("stream_id", "cluster", "frame_no", "event", "emergency")
+    return t.announcement_events(v.switches(s, d), SPAN).select("stream_id", "cluster", "frame_no", "event", "emergency")
 
 
 @query("t16_frame_loss", sql("SELECT stream_id, date_trunc('hour', ts) AS window_start, count(*) AS n, round(count(*) / 100, 6) AS receive_rate, round(avg(latency), 6) AS avg_latency, max(latency) AS max_latency, count(*) / 100 >= 0.95 AS good FROM $frames GROUP BY 1, 2"))
@@ -222,4 +224,4 @@ def t16(s, d):
 @query("t17_late_frames", sql("SELECT stream_id, frame_no, round((epoch_us(max(ts) OVER (PARTITION BY stream_id ORDER BY frame_no % 97, frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - epoch_us(ts)) / 1e6, 6) AS behind_s FROM $frames QUALIFY behind_s > 600"))
 def t17(s, d):
     f = v.frames(s, d).withColumn("arrived", F.struct(F.col("frame_no") % 97, "frame_no"))
-    return t.late_frames(f, 600, "arrived").select("stream_id", "frame_no", "behind_s")
+    return t.late_frames(f, 600, "arrived", 10).select("stream_id", "frame_no", "behind_s")

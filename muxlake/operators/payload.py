@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions.bits import bits, crc16_stored, fire_code, u, walk
 from muxlake.functions.text import bcd, mjd_timestamp
+from muxlake.operators.scan import looking_back, running
 
 def D() -> Column:
     return F.col("payload")
@@ -129,30 +130,64 @@ def text_runs(texts: DataFrame, column: str, least: int = 6) -> DataFrame:
     return texts.select(*keep, F.posexplode(F.regexp_extract_all(column, F.lit(f"[\\x20-\\x7E]{{{least},}}"), F.lit(0))).alias("pos", "run"))
 
 
-def superframes(msc: DataFrame, index: int) -> DataFrame:
+def superframes(msc: DataFrame, index: int, span: float | None = None) -> DataFrame:
     """Superframes of 5 frames of 24 ms: the candidates whose header check holds, one phase per run (the first), with their parameters.
 
-    msc: stream_id, sub_channel_id, frame_no, payload of one sub-channel frame.
+    msc: stream_id, sub_channel_id, frame_no, payload of one sub-channel frame. A header of
+    zeros isn't one, though its check holds. starts are the offsets of the access units and
+    the end of the last; offsets_ok if they rise.
     """
-    w = Window.partitionBy("stream_id", "sub_channel_id").orderBy("frame_no")
-    five = F.concat(*[F.lead(D(), i).over(w) if i else D() for i in range(5)])
-    whole = F.lead("frame_no", 4).over(w) == F.col("frame_no") + 4
-    c = msc.select("stream_id", "sub_channel_id", "frame_no", five.alias("payload"), whole.alias("whole")).where("whole").where(fire_code(F.substring(D(), 3, 9)) == u(D(), 0, 2))
-    near = F.col("frame_no") - F.lag("frame_no").over(w)
-    c = c.withColumn("run", F.sum(F.when(near >= 5, 0).when(near.isNull(), 0).otherwise(1)).over(w)).withColumn("again", F.coalesce(near < 5, F.lit(False))).where("NOT again")
+    keys = ["stream_id", "sub_channel_id"]
+
+    def five(w):
+        whole = F.lag("frame_no", 4).over(w) == F.col("frame_no") - 4
+        return {"_whole": whole, "_five": F.when(whole, F.concat(*[F.lag("payload", i).over(w) if i else D() for i in range(4, -1, -1)]))}
+
+    c = looking_back(msc.select(*keys, "frame_no", "payload"), keys, "frame_no", 4, five, span).where("_whole")
+    c = c.select(*keys, (F.col("frame_no") - 4).alias("frame_no"), F.col("_five").alias("payload"))
+    c = c.where((fire_code(F.substring(D(), 3, 9), 9) == u(D(), 0, 2)) & (u(D(), 3, 2) >= 16))
+    c = looking_back(c, keys, "frame_no", 1, lambda w: {"_near": F.coalesce(F.col("frame_no") - F.lag("frame_no").over(w) < 5, F.lit(False))}, span).where("NOT _near")
     b2 = u(D(), 2)
     rate, sbr = bits(b2, 6, 1), bits(b2, 5, 1)
-    aus = F.when((rate == 0) & (sbr == 1), 2).when((rate == 1) & (sbr == 1), 3).when((rate == 0) & (sbr == 0), 4).otherwise(6)
-    return c.select("stream_id", "sub_channel_id", "frame_no", F.when(rate == 1, 48).otherwise(32).alias("rate_khz"), (sbr == 1).alias("sbr"), (bits(b2, 4, 1) == 1).alias("stereo"), (bits(b2, 3, 1) == 1).alias("ps"), aus.alias("aus"), F.lit(index * 8).alias("kbps"), "payload")
+    of = lambda low, low_sbr, high, high_sbr: F.when(rate == 0, F.when(sbr == 1, low_sbr).otherwise(low)).otherwise(F.when(sbr == 1, high_sbr).otherwise(high))
+    c = c.select(*keys, "frame_no", F.when(rate == 1, 48).otherwise(32).alias("rate_khz"), (sbr == 1).alias("sbr"), (bits(b2, 4, 1) == 1).alias("stereo"), (bits(b2, 3, 1) == 1).alias("ps"), of(4, 2, 6, 3).alias("aus"), F.lit(index * 8).alias("kbps"), of(8, 5, 11, 6).alias("_first"), "payload")
+    # Offsets of 12 bits follow each other from byte 3; an odd one ends on a byte.
+    inner = F.transform(F.sequence(F.lit(0), F.col("aus") - 2), lambda i: (F.when(i % 2 == 0, F.shiftright(u(D(), 3 + i + F.shiftright(i, 1), 2), 4)).otherwise(u(D(), 3 + i + F.shiftright(i, 1), 2).bitwiseAND(0xFFF))).cast("int"))
+    c = c.withColumn("starts", F.concat(F.array("_first"), inner, F.array(F.lit(index * 110)))).drop("_first")
+    return c.withColumn("offsets_ok", F.forall(F.sequence(F.lit(1), F.col("aus")), lambda i: F.get("starts", i - 1) < F.get("starts", i)))
+
+
+def access_units(superframes_: DataFrame) -> DataFrame:
+    """A row for each access unit of superframes whose offsets rise: place, size, whether its check holds, and where its PAD is (null without one). Units under two bytes are left out."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("aus") - 1), lambda i: F.struct(i.alias("au"), F.get("starts", i).alias("offset"), (F.get("starts", i + 1) - F.get("starts", i)).alias("size")))
+    a = superframes_.where("offsets_ok").select("stream_id", "sub_channel_id", "frame_no", "payload", F.inline(pairs)).where("size >= 2")
+    n = F.col("size") - 2
+    a = a.select("stream_id", "sub_channel_id", "frame_no", "au", "offset", "size", F.substring("payload", F.col("offset") + 1, n).alias("data"), u(D(), F.col("offset") + n, 2).alias("_stored"))
+    a = a.withColumn("crc_ok", crc16_stored(F.col("data")) == F.col("_stored")).drop("_stored")
+    d = F.col("data")
+    long_ = u(d, 1) == 255
+    start, length = F.when(long_, 3).otherwise(2), F.when(long_, 255 + u(d, 2)).otherwise(u(d, 1)).cast("int")
+    has = (n >= 3) & (F.shiftright(u(d, 0), 5) == 4) & (length >= 2) & (n >= start + length)
+    return a.withColumns({"pad_offset": F.when(has, start), "pad_size": F.when(has, length)})
+
+
+def unit_counters(superframes_: DataFrame, units: DataFrame, *keys: str) -> DataFrame:
+    """Per keys: superframes, those whose offsets don't rise, access units, those whose check fails, those with PAD; and whether all is well (aus_ok)."""
+    s = superframes_.groupBy(*keys).agg(F.count("*").alias("superframes"), F.count_if(~F.col("offsets_ok")).alias("bad_offsets"))
+    a = units.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("units"), F.count_if(~F.col("crc_ok")).alias("unit_errors"), F.count("pad_offset").alias("pads"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = s.join(a, same, "left").drop(*[f"_{k}" for k in keys]).na.fill(0, ["units", "unit_errors", "pads"])
+    return out.withColumn("aus_ok", (F.col("bad_offsets") == 0) & (F.col("unit_errors") == 0))
 
 
 def tpeg_framing(msc: DataFrame) -> DataFrame:
     """sync if 0A46 stands anywhere; phase if two markers x0 01 13 stand in the first 96 bytes; else unknown. Units of 24 bytes."""
     h = F.hex("payload")
-    sync = F.exists(F.sequence(F.lit(0), F.greatest(F.octet_length("payload") - 2, F.lit(0))), lambda i: F.substring(h, i * 2 + 1, 4) == "0A46")
-    marks = F.size(F.filter(F.sequence(F.lit(0), F.lit(93)), lambda i: F.substring(h, i * 2 + 2, 5) == "00113"))
+    byte = "^(?:..)*?"  # from the start in whole bytes
+    sync = h.rlike(byte + "0A46")
+    marks = F.substring(h, 1, 192).rlike(byte + "(?=.00113)(?:..)+?(?=.00113)")
     keep = [c for c in msc.columns if c != "payload"]
-    return msc.select(*keep, F.when(sync, "sync").when(marks >= 2, "phase").otherwise("unknown").alias("framing"), F.floor(F.octet_length("payload") / 24).alias("units"))
+    return msc.select(*keep, F.when(sync, "sync").when(marks, "phase").otherwise("unknown").alias("framing"), F.floor(F.octet_length("payload") / 24).alias("units"))
 
 
 # Packets
@@ -181,10 +216,10 @@ def find_tag(items: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return items.where(F.col("name") == name).groupBy(*keys).agg(F.min_by("value", "pos").alias("value"))
 
 
-def reframe_stream(chunks: DataFrame, size: int) -> DataFrame:
+def reframe_stream(chunks: DataFrame, size: int, span: float | None = None) -> DataFrame:
     """Frames of `size` bytes re-cut from chunks (stream_id, chunk_no, payload) of any length: each chunk is cut at frame borders, the parts meet by frame."""
-    w = Window.partitionBy("stream_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    c = chunks.withColumn("begin", F.coalesce(F.sum(F.octet_length("payload")).over(w), F.lit(0))).where(F.octet_length("payload") > 0).withColumn("end", F.col("begin") + F.octet_length("payload"))
+    c = running(chunks, ["stream_id"], "chunk_no", {"end": ("total", F.octet_length("payload"))}, span, peers=False)
+    c = c.where(F.octet_length("payload") > 0).withColumn("begin", F.col("end") - F.octet_length("payload"))
     c = c.withColumn("frame_no", F.explode(F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("end") - 1) / size))))
     first, last = F.greatest(F.col("begin"), F.col("frame_no") * size), F.least(F.col("end"), (F.col("frame_no") + 1) * size)
     part = F.hex(F.substring(D(), (first - F.col("begin") + 1).cast("int"), (last - first).cast("int")))
@@ -266,12 +301,18 @@ def spectral_features(spectrum_: DataFrame, key: str) -> DataFrame:
     return spectrum_.groupBy(key).agg(F.round(F.sum(F.col("bin") * a) / F.sum(a), 4).alias("centroid"), F.round(F.avg("db"), 4).alias("mean_db"), F.round(F.stddev_pop("db"), 4).alias("deviation_db"))
 
 
-def audio_metrics(frames: DataFrame) -> DataFrame:
-    """Per sub-channel over superframes: profile, bitrate, superframes, estimate of quality."""
+def audio_metrics(frames: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """Per sub-channel and profile over superframes: bitrate, superframes, estimate of quality; with access units also the errors of unit_counters, and the share of units that are well."""
     from muxlake.functions.text import audio_quality
 
     profile = F.when(F.col("ps"), "v2").when(F.col("sbr"), "v1").otherwise("lc")
-    g = frames.withColumn("profile", profile).groupBy("stream_id", "sub_channel_id", "profile").agg(F.count("*").alias("superframes"), F.max("kbps").alias("kbps"))
+    frames = frames.withColumn("profile", profile)
+    keys = ["stream_id", "sub_channel_id", "profile"]
+    g = frames.groupBy(*keys).agg(F.count("*").alias("superframes"), F.max("kbps").alias("kbps"))
+    if units is not None:
+        at = units.join(frames.select("stream_id", "sub_channel_id", "frame_no", "profile"), ["stream_id", "sub_channel_id", "frame_no"])
+        n = unit_counters(frames, at, *keys).drop("superframes")
+        g = g.join(n, keys).withColumn("units_ok", F.round(F.when(F.col("units") > 0, 1 - F.col("unit_errors") / F.col("units")), 6))
     q = audio_quality(F.col("kbps"), F.col("profile"), F.lit(3))
     return g.withColumn("quality", F.round(q, 4)).withColumn("low", F.col("quality") < 50)
 

@@ -322,7 +322,7 @@ def t03(s, d):
 # Rules
 
 
-@query("r01_framing_rules", sql("""SELECT stream_id, frame_no, x.r AS rule_id, x.s AS severity FROM (SELECT *, unnest([{'b': NOT sync_ok, 'r': 'sync', 's': 'critical'}, {'b': fc > 249, 'r': 'frame_count', 's': 'error'}, {'b': nst > 63, 'r': 'nst', 's': 'error'}, {'b': mid NOT BETWEEN 0 AND 3, 'r': 'mode', 's': 'warning'}]) AS x FROM $headers) WHERE x.b"""))
+@query("r01_framing_rules", sql("""SELECT stream_id, frame_no, x.r AS rule_id, x.s AS severity FROM (SELECT *, unnest([{'b': NOT sync_ok, 'r': 'sync', 's': 'critical'}, {'b': fc > 249, 'r': 'frame_count', 's': 'error'}, {'b': nst > 63, 'r': 'nst', 's': 'error'}, {'b': mid NOT BETWEEN 1 AND 4, 'r': 'mode', 's': 'error'}]) AS x FROM $headers) WHERE x.b"""))
 def r01(s, d):
     return r.validate(v.headers(s, d), r.framing_rules(), ["stream_id", "frame_no"]).select("stream_id", "frame_no", "rule_id", "severity")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from muxlake.plans import content, more, relational, signalling, telemetry, timeline, views
+from muxlake.plans import audio, content, more, relational, rulesets, signalling, telemetry, timeline, views
 
-MODULES = [content, more, relational, signalling, telemetry, timeline]
+MODULES = [audio, content, more, relational, rulesets, signalling, telemetry, timeline]
 QUERIES: dict = views.QUERIES
 ORACLE: dict = views.ORACLE

@@ -2,16 +2,16 @@
 
 The windowed operators of operators/timing.py (bandwidth, sliding_metrics, outage_sessions,
 error_rates, frame_loss, reconfig_rate) take streams as they are, after a watermark. Here
-are the rest: deduplication, the frame feed, and operators with state of their own, each
-kept per key with a timeout, so state is bounded by what is alive.
+are the rest: the frame feed, deduplication, the join of redundant feeds, the catalogue's
+upsert. Operators with state of their own are in streaming/state.py.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from muxlake.streaming.state import alert_stream, announcement_registry_stream, assemble_mot_stream, reassemble_pft_stream, reorder_stream, service_status_stream  # noqa: F401
 
 
 def stream_frames(spark: SparkSession, path: str, split_bytes: int | None = None, pattern: str = "*") -> DataFrame:
@@ -41,195 +41,6 @@ def merge_redundant_stream(primary: DataFrame, backup: DataFrame, late: str = "1
     return j.select(F.coalesce("p_id", "b_id").alias("stream_id"), F.coalesce("p_seq", "b_seq").alias("seq"), F.coalesce("p", "b").alias("payload"), F.when(F.col("p").isNotNull(), "primary").otherwise("backup").alias("used"))
 
 
-def _stateful(df: DataFrame, keys: list[str], f, output: str, state: str, timeout=GroupStateTimeout.EventTimeTimeout) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(f, output, state, "append", timeout)
-
-
-def reassemble_pft_stream(fragments: DataFrame, timeout_ms: int = 5000, late: str = "10 seconds") -> DataFrame:
-    """Packets when their last fragment comes, or incomplete ones when they time out.
-
-    fragments: stream_id, pseq, findex, fcount, ts, payload.
-    """
-
-    def run(key, batches, state):
-        parts, fcount, duplicates, invalid = state.get if state.exists else ({}, 0, 0, 0)
-        parts = dict(parts) if not isinstance(parts, str) else dict(pair.split(":") for pair in parts.split(",") if pair)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, False, len(parts), duplicates, invalid, None)], columns=["stream_id", "pseq", "complete", "got", "duplicates", "invalid", "packet"])
-            return
-        latest = 0
-        for g in batches:
-            for r in g.sort_values("ts").itertuples():
-                latest = max(latest, int(r.ts.timestamp() * 1000))
-                if not 0 <= r.findex < r.fcount:
-                    invalid += 1
-                elif str(r.findex) in parts:
-                    duplicates += 1
-                else:
-                    parts[str(r.findex)], fcount = bytes(r.payload).hex(), int(r.fcount)
-        if fcount and len(parts) == fcount:
-            state.remove()
-            packet = bytes.fromhex("".join(parts[str(i)] for i in range(fcount)))
-            yield pd.DataFrame([(*key, True, fcount, duplicates, invalid, packet)], columns=["stream_id", "pseq", "complete", "got", "duplicates", "invalid", "packet"])
-            return
-        state.update((",".join(f"{i}:{h}" for i, h in parts.items()), fcount, duplicates, invalid))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + timeout_ms)
-
-    return _stateful(fragments.withWatermark("ts", late), ["stream_id", "pseq"], run, "stream_id string, pseq int, complete boolean, got int, duplicates int, invalid int, packet binary", "parts string, fcount int, duplicates int, invalid int")
-
-
-def service_status_stream(sightings: DataFrame, timeout_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
-    """`available` when a service is first seen, `unavailable` when it isn't seen for the timeout."""
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, "unavailable", last)], columns=["stream_id", "sid", "status", "at_ms"])
-            return
-        times = [int(t.timestamp() * 1000) for g in batches for t in g["ts"]]
-        new = not state.exists
-        last = max(times + ([] if new else [state.get[0]]))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
-        if new:
-            yield pd.DataFrame([(*key, "available", min(times))], columns=["stream_id", "sid", "status", "at_ms"])
-
-    return _stateful(sightings.withWatermark("ts", late), ["stream_id", "sid"], run, "stream_id string, sid long, status string, at_ms long", "last long")
-
-
-def announcement_registry_stream(messages: DataFrame, timeout_ms: int = 300_000, late: str = "10 seconds") -> DataFrame:
-    """added, removed (by message) or expired announcements. messages: stream_id, ts, deletion."""
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, "expired")], columns=["stream_id", "event"])
-            return
-        alive, last = state.exists, 0
-        out = []
-        for g in batches:
-            for r in g.sort_values("ts").itertuples():
-                last = max(last, int(r.ts.timestamp() * 1000))
-                if r.deletion and alive:
-                    out.append((*key, "removed"))
-                elif not r.deletion and not alive:
-                    out.append((*key, "added"))
-                alive = not r.deletion
-        if alive:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["stream_id", "event"])
-
-    return _stateful(messages.withWatermark("ts", late), ["stream_id"], run, "stream_id string, event string", "last long")
-
-
-def alert_stream(measurements: DataFrame, limit: float, hold_ms: int = 30_000, least_gap_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
-    """raised and cleared alerts of each (stream_id, metric): a value over the limit raises, at most once a gap; it clears after `hold` of values below.
-
-    State goes once no alert is active and the gap after the last is over; an active alert keeps it.
-    """
-
-    def run(key, batches, state):
-        active, since, raised = state.get if state.exists else (False, 0, -(10**15))
-        out, latest = [], state.getCurrentWatermarkMs()
-        if state.hasTimedOut and not active:
-            state.remove()
-            return
-        rows = [] if state.hasTimedOut else sorted((int(r.ts.timestamp() * 1000), float(r.value)) for g in batches for r in g.itertuples())
-        for at, value in rows:
-            latest = max(latest, at)
-            if value > limit:
-                since = at
-                if not active and at - raised >= least_gap_ms:
-                    active, raised = True, at
-                    out.append((*key, "raised", at, value))
-            elif active and at - since >= hold_ms:
-                active = False
-                out.append((*key, "cleared", at, value))
-        state.update((active, since, raised))
-        state.setTimeoutTimestamp(max(latest, raised) + least_gap_ms + 1)
-        yield pd.DataFrame(out, columns=["stream_id", "metric", "event", "at_ms", "value"])
-
-    return _stateful(measurements.withWatermark("ts", late), ["stream_id", "metric"], run, "stream_id string, metric string, event string, at_ms long, value double", "active boolean, since long, raised long")
-
-
-def after(seq: int, sent: int, bits: int = 16) -> int:
-    """How far a sequence number is ahead of another, modulo 2**bits; not over 0 if it isn't."""
-    d = (seq - sent) & ((1 << bits) - 1)
-    return d if d < 1 << (bits - 1) else d - (1 << bits)
-
-
-def reorder_stream(packets: DataFrame, delay_ms: int = 200, oldest_ms: int = 5000, late: str = "5 seconds") -> DataFrame:
-    """Jitter buffer: packets of a stream in order of their sequence, modulo 65536, released when they are older than the delay against the newest.
-
-    Packets that come after a later one was released, or that are older than `oldest` against the newest as they come, are dropped.
-    """
-
-    def run(key, batches, state):
-        seqs, times, sent = state.get if state.exists else ([], [], None)
-        held, new = set(zip(seqs, times)), {(int(r.seq), int(r.ts.timestamp() * 1000)) for g in batches for r in g.itertuples()}
-        newest = max((t for _, t in held | new), default=0)
-        rows = held | {x for x in new if x[1] >= newest - oldest_ms}
-        base = min(rows, key=lambda x: x[1])[0] if sent is None and rows else sent  # distances are against the last one sent, or the first that came
-        rows = sorted((after(s, base), t, s) for s, t in rows if sent is None or after(s, sent) > 0)
-        ready = [x for x in rows if state.hasTimedOut or x[1] <= newest - delay_ms]
-        top = ready[-1][0] if ready else None
-        out = [x for x in rows if top is not None and x[0] <= top]
-        left = [x for x in rows if top is None or x[0] > top]
-        if out:
-            sent = out[-1][2]
-        state.update(([x[2] for x in left], [x[1] for x in left], sent))
-        if left:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + delay_ms + 1)
-        yield pd.DataFrame([(*key, s, t) for _, t, s in out], columns=["stream_id", "seq", "at_ms"])
-
-    return _stateful(packets.withWatermark("ts", late), ["stream_id"], run, "stream_id string, seq int, at_ms long", "seqs array<int>, times array<long>, sent int")
-
-
-def assemble_mot_stream(segments: DataFrame, idle_ms: int = 60_000, most_segments: int = 8192, late: str = "10 seconds") -> DataFrame:
-    """Objects when their body segments 0 to last are there; the first copy of a segment wins, another header begins anew, an object that gets nothing for idle_ms is dropped, as is one of more than most_segments.
-
-    segments: stream_id, transport_id, kind (header or body), seg_no, last, payload, ts. payload of the result is null for a dropped one.
-    """
-    columns = ["stream_id", "transport_id", "complete", "segments", "payload"]
-
-    def run(key, batches, state):
-        header, numbers, parts, last = state.get if state.exists else (None, [], [], -1)
-        held = dict(zip(numbers, parts))
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, False, len(held), None)], columns=columns)
-            return
-        out, latest, done = [], 0, False
-        for r in sorted((r for g in batches for r in g.itertuples()), key=lambda r: (r.ts, r.kind != "header", r.seg_no)):
-            latest = max(latest, int(r.ts.timestamp() * 1000))
-            if r.kind == "header":
-                if r.seg_no == 0 and header is not None and bytes(r.payload) != bytes(header):
-                    held, last, done = {}, -1, False
-                header = bytes(r.payload) if r.seg_no == 0 else header
-                continue
-            held.setdefault(int(r.seg_no), bytes(r.payload))
-            last = int(r.seg_no) if r.last else last
-            if len(held) > most_segments:
-                out.append((*key, False, len(held), None))
-                held, last = {}, -1
-            elif last >= 0 and not done and len(held) == last + 1 and max(held) == last:
-                out.append((*key, True, len(held), b"".join(held[i] for i in range(last + 1))))
-                done = True
-        if done:
-            state.remove() if state.exists else None
-        else:
-            state.update((header, list(held), list(held.values()), last))
-            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=columns)
-
-    return _stateful(segments.withWatermark("ts", late), ["stream_id", "transport_id"], run, "stream_id string, transport_id long, complete boolean, segments int, payload binary", "header binary, numbers array<int>, parts array<binary>, last int")
-
-
 def upsert_catalog(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str, keys: list[str]):
     """Writes the latest row of each key of every micro-batch to a folder of its batch; readers take max_by over batches."""
     from muxlake.operators.timing import latest_per_key

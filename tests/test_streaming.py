@@ -117,3 +117,48 @@ def test_mot_assembly(spark, tmp_path):
     s = drop(spark, tmp_path, schema, first, second, [seg(4, 0, True, b"late", 500)], [seg(5, 0, True, b"later", 600)])
     rows = {(r.transport_id, r.complete, bytes(r.payload) if r.payload is not None else None) for r in run(feeds.assemble_mot_stream(s), tmp_path, "mot")}
     assert {(1, True, b"abcd"), (2, False, None), (3, True, b"one")} <= rows
+
+
+# State variables and timers
+
+
+def test_strict_order_waits_for_a_gap(spark, tmp_path):
+    batches = [[("a", 1, at(0)), ("a", 2, at(0.05)), ("a", 4, at(0.1)), ("a", 5, at(1))], [("a", 6, at(2))], [("a", 3, at(3)), ("a", 7, at(3.1))], [("a", 9, at(4))], [("a", 10, at(30))], [("a", 11, at(60))]]
+    s = drop(spark, tmp_path, "stream_id string, seq int, ts timestamp", *batches)
+    rows = run(feeds.reorder_stream(s, delay_ms=1000, strict=True), tmp_path, "strict")
+    seqs = [r.seq for r in rows]
+    assert seqs[:7] == [1, 2, 3, 4, 5, 6, 7] and seqs[7] == 9  # 8 never came: 9 went out as it got old
+    late = {r.seq: r.late for r in rows}
+    assert not late[2] and late[4] and late[9]
+
+
+def test_alerts_escalate_and_are_acknowledged(spark, tmp_path):
+    schema = "stream_id string, metric string, ts timestamp, value double, action string"
+    first = [("a", "m", at(0), 9.0, None), ("b", "m", at(0), 9.0, None), ("b", "m", at(60), None, "acknowledge"), ("c", "m", at(0), 9.0, None), ("c", "m", at(20), None, "resolve"), ("c", "m", at(30), 9.0, None), ("c", "m", at(70), 9.0, None), ("d", "m", None, 9.0, None)]
+    s = drop(spark, tmp_path, schema, first, [("z", "m", at(1000), 1.0, None)], [("z", "m", at(2000), 1.0, None)])
+    t0 = int(T0.timestamp() * 1000)
+    rows = sorted((r.stream_id, r.at_ms - t0, r.event) for r in run(feeds.alert_stream(s, 5.0), tmp_path, "escalation"))
+    assert rows == [("a", 0, "raised"), ("a", 300_000, "escalated"), ("b", 0, "raised"), ("b", 60_000, "acknowledged"), ("c", 0, "raised"), ("c", 20_000, "resolved"), ("c", 70_000, "raised"), ("c", 370_000, "escalated")]
+
+
+def test_late_repeats_of_a_whole_packet(spark, tmp_path):
+    f = "stream_id string, pseq int, findex int, fcount int, ts timestamp, payload binary"
+    s = drop(spark, tmp_path, f, [("a", 1, 1, 2, at(0), b"B"), ("a", 1, 0, 2, at(1), b"A")], [("a", 1, 0, 2, at(2), b"A")], [("a", 9, 0, 2, at(100), b"z")], [("a", 8, 0, 2, at(200), b"z")])
+    rows = [(r.pseq, r.complete, r.out_of_order) for r in run(feeds.reassemble_pft_stream(s), tmp_path, "repeats")]
+    assert rows == [(1, True, 1), (9, False, 0)]  # the repeat opens no packet of its own
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    schema = "stream_id string, sid long, ts timestamp"
+    s = drop(spark, tmp_path, schema, [("a", 1, at(0))])
+    mark, out = str(tmp_path / "mark"), str(tmp_path / "out")
+
+    def go():
+        q = feeds.service_status_stream(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return sorted((r.sid, r.status) for r in spark.read.parquet(out).collect())
+
+    assert go() == [(1, "available")]
+    drop(spark, tmp_path, schema, [("a", 1, at(30)), ("a", 2, at(500))], [("a", 2, at(501))])
+    assert go() == [(1, "available"), (1, "unavailable"), (2, "available")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions.bits import bits, flag_list, signed, u, walk
 from muxlake.functions.text import decode_label, lto_minutes, mjd_timestamp, short_label
+from muxlake.operators.scan import looking_back, running
 
 def D() -> Column:
     return F.col("data")
@@ -337,6 +338,25 @@ def assemble_extended_labels(segments: DataFrame) -> DataFrame:
     return one.groupBy("stream_id", "ext", "id", "toggle").agg(F.count("*").alias("segments"), text.alias("label"))
 
 
+def label_sessions(segments: DataFrame, span: float | None = None) -> DataFrame:
+    """A row for each time that a label of (stream_id, ext, id) was sent: from one flip of its toggle to the next.
+
+    segments (fig2): stream_id, frame_no, ext, id, toggle, segment, ucs2, part. bitmap has a
+    bit for each segment that came, the first copy of each counts; complete if none is
+    missing up to the highest. label is null unless complete; UCS-2 where segment 0 says so.
+    """
+    keys = ["stream_id", "ext", "id"]
+    s = segments.withColumn("_at", F.struct("frame_no", "segment"))
+    s = looking_back(s, keys, "_at", 1, lambda w: {"_flip": (~F.col("toggle").eqNullSafe(F.lag("toggle").over(w))).cast("int")}, span)
+    s = running(s, keys, "_at", {"session": ("total", F.col("_flip"))}, span)
+    one = s.groupBy(*keys, "session", "toggle", "segment").agg(F.min_by("part", "frame_no").alias("part"), F.bool_or("ucs2").alias("ucs2"), F.min("frame_no").alias("a"), F.max("frame_no").alias("b"))
+    parts = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", F.hex("part").alias("h")))), lambda x: x["h"]), ""))
+    out = one.groupBy(*keys, "session", "toggle").agg(F.min("a").alias("first_frame"), F.max("b").alias("last_frame"), F.count("*").alias("segments"), F.bit_or(F.expr("shiftleft(1, CAST(segment AS INT))")).alias("bitmap"), F.bool_or("ucs2").alias("ucs2"), parts.alias("_text"))
+    complete = F.col("bitmap").bitwiseAND(F.col("bitmap") + 1) == 0
+    text = F.when(F.col("ucs2"), F.decode("_text", "UTF-16BE")).otherwise(F.make_valid_utf8(F.col("_text").cast("string")))
+    return out.withColumn("complete", complete).withColumn("label", F.when(F.col("complete"), text)).drop("_text")
+
+
 def out_of_range(figs: DataFrame) -> DataFrame:
     """FIGs whose extension isn't registered for their type."""
     most = F.create_map(*[F.lit(x) for x in (0, 31, 1, 7, 2, 7, 5, 0, 6, 2)])[F.col("fig_type")]

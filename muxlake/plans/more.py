@@ -32,11 +32,6 @@ def p06(s, d):
     return fr.explode_stc(sg.headers(s, d)).groupBy("stream_id", "frame_no").agg(F.sum("bitrate").alias("kbps"))
 
 
-@query("p07_slice_fic", f"SELECT stream_id, count(*) AS n, 96 AS n_bytes {BASE} GROUP BY 1")
-def p07(s, d):
-    return fr.slice_fic(sg.headers(s, d)).groupBy("stream_id", F.octet_length("fic").alias("n_bytes")).agg(F.count("*").alias("n"))
-
-
 @query("p10_crc32_frame", "SELECT event_id, list_reduce(list_prepend(4294967295, list_transform(range(4), lambda k: (event_id >> ((3 - k) * 8)) & 255)), lambda c, b: list_reduce(list_prepend(xor(c::BIGINT, (b << 24)::BIGINT), range(8)), lambda r, k: CASE WHEN (r & 2147483648) <> 0 THEN xor((r << 1)::BIGINT, 79764919::BIGINT) & 4294967295 ELSE (r << 1) & 4294967295 END)) AS crc FROM events")
 def p10(s, d):
     return v.table(s, d, "events").select("event_id", b.crc32_frame(b.pack((F.col("event_id"), 4))).bitwiseXOR(0xFFFFFFFF).alias("crc"))
@@ -63,11 +58,6 @@ def p20(s, d):
     return events(s, d).select("frame_no", fr.frame_time(F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"), F.col("frame_no")).alias("at_us"))
 
 
-@query("p22_corrupt_frame", f"SELECT stream_id, 0::BIGINT AS corrupt, count(*) AS n {BASE} GROUP BY 1")
-def p22(s, d):
-    return sg.frames(s, d).groupBy("stream_id").agg(F.count_if(fr.corrupt_frame(F.col("raw"))).alias("corrupt"), F.count("*").alias("n"))
-
-
 @query("p23_id_validity", sql("SELECT sid, sid % 65536 NOT IN (0, 65535) AS sid_ok, eid NOT IN (0, 65535) AS eid_ok, sub_channel_id < 64 AS sub_channel_ok FROM $services"))
 def p23(s, d):
     return v.services(s, d).select("sid", (~(F.col("sid") % 65536).isin(0, 65535)).alias("sid_ok"), (~F.col("eid").isin(0, 65535)).alias("eid_ok"), (F.col("sub_channel_id") < 64).alias("sub_channel_ok"))

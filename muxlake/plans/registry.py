@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from muxlake.plans import audio, content, more, relational, rulesets, signalling, telemetry, texts, timeline, views
+from muxlake.plans import audio, content, damaged, more, relational, rulesets, summaries, signalling, telemetry, texts, timeline, views
 
-MODULES = [audio, content, more, relational, rulesets, signalling, telemetry, texts, timeline]
+MODULES = [audio, content, damaged, more, relational, rulesets, summaries, signalling, telemetry, texts, timeline]
 QUERIES: dict = views.QUERIES
 ORACLE: dict = views.ORACLE

@@ -10,6 +10,7 @@ from muxlake.operators import health
 from muxlake.plans import views as v
 from muxlake.plans.views import query
 from muxlake.sources import frames as fr
+from muxlake.sources.stored import stored
 
 def E():
     return F.col("event_id")
@@ -23,7 +24,8 @@ BASE = "FROM (SELECT 'S' || (user_id % 16) AS stream_id, event_id AS frame_no, e
 
 
 def frames(s, d):
-    return fr.frames_from_events(v.table(s, d, "events"))
+    """Frames of the events, built once a session and stored, as captures are."""
+    return stored(s, ("frames", d), lambda: fr.frames_from_events(v.table(s, d, "events")))
 
 
 def headers(s, d):
@@ -43,28 +45,11 @@ def s03(s, d):
     return frames(s, d).groupBy("stream_id", fr.detect_format(F.col("raw")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("s05_validate_capture", f"SELECT stream_id, count(*) AS n_frames, count(*) FILTER (e % 50 = 0) AS bad_sync, 0::BIGINT AS corrupt, count(*) FILTER (e % 50 = 0) < count(*) AS usable {BASE} GROUP BY 1")
-def s05(s, d):
-    return fr.validate_capture(frames(s, d))
-
-
-@query("p01_frame_header", f"SELECT stream_id, frame_no, (e % 250)::INT AS fc, true AS ficf, (u % 4)::INT AS nst, 0 AS fp, 1 AS mid, 0 AS fl {BASE}")
-def p01(s, d):
-    return headers(s, d).select("stream_id", "frame_no", "fc", "ficf", "nst", "fp", "mid", "fl")
-
-
 @query("p03_explode_stc", f"SELECT stream_id, frame_no, i::INT AS pos, i::INT AS sub_channel_id, (24 * i)::INT AS start_address, 24 AS size, false AS uep, 0 AS protection_option, 3 AS protection_level, 192 AS bitrate FROM (SELECT *, unnest(range(u % 4)) AS i {BASE})")
 def p03(s, d):
     return fr.explode_stc(headers(s, d)).drop("table_switch", "table_index")
 
 
-@query("p05_protection_lookup", f"SELECT stream_id, i::INT AS sub_channel_id, 'EEP-A' AS protection, 6 AS table_cu, count(*) AS n FROM (SELECT *, unnest(range(u % 4)) AS i {BASE}) GROUP BY 1, 2")
-def p05(s, d):
-    from muxlake.sources.dims import protection_lookup
-
-    return protection_lookup(fr.explode_stc(headers(s, d))).groupBy("stream_id", "sub_channel_id", "protection", "table_cu").agg(F.count("*").alias("n"))
-
-
 @query("p08_explode_fibs", f"SELECT stream_id, frame_no, k::INT AS fib_no, NOT (k = 0 AND e % 20 = 0) AS crc_ok FROM (SELECT *, unnest(range(3)) AS k {BASE})")
 def p08(s, d):
     return fibs(s, d).select("stream_id", "frame_no", "fib_no", "crc_ok")
@@ -75,11 +60,6 @@ def p09(s, d):
     return v.table(s, d, "events").select("event_id", crc16(pack((E(), 8))).alias("crc"))
 
 
-@query("p11_eoh_crc_check", f"SELECT stream_id, count(*) AS n, 0::BIGINT AS failures {BASE} GROUP BY 1")
-def p11(s, d):
-    return fr.eoh_crc_ok(headers(s, d)).groupBy("stream_id").agg(F.count("*").alias("n"), F.count_if(~F.col("eoh_ok")).alias("failures"))
-
-
 KINDS = "[{'t': 0, 'x': 0, 'l': 6, 'k': 0}, {'t': 0, 'x': 1, 'l': 1, 'k': 0}, {'t': 0, 'x': 2, 'l': 6, 'k': 1}, {'t': 1, 'x': 1, 'l': 21, 'k': 1}]"
 
 

@@ -148,10 +148,13 @@ def tist_kind(tist: Column) -> Column:
     return F.when(tist == 0, "invalid").when(tist > 1_000_000_000, "seconds").when(tist > 1_000_000, "milliseconds").when(tist < 100_000, "frames").otherwise("samples")
 
 
-def frames_from_events(events: DataFrame) -> DataFrame:
+def frames_from_events(events: DataFrame, odd: bool = False) -> DataFrame:
     """A frame an event: header, up to three sub-channels, three blocks (FIG 0/0 and 0/1; 0/2 and 1/1; padding), a time stamp.
 
-    Every 50th frame has no sync, every 20th a broken CRC in its first block.
+    Every 50th frame has no sync, every 20th a broken CRC in its first block. odd: what a
+    real capture may hold besides: all sync words, every protection, mode 3 with a fourth
+    block (every 23rd), no blocks (every 43rd), a wrong header CRC (every 31st), frames of
+    zeros (97th), of FF (101st) and short ones (103rd).
     """
     cores = events.sparkSession.sparkContext.defaultParallelism
     if events.rdd.getNumPartitions() < cores:  # a small table comes as one partition, but its frames are large
@@ -161,7 +164,10 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     hex_ = lambda x, n: F.lpad(F.hex(x.cast("long")), 2 * n, "0")
     subs = F.sequence(F.lit(0), nst - 1)
     each = lambda f: F.when(nst > 0, F.array_join(F.transform(subs, f), "")).otherwise("")
-    stc = each(lambda i: hex_(i * (1 << 26) + i * 24 * (1 << 16) + F.lit((0x20 | 2) << 10) + 24, 4))
+    every = lambda n: (e % n == 0) if odd else F.lit(False)
+    equal = 0x20 + e % 2 * 4 + F.floor(e / 2) % 4 if odd else F.lit(0x20 | 2)
+    protection = lambda i: F.when((e + i) % 5 == 0, e % 16).otherwise(equal) if odd else equal
+    stc = each(lambda i: hex_(i * (1 << 26) + i * 24 * (1 << 16) + protection(i) * 1024 + 24, 4))
     org = each(lambda i: hex_(i * (1 << 26) + i * 24 * (1 << 16) + F.lit(0x88 << 8) + 24, 4))
     cif = e % 8192
     fig00 = F.concat(F.lit("0600"), hex_(eid, 2), hex_(cif, 2), F.lit("00"))
@@ -170,19 +176,28 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     fig02 = F.concat(F.lit("0602"), hex_(sid, 2), F.lit("013F"), hex_((user % 64) * 4 + 2, 1))
     label = F.hex(F.rpad(F.upper("event_type"), 16, " "))
     fig11 = F.concat(F.lit("3501"), hex_(sid, 2), label, F.lit("FF00"))
-    head = F.concat(hex_(e % 250, 1), hex_(128 + nst, 1), F.lit("0800"), stc)
+    phase = (e % 8) * 8192 + F.when(every(23), 3).otherwise(1) * 2048 + e % 2000 if odd else F.lit(0x0800)
+    head = F.concat(hex_(e % 250, 1), hex_(F.when(every(43), 0).otherwise(128) + nst, 1), hex_(phase, 2), stc)
     area = lambda x: F.unhex(F.rpad(x, 60, "FF"))
     # Columns of their own first: a checksum reads its bytes many times.
     parts = events.select(F.concat(F.lit("S"), user % 16).alias("stream_id"), e.alias("frame_no"), "ts", area(F.concat(fig00, fig01)).alias("a"), area(F.concat(fig02, fig11)).alias("b"), F.unhex(F.concat(head, F.lit("0000"))).alias("head"))
     n, two = F.col("frame_no"), lambda x: F.unhex(hex_(x, 2))
+    every = lambda k: (n % k == 0) if odd else F.lit(False)
     fib = lambda c, flip: F.concat(c, two(crc16_of(c, 30).bitwiseXOR(0xFFFF).bitwiseXOR(flip)))
+    header_crc = F.coalesce(*[crc16_of(F.col("head"), size, word) for size, word in ((6, 6), (10, 5), (14, 7), (18, 6))]).bitwiseXOR(0xFFFF)
     padding = b"\xff" * 30
-    last = padding + (_crc_of(padding) ^ 0xFFFF).to_bytes(2, "big")
+    last = F.lit(padding + (_crc_of(padding) ^ 0xFFFF).to_bytes(2, "big"))
     # Not deterministic to the optimizer, so filters of decoded fields aren't moved below, where each would build the frame once more.
     once = F.monotonically_increasing_id() >= 0
-    sync = F.when((n % 50 == 0) & once, F.lit(bytes(4))).otherwise(F.lit(bytes.fromhex("FFF8C549")))
-    body = F.concat(sync, F.col("head"), two(crc16_stored(F.col("head"))), fib(F.col("a"), F.when(n % 20 == 0, 1).otherwise(0).cast("long")), fib(F.col("b"), F.lit(0).cast("long")), F.lit(last))
+    words = F.get(F.array(*[F.lit(bytes.fromhex(w)) for w in SYNC_WORDS]), (n % len(SYNC_WORDS)).cast("int")) if odd else F.lit(bytes.fromhex("FFF8C549"))
+    sync = F.when((n % 50 == 0) & once, F.lit(bytes(4))).otherwise(words)
+    blocks = F.concat(fib(F.col("a"), F.when(n % 20 == 0, 1).otherwise(0).cast("long")), fib(F.col("b"), F.lit(0).cast("long")), last)
+    if odd:
+        blocks = F.when(every(43), F.lit(b"")).when(every(23), F.concat(blocks, last)).otherwise(blocks)
+    body = F.concat(sync, F.col("head"), two(header_crc.bitwiseXOR(F.when(every(31), 1).otherwise(0).cast("long"))), blocks)
     raw = F.concat(F.rpad(body, FRAME_BYTES - 4, F.lit(b"\x55")), F.unhex(hex_((n * 393216) % (1 << 24), 4)))
+    if odd:
+        raw = F.when(every(97), F.lit(bytes(FRAME_BYTES))).when(every(101), F.lit(b"\xff" * FRAME_BYTES)).when(every(103), F.substring(raw, 1, 6000)).otherwise(raw)
     return parts.select("stream_id", "frame_no", "ts", raw.alias("raw"))
 
 

@@ -2,8 +2,8 @@
 
 The windowed operators of operators/timing.py (bandwidth, sliding_metrics, outage_sessions,
 error_rates, frame_loss, reconfig_rate) take streams as they are, after a watermark. Here
-are the rest: the frame feed, deduplication, the join of redundant feeds, the catalogue's
-upsert. Operators with state of their own are in streaming/state.py.
+are the rest: the frame feed, deduplication, the join of redundant feeds. Operators
+with state of their own are in streaming/state.py, the live catalogue in catalog_store.py.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muxlake.streaming.catalog_store import upsert_catalog  # noqa: F401
 from muxlake.streaming.state import alert_stream, announcement_registry_stream, assemble_mot_stream, reassemble_pft_stream, reorder_stream, service_status_stream  # noqa: F401
 
 
@@ -39,13 +40,3 @@ def merge_redundant_stream(primary: DataFrame, backup: DataFrame, late: str = "1
     near = F.expr(f"b_ts BETWEEN p_ts - INTERVAL {late} AND p_ts + INTERVAL {late}")
     j = p.join(b, (F.col("p_id") == F.col("b_id")) & (F.col("p_seq") == F.col("b_seq")) & near, "full_outer")
     return j.select(F.coalesce("p_id", "b_id").alias("stream_id"), F.coalesce("p_seq", "b_seq").alias("seq"), F.coalesce("p", "b").alias("payload"), F.when(F.col("p").isNotNull(), "primary").otherwise("backup").alias("used"))
-
-
-def upsert_catalog(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Writes the latest row of each key of every micro-batch to a folder of its batch; readers take max_by over batches."""
-    from muxlake.operators.timing import latest_per_key
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, keys, ["ts"]).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,10 +97,25 @@ def test_frames_from_files(spark, tmp_path):
 
 
 def test_upsert(spark, tmp_path):
-    s = drop(spark, tmp_path, "stream_id string, sid long, ts timestamp, label string", [("a", 1, at(0), "x"), ("a", 1, at(1), "y")], [("a", 1, at(2), "z")])
+    from muxlake.streaming.catalog_store import CatalogStore
+
+    schema = "stream_id string, sid long, ts timestamp, label string"
+    s = drop(spark, tmp_path, schema, [("a", 1, at(0), "x"), ("a", 1, at(1), "y")], [("a", 1, at(2), "z")])
     feeds.upsert_catalog(spark, s, str(tmp_path / "out"), str(tmp_path / "cp"), ["stream_id", "sid"]).awaitTermination(60)
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.label for r in out.collect()) == ["y", "z"]
+    store = CatalogStore(spark, str(tmp_path / "out"), ["stream_id", "sid"], compact_every=3, keep=1)
+    assert [r.label for r in store.read().collect()] == ["z"] and store.manifest()["batch"] == 1
+    before = store.read()  # a reader that began before what follows
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    assert not store.upsert(rows(("a", 1, at(9), "twice")), 1)  # delivered again
+    assert store.upsert(rows(("a", 1, at(1), "older"), ("b", 2, at(3), "new"), (None, 3, at(3), "null")), 2)
+    state = store.manifest()
+    assert state["base"] and not state["changes"]  # the third change was compacted
+    assert sorted(r.label for r in store.read().collect()) == ["new", "null", "z"]
+    assert [r.label for r in before.collect()] == ["z"]
+    for i in range(3, 9):
+        store.upsert(rows(("b", 2, at(i + 1), f"n{i}")), i)
+    assert sorted(r.label for r in store.read().collect()) == ["n8", "null", "z"]
+    assert len(list((tmp_path / "out").glob("base-*"))) <= 2 and len(list((tmp_path / "out/_manifests").glob("[0-9]*.json"))) == 2
 
 
 def test_reorder_over_the_end_of_numbers(spark, tmp_path):

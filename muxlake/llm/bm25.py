@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import cut, table
+from muxlake.llm.common import cut, table, texts
 
 WORD = re.compile(r"\w+")
 EPS = 2e-6
@@ -72,7 +72,7 @@ def _index(shard_docs: int, shard_postings: int):
     def run(batches):
         rows, size = [], 0
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
                 t, f = terms(text)
                 rows.append((doc_id, t, f))
                 size += len(t)
@@ -87,7 +87,7 @@ def _index(shard_docs: int, shard_postings: int):
 
 def _query_terms(batches):
     for b in batches:
-        found = [terms(t) for t in b["text"].to_pylist()]
+        found = [terms(t) for t in texts(b["text"])]
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([f.astype(np.int32).tobytes() for _, f in found], pa.binary()), pa.array([len(t) for t, _ in found], pa.int64())], ["query_id", "terms", "freqs", "n"])
 
 

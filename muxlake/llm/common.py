@@ -80,6 +80,14 @@ def released(run):
     return inner
 
 
+def texts(column: pa.Array) -> list[str | None]:
+    """Texts of an Arrow column; ill-formed UTF-8, which a Spark string may hold, is read with replacement characters."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def join_small(df: DataFrame, dim: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a cut dimension: broadcast if it is counted to be small, else left to the planner and its skew handling."""
     small = dim.limit(rows + 1).count() <= rows

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import free_name, released
+from muxlake.llm.common import free_name, released, texts
 
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
@@ -183,7 +183,7 @@ def _cut_samples(window: int, pieces: int):
     def run(batches):
         for b in batches:
             lang, rank, text = [], [], []
-            for k, h, t in zip(b["lang"].to_pylist(), b["rank"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for k, h, t in zip(b["lang"].to_pylist(), b["rank"].to_pylist(), texts(b["text"]), strict=True):
                 raw = t.encode()
                 for i in range(min(pieces, 1 + len(raw) // window)):
                     at = xxhash.xxh3_64_intdigest(f"{h} {i}".encode()) % max(1, len(raw) - window + 1)
@@ -217,17 +217,17 @@ def languages(docs: DataFrame, net: Net, names: list[str], batch_bytes: int = 2
 
     def run(batches):
         for b in batches:
-            texts = b["text"].to_pylist()
-            preds, scores = [UND] * len(texts), [0.0] * len(texts)
-            usable = [i for i, t in enumerate(texts) if t and net.langs and LETTER.search(t)]
+            whole = texts(b["text"])
+            preds, scores = [UND] * len(whole), [0.0] * len(whole)
+            usable = [i for i, t in enumerate(whole) if t and net.langs and LETTER.search(t)]
             at = 0
             while at < len(usable):
                 part, size = [], 0
                 while at < len(usable) and (not part or size < batch_bytes):
                     part.append(usable[at])
-                    size += len(texts[usable[at]])
+                    size += len(whole[usable[at]])
                     at += 1
-                for i, p in zip(part, pooled(net, [texts[i].encode() for i in part]), strict=True):
+                for i, p in zip(part, pooled(net, [whole[i].encode() for i in part]), strict=True):
                     k = int(p.argmax())
                     preds[i], scores[i] = net.langs[k], min(1.0, float(p[k]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *names])

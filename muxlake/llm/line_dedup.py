@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import BLANKS, cut, free_name, released
+from muxlake.llm.common import BLANKS, cut, free_name, released, texts
 
 LINES = "h1 long, h2 long, doc_id long, text_hash long, pos int"
 
@@ -47,7 +47,7 @@ def _hash_lines(min_chars: int):
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text_hash, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc_id, text_hash, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), texts(b["text"]), strict=True):
                 for pos, (n, key) in enumerate(line_keys(text)):
                     if n >= min_chars:
                         h = xxhash.xxh3_128_digest(key.encode().lower())  # bytes.lower() is A-Z only
@@ -175,7 +175,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             cols = list(b.columns)
-            cols[at] = pa.array(map(kept_text, cols[at].to_pylist(), cols[-1].to_pylist()), b.schema.field(at).type)
+            cols[at] = pa.array(map(kept_text, texts(cols[at]), cols[-1].to_pylist()), b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols[:-1], names)
 
     return with_bitmaps(docs, bitmaps, name).mapInArrow(released(run), docs.schema)
@@ -188,7 +188,7 @@ def line_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             n, dropped, sha = [], [], []
-            for text, bitmap in zip(b["text"].to_pylist(), b["keep_bitmap"].to_pylist(), strict=True):
+            for text, bitmap in zip(texts(b["text"]), b["keep_bitmap"].to_pylist(), strict=True):
                 n.append((text or "").count("\n") + 1)
                 dropped.append(0 if bitmap is None else int((~unpack(bitmap)).sum()))
                 sha.append(hashlib.sha256((kept_text(text, bitmap) or "").encode()).hexdigest())

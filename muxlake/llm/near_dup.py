@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import free_name, join_small, released, table
+from muxlake.llm.common import free_name, join_small, released, table, texts
 
 WORD = re.compile(r"\w+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -196,7 +196,7 @@ def _sketches(k: int, sketches: int, order: int):
     def run(batches):
         for b in batches:
             prints, heads, sizes, keys = [], [], [], []
-            for text in b["text"].to_pylist():
+            for text in texts(b["text"]):
                 s = shingles(text, k)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 prints.append(int.from_bytes(d[:8], "big", signed=True))
@@ -211,7 +211,7 @@ def _sketches(k: int, sketches: int, order: int):
 def _sequences(k: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingles(x, k).tobytes() for x in b["text"].to_pylist()], pa.binary())], ["id", "seq"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([shingles(x, k).tobytes() for x in texts(b["text"])], pa.binary())], ["id", "seq"])
 
     return run
 

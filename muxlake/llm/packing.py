@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import cut, released
+from muxlake.llm.common import cut, released, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -80,7 +80,7 @@ def _pieces(ranks_path: str | None, json_path: str | None, cap: int):
         encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), json_path or public_tokenizers.path("byte_bpe_50k.json"))
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
                 ids = np.array([*encode(text or ""), 0], "<u4")
                 for k, (start, n) in enumerate(cut_pieces(len(ids), cap)):
                     for column, v in zip(out, (doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())), strict=True):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import BLANKS, cut
+from muxlake.llm.common import BLANKS, cut, texts
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -68,7 +68,7 @@ def _count(trusted: frozenset, n: int, bits: int):
     def run(batches):
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
                 f = np.bincount(features(word_hashes(text), n, bits), minlength=1 << bits) if text and len(text) > 1 << bits else None
                 if f is None:
                     at = features(word_hashes(text), n, bits)
@@ -118,7 +118,7 @@ def _score(raw: np.ndarray, target: np.ndarray, ids: frozenset, n: int, alpha: f
     def run(batches):
         for b in batches:
             base, llr, out = [], [], []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
                 h = word_hashes(text)
                 f = features(h, n, bits)
                 base.append(base_counts(text, h))

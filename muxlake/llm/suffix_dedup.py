@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import released, table
+from muxlake.llm.common import released, table, texts
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -110,8 +110,8 @@ def _anchors(length: int, k: int):
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             ids: list = []
-            for doc_id, text_hash, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), strict=True):
-                data = (text or "").encode()
+            for doc_id, text_hash, text in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+                data = text or b""
                 if len(data) < length:
                     continue
                 h, pos, first, last = anchors(np.frombuffer(data, np.uint8), length, k)
@@ -225,8 +225,8 @@ def _contexts(length: int):
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, text_hash, text, wanted in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
-                data = (text or "").encode()
+            for doc_id, text_hash, text, wanted in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["wanted"].to_pylist(), strict=True):
+                data = text or b""
                 for w in wanted:
                     pos, first, last = w["pos"], w["first"], w["last"]
                     if not w["hot"]:
@@ -312,7 +312,7 @@ def _fingerprints(k: int, words: int):
     def run(batches):
         for b in batches:
             ids, found = [], []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
                 w = (text or "").split()
                 if len(w) < words:
                     continue
@@ -369,8 +369,8 @@ def substring_dedup(docs: DataFrame, length: int = 400, words: int = 51, **optio
     def run(batches):
         for b in batches:
             n, runs, kept = [], [], []
-            for text, s in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
-                data = (text or "").encode()
+            for text, s in zip(b["text"].cast(pa.binary()).to_pylist(), b["spans"].to_pylist(), strict=True):
+                data = text or b""
                 r = removed(s, length)
                 n.append(len(data)), runs.append([list(x) for x in r]), kept.append(kept_bytes(data, r))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), b["n_shared"].is_valid()], names)

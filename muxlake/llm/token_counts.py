@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muxlake.llm.common import texts
+
 MARK = "▁"
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -92,6 +94,6 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         counter = Counter(vocabulary(path))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(counter.tokens, b["text"].to_pylist()), pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(counter.tokens, texts(b["text"])), pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")

@@ -311,3 +311,26 @@ def test_pages_of_shared_passages_are_hardly_aligned(spark, monkeypatch):
         assert all(got[n + i] == got[i] for i in range(5))
         found.append(sum(aligned))
     assert found[1] < 3 * found[0] + 60
+
+
+# Ill-formed UTF-8, which a Spark string may hold
+
+
+def test_ill_formed_texts_end_no_operator(spark, tmp_path):
+    from muxlake.llm import queries
+
+    good = [(i, f"the other thing is here with line {i % 3}\nthis line stands in many documents\n" + "and more words of the same kind " * 3, "en", "s", 0) for i in range(1, 60)]
+    df = spark.createDataFrame(good, "doc_id long, text string, lang string, source string, n_chars long")
+    bad = spark.createDataFrame([(0, b"the \xff thing \xc3 stands here\nthis line stands in many documents\n\xe2\x82 end " + b"word " * 600), (100, b"a\xffb \xc3")], "doc_id long, b binary")
+    df = df.unionByName(bad.select("doc_id", F.col("b").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars")))
+    df.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op1_language_id", "op2_token_counts", "op3_source_mix", "op4_suffix_dedup", "op5_line_dedup", "op9_quality_rules", "op10_near_dup", "op11_periodic_runs"):
+        ids = {r.doc_id for r in queries.QUERIES[name](spark, str(tmp_path)).select("doc_id").collect()}
+        assert {0, 100} <= ids and len(ids) == 61, name
+    assert {0, 100} <= {r.doc_id for r in queries.op7(spark, str(tmp_path)).select("doc_id").collect()}
+    assert 0 in {r.query_id for r in queries.op6(spark, str(tmp_path)).collect()}
+    assert queries.op12(spark, str(tmp_path)).count() > 0
+    kept = {r.doc_id: (r.n_bytes, r.n_removed) for r in queries.op4(spark, str(tmp_path)).collect()}
+    raw = bad.select("doc_id", F.octet_length("b").alias("n")).collect()
+    assert all(kept[r.doc_id][0] == r.n for r in raw) and kept[0][1] > 2000  # bytes are as they are

@@ -334,3 +334,50 @@ def test_ill_formed_texts_end_no_operator(spark, tmp_path):
     kept = {r.doc_id: (r.n_bytes, r.n_removed) for r in queries.op4(spark, str(tmp_path)).collect()}
     raw = bad.select("doc_id", F.octet_length("b").alias("n")).collect()
     assert all(kept[r.doc_id][0] == r.n for r in raw) and kept[0][1] > 2000  # bytes are as they are
+
+
+# Language ID: predictions against a plain pass, a byte at a time
+
+
+def plain_pass(net, raw, window):
+    """Probabilities of each byte of a text, window by window, by the formulas of a gated unit with hard gates."""
+    w, n = {k: v.astype(float) for k, v in net.w.items()}, net.h
+    out = []
+    for at in range(0, len(raw), window):
+        x = list(raw[at : at + window].ljust(window, b"\0"))
+
+        def states(d, order):
+            h, found = np.zeros(n), {}
+            for i in order:
+                g, a = w["e"][d][:, x[i]], w["u"][d] @ h
+                z, r = np.clip(a[:n] + g[:n] + 0.5, 0, 1), np.clip(a[n : 2 * n] + g[n : 2 * n] + 0.5, 0, 1)
+                c = np.tanh(g[2 * n :] + r * a[2 * n :])
+                h = z * h + (1 - z) * c
+                found[i] = h
+            return found
+
+        ahead, back = states(0, range(window)), states(1, range(window - 1, -1, -1))
+        for i in range(min(window, len(raw) - at)):
+            p = np.exp(np.clip(w["v"] @ np.r_[ahead[i], back[i]] + w["c"][:, 0], -30, 30))
+            out.append(p / p.sum())
+    return np.array(out)
+
+
+def test_language_predictions_agree_with_a_plain_pass(spark):
+    from muxlake.llm.langid import fit, identify, label_positions, pooled, train
+
+    rng = random.Random(11)
+    en, fr = ["the", "thing", "other", "with"], ["le", "être", "château", "où"]
+    rows = [(i, " ".join(rng.choice(en if i % 2 else fr) for _ in range(rng.randrange(3, 90))), "en" if i % 2 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = fit(docs, steps=60)
+    raws = [t.encode() for _, t, _ in rows[:12]]
+    plain = [plain_pass(net, r, 128) for r in raws]
+    assert np.allclose(pooled(net, raws), [p.mean(axis=0) for p in plain], atol=1e-3)
+    for raw, p in zip(raws[:4], plain, strict=False):
+        sure = np.sort(p, axis=1)[:, -1] - np.sort(p, axis=1)[:, -2] > 1e-3
+        assert (label_positions(net, raw.decode())[sure] == p.argmax(axis=1)[sure]).all()
+    for r in identify(docs, steps=60).where("doc_id < 12").collect():
+        p = plain[r.doc_id].mean(axis=0)
+        assert r.lang_pred == net.langs[p.argmax()] and abs(r.score - p.max()) < 1e-3
+    assert train([("en", b"the"), ("fr", b"le")], steps=2, seed=3).langs == ["en", "fr"]

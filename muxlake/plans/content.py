@@ -243,12 +243,20 @@ def bins(s, d):
     return k.spectrum(v.table(s, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("k13_spectrum_distortion")  # numpy's transform; tests/test_core.py has a tone
+#: The transform of Hann-windowed samples, by its definition.
+SPECTRUM = """x AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), w AS (SELECT vec_id, n, i, x * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS x FROM x),
+    b AS (SELECT vec_id, k, n, sum(x * cos(2 * pi() * k * i / n)) AS re, sum(x * sin(2 * pi() * k * i / n)) AS im FROM w, LATERAL (SELECT unnest(range(n // 2 + 1)) AS k) GROUP BY ALL),
+    s AS (SELECT vec_id, k AS bin, round(greatest(20 * log10(greatest(sqrt(re * re + im * im) / n * 2, 1e-12)), -120), 6) AS db FROM b)"""
+
+
+@query("k13_spectrum_distortion", f"""WITH {SPECTRUM}, f AS (SELECT vec_id, arg_max(bin, db) AS fundamental, max(db) AS top FROM s WHERE bin > 0 GROUP BY 1), k AS (SELECT s.vec_id, bin, db, fundamental, round(bin / fundamental) AS k FROM s JOIN f ON s.vec_id = f.vec_id),
+    h AS (SELECT vec_id, sum(p) AS p FROM (SELECT vec_id, k, max(pow(10.0, db / 10)) AS p FROM k WHERE k BETWEEN 2 AND 10 AND abs(bin - k * fundamental) <= 0.05 * k * fundamental GROUP BY 1, 2) GROUP BY 1)
+    SELECT f.vec_id, fundamental::INT AS fundamental, round(100 * sqrt(coalesce(p, 0.0) / pow(10.0, top / 10)), 4) AS thd FROM f LEFT JOIN h ON f.vec_id = h.vec_id""")
 def k13(s, d):
     return k.distortion(bins(s, d), "vec_id")
 
 
-@query("k14_spectral_features")  # over k13's bins
+@query("k14_spectral_features", f"WITH {SPECTRUM} SELECT vec_id, round(sum(bin * pow(10.0, db / 20)) / sum(pow(10.0, db / 20)), 4) AS centroid, round(avg(db), 4) AS mean_db, round(stddev_pop(db), 4) AS deviation_db FROM s GROUP BY 1")
 def k14(s, d):
     return k.spectral_features(bins(s, d), "vec_id")
 

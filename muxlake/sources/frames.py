@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, crc16_of, crc16_stored, u
+from muxlake.functions.bits import bits, crc16_stored, u
 from muxlake.functions.times import micros
 from muxlake.sources import captures
 
 FRAME_BYTES, FRAME_MS = 6144, 24
+FRAMES_A_TASK = 25_000
 # Sync words that a capture's frames may begin with, and the one that tells LI.
 SYNC_WORDS = ["FF1F491F", "491F1FFF", "FF1FC4FF", "C4FF1FFF", "491FC4FF", "C4FF491F", "49931E03", "FFF8C549", "49C5F8FF", "FF073AB6", "B63A07FF"]
 SYNC_LI = "49931E03"
@@ -105,7 +106,7 @@ def explode_fibs(fic: DataFrame) -> DataFrame:
     """A row a block: 30 bytes of area, the stored CRC, whether it agrees."""
     f = fic.where("fic IS NOT NULL").select("stream_id", "frame_no", F.posexplode(F.sequence(F.lit(1), F.octet_length("fic") - 31, F.lit(32))).alias("fib_no", "at"), "fic")
     f = f.select("stream_id", "frame_no", "fib_no", F.substring("fic", F.col("at"), 30).alias("area"), u(F.col("fic"), F.col("at") + 29, 2).cast("int").alias("crc_stored"))
-    return f.withColumn("crc_ok", crc16_of(F.col("area"), 30).bitwiseXOR(0xFFFF) == F.col("crc_stored"))
+    return f.withColumn("crc_ok", crc16_stored(F.col("area")) == F.col("crc_stored"))
 
 
 def eoh_crc_ok(headers: DataFrame) -> DataFrame:
@@ -156,9 +157,9 @@ def frames_from_events(events: DataFrame, odd: bool = False) -> DataFrame:
     block (every 23rd), no blocks (every 43rd), a wrong header CRC (every 31st), frames of
     zeros (97th), of FF (101st) and short ones (103rd).
     """
-    cores = events.sparkSession.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:  # a small table comes as one partition, but its frames are large
-        events = events.repartition(cores)
+    # A split of the table holds some millions of events, but their frames are large: tasks of a bounded number of frames.
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // FRAMES_A_TASK))
+    events = events.repartition(tasks)
     e, user, eid = F.col("event_id"), F.col("user_id"), 4096 + F.col("user_id") % 8
     nst = (user % 4).cast("int")
     hex_ = lambda x, n: F.lpad(F.hex(x.cast("long")), 2 * n, "0")
@@ -179,23 +180,25 @@ def frames_from_events(events: DataFrame, odd: bool = False) -> DataFrame:
     phase = (e % 8) * 8192 + F.when(every(23), 3).otherwise(1) * 2048 + e % 2000 if odd else F.lit(0x0800)
     head = F.concat(hex_(e % 250, 1), hex_(F.when(every(43), 0).otherwise(128) + nst, 1), hex_(phase, 2), stc)
     area = lambda x: F.unhex(F.rpad(x, 60, "FF"))
-    # Columns of their own first: a checksum reads its bytes many times.
+    # Columns of their own first: bytes are put together once, for their checksum and for the frame.
     parts = events.select(F.concat(F.lit("S"), user % 16).alias("stream_id"), e.alias("frame_no"), "ts", area(F.concat(fig00, fig01)).alias("a"), area(F.concat(fig02, fig11)).alias("b"), F.unhex(F.concat(head, F.lit("0000"))).alias("head"))
+    # Over Arrow batches: as expressions, the checksums of a frame are too much code for the JVM to compile.
+    parts = parts.select("*", crc16_stored(F.col("a")).alias("crc_a"), crc16_stored(F.col("b")).alias("crc_b"), crc16_stored(F.col("head")).alias("crc_head"))
     n, two = F.col("frame_no"), lambda x: F.unhex(hex_(x, 2))
     every = lambda k: (n % k == 0) if odd else F.lit(False)
-    fib = lambda c, flip: F.concat(c, two(crc16_of(c, 30).bitwiseXOR(0xFFFF).bitwiseXOR(flip)))
-    header_crc = F.coalesce(*[crc16_of(F.col("head"), size, word) for size, word in ((6, 6), (10, 5), (14, 7), (18, 6))]).bitwiseXOR(0xFFFF)
+    fib = lambda c, flip: F.concat(F.col(c), two(F.col(f"crc_{c}").bitwiseXOR(flip)))
     padding = b"\xff" * 30
     last = F.lit(padding + (_crc_of(padding) ^ 0xFFFF).to_bytes(2, "big"))
     # Not deterministic to the optimizer, so filters of decoded fields aren't moved below, where each would build the frame once more.
     once = F.monotonically_increasing_id() >= 0
     words = F.get(F.array(*[F.lit(bytes.fromhex(w)) for w in SYNC_WORDS]), (n % len(SYNC_WORDS)).cast("int")) if odd else F.lit(bytes.fromhex("FFF8C549"))
     sync = F.when((n % 50 == 0) & once, F.lit(bytes(4))).otherwise(words)
-    blocks = F.concat(fib(F.col("a"), F.when(n % 20 == 0, 1).otherwise(0).cast("long")), fib(F.col("b"), F.lit(0).cast("long")), last)
+    blocks = F.concat(fib("a", F.when(n % 20 == 0, 1).otherwise(0).cast("long")), fib("b", F.lit(0).cast("long")), last)
     if odd:
         blocks = F.when(every(43), F.lit(b"")).when(every(23), F.concat(blocks, last)).otherwise(blocks)
-    body = F.concat(sync, F.col("head"), two(header_crc.bitwiseXOR(F.when(every(31), 1).otherwise(0).cast("long"))), blocks)
-    raw = F.concat(F.rpad(body, FRAME_BYTES - 4, F.lit(b"\x55")), F.unhex(hex_((n * 393216) % (1 << 24), 4)))
+    body = F.concat(sync, F.col("head"), two(F.col("crc_head").bitwiseXOR(F.when(every(31), 1).otherwise(0).cast("long"))), blocks)
+    filled = FRAME_BYTES - 4 - F.octet_length(body)  # a slice of filling: rpad would copy it byte by byte
+    raw = F.concat(body, F.substring(F.lit(b"\x55" * FRAME_BYTES), F.lit(1), filled), F.unhex(hex_((n * 393216) % (1 << 24), 4)))
     if odd:
         raw = F.when(every(97), F.lit(bytes(FRAME_BYTES))).when(every(101), F.lit(b"\xff" * FRAME_BYTES)).when(every(103), F.substring(raw, 1, 6000)).otherwise(raw)
     return parts.select("stream_id", "frame_no", "ts", raw.alias("raw"))

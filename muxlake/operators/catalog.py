@@ -140,8 +140,9 @@ def compare_streams(frames: DataFrame, services: DataFrame, tolerance: float = 0
 
 
 def announcements_active(switches: DataFrame, components: DataFrame) -> DataFrame:
-    """Services on the sub-channels that carry an announcement."""
-    return switches.where("asw <> 0").select("stream_id", "cluster", "sub_channel_id").join(components.select("stream_id", "sub_channel_id", "sid"), ["stream_id", "sub_channel_id"]).distinct()
+    """Services on the sub-channels that carry an announcement. Repeats go before the join: a switch is repeated frame by frame, and each repeat would meet every service."""
+    active = switches.where("asw <> 0").select("stream_id", "cluster", "sub_channel_id").distinct()
+    return active.join(components.select("stream_id", "sub_channel_id", "sid").distinct(), ["stream_id", "sub_channel_id"])
 
 
 def user_app_services(services: DataFrame, apps: DataFrame, types: list[int]) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from muxlake.operators import catalog
 from muxlake.plans import registry, signalling
 from muxlake.sources import frames as fr
 
@@ -24,3 +25,13 @@ def test_frames_are_built_by_tasks_of_a_bounded_number(spark, tmp_path, monkeypa
         assert built.where("length(raw) > 6144").count() == 0 and built.count() == 200
     blocks = signalling.fibs(spark, d).where("crc_ok").count()
     assert blocks == 3 * 200 - 200 // 20
+
+
+def test_repeated_switches_do_not_meet_every_service(spark):
+    """4000 repeats of a switch and 4000 services: 16 million pairs for 4000 rows if repeats are joined."""
+    switches = spark.range(4000).selectExpr("'s' AS stream_id", "1 AS cluster", "id AS frame_no", "IF(id = 7, 0, 1) AS asw", "5 AS sub_channel_id")
+    components = spark.range(8000).selectExpr("'s' AS stream_id", "5 AS sub_channel_id", "id % 4000 AS sid")
+    out = catalog.announcements_active(switches, components)
+    assert out.count() == out.distinct().count() == 4000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # no aggregate is above the join

@@ -35,3 +35,10 @@ def test_repeated_switches_do_not_meet_every_service(spark):
     assert out.count() == out.distinct().count() == 4000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # no aggregate is above the join
+
+
+def test_quality_on_the_edge_of_a_level(spark, tmp_path):
+    """0.4 * 27 + 0.3 * 96 + 0.2 * 2 + 0.1 * 100 is 50."""
+    customer = spark.createDataFrame([(704704, "x", 1, 1.0, "MACHINERY")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    customer.write.parquet(str(tmp_path / "customer.parquet"))
+    assert [tuple(r) for r in registry.QUERIES["a32_overall_quality"](spark, str(tmp_path)).collect()] == [(704704, 50.0, "poor")]

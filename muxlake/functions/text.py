@@ -105,8 +105,9 @@ def now_playing(tags: Column, text: Column) -> Column:
     return F.coalesce(F.concat(artist, F.lit(" - "), title), title, artist, text)
 
 
-def to_db(x: Column) -> Column:
-    return F.when(x > 0, 20 * F.log10(x)).otherwise(F.lit(-120.0))
+def to_db(x: Column, least: float = -120.0) -> Column:
+    """Decibels of an amplitude; least where there is none."""
+    return F.when(x > 0, 20 * F.log10(x)).otherwise(F.lit(least))
 
 
 def from_db(x: Column) -> Column:

@@ -42,3 +42,9 @@ def test_quality_on_the_edge_of_a_level(spark, tmp_path):
     customer = spark.createDataFrame([(704704, "x", 1, 1.0, "MACHINERY")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
     customer.write.parquet(str(tmp_path / "customer.parquet"))
     assert [tuple(r) for r in registry.QUERIES["a32_overall_quality"](spark, str(tmp_path)).collect()] == [(704704, 50.0, "poor")]
+
+
+def test_silence_in_decibels(spark, tmp_path):
+    d = events(spark, tmp_path, [(0, 1, 0), (1, 1, 10)])
+    got = {r.event_id: (r.db, r.amplitude) for r in registry.QUERIES["c13_to_db"](spark, d).collect()}
+    assert got == {0: (float("-inf"), 1.0), 1: (20.0, pytest.approx(3.1623))}

@@ -103,15 +103,15 @@ def fig0_1(figs: DataFrame) -> DataFrame:
     return out.where(F.col("start_address") + F.col("size") <= 864)
 
 
-def fig0_2(figs: DataFrame) -> DataFrame:
-    """A row a component: 16-bit ids of programmes, 32-bit ids of data services."""
+def fig0_2(figs: DataFrame, reserved: list[int] | None = None) -> DataFrame:
+    """A row a component: 16-bit ids of programmes, 32-bit ids of data services. Reserved ids of programmes, 0 and FFFF unless said otherwise, are left out."""
     w = F.when(PD(), 4).otherwise(2)
     n = lambda p: bits(u(D(), p + w), 0, 4)
     f = walked(of(figs, 0, 2, 4), 4, lambda p: w + 1 + 2 * n(p))
     f = f.withColumn("sid", F.when(PD(), b(0, 4)).otherwise(b(0, 2))).withColumn("n", n(P()).cast("int")).where("n > 0")
     f = f.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("p", (P() + w + 1 + 2 * F.col("c")).cast("int"))
     f = f.where(b(1).isNotNull())
-    valid = F.when(PD(), F.col("sid") != 0xFFFFFFFF).otherwise(~F.col("sid").isin(0, 0xFFFF))
+    valid = F.when(PD(), F.col("sid") != 0xFFFFFFFF).otherwise(~F.col("sid").isin([0, 0xFFFF] if reserved is None else reserved))
     return rows(f.where(valid), sid=F.col("sid"), is_programme=~PD(), country_id=F.when(PD(), bits(F.col("sid"), 20, 4)).otherwise(bits(F.col("sid"), 12, 4)), ecc=F.when(PD(), bits(F.col("sid"), 24, 8)).otherwise(0), tmid=bits(b(0), 6, 2), asc_ty=bits(b(0), 0, 6), sub_channel_id=bits(b(1), 2, 6), primary=bits(b(1), 1, 1) == 1, ca=bits(b(1), 0, 1) == 1)
 
 

@@ -156,6 +156,10 @@ def frames_from_events(events: DataFrame, odd: bool = False) -> DataFrame:
     real capture may hold besides: all sync words, every protection, mode 3 with a fourth
     block (every 23rd), no blocks (every 43rd), a wrong header CRC (every 31st), frames of
     zeros (97th), of FF (101st) and short ones (103rd).
+
+    A service's number may be longer than the ids of the blocks, 16 bits in FIG 0/2 and 15 in
+    1/1. FIG 0/2 has its first four hex digits, FIG 1/1 its low 15 bits; what is beyond stands
+    beside the frame: sid_digits, hex digits, and label_group.
     """
     # A split of the table holds some millions of events, but their frames are large: tasks of a bounded number of frames.
     tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // FRAMES_A_TASK))
@@ -176,12 +180,12 @@ def frames_from_events(events: DataFrame, odd: bool = False) -> DataFrame:
     sid = 4096 + user
     fig02 = F.concat(F.lit("0602"), hex_(sid, 2), F.lit("013F"), hex_((user % 64) * 4 + 2, 1))
     label = F.hex(F.rpad(F.upper("event_type"), 16, " "))
-    fig11 = F.concat(F.lit("3501"), hex_(sid, 2), label, F.lit("FF00"))
+    fig11 = F.concat(F.lit("3501"), hex_(sid % 32768, 2), label, F.lit("FF00"))
     phase = (e % 8) * 8192 + F.when(every(23), 3).otherwise(1) * 2048 + e % 2000 if odd else F.lit(0x0800)
     head = F.concat(hex_(e % 250, 1), hex_(F.when(every(43), 0).otherwise(128) + nst, 1), hex_(phase, 2), stc)
     area = lambda x: F.unhex(F.rpad(x, 60, "FF"))
     # Columns of their own first: bytes are put together once, for their checksum and for the frame.
-    parts = events.select(F.concat(F.lit("S"), user % 16).alias("stream_id"), e.alias("frame_no"), "ts", area(F.concat(fig00, fig01)).alias("a"), area(F.concat(fig02, fig11)).alias("b"), F.unhex(F.concat(head, F.lit("0000"))).alias("head"))
+    parts = events.select(F.concat(F.lit("S"), user % 16).alias("stream_id"), e.alias("frame_no"), "ts", F.substring(F.hex(sid), 5, 16).alias("sid_digits"), F.shiftright(sid, 15).alias("label_group"), area(F.concat(fig00, fig01)).alias("a"), area(F.concat(fig02, fig11)).alias("b"), F.unhex(F.concat(head, F.lit("0000"))).alias("head"))
     # Over Arrow batches: as expressions, the checksums of a frame are too much code for the JVM to compile.
     parts = parts.select("*", crc16_stored(F.col("a")).alias("crc_a"), crc16_stored(F.col("b")).alias("crc_b"), crc16_stored(F.col("head")).alias("crc_head"))
     n, two = F.col("frame_no"), lambda x: F.unhex(hex_(x, 2))
@@ -201,7 +205,7 @@ def frames_from_events(events: DataFrame, odd: bool = False) -> DataFrame:
     raw = F.concat(body, F.substring(F.lit(b"\x55" * FRAME_BYTES), F.lit(1), filled), F.unhex(hex_((n * 393216) % (1 << 24), 4)))
     if odd:
         raw = F.when(every(97), F.lit(bytes(FRAME_BYTES))).when(every(101), F.lit(b"\xff" * FRAME_BYTES)).when(every(103), F.substring(raw, 1, 6000)).otherwise(raw)
-    return parts.select("stream_id", "frame_no", "ts", raw.alias("raw"))
+    return parts.select("stream_id", "frame_no", "ts", "sid_digits", "label_group", raw.alias("raw"))
 
 
 def _crc_of(data: bytes) -> int:

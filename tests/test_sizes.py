@@ -48,3 +48,12 @@ def test_silence_in_decibels(spark, tmp_path):
     d = events(spark, tmp_path, [(0, 1, 0), (1, 1, 10)])
     got = {r.event_id: (r.db, r.amplitude) for r in registry.QUERIES["c13_to_db"](spark, d).collect()}
     assert got == {0: (float("-inf"), 1.0), 1: (20.0, pytest.approx(3.1623))}
+
+
+WIDE = [1, 28671, 28672, 61438, 61439, 61440, 89999, 2_000_000]
+
+
+def test_services_of_more_than_16_bits(spark, tmp_path):
+    d = events(spark, tmp_path, [(i + 1, u, 1) for i, u in enumerate(WIDE)])
+    got = sorted((r.stream_id, r.sid, r.country_id, r.sub_channel_id, r.is_programme) for r in registry.QUERIES["g02_service_org"](spark, d).collect())
+    assert got == sorted((f"S{u % 16}", 4096 + u, (4096 + u) >> 12, u % 64, True) for u in WIDE)

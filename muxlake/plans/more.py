@@ -87,7 +87,7 @@ def p32(s, d):
 
 @query("p33_fig_trace", f"SELECT stream_id, frame_no, format('FIG 1/1 SId 0x{{:04X}} label {{}}', 4096 + u, upper(event_type)) AS line {BASE}")
 def p33(s, d):
-    x = g.fig1_1(sg.figs(s, d))
+    x = sg.service_labels(s, d)
     return x.select("stream_id", "frame_no", F.format_string("FIG 1/1 SId 0x%04X label %s", F.col("sid"), F.col("label")).alias("line"))
 
 

@@ -63,3 +63,9 @@ def test_labels_of_services_of_more_than_15_bits(spark, tmp_path):
     d = events(spark, tmp_path, [(i + 1, u, 1) for i, u in enumerate(WIDE)])
     got = sorted((r.stream_id, r.sid, r.is_programme, r.label) for r in registry.QUERIES["g31_service_label"](spark, d).collect())
     assert got == sorted((f"S{u % 16}", 4096 + u, True, "VIEW") for u in WIDE)
+
+
+def test_traces_of_services_of_more_than_15_bits(spark, tmp_path):
+    d = events(spark, tmp_path, [(i + 1, u, 1) for i, u in enumerate(WIDE)])
+    got = sorted(r.line for r in registry.QUERIES["p33_fig_trace"](spark, d).collect())
+    assert got == sorted(f"FIG 1/1 SId 0x{4096 + u:04X} label VIEW" for u in WIDE)

@@ -146,7 +146,7 @@ def superframes(msc: DataFrame, index: int, span: float | None = None) -> DataFr
     c = looking_back(msc.select(*keys, "frame_no", "payload"), keys, "frame_no", 4, five, span).where("_whole")
     # Exploded, so that the bytes are put together once and not in each expression over them.
     c = c.select(*keys, (F.col("frame_no") - 4).alias("frame_no"), F.explode(F.array("_five")).alias("payload"))
-    c = c.where((fire_code(F.substring(D(), 3, 9), 9) == u(D(), 0, 2)) & (u(D(), 3, 2) >= 16))
+    c = c.where(u(D(), 3, 2) >= 16).where(fire_code(F.substring(D(), 3, 9)) == u(D(), 0, 2))
     c = looking_back(c, keys, "frame_no", 1, lambda w: {"_near": F.coalesce(F.col("frame_no") - F.lag("frame_no").over(w) < 5, F.lit(False))}, span).where("NOT _near")
     b2 = u(D(), 2)
     rate, sbr = bits(b2, 6, 1), bits(b2, 5, 1)

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from muxlake.operators import catalog
+from muxlake.operators import catalog, payload
 from muxlake.plans import registry, signalling
 from muxlake.sources import frames as fr
 
@@ -69,3 +69,9 @@ def test_traces_of_services_of_more_than_15_bits(spark, tmp_path):
     d = events(spark, tmp_path, [(i + 1, u, 1) for i, u in enumerate(WIDE)])
     got = sorted(r.line for r in registry.QUERIES["p33_fig_trace"](spark, d).collect())
     assert got == sorted(f"FIG 1/1 SId 0x{4096 + u:04X} label VIEW" for u in WIDE)
+
+
+def test_superframes_take_their_header_check_over_batches(spark):
+    """As an expression of masked words it was too much code for the JVM to compile."""
+    msc = spark.createDataFrame([], "stream_id string, sub_channel_id int, frame_no long, payload binary")
+    assert "ArrowEvalPython" in payload.superframes(msc, 1)._jdf.queryExecution().optimizedPlan().toString()

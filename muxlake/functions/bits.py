@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: crc16 of any message that is followed by its stored checksum.
+CRC16_RESIDUE = 0x1D0F
+
+
 def u(data: Column, at: Column | int, n: int = 1) -> Column:
     """Big-endian unsigned number of n bytes of data from offset at (0-based); null beyond the end."""
     part = F.substring(data, (F.lit(at) if isinstance(at, int) else at) + 1, n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, crc16_stored, u
+from muxlake.functions.bits import CRC16_RESIDUE, bits, crc16, crc16_stored, u
 from muxlake.functions.times import micros
 from muxlake.sources import captures
 
@@ -110,9 +110,11 @@ def explode_fibs(fic: DataFrame) -> DataFrame:
 
 
 def eoh_crc_ok(headers: DataFrame) -> DataFrame:
-    """Whether the CRC over frame header and sub-channel list agrees with the one at the end of the header."""
-    head = F.substring("raw", 5, 4 + 4 * F.col("nst") + 2)
-    return headers.withColumn("eoh_ok", crc16_stored(head) == u(F.col("raw"), 8 + 4 * F.col("nst") + 2, 2))
+    """Whether the CRC over frame header and sub-channel list agrees with the one at the end of the header; null where that is beyond the frame."""
+    size = 4 + 4 * F.col("nst") + 4
+    # Over the stored one too, and from a column that is used twice, which Spark keeps as one: so no whole frames wait beside the Arrow batch.
+    h = headers.withColumn("_head", F.substring("raw", 5, size))
+    return h.withColumn("eoh_ok", crc16(F.when(F.octet_length("_head") == size, F.col("_head"))) == CRC16_RESIDUE).drop("_head")
 
 
 def slice_msc(headers: DataFrame) -> DataFrame:

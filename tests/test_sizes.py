@@ -1,6 +1,7 @@
 """Queries whose faults only show on larger tables or at values that the small ones don't hold."""
 
 import datetime as dt
+import re
 
 import pytest
 
@@ -75,3 +76,27 @@ def test_superframes_take_their_header_check_over_batches(spark):
     """As an expression of masked words it was too much code for the JVM to compile."""
     msc = spark.createDataFrame([], "stream_id string, sub_channel_id int, frame_no long, payload binary")
     assert "ArrowEvalPython" in payload.superframes(msc, 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def below(df, node):
+    """The line of the plan under the first such node."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return lines[next(i for i, line in enumerate(lines) if node in line) + 1]
+
+
+def frame(nst, crc_of, cut=None):
+    """A frame of no FIC: its header, a list of sub-channels and the checksum over both."""
+    head = bytes([7, nst, 8, 0]) + b"".join((i << 26 | 24 * i << 16 | 0x22 << 10 | 24).to_bytes(4, "big") for i in range(nst)) + b"\x12\x34"
+    raw = b"\xff\xf8\xc5\x49" + head + ((fr._crc_of(head) ^ 0xFFFF) ^ crc_of).to_bytes(2, "big") + bytes(50)
+    return raw[:cut]
+
+
+def test_header_checksums_hold_no_whole_frames(spark):
+    """A batch of frames of 6 KB waited beside the few bytes of each that are summed."""
+    rows = [("a", 0, frame(0, 0)), ("a", 1, frame(3, 0)), ("a", 2, frame(3, 1)), ("a", 3, frame(3, 0, 4 + 4 + 12 + 2 + 2)), ("a", 4, frame(3, 0, 4 + 4 + 12 + 2 + 1)), ("a", 5, frame(64, 0)), ("a", 6, b""), ("a", 7, None)]
+    h = fr.frame_header(spark.createDataFrame(rows, "stream_id string, frame_no long, raw binary"))
+    out = fr.eoh_crc_ok(h)
+    assert out.columns == [*h.columns, "eoh_ok"]
+    assert [r.eoh_ok for r in out.orderBy("frame_no").collect()] == [True, True, False, True, None, True, None, None]
+    used = out.groupBy("stream_id").agg({"eoh_ok": "count"})
+    assert not re.search(r"[\[ ]raw#\d+[,\]]", below(used, "ArrowEvalPython"))

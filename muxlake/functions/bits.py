@@ -41,14 +41,19 @@ def crc_table(polynomial: int, width: int) -> list[int]:
     return out
 
 
+def edges_and_bytes(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each binary of a batch begins and the last one ends, and the bytes of all."""
+    data = data.cast(pa.large_binary())
+    _, edges, held = data.buffers()
+    at = np.frombuffer(edges, np.int64)[data.offset : data.offset + len(data) + 1]
+    return at, np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+
+
 def crc_arrow(data: pa.Array, polynomial: int, width: int, start: int) -> pa.Array:
     """Checksums of a batch of binaries, byte by byte over all of them at once; null for nulls."""
     n, mask = len(data), (1 << width) - 1
     table = np.array(crc_table(polynomial, width), np.uint64)
-    data = data.cast(pa.large_binary())
-    _, edges, held = data.buffers()
-    at = np.frombuffer(edges, np.int64)[data.offset : data.offset + n + 1]
-    held = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    at, held = edges_and_bytes(data)
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")  # those that go on are a prefix
     begin, going = at[:-1][order], np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")

@@ -7,10 +7,12 @@ an entry. Entries of one length are exploded by position, others by bits.walk.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, flag_list, signed, u, walk
+from muxlake.functions.bits import bits, edges_and_bytes, flag_list, signed, u, walk
 from muxlake.functions.text import decode_label, lto_minutes, mjd_timestamp, short_label
 from muxlake.operators.scan import looking_back, running
 
@@ -23,20 +25,44 @@ KEYS = ["stream_id", "frame_no"]
 
 def explode_figs(fibs: DataFrame, types: list[int] | None = None) -> DataFrame:
     """The blocks of each FIB area: header type(3) length(5). Type 7 ends; length 0 or an overrun ends and is erroneous; over 29 is skipped and erroneous."""
-    a = F.col("area")
-    head = lambda p: u(a, p)
-    kind, length = (lambda p: bits(head(p), 5, 3)), (lambda p: bits(head(p), 0, 5))
-    at = walk(a, 0, 1, lambda p: 1 + length(p), lambda p: (kind(p) != 7) & (length(p) > 0) & (p + 1 + length(p) <= F.octet_length(a)), 2)
-    f = fibs.withColumn("at", at)
-    last = F.when(F.size("at") > 0, F.element_at("at", -1) + 1 + length(F.element_at("at", -1))).otherwise(0)
-    f = f.withColumn("ended_badly", F.coalesce((last < F.octet_length(a)) & (kind(last) != 7), F.lit(False)))
-    f = f.select("stream_id", "frame_no", "fib_no", "crc_ok", "ended_badly", a, F.posexplode_outer("at").alias("seq", "p")).where("p IS NOT NULL")  # outer: Spark else adds a filter on the list, which walks once more
-    f = f.select("stream_id", "frame_no", "fib_no", "crc_ok", "ended_badly", "seq", kind(F.col("p")).cast("int").alias("fig_type"), length(F.col("p")).cast("int").alias("len"), F.substring(a, F.col("p") + 2, length(F.col("p")).cast("int")).alias("data"))
-    f = f.where("len <= 29")
+    keys = ["stream_id", "frame_no", "fib_no", "crc_ok"]
+    f = fibs.select(*keys, "area", F.arrow_udf(list_figs, LISTED)("area").alias("listed"))
+    f = f.select(*keys, "listed.ended_badly", "area", F.posexplode_outer("listed.figs").alias("seq", "fig")).where("fig.len <= 29")
     if types is not None:
-        f = f.where(F.col("fig_type").isin(types))
-    b0 = u(D(), 0)
-    return f.select("*", fig_extension(F.col("fig_type"), b0).cast("int").alias("ext"), (bits(b0, 6, 1) == 1).alias("oe"), (bits(b0, 5, 1) == 1).alias("pd"))
+        f = f.where(F.col("fig.fig_type").isin(types))
+    data = F.substring("area", F.col("fig.at") + 2, F.col("fig.len"))
+    b0 = F.col("fig.first")
+    return f.select(*keys, "ended_badly", "seq", "fig.fig_type", "fig.len", data.alias("data"), fig_extension(F.col("fig.fig_type"), b0).cast("int").alias("ext"), (bits(b0, 6, 1) == 1).alias("oe"), (bits(b0, 5, 1) == 1).alias("pd"))
+
+
+LISTED = "struct<figs:array<struct<at:int,fig_type:int,len:int,first:int>>,ended_badly:boolean>"
+
+
+def list_figs(areas: pa.Array) -> pa.Array:
+    """LISTED of each area of a batch: offset, type, length and first byte of its blocks. A step takes the next block of all areas that go on."""
+    n, null = len(areas), np.asarray(areas.is_null())
+    edges, held = edges_and_bytes(areas)
+    begin, size = edges[:-1], np.where(null, 0, np.diff(edges))
+    at, badly, on = np.zeros(n, np.int64), np.zeros(n, bool), np.arange(n)
+    rows, found = [np.zeros(0, np.int64)], [np.zeros((4, 0), np.int64)]
+    while True:
+        on = on[at[on] < size[on]]
+        if not len(on):
+            break
+        head = held[begin[on] + at[on]].astype(np.int64)
+        kind, length = head >> 5, head & 31
+        good = (kind != 7) & (length > 0) & (at[on] + 1 + length <= size[on])
+        badly[on[~good & (kind != 7)]] = True
+        on, kind, length = on[good], kind[good], length[good]
+        rows.append(on)
+        found.append(np.stack([at[on], kind, length, held[begin[on] + at[on] + 1].astype(np.int64)]))
+        at[on] += 1 + length
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")  # steps follow each other, so an area's blocks stay in order
+    columns = np.concatenate(found, axis=1)[:, order].astype(np.int32)
+    figs = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["at", "fig_type", "len", "first"])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), figs), pa.array(badly)], ["figs", "ended_badly"])
 
 
 def fig_extension(fig_type: Column, first: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,13 +107,30 @@ def now_playing(tags: Column, text: Column) -> Column:
     return F.coalesce(F.concat(artist, F.lit(" - "), title), title, artist, text)
 
 
+# The JVM's powers and logarithms differ from those of C, which SQL engines call, in the last bit of some: these are C's, over Arrow batches.
+
+
+def _log10(x: pa.Array) -> pa.Array:
+    return pc.log10(x)
+
+
+def _power_of_10(x: pa.Array) -> pa.Array:
+    return pc.power(10.0, x)
+
+
 def to_db(x: Column, least: float = -120.0) -> Column:
-    """Decibels of an amplitude; least where there is none."""
-    return F.when(x > 0, 20 * F.log10(x)).otherwise(F.lit(least))
+    """Decibels of an amplitude; least where it is 0 or below."""
+    return F.when(x <= 0, F.lit(least)).otherwise(20 * F.arrow_udf(_log10, "double")(x.cast("double")))
 
 
 def from_db(x: Column) -> Column:
-    return F.pow(F.lit(10.0), x / 20)
+    return F.arrow_udf(_power_of_10, "double")(x / 20)
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """A double to some digits by whole multiples, halves away from zero, as C does; F.round goes by the decimal digits of x."""
+    y = F.round(x * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(y) < float("inf"), y).otherwise(x)
 
 
 def file_name(ts: Column, segment: Column) -> Column:

@@ -87,7 +87,7 @@ def c12(s, d):
 
 @query("c13_to_db", "SELECT event_id, round(20 * log10(value), 6) AS db, round(10 ** (value / 20), 4) AS amplitude FROM events")
 def c13(s, d):
-    return v.table(s, d, "events").select("event_id", F.round(t.to_db(F.col("value"), float("-inf")), 6).alias("db"), F.round(t.from_db(F.col("value")), 4).alias("amplitude"))
+    return v.table(s, d, "events").select("event_id", t.round_scaled(t.to_db(F.col("value"), float("-inf")), 6).alias("db"), t.round_scaled(t.from_db(F.col("value")), 4).alias("amplitude"))
 
 
 @query("c14_file_name", "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || lpad((event_id % 1000)::VARCHAR, 4, '0') AS name FROM events")

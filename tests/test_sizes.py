@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 
+import duckdb
 import pyarrow as pa
 import pytest
 
@@ -54,6 +55,15 @@ def test_silence_in_decibels(spark, tmp_path):
     assert got == {0: (float("-inf"), 1.0), 1: (20.0, pytest.approx(3.1623))}
 
 
+def test_decibels_to_the_last_bit(spark, tmp_path):
+    d = events(spark, tmp_path, [(i, 1, i * 0.37) for i in range(4000)] + [(4000, 1, 6159.9), (4001, 1, 7000)])
+    null = spark.read.parquet(d + "/events.parquet").selectExpr("max(event_id) + 1 AS event_id", "max(ts) AS ts", "1L AS user_id", "'view' AS event_type", "CAST(NULL AS DOUBLE) AS value", "'{}' AS props")
+    null.write.mode("append").parquet(d + "/events.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["c13_to_db"](spark, d).collect())
+    want = duckdb.sql(registry.ORACLE["c13_to_db"].replace("FROM events", f"FROM read_parquet('{d}/events.parquet/*.parquet')")).fetchall()
+    assert got == sorted(want) and got[-1] == (4002, None, None)
+
+
 WIDE = [1, 28671, 28672, 61438, 61439, 61440, 89999, 2_000_000]
 
 

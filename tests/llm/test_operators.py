@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,70 @@ def test_top_k_is_exact(docs, empty, corpus):
     assert of(top_k(empty, docs.where("doc_id = 0"))) == [] == of(top_k(docs, empty))
 
 
+def two_languages(n):
+    """Documents of words of one of two languages, some of them copies."""
+    rng = np.random.default_rng(5)
+    chance = 1 / np.arange(1, 301)
+    texts = [" ".join(f"{'ab'[i % 2]}{w}" for w in rng.choice(300, 5 + i % 40, p=chance / chance.sum())) for i in range(n)]
+    return [(i, texts[i % 11] if i % 5 == 0 else texts[i]) for i in range(n)]
+
+
+def test_neighbours_in_a_shard_are_of_one_kind():
+    from muxlake.llm.bm25 import _index
+
+    rows = two_languages(600)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    shards = [b.to_pylist()[0] for b in _index(64, 1_500_000)(iter([batch]))]
+    ids = [np.frombuffer(s["ids"], np.int64).tolist() for s in shards]
+    assert sorted(i for x in ids for i in x) == list(range(600)) and max(map(len, ids)) <= 64
+    runs = [{dict(rows)[i][0] for i in x[at : at + 4]} for x in ids for at in range(0, len(x), 4)]
+    assert sum(len(r) == 1 for r in runs) >= 0.8 * len(runs)
+
+
+def test_runs_of_another_kind_are_skipped(monkeypatch):
+    """A query of one language reads no list of a shard of the other, though they share a word."""
+    from muxlake.llm import bm25
+
+    rows = [(i, *bm25.terms(f"{t} shared")) for i, t in two_languages(600) if t[0] == "a"]
+    mean = float(np.mean([f.sum() for _, _, f in rows]))
+    asked = [bm25.terms(f"shared {' '.join(f'b{w}' for w in range(i, i + 20))}") for i in range(8)]
+    places = np.unique(np.concatenate([t for t, _ in asked]))
+    queries = {"terms": places, "places": np.concatenate([np.searchsorted(places, t) for t, _ in asked]), "weights": np.concatenate([f for _, f in asked]) * 1.0, "offsets": np.arange(0, 21 * 9, 21), "mean": mean}
+    scored = []
+    whole = bm25.Shard.score
+    monkeypatch.setattr(bm25.Shard, "score", lambda self, rows, *rest: scored.extend(rows.tolist()) or whole(self, rows, *rest))
+    row = dict(zip([x.split()[0] for x in bm25.INDEX.split(", ")], bm25.shard(rows), strict=True))
+    best = bm25.Best(np.full(8, 3.0), 5)
+    bm25.search_shard(row, queries, best, 1.2, 0.75, 4, 2)
+    assert not scored and (best.scores < 0).all()
+    best = bm25.Best(np.full(8, -1.0), 5)
+    bm25.search_shard(row, queries, best, 1.2, 0.75, 4, 2)
+    assert set(scored) == set(range(8)) and (best.scores > 0).all()
+
+
+def test_floors_from_a_few_shards_lose_nothing(spark):
+    from muxlake.llm.bm25 import terms, top_k
+
+    rows = [*two_languages(900), (None, two_languages(3)[2][1]), (900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tf = [(i, dict(zip(*map(np.ndarray.tolist, terms(t)), strict=True))) for i, t in rows]
+    n, mean = len(tf), sum(sum(c.values()) for _, c in tf) / len(tf)
+    df = Counter(w for _, c in tf for w in c)
+    got = defaultdict(list)
+    for r in of(top_k(docs, docs.where("doc_id % 20 = 0"), k=4, shard_docs=4, run=2, first=1).orderBy("query_id", "rank")):
+        got[r["query_id"]].append((-round(r["score"], 6), r["doc_id"] is None, r["doc_id"]))
+    for q, c in tf:
+        if q is not None and q % 20 == 0 and c:
+            score = {}
+            for d, e in tf:
+                s = sum(f * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * e[w] * 2.2 / (e[w] + 1.2 * (0.25 + 0.75 * sum(e.values()) / mean)) for w, f in c.items() if w in e)
+                if s > 0:
+                    score[d] = -round(s, 6)
+            want = sorted((s, d is None, d) for d, s in score.items())[:4]
+            assert [x[2] for x in got.pop(q)] == [x[2] for x in want]
+    assert not got
+
+
 # Packing
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import cut, table, texts
+from muxlake.llm.common import FEW_ROWS, cut, table, texts
 
 WORD = re.compile(r"\w+")
 EPS = 2e-6
@@ -355,7 +355,7 @@ def _search(sent, least, k: int, k1: float, b: float, run_docs: int, first: int)
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard_docs: int = 4096, shard_postings: int = 1_500_000, terms_at_once: int = 2_000_000, shards_a_task: int = 8, run: int = 64, first: int = 4) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of docs for each row of queries (doc_id, text)."""
     spark = docs.sparkSession
-    index = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index(shard_docs, shard_postings), INDEX))
+    index = table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index(shard_docs, shard_postings), INDEX), FEW_ROWS)  # rows of some 15 MB
     asked = queries.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     asked = table(asked.mapInArrow(_query_terms, "query_id long, terms binary, freqs binary, n long"))
     whole = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"), F.count("*").alias("shards")).first()
@@ -365,7 +365,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     tasks = index.coalesce(max(-(-(whole.shards or 0) // shards_a_task), 2 * spark.sparkContext.defaultParallelism))
     # A few shards are searched before the others: the k-th score over them is a floor for all tasks, below which no result is.
     cores = spark.sparkContext.defaultParallelism
-    some = table(index.sample(2 * cores / whole.shards, seed=6)) if blocks and whole.shards >= 32 * cores else None
+    some = table(index.sample(2 * cores / whole.shards, seed=6), FEW_ROWS) if blocks and whole.shards >= 32 * cores else None
     found = None
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     for block in range(blocks):

@@ -45,11 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame) -> DataFrame:
+#: Row groups of some 16 MB, whatever the number of rows: readers hold the rows of a whole one at once, up to 4096.
+FEW_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
+
+
+def table(df: DataFrame, options: dict | None = None) -> DataFrame:
     """The same as compressed Parquet, for wide rows; partitions may be dealt anew when it is read."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -361,6 +361,24 @@ def test_floors_from_a_few_shards_lose_nothing(spark):
     assert not got
 
 
+def test_tables_of_long_rows_are_in_row_groups_of_few(spark):
+    """A reader holds the rows of a row group at once: 12 rows of 8 MB in one are 96 MB a task."""
+    import pyarrow.parquet as pq
+
+    from muxlake.llm.common import FEW_ROWS, table
+
+    def long_rows(batches):
+        for b in batches:
+            for i in b["id"].to_pylist():
+                yield pa.RecordBatch.from_pydict({"id": [i], "x": [np.random.default_rng(i).bytes(8 << 20)]})
+
+    t = table(spark.range(0, 12, 1, 1).mapInArrow(long_rows, "id long, x binary"), FEW_ROWS)
+    (file,) = [f.removeprefix("file://").removeprefix("file:") for f in t.inputFiles()]
+    held = pq.ParquetFile(file).metadata
+    assert max(held.row_group(i).num_rows for i in range(held.num_row_groups)) <= 3
+    assert t.selectExpr("sum(length(x)) AS n").first().n == 12 << 23
+
+
 # Packing
 
 
